@@ -157,6 +157,32 @@ SELECT doc_id AS position, CAST(floor(doc_id / 8.0) AS BIGINT) AS question_id, d
 FROM {documents}
 """
 
+# Whole documents with code blocks: fine, undefined names, broken, two blocks, star argument.
+CODE_TEXTS = """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'math' ELSE 'code' END AS method, doc_id % 6 AS shape,
+       text || CASE doc_id % 6
+         WHEN 0 THEN '```python' || chr(10) || 'x = ' || CAST(doc_id AS STRING) || chr(10) || 'print(x)' || chr(10) || '```'
+         WHEN 1 THEN '```python' || chr(10) || 'print(total)' || chr(10) || '```'
+         WHEN 2 THEN '```python' || chr(10) || 'for i in range(3) print(i)' || chr(10) || '```'
+         WHEN 3 THEN '```python' || chr(10) || 'a = 1' || chr(10) || '``` then ```python' || chr(10)
+                     || 'b = zeta + alpha + Symbol' || chr(10) || '```'
+         WHEN 4 THEN '```python' || chr(10) || 'import math as m' || chr(10) || 'def f(a, *b):' || chr(10)
+                     || '    return m.pi + a + len(b) + gamma' || chr(10) || '```'
+         ELSE '' END AS text
+FROM {documents}
+"""
+
+# Buffers that end in open code: sound, undefined name, open list, open block.
+BUFFERS = """
+SELECT doc_id, doc_id % 4 AS shape, text || '```python' || chr(10) || CASE doc_id % 4
+         WHEN 0 THEN 'a = 1' || chr(10) || 'b = a' || chr(10) || 'print(b'
+         WHEN 1 THEN 'a = ' || CAST(doc_id AS STRING) || chr(10) || 'print(q)' || chr(10) || 'c = (r,' || chr(10) || '2)' || chr(10) || 'd = '
+         WHEN 2 THEN 'x = [' || chr(10) || '1,' || chr(10) || '2,' || chr(10) || '3,' || chr(10) || '4,' || chr(10)
+                     || '5,' || chr(10) || '6,' || chr(10) || '7'
+         ELSE 'k = ' || CAST(doc_id AS STRING) || chr(10) || chr(10) || 'if k:' || chr(10) || chr(10) || 'z' END AS buffer
+FROM {documents}
+"""
+
 # Assistant turns cut into pieces of 16 characters; a turn is one request of a generation.
 PLANTED_TURNS = """
 SELECT conv_id AS generation_id, turn AS request_counter,
@@ -175,6 +201,7 @@ INPUTS = {
     "answers": ANSWERS, "questions": QUESTIONS, "problems": PROBLEMS, "completions": COMPLETIONS,
     "texts": TEXTS, "executions": EXECUTIONS, "logs": LOGS, "log_problems": LOG_PROBLEMS,
     "training_logs": TRAINING_LOGS, "turns": PLANTED_TURNS,
+    "code_texts": CODE_TEXTS, "buffers": BUFFERS,
 }
 PIECE = 16
 

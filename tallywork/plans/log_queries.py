@@ -178,13 +178,13 @@ def running_prompt(spark, folder):
 
 
 @query("throttled_checks", with_inputs("""
-WITH RECURSIVE times AS (SELECT DISTINCT question_id, arrival FROM fx_answers),
+WITH times AS (SELECT DISTINCT question_id, arrival FROM fx_answers),
 next AS (SELECT a.question_id, a.arrival, min(b.arrival) AS following FROM times a
          LEFT JOIN times b ON b.question_id = a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
 kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY question_id
          UNION ALL SELECT n.question_id, n.following FROM kept k
          JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
-SELECT * FROM kept""".replace("WITH RECURSIVE", "WITH"), "answers").replace("WITH", "WITH RECURSIVE", 1))
+SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttled_checks(spark, folder):
     return logs.throttled_checks(read_input(spark, folder, "answers"), "question_id", "arrival", 5)
 
