@@ -12,7 +12,9 @@ from tallywork.plans.registry import query
 from tallywork.plans.text_queries import BOX_LAST, REDACTED
 from tallywork.plans.vote_queries import DEADLINE, STOPS, TOP3, VALUED
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_available, stream_files
+from tallywork.streaming.runs import run_available, stream_files, stream_written
+
+EPOCH = 1_700_000_000
 
 
 def stream_input(spark, folder, name):
@@ -23,12 +25,15 @@ def stream_input(spark, folder, name):
     return derive(spark, INPUTS[name], **tables)
 
 
+def _timed_answers(spark, folder):
+    return stream_input(spark, folder, "answers").withColumn("ts", F.timestamp_seconds(F.col("arrival") + EPOCH))
+
+
 @query("poll_counts_stream", with_inputs("""
 SELECT CAST(arrival // 20 + 1 AS BIGINT) AS poll, method, count(*) AS arrived FROM fx_answers GROUP BY ALL""", "answers"))
 def poll_counts_stream(spark, folder):
-    answers = stream_input(spark, folder, "answers").withColumn("ts", F.timestamp_seconds("arrival"))
-    counts = live_votes.poll_counts(answers).select(
-        F.floor(F.unix_seconds("poll.end") / 20).alias("poll"), "method", "arrived"
+    counts = live_votes.poll_counts(_timed_answers(spark, folder)).select(
+        F.floor((F.unix_seconds("poll.end") - EPOCH) / 20).alias("poll"), "method", "arrived"
     )
     updates = run_available(counts, "poll_counts", "update")
     # A window's count only grows.
@@ -43,14 +48,17 @@ SELECT question_id, votes, highest, second, third,
         OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, ((v % 1000) + 1000) % 1000 AS answer
 FROM cast_votes JOIN top3 USING (question_id) JOIN ranked USING (question_id) WHERE rn = 1""", "answers"))
 def live_votes_stream(spark, folder):
-    history = run_available(live_votes.live_votes(stream_input(spark, folder, "answers")), "live_votes")
+    counts = run_available(live_votes.running_votes(_timed_answers(spark, folder)), "running_votes")
+    history = run_available(live_votes.live_votes(stream_written(counts)), "live_votes")
     return live_votes.latest_votes(history)
 
 
 @query("early_stop_stream", with_inputs(f"WITH {VALUED}, {STOPS} SELECT * FROM stops", "answers"))
 def early_stop_stream(spark, folder):
-    answers = stream_input(spark, folder, "answers").withColumn("started", F.timestamp_seconds(F.lit(1_700_000_000)))
-    return run_available(live_votes.early_stop(answers, DEADLINE), "early_stop")
+    answers = stream_input(spark, folder, "answers").withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
+    polls = run_available(live_votes.closed_polls(answers), "closed_polls")
+    counts = run_available(live_votes.running_polls(stream_written(polls)), "running_polls")
+    return run_available(live_votes.early_stop(stream_written(counts), DEADLINE), "early_stop")
 
 
 @query("assemble_generations_stream", with_inputs(f"""
@@ -65,6 +73,7 @@ SELECT *, CASE WHEN method = 'math' THEN {BOX_LAST.format(c='text')}
                ELSE {BOX_LAST.format(c=REDACTED.format(c='text'))} END AS answer FROM texts""", "turns"))
 def assemble_generations_stream(spark, folder):
     chunks = cut_pieces(stream_input(spark, folder, "turns"))
+    chunks = chunks.withColumn("ts", F.timestamp_seconds(F.col("chunk_idx") + EPOCH))
     return run_available(generations.assemble_generations(chunks), "generations")
 
 
@@ -77,5 +86,5 @@ kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY questio
          JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
 SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttle_stream(spark, folder):
-    checks = stream_input(spark, folder, "answers").select("question_id", "arrival")
+    checks = _timed_answers(spark, folder).select("question_id", "arrival", "ts")
     return run_available(generations.throttle(checks, "question_id", "arrival", 5), "throttle")

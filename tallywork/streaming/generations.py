@@ -11,22 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywork.functions.text import answer_outside_sections, last_boxed
+from tallywork.streaming.runs import milliseconds
 
 REQUEST = ["generation_id", "request_counter", "method"]
 _STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean"
 _OUT = "generation_id bigint, request_counter bigint, method string, text string, chunks bigint, reason string"
 
 
-def assemble_generations(chunks: DataFrame, idle: str = "1 hour") -> DataFrame:
+def assemble_generations(
+    chunks: DataFrame, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 hour"
+) -> DataFrame:
     """One row per finished request, written as soon as it is finished.
 
-    ``chunks``: generation_id, request_counter, method, chunk_idx, chunk, is_last. Chunks
-    may come in any order. A code request ends with its first filled, closed code block, a
+    ``chunks``: generation_id, request_counter, method, chunk_idx, chunk, is_last and an
+    event time. Chunks may come in any order within the ``delay``. A code request ends with its first filled, closed code block, a
     math request with its first filled box, both at the latest with the last chunk. A
     request that stays idle is written as it is, with the reason 'expired'. Once a request
     is written its text is dropped; a mark stays until it is idle, to ignore later chunks.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = milliseconds(idle)
 
     def ended(method: str, buffer: str, chunk: str) -> str | None:
         if method == "math":
@@ -71,27 +74,32 @@ def assemble_generations(chunks: DataFrame, idle: str = "1 hour") -> DataFrame:
                 buffer, following, list(waiting), [c for c, _ in waiting.values()], [bool(e) for _, e in waiting.values()], done
             )
         )
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
 
-    finished = chunks.groupBy(*REQUEST).applyInPandasWithState(
-        advance, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    finished = (
+        chunks.withWatermark(ts, delay)
+        .groupBy(*REQUEST)
+        .applyInPandasWithState(advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
     answer = F.when(F.col("method") == "math", last_boxed("text")).otherwise(answer_outside_sections("text"))
     return finished.withColumn("answer", answer)
 
 
-def throttle(checks: DataFrame, key: str, time: str, gap: float = 5, idle: str = "1 hour") -> DataFrame:
+def throttle(
+    checks: DataFrame, key: str, time: str, gap: float = 5, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 hour"
+) -> DataFrame:
     """Keep a check only if it comes at least ``gap`` after the last kept one of its key.
 
-    Micro-batches are expected in time order, as a live log gives them; the state of a key
-    is the time of its last kept check.
+    ``time`` is the number the gap is measured on, ``ts`` the event time. Micro-batches are
+    expected in time order, as a live log gives them; the state of a key is the time of its
+    last kept check. Equal times of a key are merged before they are shuffled.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = milliseconds(idle)
     names = dict(checks.dtypes)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop_duplicates()
+            yield batch.drop_duplicates([key, time])
 
     def advance(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -104,13 +112,15 @@ def throttle(checks: DataFrame, key: str, time: str, gap: float = 5, idle: str =
                 kept.append(t)
                 last = t
         state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({key: [keys[0]] * len(kept), time: kept})
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        if kept:
+            yield pd.DataFrame({key: [keys[0]] * len(kept), time: kept})
 
     schema = f"{key} {names[key]}, {time} {names[time]}"
     return (
-        checks.select(key, time)
-        .mapInPandas(distinct, schema)
+        checks.select(key, time, ts)
+        .mapInPandas(distinct, f"{schema}, {ts} timestamp")
+        .withWatermark(ts, delay)
         .groupBy(key)
-        .applyInPandasWithState(advance, schema, f"last {names[time]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(advance, schema, f"last {names[time]}", "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallywork.functions.answers import DEFAULT_ANSWER, answer_value, floor_mod
+from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod
 from tallywork.operators.votes import (
     ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_tick, poll_tick,
 )
+from tallywork.streaming.runs import milliseconds
 
 
 def poll_counts(answers: DataFrame, ts: str = "ts", poll: int = POLL_SECONDS, delay: str = "1 minute") -> DataFrame:
@@ -41,15 +42,20 @@ def _raised(top: list[tuple[int, int]], value: int, frequency: int) -> list[tupl
     return sorted([*others, (frequency, value)], reverse=True)[:3]
 
 
-def _running_counts(increments: DataFrame, more: str, idle_ms: int) -> DataFrame:
-    """Running count per question and value; a large question is spread over its values.
+# ---- Running counts per question and value -------------------------------------------
+#
+# A query may hold one stateful Python operator and no aggregation before it, so a flow is
+# two or three queries with tables between them: counts per (question, value), which spreads
+# a large question over its values, then a small state per question.
 
-    ``increments``: question_id, value, n, n_math, and perhaps tick. One row out per row of
-    increments (summed per tick), with the counts before and after.
-    """
-    tick = "tick" if more else None
-    columns = "question_id bigint, value bigint, n bigint, n_math bigint, all_now bigint, math_now bigint"
-    out = f"{columns}, tick bigint" if tick else columns
+_COUNTS = "question_id bigint, value bigint, tick bigint, n bigint, n_math bigint, all_now bigint, math_now bigint, ts timestamp"
+
+
+def _running(increments: DataFrame, idle: str) -> DataFrame:
+    """Counts before and after each increment: question_id, value, tick, n, n_math, ts."""
+    idle_ms = milliseconds(idle)
+
+    columns = ("tick", "n", "n_math", "ts")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -57,50 +63,46 @@ def _running_counts(increments: DataFrame, more: str, idle_ms: int) -> DataFrame
             return
         question, value = key
         seen, seen_math = state.get if state.exists else (0, 0)
-        rows = pd.concat([*batches])
-        sums = rows.groupby(tick, sort=True)[["n", "n_math"]].sum() if tick else rows[["n", "n_math"]].sum().to_frame().T
-        result = pd.DataFrame(
-            {
-                "question_id": question, "value": pd.array([value] * len(sums), dtype="Int64"),
-                "n": sums["n"].to_numpy(), "n_math": sums["n_math"].to_numpy(),
-                "all_now": seen + sums["n"].cumsum().to_numpy(), "math_now": seen_math + sums["n_math"].cumsum().to_numpy(),
-            }
-        )
-        if tick:
-            result[tick] = sums.index.to_numpy()
-        state.update((int(result["all_now"].iloc[-1]), int(result["math_now"].iloc[-1])))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield result
+        rows = []
+        for tick, n, n_math, ts in sorted(r for b in batches for r in zip(*[b[c].tolist() for c in columns])):
+            seen, seen_math = seen + n, seen_math + n_math
+            rows.append((question, value, tick, n, n_math, seen, seen_math, ts))
+        state.update((seen, seen_math))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        names = ["question_id", "value", *columns[:3], "all_now", "math_now", "ts"]
+        yield pd.DataFrame(rows, columns=names).astype({"value": "Int64"})
 
     return increments.groupBy("question_id", "value").applyInPandasWithState(
-        advance, out, "seen bigint, seen_math bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        advance, _COUNTS, "seen bigint, seen_math bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def _combined(answers: DataFrame) -> DataFrame:
-    """Answers as increments, summed per batch of rows before they are shuffled."""
+def running_votes(answers: DataFrame, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """First query of the live vote: running counts as answers come in.
+
+    Equal answers in one batch of rows are merged before they are shuffled.
+    """
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.groupby(["question_id", "value"], as_index=False).sum()
+            groups = batch.groupby(["question_id", "value"], as_index=False)
+            yield groups.agg({"tick": "max", "n": "sum", "n_math": "sum", "ts": "max"})
 
     valid = answers.select(
-        "question_id", answer_value("answer").alias("value"), F.lit(1).cast("bigint").alias("n"),
-        (F.col("method") == "math").cast("bigint").alias("n_math"),
+        "question_id", answer_value("answer").alias("value"), F.lit(0).cast("bigint").alias("tick"),
+        F.lit(1).cast("bigint").alias("n"), (F.col("method") == "math").cast("bigint").alias("n_math"), F.col(ts).alias("ts"),
     ).where("value IS NOT NULL")
-    return valid.mapInPandas(combine, "question_id bigint, value bigint, n bigint, n_math bigint")
+    merged = valid.mapInPandas(combine, "question_id bigint, value bigint, tick bigint, n bigint, n_math bigint, ts timestamp")
+    return _running(merged.withWatermark("ts", delay), idle)
 
 
-def live_votes(answers: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Running vote of each question, a row whenever it has changed.
+def live_votes(running: DataFrame, delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """Second query of the live vote: a row per question whenever its vote has changed.
 
     Rows carry the votes so far, the three highest frequencies, the stop flag and the
-    leading answer. Counts live per question and value; a question keeps three values.
+    leading answer.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    counts = _running_counts(_combined(answers), "", idle_ms)
-    state_type = "votes bigint, frequency array<bigint>, value array<bigint>, weight bigint, leader bigint"
+    idle_ms = milliseconds(idle)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -114,7 +116,7 @@ def live_votes(answers: DataFrame, idle: str = "1 hour") -> DataFrame:
                 top = _raised(top, value, _frequency(value, now))
                 best = max(best, (_weight(value, now), value))
         state.update((votes, [f for f, _ in top], [v for _, v in top], *best))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
         highest, second, third = ([f for f, _ in top] + [0, 0, 0])[:3]
         yield pd.DataFrame(
             {
@@ -123,10 +125,15 @@ def live_votes(answers: DataFrame, idle: str = "1 hour") -> DataFrame:
             }
         )
 
-    live = counts.groupBy("question_id").applyInPandasWithState(
-        advance,
-        "question_id bigint, votes bigint, highest bigint, second bigint, third bigint, leader bigint",
-        state_type, "append", GroupStateTimeout.ProcessingTimeTimeout,
+    live = (
+        running.withWatermark("ts", delay)
+        .groupBy("question_id")
+        .applyInPandasWithState(
+            advance,
+            "question_id bigint, votes bigint, highest bigint, second bigint, third bigint, leader bigint",
+            "votes bigint, frequency array<bigint>, value array<bigint>, weight bigint, leader bigint",
+            "append", GroupStateTimeout.EventTimeTimeout,
+        )
     )
     return live.select(
         "question_id", "votes", "highest", "second", "third",
@@ -141,114 +148,106 @@ def latest_votes(history: DataFrame) -> DataFrame:
     return history.groupBy("question_id").agg(F.max(F.struct(*others)).alias("row")).select("question_id", "row.*")
 
 
+# ---- Early stop ----------------------------------------------------------------------
+
+
+def closed_polls(answers: DataFrame, poll: int = POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """First query of the early stop: counts of each poll that is complete, by the watermark.
+
+    ``answers``: question_id, method, answer, arrival (seconds since the question started),
+    started (timestamp).
+    """
+    tick = poll_tick(F.col("arrival"), poll)
+    after = F.make_dt_interval(secs=(tick * poll).cast("decimal(18,6)"))
+    return (
+        answers.select(
+            "question_id", answer_value("answer").alias("value"), tick.alias("tick"),
+            (F.col("method") == "math").cast("bigint").alias("math"), (F.col("started") + after).alias("ts"),
+        )
+        .withWatermark("ts", delay)
+        .groupBy("question_id", "value", "tick", "ts")
+        .agg(F.count("*").alias("n"), F.sum("math").alias("n_math"))
+    )
+
+
+def running_polls(polls: DataFrame, delay: str = "0 seconds", idle: str = "1 day") -> DataFrame:
+    """Second query of the early stop: running counts over the complete polls."""
+    return _running(polls.withWatermark("ts", delay), idle)
+
+
 def early_stop(
-    answers: DataFrame,
+    running: DataFrame,
     deadline: float,
     poll: int = POLL_SECONDS,
     full_count: int = FULL_COUNT,
     enough_math: int = ENOUGH_MATH,
     delay: str = "0 seconds",
-    grace: str = "1 hour",
-    idle: str = "1 day",
+    grace: str = "1 day",
 ) -> DataFrame:
-    """A question's answer as soon as a poll satisfies a stop rule, or when its deadline passes.
+    """Third query of the early stop: a question's answer once a complete poll satisfies a
+    rule, or when its deadline passes.
 
-    ``answers``: question_id, method, answer, arrival (seconds since the question started),
-    started (timestamp). Answers are first counted per question, poll and value, and a poll
-    is passed on once the watermark says that it is complete. Running counts live per
-    question and value; a question keeps its three highest values, its totals and its leader.
+    A question keeps its three highest values, its totals and its leader; after the
+    decision a mark stays for the ``grace`` period, to ignore later polls.
     """
-    last = last_tick(deadline, poll)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    grace_ms = int(pd.Timedelta(grace).total_seconds() * 1000)
-    seconds = F.make_dt_interval(secs=(F.col("tick") * poll).cast("decimal(18,6)"))
-    polls = (
-        answers.withColumn("tick", poll_tick(F.col("arrival"), poll))
-        .withColumn("tick_time", F.col("started") + seconds)
-        .withWatermark("tick_time", delay)
-        .groupBy("question_id", "tick_time", "tick", answer_value("answer").alias("value"))
-        .agg(F.count("*").alias("n"), F.sum((F.col("method") == "math").cast("bigint")).alias("n_math"),
-             F.min("started").alias("started"))
-    )
-    # The poll's start of the question travels as milliseconds next to the counts.
-    marked = polls.select(
-        "question_id", "tick", "value", "n", "n_math", F.unix_millis("started").alias("started_ms")
-    )
-    state_type = (
-        "all_frequency array<bigint>, all_value array<bigint>, math_frequency array<bigint>, math_value array<bigint>, "
-        "votes bigint, math_votes bigint, weight bigint, leader bigint, decided boolean, deadline_ms bigint"
-    )
-    empty = ([], [], [], [], 0, 0, -1, 0, False, 0)
-
-    def running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, seen_math = state.get if state.exists else (0, 0)
-        rows = pd.concat([*batches]).sort_values("tick")
-        rows = rows.assign(all_now=seen + rows["n"].cumsum(), math_now=seen_math + rows["n_math"].cumsum())
-        state.update((int(rows["all_now"].iloc[-1]), int(rows["math_now"].iloc[-1])))
-        state.setTimeoutDuration(idle_ms)
-        yield rows.assign(value=rows["value"].astype("Int64"))
-
-    counted = marked.groupBy("question_id", "value").applyInPandasWithState(
-        running,
-        "question_id bigint, tick bigint, value bigint, n bigint, n_math bigint, started_ms bigint, all_now bigint, math_now bigint",
-        "seen bigint, seen_math bigint", "append", GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    last, grace_ms = last_tick(deadline, poll), milliseconds(grace)
 
     def agree(top: list[tuple[int, int]]) -> bool:
         h, s, t = ([f for f, _ in top] + [0, 0, 0])[:3]
         return (h >= 2 and s <= 0 and t <= 0) or (h >= 3 and s <= 1) or (h >= 4 and s <= 3) or h >= 5
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        empty = ([], [], [], [], 0, 0, -1, 0, False, 0)
         af, av, mf, mv, votes, math_votes, weight, leader, decided, deadline_ms = state.get if state.exists else empty
-        top, top_math, best = list(zip(af, av)), list(zip(mf, mv)), (weight, leader)
-        found = None
-        if not state.hasTimedOut:
-            rows = pd.concat([*batches]).sort_values("tick")
-            deadline_ms = int(rows["started_ms"].min()) + last * poll * 1000
-            for tick, group in rows.groupby("tick", sort=True):
-                if decided or found or tick > last:
-                    break
-                votes += int(group["n"].sum())
-                math_votes += int(group["n_math"].sum())
-                valid = group[group["value"].notna()]
-                for value, all_now, math_now in zip(
-                    valid["value"].astype("int64").tolist(), valid["all_now"].tolist(), valid["math_now"].tolist()
-                ):
-                    top = _raised(top, value, _frequency(value, all_now))
-                    if math_now:
-                        top_math = _raised(top_math, value, _frequency(value, math_now))
-                    best = max(best, (_weight(value, all_now), value))
-                reason = (
-                    "math_agrees" if agree(top_math) else "all_agree" if agree(top)
-                    else "all_in" if votes == full_count else "enough_math" if math_votes >= enough_math else None
-                )
-                if reason:
-                    found = (int(tick), reason)
+        if state.hasTimedOut and decided:
+            state.remove()
+            return
+        top, top_math, best, found = list(zip(af, av)), list(zip(mf, mv)), (weight, leader), None
+        latest = 0
+        for tick, rows in [] if state.hasTimedOut else pd.concat([*batches]).groupby("tick", sort=True):
+            latest = int(tick)
+            deadline_ms = int(rows["ts"].iloc[0].value // 1_000_000) + (last - latest) * poll * 1000
+            if decided or found or tick > last:
+                break
+            votes, math_votes = votes + int(rows["n"].sum()), math_votes + int(rows["n_math"].sum())
+            valid = rows[rows["value"].notna()]
+            counts = (valid[c].astype("int64").tolist() for c in ("value", "all_now", "math_now"))
+            for value, all_now, math_now in zip(*counts):
+                top = _raised(top, value, _frequency(value, all_now))
+                top_math = _raised(top_math, value, _frequency(value, math_now)) if math_now else top_math
+                best = max(best, (_weight(value, all_now), value))
+            if agree(top_math):
+                found = (latest, "math_agrees")
+            elif agree(top):
+                found = (latest, "all_agree")
+            elif votes == full_count:
+                found = (latest, "all_in")
+            elif math_votes >= enough_math:
+                found = (latest, "enough_math")
         now = state.getCurrentWatermarkMs()
-        if not decided and not found and now >= deadline_ms:
+        if not decided and not found and (latest >= last or now >= deadline_ms):
             found = (last, "deadline")
         if found:
             decided = True
             yield pd.DataFrame(
                 {
                     "question_id": [key[0]], "tick": [found[0]], "reason": [found[1]],
-                    "answer": [best[1] % 1000 if best[0] >= 0 else DEFAULT_ANSWER],
+                    "answer": [best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER],
                 }
             )
-        if state.hasTimedOut and decided and not found:
-            state.remove()
-            return
         state.update(
             ([f for f, _ in top], [v for _, v in top], [f for f, _ in top_math], [v for _, v in top_math],
              votes, math_votes, *best, decided, deadline_ms)
         )
-        # Undecided: wake at the deadline. Decided: forget after the grace period.
-        state.setTimeoutTimestamp(max(deadline_ms, now + 1) if not decided else max(deadline_ms, now) + grace_ms)
+        state.setTimeoutTimestamp(max(deadline_ms, now) + (grace_ms if decided else 1))
 
-    return counted.groupBy("question_id").applyInPandasWithState(
-        decide, "question_id bigint, tick bigint, reason string, answer bigint", state_type, "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return (
+        running.withWatermark("ts", delay)
+        .groupBy("question_id")
+        .applyInPandasWithState(
+            decide, "question_id bigint, tick bigint, reason string, answer bigint",
+            "all_frequency array<bigint>, all_value array<bigint>, math_frequency array<bigint>, math_value array<bigint>, "
+            "votes bigint, math_votes bigint, weight bigint, leader bigint, decided boolean, deadline_ms bigint",
+            "append", GroupStateTimeout.EventTimeTimeout,
+        )
     )

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tallywork.session import run_folder
 
 
+def milliseconds(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
+
+
 def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream, with the schema they have."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -17,21 +23,26 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(pattern)
 
 
+def stream_written(rows: DataFrame) -> DataFrame:
+    """The table another stream has written, as a stream."""
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` until its input is used up and return what it wrote.
 
     Appended rows go to a file sink. Updated rows are kept per micro-batch, which a repeated
     batch overwrites; the result then has the number of the ``batch``.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
     folder = run_folder(spark, label)
     out, progress = f"{folder}/rows", f"{folder}/progress"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
-    schema = stream.schema
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(schema).parquet(out)
     writer.foreachBatch(
         lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
     ).start().awaitTermination()
-    return spark.read.option("basePath", out).schema(schema.add("batch", "bigint")).parquet(out)
+    return spark.read.option("basePath", out).schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
