@@ -23,11 +23,16 @@ def align_completions(completions: DataFrame, answers: DataFrame) -> DataFrame:
 
 def weight_schedule(calls: DataFrame, total_calls: Column | int) -> DataFrame:
     """Weights that call k uses: style is scored before correctness raises the counter."""
-    k = F.col("call_idx")
-    return calls.select(
-        "call_idx",
-        rw.correctness_weight(k, total_calls).alias("correctness_weight"),
-        rw.style_weight(k - 1, total_calls).alias("style_weight"),
+    return _with_weights(calls, total_calls).select("call_idx", "correctness_weight", "style_weight")
+
+
+def _with_weights(rows: DataFrame, total_calls: Column | int) -> DataFrame:
+    k, total = F.col("call_idx"), F.col("__total_calls")
+    counted = rows.withColumn("__total_calls", F.lit(total_calls) if isinstance(total_calls, int) else total_calls)
+    return counted.select(
+        *rows.columns,
+        rw.correctness_weight(k, total).alias("correctness_weight"),
+        rw.style_weight(k - 1, total).alias("style_weight"),
     )
 
 
@@ -39,12 +44,11 @@ def score(completions: DataFrame, total_calls: Column | int) -> DataFrame:
         rw.length_reward("completion").alias("length_reward"),
         rw.correctness_reward("completion", "correct_answer").alias("correctness_reward"),
     )
-    k = F.col("call_idx")
-    style = rw.style_weight(k - 1, total_calls) * (F.col("format_reward") + F.col("length_reward"))
-    terms = base.select(
+    style = F.col("style_weight") * (F.col("format_reward") + F.col("length_reward"))
+    terms = _with_weights(base, total_calls).select(
         "question_id", "generation_id", "call_idx",
         style.alias("style"),
-        (rw.correctness_weight(k, total_calls) * F.col("correctness_reward")).alias("correctness"),
+        (F.col("correctness_weight") * F.col("correctness_reward")).alias("correctness"),
         (rw.LOGGING_WEIGHT * F.col("format_reward")).alias("format_logged"),
         (rw.LOGGING_WEIGHT * F.col("length_reward")).alias("length_logged"),
         (rw.LOGGING_WEIGHT * F.col("correctness_reward")).alias("correctness_logged"),

@@ -13,7 +13,7 @@ from tallywork.plans.inputs import read_input, with_inputs
 from tallywork.plans.registry import query
 from tallywork.plans.text_queries import STRIP, TOKENS
 
-PER_CALL = 4
+PER_CALL = 16
 
 
 def _preference(length: str, preferred: float, scaling: float) -> str:
@@ -42,7 +42,7 @@ rewards AS (
          CASE WHEN boxed = '' AND NOT contains(completion, '```python') THEN -0.5 WHEN boxed = '' THEN 0
               WHEN boxed <> CAST(correct_answer AS VARCHAR) THEN -1 ELSE 1 END + penalty AS correctness_reward
   FROM measured),
-calls AS (SELECT count(*) // {PER_CALL} AS total FROM (SELECT DISTINCT question_id FROM fx_completions)),
+calls AS (SELECT count(*) // {PER_CALL} AS total FROM fx_completions),
 weights AS (
   SELECT call_idx, 0.75e0 * greatest(0, least(1, (call_idx - total // 4) / (total - total // 4))) AS correctness_weight,
          (1 - 0.75e0 * greatest(0, least(1, (call_idx - 1 - total // 4) / (total - total // 4)))) / 2 AS style_weight
@@ -70,8 +70,8 @@ def _completions(spark, folder):
 
 
 def _total_calls(completions):
-    """Calls of one pass over the prompts."""
-    return completions.agg(F.floor(F.countDistinct("question_id") / PER_CALL)).scalar()
+    """Calls of one pass over the completions."""
+    return completions.agg(F.floor(F.count("*") / PER_CALL)).scalar()
 
 
 def _scored(spark, folder):

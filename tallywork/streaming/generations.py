@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywork.functions.text import answer_outside_sections, last_boxed
-from tallywork.streaming.runs import milliseconds
+from tallywork.streaming.runs import expire_after, milliseconds
 
 REQUEST = ["generation_id", "request_counter", "method"]
 _STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean"
@@ -58,8 +58,9 @@ def assemble_generations(
             if not done:
                 yield row(buffer, following, "expired")
             return
-        waiting = dict(zip(idx, zip(chunk, last)))
+        waiting, latest = dict(zip(idx, zip(chunk, last))), None
         for batch in batches:
+            latest = max(batch[ts].max(), latest or batch[ts].max())
             if not done:
                 waiting.update(zip(batch["chunk_idx"].tolist(), zip(batch["chunk"], batch["is_last"].tolist())))
         while not done and following in waiting:
@@ -74,7 +75,7 @@ def assemble_generations(
                 buffer, following, list(waiting), [c for c, _ in waiting.values()], [bool(e) for _, e in waiting.values()], done
             )
         )
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        expire_after(state, latest, idle_ms)
 
     finished = (
         chunks.withWatermark(ts, delay)
@@ -106,13 +107,13 @@ def throttle(
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        kept = []
-        for t in sorted({t for batch in batches for t in batch[time].tolist()}):
+        kept, rows = [], pd.concat([*batches])
+        for t in sorted(set(rows[time].tolist())):
             if last is None or t >= last + gap:
                 kept.append(t)
                 last = t
         state.update((last,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        expire_after(state, rows[ts].max(), idle_ms)
         if kept:
             yield pd.DataFrame({key: [keys[0]] * len(kept), time: kept})
 

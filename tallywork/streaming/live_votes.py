@@ -13,7 +13,7 @@ from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, f
 from tallywork.operators.votes import (
     ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_tick, poll_tick,
 )
-from tallywork.streaming.runs import milliseconds
+from tallywork.streaming.runs import expire_after, milliseconds
 
 
 def poll_counts(answers: DataFrame, ts: str = "ts", poll: int = POLL_SECONDS, delay: str = "1 minute") -> DataFrame:
@@ -68,7 +68,7 @@ def _running(increments: DataFrame, idle: str) -> DataFrame:
             seen, seen_math = seen + n, seen_math + n_math
             rows.append((question, value, tick, n, n_math, seen, seen_math, ts))
         state.update((seen, seen_math))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        expire_after(state, max(r[-1] for r in rows), idle_ms)
         names = ["question_id", "value", *columns[:3], "all_now", "math_now", "ts"]
         yield pd.DataFrame(rows, columns=names).astype({"value": "Int64"})
 
@@ -110,13 +110,15 @@ def live_votes(running: DataFrame, delay: str = "10 minutes", idle: str = "1 day
             return
         votes, frequencies, values, weight, leader = state.get if state.exists else (0, [], [], -1, 0)
         top, best = list(zip(frequencies, values)), (weight, leader)
+        latest = None
         for batch in batches:
+            latest = max(batch["ts"].max(), latest or batch["ts"].max())
             for value, added, now in zip(batch["value"].tolist(), batch["n"].tolist(), batch["all_now"].tolist()):
                 votes += added
                 top = _raised(top, value, _frequency(value, now))
                 best = max(best, (_weight(value, now), value))
         state.update((votes, [f for f, _ in top], [v for _, v in top], *best))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        expire_after(state, latest, idle_ms)
         highest, second, third = ([f for f, _ in top] + [0, 0, 0])[:3]
         yield pd.DataFrame(
             {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from tallywork.session import run_folder
 
@@ -13,6 +14,12 @@ def milliseconds(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
+def expire_after(state: GroupState, latest: pd.Timestamp | None, idle_ms: int) -> None:
+    """Let a state time out ``idle_ms`` after its latest event or the watermark, the later one."""
+    event_ms = latest.value // 1_000_000 if latest is not None else 0
+    state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs()) + idle_ms)
+
+
 def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream, with the schema they have."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
