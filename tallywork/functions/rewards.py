@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallywork.functions.text import (
-    END_OF_THOUGHT, PYTHON_FENCE, first_boxed, strip, thinking_token_count, token_count,
+    END_OF_THOUGHT, PYTHON_FENCE, first_boxed, strip, thought_and_rest, token_count,
 )
 
 # --- Fixed values of the scoring rules ----------------------------------------------
@@ -45,10 +45,18 @@ def _penalty(completion: Column | str) -> Column:
     return F.when(format_valid(completion), 0.0).otherwise(-1.0)
 
 
-def length_reward(completion: Column | str, tokens: Column | None = None, thinking: Column | None = None) -> Column:
+def token_lengths(completion: Column | str) -> tuple[Column, Column]:
+    """Tokens of the thinking part (0 without its end marker) and of the whole completion."""
+    head, rest = thought_and_rest(completion)
+    tokens = token_count(head)
+    thinking = F.when(F.contains(_col(completion), F.lit(END_OF_THOUGHT)), tokens).otherwise(F.lit(0).cast("bigint"))
+    return thinking, tokens + token_count(rest)
+
+
+def length_reward(completion: Column | str, thinking: Column | None = None, tokens: Column | None = None) -> Column:
     """Half thinking length, half full length; token columns may be supplied."""
-    tokens = token_count(completion) if tokens is None else tokens
-    thinking = thinking_token_count(completion) if thinking is None else thinking
+    if thinking is None or tokens is None:
+        thinking, tokens = token_lengths(completion)
     return (
         0.5 * length_preference(thinking, PREFERRED_THINKING_TOKENS, scaling=LENGTH_SCALING)
         + 0.5 * length_preference(tokens, PREFERRED_TOKENS, scaling=LENGTH_SCALING)

@@ -34,7 +34,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # Stand-in token: a run of ASCII word characters, or one other character that is not a space.
-TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\x0B]"
+WORD = "[A-Za-z0-9_]++"
+TOKEN_SPACE = " \t\n\r\f\x0b"
 
 
 def _col(c: Column | str) -> Column:
@@ -133,15 +134,22 @@ def truncate_output(c: Column | str) -> Column:
 
 
 def token_count(c: Column | str) -> Column:
-    """Stand-in token count; a table that brings its own count should use that column."""
-    return F.regexp_count(_col(c), F.lit(TOKEN)).cast("bigint")
+    """Stand-in token count; a table that brings its own count should use that column.
 
+    Runs become one character and spaces none, so the length that is left is the count.
+    """
+    runs = F.regexp_replace(_col(c), WORD, "w")
+    return F.length(F.translate(runs, TOKEN_SPACE, "")).cast("bigint")
 
-def thinking_token_count(c: Column | str) -> Column:
-    """Tokens before the first end-of-thought marker, 0 if it is absent."""
+
+def thought_and_rest(c: Column | str) -> tuple[Column, Column]:
+    """The text before the first end-of-thought marker, and the text from the marker on.
+
+    No token crosses the border, so counts of the two parts add up.
+    """
     c = _col(c)
     head = F.substring_index(c, END_OF_THOUGHT, 1)
-    return F.when(F.contains(c, F.lit(END_OF_THOUGHT)), token_count(head)).otherwise(F.lit(0).cast("bigint"))
+    return head, F.substr(c, F.length(head) + 1)
 
 
 def training_span(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions.text import token_count, training_span
 from tallywork.operators.ranking import grouped_positions
+from tallywork.operators.stages import written
 
 # Fixed values, in tokens.
 CONTEXT_LIMIT = 16384
@@ -40,7 +41,8 @@ def pair_right_wrong(labelled: DataFrame, all_pairs: bool = False) -> DataFrame:
     """
     rows = labelled.where("label IS NOT NULL").select("question_id", "position", "label")
     if all_pairs:
-        rows = grouped_positions(rows, ["question_id", "label"], [], "position", name="pair")
+        # Numbering reads its input twice; what is above it may have read texts.
+        rows = grouped_positions(written(rows, "labelled"), ["question_id", "label"], [], "position", name="pair")
     else:
         rows = rows.withColumn("pair", F.lit(1).cast("bigint"))
     return (

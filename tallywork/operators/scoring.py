@@ -38,10 +38,13 @@ def _with_weights(rows: DataFrame, total_calls: Column | int) -> DataFrame:
 
 def score(completions: DataFrame, total_calls: Column | int) -> DataFrame:
     """The five reward terms of each completion and their sum; the text is left behind."""
-    base = completions.select(
+    thinking, tokens = rw.token_lengths("completion")
+    # Lengths are columns of their own, so that each text is measured once.
+    measured = completions.select("*", thinking.alias("__thinking"), tokens.alias("__tokens"))
+    base = measured.select(
         "question_id", "generation_id", "call_idx",
         rw.format_reward("completion").alias("format_reward"),
-        rw.length_reward("completion").alias("length_reward"),
+        rw.length_reward("completion", F.col("__thinking"), F.col("__tokens")).alias("length_reward"),
         rw.correctness_reward("completion", "correct_answer").alias("correctness_reward"),
     )
     style = F.col("style_weight") * (F.col("format_reward") + F.col("length_reward"))

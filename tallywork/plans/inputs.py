@@ -206,8 +206,20 @@ INPUTS = {
 PIECE = 16
 
 
+# Tables of long texts, and the key that spreads their rows.
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. One of texts with fewer splits than cores is spread over the cores.
+
+    A large table has far more splits than cores and is read as it lies.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, *TEXT_KEYS[name])
+    return rows
 
 
 def derive(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
