@@ -34,12 +34,13 @@ def _weight(value: int, count: int) -> int:
 
 
 def _raised(top: list[tuple[int, int]], value: int, frequency: int) -> list[tuple[int, int]]:
-    """The three highest (frequency, value) after ``value`` has risen to ``frequency``.
+    """The three highest (frequency, value) after ``value`` has reached ``frequency``.
 
-    Frequencies only rise and every rise is reported, so three entries are enough.
+    Frequencies only rise and every rise is reported, so three entries are enough. Reports
+    may come out of order; an older one changes nothing.
     """
-    others = [(f, v) for f, v in top if v != value]
-    return sorted([*others, (frequency, value)], reverse=True)[:3]
+    reached = max([frequency, *[f for f, v in top if v == value]])
+    return sorted([(reached, value), *[(f, v) for f, v in top if v != value]], reverse=True)[:3]
 
 
 # ---- Running counts per question and value -------------------------------------------
