@@ -98,7 +98,7 @@ def correctness_reward(completion: Column | str, correct_answer: Column | str) -
 
 def char_length_reward(completion: Column | str) -> Column:
     """Minus the distance of the character count from 100."""
-    return -F.abs(F.lit(PREFERRED_CHARACTERS) - F.length(_col(completion))).cast("double")
+    return (-F.abs(F.lit(PREFERRED_CHARACTERS) - F.length(_col(completion)))).cast("double")
 
 
 def correctness_weight(counter: Column, total_calls: Column | int) -> Column:

@@ -220,7 +220,7 @@ def sample_problems(spark, folder):
 
 
 @query("select_questions", with_inputs("""
-SELECT id, CASE WHEN NOT (contains(problem, 'the') OR contains(problem, 'der')) THEN 210 END AS preset_answer
+SELECT id, CASE WHEN NOT (contains(problem, 'the') OR contains(problem, 'der')) THEN CAST(210 AS BIGINT) END AS preset_answer
 FROM fx_problems""", "problems"))
 def select_questions(spark, folder):
     rows = logs.select_questions(read_input(spark, folder, "problems"), ["the", "der"])
@@ -301,7 +301,7 @@ def budget_schedule(spark, folder):
 
 
 @query("deadline_default", with_inputs(f"""
-SELECT id, idx * 20 + {START} AS started, CASE WHEN idx * 20 > 17100 THEN 210 END AS answer
+SELECT id, idx * 20 + {START} AS started, CASE WHEN idx * 20 > 17100 THEN CAST(210 AS BIGINT) END AS answer
 FROM (SELECT id, position + 1 AS idx FROM fx_problems)""", "problems"))
 def deadline_default(spark, folder):
     rows = _numbered(spark, folder).select("id", (F.col("idx") * 20 + START).alias("started"))

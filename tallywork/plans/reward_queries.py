@@ -80,8 +80,8 @@ def _scored(spark, folder):
 
 
 @query("length_preference", with_inputs(f"""
-SELECT generation_id, round({_preference('length(completion)', 256, 1)}, 6) AS score,
-       round(least({_preference('length(completion)', 4000, 1)}, 0.8) * 1.25, 6) AS capped FROM fx_completions""", "completions"))
+SELECT generation_id, round({_preference('length(completion)', 256, 1)}, 6) + 0e0 AS score,
+       round(least({_preference('length(completion)', 4000, 1)}, 0.8) * 1.25, 6) + 0e0 AS capped FROM fx_completions""", "completions"))
 def length_preference(spark, folder):
     length = F.length("completion")
     return _completions(spark, folder).select(
@@ -95,12 +95,12 @@ def format_valid(spark, folder):
     return _completions(spark, folder).select("generation_id", rw.format_valid("completion").alias("valid"))
 
 
-@query("length_reward", _sql("SELECT generation_id, round(length_reward, 6) AS reward FROM rewards"))
+@query("length_reward", _sql("SELECT generation_id, round(length_reward, 6) + 0e0 AS reward FROM rewards"))
 def length_reward(spark, folder):
     return _completions(spark, folder).select("generation_id", F.round(rw.length_reward("completion"), 6).alias("reward"))
 
 
-@query("format_reward", _sql("SELECT generation_id, round(format_reward, 6) AS reward FROM rewards"))
+@query("format_reward", _sql("SELECT generation_id, round(format_reward, 6) + 0e0 AS reward FROM rewards"))
 def format_reward(spark, folder):
     return _completions(spark, folder).select("generation_id", F.round(rw.format_reward("completion"), 6).alias("reward"))
 
@@ -112,12 +112,12 @@ def correctness_reward(spark, folder):
     )
 
 
-@query("style_reward", _sql("SELECT generation_id, round(style, 6) AS style FROM totals"))
+@query("style_reward", _sql("SELECT generation_id, round(style, 6) + 0e0 AS style FROM totals"))
 def style_reward(spark, folder):
     return _round(_scored(spark, folder).select("generation_id", "style"), "style")
 
 
-@query("weighted_correctness", _sql("SELECT generation_id, round(correctness, 6) AS correctness FROM totals"))
+@query("weighted_correctness", _sql("SELECT generation_id, round(correctness, 6) + 0e0 AS correctness FROM totals"))
 def weighted_correctness(spark, folder):
     return _round(_scored(spark, folder).select("generation_id", "correctness"), "correctness")
 
@@ -126,12 +126,12 @@ LOGGED = ("format_logged", "length_logged", "correctness_logged")
 
 
 @query("reference_rewards", _sql(
-    "SELECT generation_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in LOGGED) + " FROM totals"))
+    "SELECT generation_id, " + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in LOGGED) + " FROM totals"))
 def reference_rewards(spark, folder):
     return _round(_scored(spark, folder).select("generation_id", *LOGGED), *LOGGED)
 
 
-@query("total_reward", _sql("SELECT generation_id, round(total_reward, 6) AS total_reward FROM totals"))
+@query("total_reward", _sql("SELECT generation_id, round(total_reward, 6) + 0e0 AS total_reward FROM totals"))
 def total_reward(spark, folder):
     return _round(_scored(spark, folder).select("generation_id", "total_reward"), "total_reward")
 
@@ -143,7 +143,7 @@ def reward_len(spark, folder):
 
 
 @query("reward_weight_schedule", _sql("""
-SELECT call_idx, round(correctness_weight, 6) AS correctness_weight, round(style_weight, 6) AS style_weight FROM weights"""))
+SELECT call_idx, round(correctness_weight, 6) + 0e0 AS correctness_weight, round(style_weight, 6) + 0e0 AS style_weight FROM weights"""))
 def reward_weight_schedule(spark, folder):
     completions = _completions(spark, folder)
     calls = completions.select("call_idx").distinct()
@@ -153,7 +153,7 @@ def reward_weight_schedule(spark, folder):
 
 @query("group_advantage", with_inputs("""
 WITH r AS (SELECT question_id, generation_id, CAST(-abs(100 - length(completion)) AS DOUBLE) AS reward FROM fx_completions)
-SELECT *, round(reward - avg(reward) OVER (PARTITION BY question_id), 6) AS advantage FROM r""", "completions"))
+SELECT *, round(reward - avg(reward) OVER (PARTITION BY question_id), 6) + 0e0 AS advantage FROM r""", "completions"))
 def group_advantage(spark, folder):
     rewards = _completions(spark, folder).select(
         "question_id", "generation_id", rw.char_length_reward("completion").alias("reward")
@@ -166,14 +166,14 @@ MEANS = (*scoring.REWARDS, "total_reward")
 
 @query("reward_step_metrics", _sql(
     "SELECT call_idx, count(*) AS completions, call_idx % 16 = 0 AS evaluated, "
-    + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in MEANS) + " FROM totals GROUP BY call_idx"))
+    + ", ".join(f"round(avg({c}), 6) + 0e0 AS mean_{c}" for c in MEANS) + " FROM totals GROUP BY call_idx"))
 def reward_step_metrics(spark, folder):
     return _round(scoring.reward_step_metrics(_scored(spark, folder)), *[f"mean_{c}" for c in MEANS])
 
 
 @query("scored_groups", _sql("""
-SELECT call_idx, question_id, generation_id, round(total_reward, 6) AS total_reward,
-       round(total_reward - avg(total_reward) OVER (PARTITION BY question_id), 6) AS advantage FROM totals"""))
+SELECT call_idx, question_id, generation_id, round(total_reward, 6) + 0e0 AS total_reward,
+       round(total_reward - avg(total_reward) OVER (PARTITION BY question_id), 6) + 0e0 AS advantage FROM totals"""))
 def scored_groups(spark, folder):
     # Scoring reads the texts; its narrow result feeds both the mean and the difference.
     scored = written(_scored(spark, folder), "scored")
@@ -203,7 +203,7 @@ def _exclamations(completion: pd.Series) -> pd.Series:
 SELECT r.generation_id, CAST(-abs(100 - length(completion)) AS DOUBLE) AS length_distance,
        CAST(correctness_reward AS DOUBLE) AS correct,
        0.1e0 * len(regexp_extract_all(completion, '!')) AS exclamations,
-       round(-abs(100 - length(completion)) + correctness_reward + 0.1e0 * len(regexp_extract_all(completion, '!')), 6) AS total_reward
+       round(-abs(100 - length(completion)) + correctness_reward + 0.1e0 * len(regexp_extract_all(completion, '!')), 6) + 0e0 AS total_reward
 FROM rewards r JOIN fx_completions c ON c.generation_id = r.generation_id"""))
 def custom_rewards(spark, folder):
     rewards = (
