@@ -53,19 +53,24 @@ def check(code: str, allowed: Collection[str] = ()) -> tuple[bool, list[str]]:
     return True, list(undefined_uses(tree, allowed))
 
 
+# Errors raised where the text is cut into tokens or blocks, as the parser words them.
+AT_ONCE = (
+    "unterminated", "unindent does not match", "unexpected indent", "unexpected character after line continuation",
+    "invalid decimal literal", "invalid character", "invalid non-printable character", "unmatched ",
+    "closing parenthesis", "leading zeros", "inconsistent use of tabs",
+)
+
+
 def _still_fails_from(error: SyntaxError, default: int) -> int:
     """First line from which every cut of the code fails in the same way.
 
     The parser reports a generic error at the last token it has read, so all cuts behind
-    that line fail alike; an unclosed bracket or string stays unclosed in shorter cuts.
-    Other messages may point before what caused them and promise nothing.
+    that line fail alike. So do cuts behind a line that has no valid tokens, and an unclosed
+    bracket or string stays unclosed in shorter cuts. Other messages may point before what
+    caused them and promise nothing.
     """
     message = error.msg or ""
-    sure = (
-        message == "invalid syntax"
-        or message.startswith(("unterminated", "unindent does not match"))
-        or message.endswith("was never closed")
-    )
+    sure = message == "invalid syntax" or message.startswith(AT_ONCE) or message.endswith("was never closed")
     return min(error.lineno, default) if sure and error.lineno else default
 
 

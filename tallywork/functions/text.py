@@ -142,6 +142,11 @@ def token_count(c: Column | str) -> Column:
     return F.length(F.translate(runs, TOKEN_SPACE, "")).cast("bigint")
 
 
+def tokens_below(c: Column | str, limit: int) -> Column:
+    """``token_count(c) < limit``; a text of fewer characters needs no count."""
+    return (F.length(_col(c)) < limit) | (token_count(c) < limit)
+
+
 def thought_and_rest(c: Column | str) -> tuple[Column, Column]:
     """The text before the first end-of-thought marker, and the text from the marker on.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.text import token_count, training_span
+from tallywork.functions.text import tokens_below, training_span
 from tallywork.operators.ranking import grouped_positions
 from tallywork.operators.stages import written
 
@@ -18,14 +18,19 @@ MAX_OUTPUT = 1000
 
 def context_limit_filter(prompts: DataFrame, tokens: Column | None = None, limit: int = CONTEXT_LIMIT) -> DataFrame:
     """Prompts that leave room to generate; pass a token column if the table has one."""
-    tokens = token_count("prompt") if tokens is None else tokens
-    return prompts.where(tokens <= limit - CONTEXT_MARGIN)
+    room = limit - CONTEXT_MARGIN
+    return prompts.where(tokens_below("prompt", room + 1) if tokens is None else tokens <= room)
 
 
 def length_filter(
-    rows: DataFrame, input_tokens: Column, output_tokens: Column, max_input: int = MAX_INPUT, max_output: int = MAX_OUTPUT
+    rows: DataFrame, prompt: Column | str = "prompt", completion: Column | str = "completion",
+    input_tokens: Column | None = None, output_tokens: Column | None = None,
+    max_input: int = MAX_INPUT, max_output: int = MAX_OUTPUT,
 ) -> DataFrame:
-    return rows.where((input_tokens < max_input) & (output_tokens < max_output))
+    """Training rows of fewer tokens than the limits; pass token columns if the table has them."""
+    short_input = tokens_below(prompt, max_input) if input_tokens is None else input_tokens < max_input
+    short_output = tokens_below(completion, max_output) if output_tokens is None else output_tokens < max_output
+    return rows.where(short_output & short_input)
 
 
 def right_or_wrong(eventual: Column, correct: Column) -> Column:
@@ -62,9 +67,7 @@ def sequential_order(rows: DataFrame, ordinal: str = "position") -> DataFrame:
 
 def eligible_rows(logs: DataFrame) -> DataFrame:
     """Flagged records within the token limits, with their label and without their texts."""
-    span = training_span("buffer")
-    flagged = logs.where("flag_for_training")
-    kept = length_filter(flagged, token_count("prompt"), token_count(span))
+    kept = length_filter(logs.where("flag_for_training"), "prompt", training_span("buffer"))
     label = right_or_wrong(F.col("eventual_answer"), F.col("correct_answer"))
     return kept.select("question_id", "position", label.alias("label"))
 

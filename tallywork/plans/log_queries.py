@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywork.functions.text import token_count
 from tallywork.operators import budget, curate, logs, prompts
 from tallywork.plans.inputs import PIECE, read_input, with_inputs
 from tallywork.plans.registry import query
@@ -242,7 +241,7 @@ def context_limit_filter(spark, folder):
     "training_logs"))
 def length_filter(spark, folder):
     rows = read_input(spark, folder, "training_logs")
-    return curate.length_filter(rows, token_count("prompt"), token_count("buffer")).select("position")
+    return curate.length_filter(rows, "prompt", "buffer").select("position")
 
 
 def _literal(template: str, **values: str) -> str:

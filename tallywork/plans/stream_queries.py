@@ -12,7 +12,7 @@ from tallywork.plans.registry import query
 from tallywork.plans.text_queries import BOX_LAST, REDACTED
 from tallywork.plans.vote_queries import DEADLINE, STOPS, TOP3, VALUED
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_available, stream_files, stream_written
+from tallywork.streaming.runs import run_and_stream, run_available, stream_files
 
 EPOCH = 1_700_000_000
 
@@ -48,17 +48,17 @@ SELECT question_id, votes, highest, second, third,
         OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, ((v % 1000) + 1000) % 1000 AS answer
 FROM cast_votes JOIN top3 USING (question_id) JOIN ranked USING (question_id) WHERE rn = 1""", "answers"))
 def live_votes_stream(spark, folder):
-    counts = run_available(live_votes.running_votes(_timed_answers(spark, folder)), "running_votes")
-    history = run_available(live_votes.live_votes(stream_written(counts)), "live_votes")
+    counts = run_and_stream(live_votes.running_votes(_timed_answers(spark, folder)), "running_votes")
+    history = run_available(live_votes.live_votes(counts), "live_votes")
     return live_votes.latest_votes(history)
 
 
 @query("early_stop_stream", with_inputs(f"WITH {VALUED}, {STOPS} SELECT * FROM stops", "answers"))
 def early_stop_stream(spark, folder):
     answers = stream_input(spark, folder, "answers").withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
-    polls = run_available(live_votes.closed_polls(answers), "closed_polls")
-    counts = run_available(live_votes.running_polls(stream_written(polls)), "running_polls")
-    return run_available(live_votes.early_stop(stream_written(counts), DEADLINE), "early_stop")
+    polls = run_and_stream(live_votes.closed_polls(answers), "closed_polls")
+    counts = run_and_stream(live_votes.running_polls(polls), "running_polls")
+    return run_available(live_votes.early_stop(counts, DEADLINE), "early_stop")
 
 
 @query("assemble_generations_stream", with_inputs(f"""

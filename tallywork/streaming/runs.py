@@ -30,26 +30,35 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(pattern)
 
 
-def stream_written(rows: DataFrame) -> DataFrame:
-    """The table another stream has written, as a stream."""
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+def write_available(stream: DataFrame, label: str, mode: str = "append") -> str:
+    """Run ``stream`` until its input is used up and return the folder of what it wrote.
 
-
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run ``stream`` until its input is used up and return what it wrote.
-
-    Appended rows go to a file sink. Updated rows are kept per micro-batch, which a repeated
-    batch overwrites; the result then has the number of the ``batch``.
+    Appended rows go to a file sink. Updated rows are kept per micro-batch in batch=N, which
+    a repeated batch overwrites.
     """
-    spark, schema = stream.sparkSession, stream.schema
-    folder = run_folder(spark, label)
+    folder = run_folder(stream.sparkSession, label)
     out, progress = f"{folder}/rows", f"{folder}/progress"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", out).start().awaitTermination()
-        return spark.read.schema(schema).parquet(out)
-    writer.foreachBatch(
-        lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    ).start().awaitTermination()
-    return spark.read.option("basePath", out).schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(
+            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        ).start()
+    query.awaitTermination()
+    return out
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """What ``write_available`` wrote; updated rows come with the number of their ``batch``."""
+    schema = stream.schema
+    if mode != "append":
+        schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    out = write_available(stream, label, mode)
+    return stream.sparkSession.read.option("basePath", out).schema(schema).parquet(out)
+
+
+def run_and_stream(stream: DataFrame, label: str) -> DataFrame:
+    """What ``write_available`` wrote, as the stream of a next query."""
+    out = write_available(stream, label)
+    return stream.sparkSession.readStream.schema(stream.schema).parquet(out)

@@ -98,7 +98,7 @@ def test_pairs(spark):
 
 def test_length_limits_are_strict(spark):
     df = spark.createDataFrame([(2999, 999), (3000, 1), (1, 1000)], "i int, o int")
-    assert [r.i for r in curate.length_filter(df, F.col("i"), F.col("o")).collect()] == [2999]
+    assert [r.i for r in curate.length_filter(df, input_tokens=F.col("i"), output_tokens=F.col("o")).collect()] == [2999]
     tokens = spark.createDataFrame([(16374,), (16375,)], "n int")
     assert [r.n for r in curate.context_limit_filter(tokens, F.col("n")).collect()] == [16374]
 

@@ -9,7 +9,7 @@ from tallywork.plans.inputs import read_input
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_available, stream_files, stream_written
+from tallywork.streaming.runs import run_and_stream, run_available, stream_files
 
 SF = "/root/testdata/sf0.001"
 EPOCH = 1_700_000_000
@@ -36,8 +36,8 @@ def rows_of(df, *columns):
 
 def test_votes_in_any_order(spark, answers):
     stream = in_files(spark, answers, F.md5(F.col("generation_id").cast("string")), 3)
-    counts = run_available(live_votes.running_votes(stream, delay="1 hour"), "running")
-    live = live_votes.latest_votes(run_available(live_votes.live_votes(stream_written(counts), delay="1 hour"), "live"))
+    counts = run_and_stream(live_votes.running_votes(stream, delay="1 hour"), "running")
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts, delay="1 hour"), "live"))
     valid = votes.vote_frequencies(answers).where("highest > 0")
     assert rows_of(live, "question_id", "highest", "second", "third") == rows_of(valid, *valid.columns)
     majority = votes.majority_answer(answers).where("answer IS NOT NULL")
@@ -47,9 +47,9 @@ def test_votes_in_any_order(spark, answers):
 def test_early_stop_over_ordered_batches(spark, answers):
     deadline = 130
     timed = answers.withColumn("started", F.timestamp_seconds(F.lit(EPOCH))).drop("ts")
-    polls = run_available(live_votes.closed_polls(in_files(spark, timed, F.col("arrival"), 3)), "polls")
-    counts = run_available(live_votes.running_polls(stream_written(polls)), "counts")
-    stops = run_available(live_votes.early_stop(stream_written(counts), deadline), "stops")
+    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed, F.col("arrival"), 3)), "polls")
+    counts = run_and_stream(live_votes.running_polls(polls), "counts")
+    stops = run_available(live_votes.early_stop(counts, deadline), "stops")
     want = votes.early_stop_tick(answers, deadline)
     assert rows_of(stops, *want.columns) == rows_of(want, *want.columns)
 

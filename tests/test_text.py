@@ -114,3 +114,8 @@ def test_valid_answers(values):
 
 def test_floor_mod(values):
     assert values([(-5,), (1005,), (0,)], "v bigint", floor_mod(F.col("v"))) == [995, 5, 0]
+
+
+def test_token_limit_with_and_without_a_count(values):
+    texts = [("a " * 9,), ("a " * 10,), ("word" * 50,), ("",)]
+    assert values(texts, "t string", tx.tokens_below("t", 10)) == [True, False, True, True]
