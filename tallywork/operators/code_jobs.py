@@ -79,17 +79,19 @@ def must_roll_back(suffix: Column, names: Column) -> Column:
 def rewrite_decision(requests: DataFrame, allowed: Collection[str] = ()) -> DataFrame:
     """For each ``buffer`` with open code: roll it back or not, and the buffer to go on with.
 
-    Requests and checked codes meet by a digest, so the shuffle carries a code's text once.
+    Requests and checked codes meet by a digest, and a request's code is cut out of its
+    buffer again behind the join, so the shuffle does not carry it.
     """
-    opened = requests.withColumn("code", open_code_suffix("buffer")).where("code <> ''")
-    checked = valid_prefix_table(opened, allowed).select(
+    code = open_code_suffix("buffer")
+    opened = requests.where(code != "")
+    checked = valid_prefix_table(opened.select(code.alias("code")), allowed).select(
         F.sha2("code", 256).alias("digest"), "prefix", "suffix", "names"
     )
-    joined = opened.withColumn("digest", F.sha2("code", 256)).join(checked, "digest")
+    joined = opened.withColumn("digest", F.sha2(code, 256)).join(checked, "digest")
     rolled = must_roll_back(F.col("suffix"), F.col("names"))
     comment = F.when(F.size("names") > 0, F.concat(F.lit(NAMES_COMMENT), F.array_join("names", " "))).otherwise("")
     return joined.select(
         *requests.columns, "names", rolled.alias("rolled_back"),
-        F.when(rolled, replace_last("buffer", "code", F.concat("prefix", comment)))
+        F.when(rolled, replace_last("buffer", code, F.concat("prefix", comment)))
         .otherwise(F.col("buffer")).alias("new_buffer"),
     )

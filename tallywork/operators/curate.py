@@ -86,7 +86,7 @@ def training_set(logs: DataFrame) -> DataFrame:
             )
         ).alias("row")
     ).select("row.*")
-    rows = logs.join(chosen, "position").select(
-        "position", "question_id", "label", "prompt", training_span("buffer").alias("completion"), "correct_answer"
+    texts = logs.where("flag_for_training").select(
+        "position", "question_id", "prompt", training_span("buffer").alias("completion"), "correct_answer"
     )
-    return sequential_order(rows)
+    return sequential_order(texts.join(chosen, "position"))

@@ -136,10 +136,11 @@ def running_prompt(chunks: DataFrame) -> DataFrame:
     """All text of a generation up to and including each request.
 
     The result repeats earlier text by its nature; a prompt has to fit a model's context,
-    so the texts of one generation fit a row.
+    so the texts of one generation fit a row. Chunks are shuffled by generation, which
+    serves the grouping by request as well.
     """
     so_far = Window.partitionBy("generation_id").orderBy("request_counter").rowsBetween(Window.unboundedPreceding, 0)
-    return request_texts(chunks).select(
+    return request_texts(chunks.repartition("generation_id")).select(
         "generation_id", "request_counter", F.array_join(F.collect_list("text").over(so_far), "").alias("prompt")
     )
 

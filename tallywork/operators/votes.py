@@ -79,7 +79,8 @@ def vote_frequencies(answers: DataFrame) -> DataFrame:
 
 
 def agreement(highest: Column, second: Column, third: Column, full_agreement: int | None = None) -> Column:
-    """The stop rule; ``full_agreement`` replaces it by one threshold (batch runs)."""
+    """The stop rule, on columns or on plain numbers; ``full_agreement`` replaces it by one
+    threshold (batch runs)."""
     if full_agreement is not None:
         return highest >= full_agreement
     return (

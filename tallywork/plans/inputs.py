@@ -136,10 +136,10 @@ FROM (
     FROM {events}) AS numbered) AS records
 """
 
-# Answers of the logged questions; duplicates, the later position is the valid one.
+# Answers of every second question; of its duplicates the later position is the valid one.
 LOG_PROBLEMS = """
-SELECT CAST(floor(event_id / 2.0) AS BIGINT) AS question_id, event_id AS position, event_id * 3 % 10 AS answer
-FROM {events} WHERE event_id % 3 <> 1
+SELECT CAST(floor(event_id / 3.0) AS BIGINT) * 2 AS question_id, event_id AS position, event_id * 3 % 10 AS answer
+FROM {events}
 """
 
 # Training records with whole documents as prompts and what follows a code output.

@@ -196,8 +196,7 @@ def early_stop(
     last, grace_ms = last_tick(deadline, poll), milliseconds(grace)
 
     def agree(top: list[tuple[int, int]]) -> bool:
-        h, s, t = ([f for f, _ in top] + [0, 0, 0])[:3]
-        return (h >= 2 and s <= 0 and t <= 0) or (h >= 3 and s <= 1) or (h >= 4 and s <= 3) or h >= 5
+        return agreement(*([f for f, _ in top] + [0, 0, 0])[:3])
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         empty = ([], [], [], [], 0, 0, -1, 0, False, 0)

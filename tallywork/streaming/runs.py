@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -30,21 +33,37 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(pattern)
 
 
-def write_available(stream: DataFrame, label: str, mode: str = "append") -> str:
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """Streams started inside keep their state in ``count`` partitions, one per core if None.
+
+    A stream keeps this number for good, and adaptive execution does not merge them.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(count or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_available(stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None) -> str:
     """Run ``stream`` until its input is used up and return the folder of what it wrote.
 
     Appended rows go to a file sink. Updated rows are kept per micro-batch in batch=N, which
     a repeated batch overwrites.
     """
-    folder = run_folder(stream.sparkSession, label)
+    spark = stream.sparkSession
+    folder = run_folder(spark, label)
     out, progress = f"{folder}/rows", f"{folder}/progress"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
+        writer = writer.format("parquet").option("path", out)
     else:
-        query = writer.foreachBatch(
-            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        ).start()
+        writer = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+    with state_partitions(spark, partitions):
+        query = writer.start()
     query.awaitTermination()
     return out
 
