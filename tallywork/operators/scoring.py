@@ -36,9 +36,15 @@ def _with_weights(rows: DataFrame, total_calls: Column | int) -> DataFrame:
     )
 
 
-def score(completions: DataFrame, total_calls: Column | int) -> DataFrame:
-    """The five reward terms of each completion and their sum; the text is left behind."""
-    thinking, tokens = rw.token_lengths("completion")
+def score(
+    completions: DataFrame, total_calls: Column | int, thinking: Column | None = None, tokens: Column | None = None
+) -> DataFrame:
+    """The five reward terms of each completion and their sum; the text is left behind.
+
+    Pass the token counts of the thinking part and of the whole if the table has them.
+    """
+    if thinking is None or tokens is None:
+        thinking, tokens = rw.token_lengths("completion")
     # Lengths are columns of their own, so that each text is measured once.
     measured = completions.select("*", thinking.alias("__thinking"), tokens.alias("__tokens"))
     base = measured.select(

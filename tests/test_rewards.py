@@ -82,3 +82,14 @@ def test_reward_set_with_native_and_pandas_rewards(spark):
     rewards = scoring.RewardSet().add("length", rw.char_length_reward).add("vowels", vowels, weight=0.5)
     got = sorted(rewards.apply(df, ["generation_id"]).collect())
     assert [(r.length, r.vowels, r.total_reward) for r in got] == [(-94.0, 1.5, -92.5), (-100.0, 0.0, -100.0)]
+
+
+def test_supplied_token_counts_are_used(spark):
+    rows = [(1, 1, 1, "</think>\\boxed{1}", "1", 246, 256)]
+    df = spark.createDataFrame(
+        rows, "question_id bigint, generation_id bigint, call_idx bigint, completion string, correct_answer string, head int, size int"
+    )
+    got = scoring.score(df, 40, thinking=F.col("head"), tokens=F.col("size")).first()
+    assert got.length_logged == pytest.approx(0.001) and got.correctness == 0 and got.correctness_logged == pytest.approx(0.001)
+    parts = got.style + got.correctness + got.format_logged + got.length_logged + got.correctness_logged
+    assert got.total_reward == pytest.approx(parts)

@@ -1,5 +1,7 @@
 """Streams in several micro-batches equal the batch operators."""
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -89,3 +91,23 @@ def test_late_flags_on_a_stream(spark, answers):
     flagged = run_available(votes.late_results(stream, closes), "late")
     want = votes.late_results(answers, closes)
     assert rows_of(flagged, "generation_id", "late", "reason") == rows_of(want, "generation_id", "late", "reason")
+
+
+def test_a_large_question_is_thinned_without_loss(spark):
+    rng = random.Random(4)
+    rows = [(1, i, rng.choice(["math", "code"]), i % 60, str(rng.randint(0, 300))) for i in range(1500)]
+    rows += [(2, 2000, "code", 10, "x"), (2, 2001, "code", 30, "0"), (2, 2002, "code", 30, "")]
+    df = spark.createDataFrame(rows, "question_id bigint, generation_id bigint, method string, arrival bigint, answer string")
+    timed = df.withColumn("started", F.timestamp_seconds(F.lit(EPOCH))).withColumn("ts", F.timestamp_seconds(F.col("arrival") + EPOCH))
+    counts = run_and_stream(live_votes.running_votes(in_files(spark, timed, F.col("arrival"), 2), delay="1 hour"), "running")
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts, delay="1 hour"), "live"))
+    want = votes.vote_frequencies(df)
+    assert rows_of(live, *want.columns) == rows_of(want, *want.columns)
+    assert rows_of(live, "question_id", "votes", "answer") == [
+        (1, 1500, votes.majority_answer(df).where("question_id = 1").first().answer), (2, 1, 0),
+    ]
+    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed.drop("ts"), F.col("arrival"), 2)), "polls")
+    running = run_and_stream(live_votes.running_polls(polls), "counts")
+    stops = run_available(live_votes.early_stop(running, 40, enough_math=10**6, full_count=-1), "stops")
+    batch = votes.early_stop_tick(df, 40, enough_math=10**6, full_count=-1)
+    assert rows_of(stops, *batch.columns) == rows_of(batch, *batch.columns)
