@@ -145,24 +145,6 @@ def running_prompt(chunks: DataFrame) -> DataFrame:
     )
 
 
-def throttled_checks(checks: DataFrame, key: str, time: str, gap: float = 5) -> DataFrame:
-    """Keep a check only if it comes at least ``gap`` after the last kept one.
-
-    Which one is kept depends on the one before, so the distinct times of a key are walked
-    in order; a key has no more of them than clock ticks in its time budget.
-    """
-    times = checks.select(key, time).distinct().groupBy(key).agg(F.sort_array(F.collect_list(time)).alias("__times"))
-    kept_type = dict(checks.dtypes)[time]
-    walk = F.aggregate(
-        "__times",
-        F.lit(None).cast(f"array<{kept_type}>"),
-        lambda kept, t: F.when(kept.isNull(), F.array(t))
-        .when(t >= F.element_at(kept, -1) + gap, F.array_append(kept, t))
-        .otherwise(kept),
-    )
-    return times.select(key, F.explode(walk).alias(time))
-
-
 # ---- Problem tables -----------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywork.operators import budget, curate, logs, prompts
+from tallywork.operators import budget, curate, logs, prompts, throttle
 from tallywork.plans.inputs import PIECE, read_input, with_inputs
 from tallywork.plans.registry import query
 from tallywork.plans.text_queries import SECTIONS, TOKENS
@@ -185,7 +185,7 @@ kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY questio
          JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
 SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttled_checks(spark, folder):
-    return logs.throttled_checks(read_input(spark, folder, "answers"), "question_id", "arrival", 5)
+    return throttle.throttled_checks(read_input(spark, folder, "answers"), "question_id", "arrival", 5)
 
 
 # ---- Problems, prompts and budgets --------------------------------------------------

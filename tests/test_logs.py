@@ -1,7 +1,9 @@
-from pyspark.sql import functions as F
+import random
 
 import numpy as np
-from tallywork.operators import budget, curate, logs, prompts
+from pyspark.sql import functions as F
+
+from tallywork.operators import budget, curate, logs, prompts, throttle
 
 RUN = "question_id bigint, method string, generation_idx bigint, defer_count bigint"
 
@@ -50,10 +52,26 @@ def test_missing_times_sort_last(spark):
 def test_throttle_depends_on_the_last_kept(spark):
     rows = [(1, t) for t in (0.0, 3.0, 5.0, 6.0, 9.9, 10.0, 10.0, 30.0)] + [(2, 1.0)]
     df = spark.createDataFrame(rows, "generation_id bigint, t double")
-    got = sorted(map(tuple, logs.throttled_checks(df, "generation_id", "t").collect()))
+    got = sorted(map(tuple, throttle.throttled_checks(df, "generation_id", "t").collect()))
     assert got == [(1, 0.0), (1, 5.0), (1, 10.0), (1, 30.0), (2, 1.0)]
 
 
+def test_throttle_over_many_slices(spark):
+    rng = random.Random(9)
+    rows = [(k, round(rng.uniform(-40, 400), rng.choice([0, 1, 3]))) for k in range(12) for _ in range(rng.choice([1, 5, 60, 900]))]
+    want = []
+    for k in range(12):
+        last = None
+        for t in sorted({t for q, t in rows if q == k}):
+            if last is None or t >= last + 5:
+                want.append((k, t))
+                last = t
+    df = spark.createDataFrame(rows, "generation_id bigint, t double")
+    for gaps in (1, 3, 1000):
+        got = throttle.throttled_checks(df, "generation_id", "t", gaps_per_slice=gaps)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_running_prompt_and_counters(spark):
     rows = [(1, 1, 1, "b"), (1, 1, 0, "a"), (1, 2, 0, "c"), (2, 1, 0, "z")]
     df = spark.createDataFrame(rows, "generation_id bigint, request_counter bigint, chunk_idx bigint, chunk string")

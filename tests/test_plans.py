@@ -7,7 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"code_check_report", "valid_prefix_table", "rewrite_decision", "custom_rewards"}
+PYTHON = {"code_check_report", "valid_prefix_table", "rewrite_decision", "custom_rewards", "throttled_checks"}
 WRITES = {
     "scan_problems", "scan_training_set", "publish_questions", "write_generation_logs", "archive_run_logs",
     "pair_right_wrong_all", "scored_groups",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallywork.operators import logs, votes
+from tallywork.operators import logs, throttle, votes
 from tallywork.plans.inputs import read_input
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.session import run_folder
@@ -81,7 +81,7 @@ def test_generations_from_shuffled_chunks(spark):
 def test_throttle_over_ordered_batches(spark, answers):
     stream = in_files(spark, answers.select("question_id", "arrival", "ts"), F.col("arrival"), 3)
     kept = run_available(generations.throttle(stream, "question_id", "arrival"), "throttle")
-    want = logs.throttled_checks(answers, "question_id", "arrival")
+    want = throttle.throttled_checks(answers, "question_id", "arrival")
     assert rows_of(kept, "question_id", "arrival") == rows_of(want, "question_id", "arrival")
 
 
