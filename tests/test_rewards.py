@@ -93,3 +93,10 @@ def test_supplied_token_counts_are_used(spark):
     assert got.length_logged == pytest.approx(0.001) and got.correctness == 0 and got.correctness_logged == pytest.approx(0.001)
     parts = got.style + got.correctness + got.format_logged + got.length_logged + got.correctness_logged
     assert got.total_reward == pytest.approx(parts)
+
+
+def test_weights_sum_to_one_at_equal_counters(spark):
+    counters = spark.range(0, 60).select(
+        (2 * rw.style_weight(F.col("id"), 40) + rw.correctness_weight(F.col("id"), 40)).alias("s")
+    )
+    assert all(r.s == pytest.approx(1.0) for r in counters.collect())

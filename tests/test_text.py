@@ -119,3 +119,9 @@ def test_floor_mod(values):
 def test_token_limit_with_and_without_a_count(values):
     texts = [("a " * 9,), ("a " * 10,), ("word" * 50,), ("",)]
     assert values(texts, "t string", tx.tokens_below("t", 10)) == [True, False, True, True]
+
+
+def test_redaction_is_stable_on_closed_sections(values):
+    text = "a```python\nx```b```output\ny```c<thoughts>z</thoughts>"
+    once = tx.redact_sections("t")
+    assert values([(text,)], "t string", once) == values([(text,)], "t string", tx.redact_sections(once))

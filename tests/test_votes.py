@@ -137,3 +137,13 @@ def test_late_results(spark):
     closes = spark.createDataFrame([(1, 40)], "question_id bigint, closed_at bigint")
     got = {r.generation_id: (r.late, r.reason) for r in votes.late_results(df, closes).collect()}
     assert got == {1: (True, "final"), 2: (True, "terminated"), 3: (False, "final"), 4: (False, "final")}
+
+
+def test_one_more_agreeing_vote_never_delays_the_stop(spark):
+    rows, more = [], []
+    for q, times in enumerate([[5, 70], [30, 31, 90], [10], [100, 120, 140], [1, 2, 3]]):
+        rows += [(q, q * 100 + i, "code", t, "4") for i, t in enumerate(times)]
+        more += [(q, q * 100 + 50, "code", 35, "4")]
+    stops = lambda r: {x.question_id: x.tick for x in votes.early_stop_tick(spark.createDataFrame(r, SCHEMA), 150).collect()}
+    before, after = stops(rows), stops(rows + more)
+    assert all(after[q] <= before[q] for q in before)
