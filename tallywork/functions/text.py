@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: markers, patterns and labels of the text format -------------------
-FENCE = "```"
 PYTHON_FENCE = "```python"
 OPEN_CODE = "```python\n"
 END_OF_THOUGHT = "</think>"

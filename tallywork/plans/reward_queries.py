@@ -60,9 +60,9 @@ def _sql(body: str) -> str:
     return with_inputs(f"WITH {SCORES} {body}", "completions")
 
 
-def _round(df, *names):
-    """Sums of doubles are compared at six digits."""
-    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+def _round(df, *names, digits=6):
+    """Doubles are compared at six digits; means of scores, which end in a five there, at nine."""
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _completions(spark, folder):
@@ -166,9 +166,9 @@ MEANS = (*scoring.REWARDS, "total_reward")
 
 @query("reward_step_metrics", _sql(
     "SELECT call_idx, count(*) AS completions, call_idx % 16 = 0 AS evaluated, "
-    + ", ".join(f"round(avg({c}), 6) + 0e0 AS mean_{c}" for c in MEANS) + " FROM totals GROUP BY call_idx"))
+    + ", ".join(f"round(avg({c}), 9) + 0e0 AS mean_{c}" for c in MEANS) + " FROM totals GROUP BY call_idx"))
 def reward_step_metrics(spark, folder):
-    return _round(scoring.reward_step_metrics(_scored(spark, folder)), *[f"mean_{c}" for c in MEANS])
+    return _round(scoring.reward_step_metrics(_scored(spark, folder)), *[f"mean_{c}" for c in MEANS], digits=9)
 
 
 @query("scored_groups", _sql("""
