@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from tallywork.operators.stages import written
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+#: Occurrences located together.
+ROWS_AT_ONCE = 1 << 20
+
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -83,7 +87,7 @@ class Phrases:
         for text in texts:
             found = words(text)
             counts.append(len(found))
-            numbers.append(np.fromiter(map(self.numbers.get, found, ZEROS), np.int64, len(found)))
+            numbers.append(np.fromiter(map(self.numbers.get, found, repeat(0)), np.int64, len(found)))
             numbers.append(np.zeros(1, np.int64))
         out: list[tuple[int, list, list]] = [(n, [], []) for n in counts]
         if not self.owners:
@@ -99,20 +103,16 @@ class Phrases:
         place = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
         index = FmIndex(sequence[place], self.alphabet)
         low, high = index.search(self.matrix, self.lengths)
-        found = np.flatnonzero(low < high)
         first = np.concatenate(([0], np.cumsum(np.array(counts) + 1))) + 1  # the place of each text's first word
         cover = np.zeros(index.size + 1, np.int64)
-        pairs = []
-        for phrase in found:  # as many as differ, not as occur
-            at = index.locate(np.arange(low[phrase], high[phrase]))
+        owned: dict[int, set[str]] = defaultdict(set)
+        for phrase, row in intervals(low, high, ROWS_AT_ONCE):
+            at = index.locate(row)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + self.lengths[phrase], -1)
-            document = np.unique(np.searchsorted(first, place[at], side="right") - 1)
-            pairs.append((document, phrase))
-        owned: dict[int, set[str]] = defaultdict(set)
-        for document, phrase in pairs:
-            for d in document.tolist():
-                owned[d].update(self.owners[phrase])
+            document = np.searchsorted(first, place[at], side="right") - 1
+            for d, p in zip(*np.divmod(np.unique(document * len(self.owners) + phrase), len(self.owners))):
+                owned[int(d)].update(self.owners[p])
         hit = place[np.flatnonzero(np.cumsum(cover)[:-1] > 0)]
         breaks = np.flatnonzero(np.diff(hit) > 1) + 1
         for run in np.split(hit, breaks) if len(hit) else []:
@@ -123,17 +123,13 @@ class Phrases:
         return out
 
 
-class _Zeros:
-    """As many zeros as asked for: the default of every look-up."""
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return 0
-
-
-ZEROS = _Zeros()
+def intervals(low: np.ndarray, high: np.ndarray, most: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """All rows of the intervals, with the interval each is in, at most ``most`` at a time."""
+    offsets = np.concatenate(([0], np.cumsum(np.maximum(high - low, 0))))
+    for start in range(0, int(offsets[-1]), most):
+        every = np.arange(start, min(start + most, offsets[-1]))
+        interval = np.searchsorted(offsets, every, side="right") - 1
+        yield interval, low[interval] + every - offsets[interval]
 
 
 def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
