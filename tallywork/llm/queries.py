@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import decontaminate
+from tallywork.llm import decontaminate, language_mix, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+@query("op2_language_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones of three folds in four."""
+    documents = table(spark, sf_dir, "documents")
+    model = language_mix.learn(documents.where(~language_mix.held_out()))
+    # The operator's rows carry the key only, from which the fold follows.
+    mixed = language_mix.identify(documents, model)
+    return mixed.select("doc_id", language_mix.held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "proportions")
+
+
+def joined_spans(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known shapes of secrets and random-looking tokens in every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
