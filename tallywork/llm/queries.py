@@ -84,6 +84,7 @@ def joined_spans(spans) -> Column:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known shapes of secrets and random-looking tokens in every document."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
