@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import decontaminate, language_mix, secret_scan
+from tallywork.llm import decontaminate, language_mix, secret_scan, site_templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op5_warc_zip",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+last AS (SELECT digest, max(page_id) AS id FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN last.id IS DISTINCT FROM page_id AND last.id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last.id IS DISTINCT FROM page_id THEN last.id END AS refers_to
+FROM p LEFT JOIN last USING (digest)
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC packages and read back."""
+    packages = warc_zip.write_packages(table(spark, sf_dir, "pages"))
+    records = warc_zip.read_packages(spark, packages, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_site_templates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = site_templates.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), into="text")
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
