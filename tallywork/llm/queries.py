@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import decontaminate, language_mix, secret_scan, site_templates, warc_zip
+from tallywork.llm import block_topk, decontaminate, language_mix, line_dedup, secret_scan, site_templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +108,72 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    "op6_block_topk",
+    """
+WITH v AS (
+  SELECT DISTINCT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows, by inner product, of every fiftieth embedding."""
+    return block_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+LINE_DEDUP_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+        FROM documents)),
+parts AS (
+  SELECT doc_id, i, k, start, part || CASE WHEN k < n THEN '.' ELSE '' END AS part
+  FROM (SELECT doc_id, i, start, len(string_split(line, '. ')) AS n, unnest(string_split(line, '. ')) AS part,
+               generate_subscripts(string_split(line, '. '), 1) AS k FROM lines)),
+units AS (
+  SELECT doc_id, 'line' AS level, line AS unit, start FROM lines
+  UNION ALL
+  SELECT doc_id, 'sentence', part, start + sum(length(part) + 1) OVER (PARTITION BY doc_id, i ORDER BY k) - length(part) - 1 FROM parts),
+words AS (
+  SELECT doc_id, level, start, start + length(unit) AS stop,
+         regexp_extract_all(rtrim(translate(unit, {LETTERS}), ' .' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[^\x20\x09-\x0D]+') AS w
+  FROM units),
+named AS (SELECT doc_id, level, start, stop, array_to_string(w, ' ') AS unit FROM words WHERE len(w) >= 5),
+gone AS (
+  SELECT doc_id, start, stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY level, unit ORDER BY doc_id, start) AS rank FROM named) WHERE rank > 1),
+marked AS (
+  SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 THEN 0 ELSE 1 END AS fresh FROM gone),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+spans AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, island),
+listed AS (
+  SELECT doc_id, count(*) AS n, sum(stop - start) AS chars,
+         string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) AS spans
+  FROM spans GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM named GROUP BY doc_id)
+SELECT doc_id, coalesce(counted.n, 0) AS n_units, coalesce(listed.n, 0) AS n_removed,
+       CAST(coalesce(chars, 0) AS BIGINT) AS removed_chars, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+@query("op7_line_dedup", LINE_DEDUP_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines and sentences of every document."""
+    found = line_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    listed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), length.alias("removed_chars"), listed.alias("spans"))
+
+
 @query("op10_site_templates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
