@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import block_topk, decontaminate, language_mix, line_dedup, secret_scan, site_templates, warc_zip
+from tallywork.llm import block_topk, decontaminate, language_mix, line_dedup, secret_scan, simhash, site_templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,6 +174,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), length.alias("removed_chars"), listed.alias("spans"))
 
 
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of near copies of every document."""
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op10_site_templates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
