@@ -1,10 +1,10 @@
 """HTML extraction: the main text of a page, without what its site repeats.
 
-Every container element has a digest of its subtree (tags, classes, texts). Spark counts, per
-host, on how many different articles a subtree occurs; those on many are the site's template
-and are deleted, and so are elements that say what they are (menus, adverts, forms and so on).
-The rest of the articles, or of the body where there is none, is the main text, one line per
-block.
+Elements that say what they are (menus, adverts, forms and so on) are left out; what is left of
+the articles, or of the body where there is none, is the main text, one line per block, but for
+the site's template. To find that, every container element in the main text has a digest of its
+subtree (tags, classes, texts), and Spark counts, per host, on how many different articles a
+subtree occurs; those on many are deleted.
 
 Copies of an article count once, so an article copied on its own site is not a template. A
 subtree that holds half of the article's text or more, or that is a paragraph within an
@@ -224,10 +224,10 @@ class Page:
         return "\n".join(t for t, at in self.blocks if place is None or at == place)
 
     def candidates(self) -> tuple[bytes, list[bytes]]:
-        """A digest of the main text, and the subtrees that may be part of a template."""
-        text = self.text()
+        """A digest of the main text, and the subtrees that hold some of it and may be part of a template."""
+        text, place = self.text(), self._place()
         whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
-        return whole, sorted({d for d, size, _ in self.subtrees if 2 * size < len(text)})
+        return whole, sorted({d for d, size, at in self.subtrees if 0 < 2 * size < len(text) and place in (None, at)})
 
 
 def above_dropped(stack: list[_Element]) -> bool:
