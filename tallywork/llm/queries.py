@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import block_topk, decontaminate, language_mix, line_dedup, secret_scan, simhash, site_templates, warc_zip
+from tallywork.llm import block_topk, chat_format, decontaminate, language_mix, line_dedup, mixing, secret_scan, simhash, site_templates, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,45 @@ def joined_spans(spans) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sizes AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<', '<\'), '[', '[\') AS body,
+         length(replace(replace(replace(role, '\', '\\'), '<', '<\'), '[', '[\')) AS r FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + r + 8 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM sizes GROUP BY conv_id
+"""
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op3_chat_format", CHAT_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, then read back; one more holds control strings."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    messages = said.unionByName(extra).withColumn("parts", chat_format.text_parts(F.col("text")))
+    chats = chat_format.formatted(messages)
+    read = chats.select(
+        "conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"),
+        chat_format.under_mask(F.col("formatted"), F.col("loss")).alias("trained"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"), F.sha2(F.col("trained"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known shapes of secrets and random-looking tokens in every document."""
@@ -181,6 +220,78 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# The mixture of the query and of the pipeline: domains by the last digit of a source's name.
+DOMAIN = """CASE WHEN right(source, 1) IN ('0', '1', '2', '3') THEN 'web' WHEN right(source, 1) IN ('4', '5', '6') THEN 'books'
+                 WHEN right(source, 1) IN ('7', '8') THEN 'code' ELSE 'wiki' END"""
+WEIGHTS = {
+    ("web",): 40, ("books",): 30, ("code",): 20, ("wiki",): 10,
+    ("web", "en"): 3, ("books", "en"): 2, ("web", "en", "src0"): 4,
+}
+SHARE, MOST_EPOCHS, SEED = 0.8, 2, 7
+
+
+def tree() -> dict[str, Column]:
+    return {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def _level_sql(depth: int) -> str:
+    """The budgets of one level of the tree from those of the level above."""
+    path = ("domain", "lang", "source")[:depth]
+    names, parent = ", ".join(path), path[:-1]
+    cases = "".join(
+        " WHEN " + " AND ".join(f"{c} = '{n}'" for c, n in zip(path, stated)) + f" THEN {w}" for stated, w in WEIGHTS.items() if len(stated) == depth
+    )
+    weight = f"CASE{cases} ELSE 1 END" if cases else "1"
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM u.{c}" for c in parent) or "true"
+    above = f"level{depth - 1}" if parent else "(SELECT whole AS budget FROM total)"
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    order = f"({by} ORDER BY fill, {', '.join(f'{c} NULLS FIRST' for c in path)} ROWS UNBOUNDED PRECEDING)"
+    return f"""
+nodes{depth} AS (SELECT {names}, sum(tokens) * {MOST_EPOCHS} AS room, {weight} AS weight FROM leaves GROUP BY {names}),
+filled{depth} AS (
+  SELECT {", ".join(f"n.{c}" for c in path)}, n.room, n.weight, u.budget AS above, CAST(n.room AS DOUBLE) / n.weight AS fill
+  FROM nodes{depth} AS n JOIN {above} AS u ON {same} WHERE n.room > 0),
+summed{depth} AS (
+  SELECT *, sum(room) OVER {order} AS room_so_far, sum(weight) OVER ({by}) - sum(weight) OVER {order} AS weight_behind FROM filled{depth}),
+full{depth} AS (SELECT *, CAST(room_so_far AS DOUBLE) + fill * CAST(weight_behind AS DOUBLE) <= CAST(above AS DOUBLE) AS is_full FROM summed{depth}),
+taken{depth} AS (
+  SELECT *, coalesce(sum(room) FILTER (is_full) OVER ({by}), 0) AS taken, sum(weight) FILTER (NOT is_full) OVER ({by}) AS open FROM full{depth}),
+level{depth} AS (
+  SELECT {names}, CASE WHEN is_full THEN CAST(room AS BIGINT)
+                       ELSE CAST(floor(CAST(above - taken AS DOUBLE) / CAST(open AS DOUBLE) * weight) AS BIGINT) END AS budget
+  FROM taken{depth}),"""
+
+
+MIXING_SQL = rf"""
+WITH docs AS (
+  SELECT *, {DOMAIN} AS domain, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM docs GROUP BY domain, lang, source),
+total AS (SELECT CAST(floor(CAST(coalesce(sum(tokens), 0) AS DOUBLE) * {SHARE}) AS BIGINT) AS whole FROM leaves),
+{_level_sql(1)}{_level_sql(2)}{_level_sql(3)}
+plan AS (
+  SELECT b.*, l.tokens AS leaf_tokens, b.budget // l.tokens AS whole, b.budget % l.tokens AS rest FROM level3 AS b JOIN leaves AS l
+    ON b.domain IS NOT DISTINCT FROM l.domain AND b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source),
+placed AS (
+  SELECT d.doc_id, d.domain, d.lang, d.source, d.tokens, p.whole, p.rest,
+         md5('{SEED}:' || CAST(CAST(p.whole AS BIGINT) AS VARCHAR) || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS place
+  FROM docs AS d JOIN plan AS p
+    ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+timed AS (
+  SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING) <= rest
+                         THEN 1 ELSE 0 END AS times FROM placed)
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS n_tokens, CAST(unnest(range(CAST(times AS BIGINT))) AS BIGINT) AS epoch FROM timed
+"""
+
+
+@query("op9_mixing", MIXING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of all words, mixed to the weights, each document as often as it is read."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chosen = mixing.mixed(documents, tree(), SHARE, WEIGHTS, most_epochs=MOST_EPOCHS, seed=SEED)
+    return chosen.select("doc_id", F.expr(DOMAIN).alias("domain"), "lang", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "epoch")
+
+
 @query("op10_site_templates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
