@@ -1,22 +1,73 @@
-"""The training-data pipeline: stages over ``documents``, each written and read by the next."""
+"""The training-data pipeline: stages over ``documents``, each written and read by the next.
+
+A document goes if no language has a third of its words, if a near copy with a smaller id stays,
+or if nothing but benchmark passages is in it; benchmark passages are cut out of the others, and
+secrets are replaced by a mark. What is left is mixed to the target weights, which adds the
+epoch a document is read in.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywork.llm import decontaminate, language_mix, mixing, secret_scan, simhash
+from tallywork.llm.queries import MOST_EPOCHS, SEED, SHARE, WEIGHTS, tree
 from tallywork.operators.stages import written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+LEAST_SCORE = 1 / 3
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """The length that belongs to a text that may have changed."""
+    return docs.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one language has a third of the words."""
+    model = language_mix.learn(docs.where(~language_mix.held_out()))
+    return language_mix.accepted(docs, model, least_score=LEAST_SCORE)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints are linked, that with the least id."""
+    return simhash.one_of_each(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that were nothing else go."""
+    rest = decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _measured(rest.where(F.col("text").rlike(r"\S")))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of each secret."""
+    return _measured(secret_scan.redacted(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mixed to the weights, a row for each epoch that reads them."""
+    return mixing.mixed(docs, tree(), SHARE, WEIGHTS, most_epochs=MOST_EPOCHS, seed=SEED)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("languages", languages),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("secrets", secrets),
+    ("mixture", mixture),
+]
 
+#: Language inference and fingerprints are beyond SQL; the stages are tested one by one.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are kept as a table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{i + 1}")
