@@ -13,7 +13,7 @@ so no others are compared, however many copies there are.
 Defined results: vectors null, or with a null or non-finite component, take no part, nor do
 rows without an id; missing components of shorter vectors are 0; rows of one id and vector are
 one row; an id with several vectors asks once for each, and rows of the query's own id are never
-its results; a score beyond 64 bits is given as the nearest 64-bit number. With fewer candidates
+its results; a score beyond 64 bits counts as the nearest 64-bit number. With fewer candidates
 than k there are fewer ranks. Other columns are not read.
 """
 
@@ -58,6 +58,11 @@ class Products:
         return values.astype(self.kind)
 
 
+def in_64_bits(values: np.ndarray) -> np.ndarray:
+    """Python's numbers cut to 64 bits; other kinds are within them."""
+    return np.clip(values, -LONG_MAX - 1, LONG_MAX) if values.dtype == object else values
+
+
 def kept_best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the k best, by score and then by smaller id, sorted."""
     if score.dtype == object:
@@ -82,7 +87,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidat
     high, low = np.maximum.reduceat(candidates, starts), np.minimum.reduceat(candidates, starts)
     asked, forward = exact.of(queries), exact.of(candidates)
     positive, negative = exact.of(np.maximum(queries, 0)), exact.of(np.minimum(queries, 0))
-    bounds = positive @ exact.of(high).T + negative @ exact.of(low).T
+    bounds = in_64_bits(positive @ exact.of(high).T + negative @ exact.of(low).T)
     order = np.argsort(-bounds, axis=1, kind="stable")
     sorted_bounds = np.take_along_axis(bounds, order, axis=1)
 
@@ -107,7 +112,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidat
         for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
             at, mine = starts[block[part[0]]], query[part]
             theirs = ids[at : at + BLOCK]
-            scores = asked[mine] @ forward[at : at + BLOCK].T
+            scores = in_64_bits(asked[mine] @ forward[at : at + BLOCK].T)
             wanted = query_ids[mine][:, None] != theirs
             if exact.kind is object:
                 wanted &= np.array([[f is None or s >= f for s in row] for row, f in zip(scores, floor[mine])])
@@ -137,10 +142,6 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite
 
 
-def _fits(values: np.ndarray) -> list[int]:
-    return [max(-LONG_MAX - 1, min(LONG_MAX, int(v))) for v in values]
-
-
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0,
     group_candidates: int = GROUP_CANDIDATES, group_queries: int = GROUP_QUERIES,
@@ -174,7 +175,7 @@ def top_k(
             ids = asking.column("id").to_numpy()
             q, s, c = search(ids, matrix(asked, width), there.column("id").to_numpy(), matrix(held, width), k)
             digests = asking.column("digest").to_numpy()
-            out = {"query_id": ids[q], "id": c, "score": _fits(s), "query": digests[q]}
+            out = {"query_id": ids[q], "id": c, "score": [int(x) for x in s], "query": digests[q]}
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     left = left.withColumn("digest", F.xxhash64("id", "v"))

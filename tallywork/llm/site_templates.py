@@ -119,6 +119,8 @@ class Page:
             elif found := END.match(html, mark):
                 at = found.end()
                 self._end(found[1].lower())
+            elif re.match(r"</?[a-zA-Z]", html[mark : mark + 3]):
+                return  # a tag that does not end
             elif html[mark + 1 : mark + 2] in ("!", "?", "/"):
                 end = html.find(">", mark)
                 at = size if end < 0 else end + 1
@@ -201,7 +203,7 @@ class Page:
         leaf = element.tag in LEAVES and element.article is None
         if element.size and (element.tag in CONTAINERS or leaf):
             self.subtrees.append((digest, element.kept_size, element.article))
-            menu = element.article is None and element.tag in CONTAINERS and element.links > 0.8 * element.size and len(element.content) > 3
+            menu = element.article is None and element.tag in CONTAINERS and element.links > 0.8 * element.size and len(element.content) > 2
             if digest in self.templates or menu:
                 del self.blocks[element.blocks :]
                 above.kept_size -= element.kept_size

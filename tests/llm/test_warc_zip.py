@@ -98,7 +98,7 @@ def zipped(monkeypatch, zip64, comment=b""):
 def test_directories(monkeypatch, zip64, comment):
     data = zipped(monkeypatch, zip64, comment)
     assert (warc_zip.END64_MARK in data) == zip64
-    file = pa.PythonFile(io.BytesIO(data))
+    file = pa.BufferReader(data)
     assert set(warc_zip.members(file)) == {"first/other.txt", "archive/data.warc.gz", "indexes/index.cdx.gz"}
     ((at, length),) = warc_zip.record_ranges(file)
     fields, block = warc_zip.parse_record(gzip.decompress(file.read_at(length, at)))
@@ -109,4 +109,4 @@ def test_broken_packages_are_refused(monkeypatch):
     data = zipped(monkeypatch, False)
     for bad in (b"", b"no zip", data[:-30]):
         with pytest.raises(ValueError):
-            warc_zip.members(pa.PythonFile(io.BytesIO(bad)))
+            warc_zip.members(pa.BufferReader(bad))
