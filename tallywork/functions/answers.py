@@ -12,16 +12,42 @@ DEFAULT_ANSWER = 210
 MODULUS = 1000
 
 
+# Beyond this many digits a number is not tested and counts as invalid.
+MOST_DIGITS = 38
+_WHOLE = "decimal(38,0)"
+
+
+def _double_holds(digits: Column) -> Column:
+    """Whether a double holds the number exactly: it is below 2^53 but for factors of two."""
+    factors = F.array(
+        *[F.struct(F.lit(str(2**i)).cast(_WHOLE).alias("power"), F.lit(str(2 ** (i + 53))).cast(_WHOLE).alias("limit")) for i in range(73)]
+    )
+    number = digits.try_cast(_WHOLE)
+    exact = F.exists(factors, lambda f: (number < f["limit"]) & (number % f["power"] == 0))
+    return F.when(F.length(digits) <= 15, True).when(F.length(digits) <= MOST_DIGITS, exact).otherwise(False)
+
+
 def answer_value(answer: Column | str) -> Column:
-    """The answer as BIGINT, or NULL if it is not an integer that a double holds exactly.
+    """The answer as plain digits with a sign only if negative, or NULL if it is not a whole
+    number that a double holds exactly.
 
     Surrounding space, a sign, leading zeros and single underscores between digits are
-    fine. Numbers beyond 64 bits and non-ASCII digits count as invalid.
+    fine. Non-ASCII digits and numbers of more than 38 digits count as invalid.
     """
     text = strip(answer)
-    value = F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")
-    exact = value.cast("double").try_cast("bigint") == value
-    return F.when(text.rlike(r"^[+-]?[0-9](_?[0-9])*$") & exact, value)
+    digits = F.regexp_replace(F.replace(text, F.lit("_"), F.lit("")), "^[+-]?0*(?=[0-9])", "")
+    sign = F.when(F.startswith(text, F.lit("-")) & (digits != "0"), "-").otherwise("")
+    return F.when(text.rlike(r"^[+-]?[0-9](_?[0-9])*$") & _double_holds(digits), F.concat(sign, digits))
+
+
+def numeric_order(value: Column | str) -> Column:
+    """A text by which values of ``answer_value`` sort as numbers."""
+    value = F.col(value) if isinstance(value, str) else value
+    digits = F.replace(value, F.lit("-"), F.lit(""))
+    size = F.length(digits)
+    positive = F.concat(F.lit("1"), F.lpad(size.cast("string"), 4, "0"), digits)
+    negative = F.concat(F.lit("0"), F.lpad((9999 - size).cast("string"), 4, "0"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(F.startswith(value, F.lit("-")), negative).otherwise(positive)
 
 
 def is_valid_answer(answer: Column | str) -> Column:
@@ -29,6 +55,6 @@ def is_valid_answer(answer: Column | str) -> Column:
 
 
 def floor_mod(value: Column | str, modulus: int = MODULUS) -> Column:
-    """Modulo with a result that is never negative."""
+    """Modulo of a value with a result that is never negative."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.pmod(value, F.lit(modulus).cast("bigint"))
+    return F.pmod(value.cast(_WHOLE), F.lit(modulus).cast(_WHOLE)).cast("bigint")

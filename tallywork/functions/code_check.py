@@ -9,13 +9,24 @@ from collections.abc import Collection
 BUILTINS = frozenset(dir(builtins))
 
 
+class TooDeep(SyntaxError):
+    """The code nests deeper than the parser follows."""
+
+
 def parsed(code: str) -> ast.Module | SyntaxError:
     try:
         return ast.parse(code)
     except SyntaxError as error:
         return error
-    except (ValueError, RecursionError, MemoryError) as error:
+    except ValueError as error:
         return SyntaxError(str(error))
+    except RecursionError as error:
+        return TooDeep(str(error))
+    except MemoryError as error:
+        # The parser reports its own depth limit like this. If memory for a tree can be had, it
+        # was that; if not, the task fails and is tried again.
+        bytearray(100 * len(code) + (64 << 20))
+        return TooDeep(str(error))
 
 
 def undefined_uses(tree: ast.AST, allowed: Collection[str]) -> dict[str, int]:
@@ -45,12 +56,13 @@ def undefined_uses(tree: ast.AST, allowed: Collection[str]) -> dict[str, int]:
     return {name: line for name, line in sorted(read.items()) if name not in known and name not in allowed}
 
 
-def check(code: str, allowed: Collection[str] = ()) -> tuple[bool, list[str]]:
-    """Does the code parse, and which names are undefined."""
+def finding(code: str, allowed: Collection[str] = ()) -> tuple[str, list[str]]:
+    """'ok', 'syntax_error', 'too_deep', or 'undefined' with the names."""
     tree = parsed(code)
     if isinstance(tree, SyntaxError):
-        return False, []
-    return True, list(undefined_uses(tree, allowed))
+        return "too_deep" if isinstance(tree, TooDeep) else "syntax_error", []
+    names = list(undefined_uses(tree, allowed))
+    return "undefined" if names else "ok", names
 
 
 # Errors raised where the text is cut into tokens or blocks, as the parser words them.

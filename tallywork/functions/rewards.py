@@ -85,12 +85,12 @@ def format_reward(completion: Column | str) -> Column:
 
 
 def correctness_reward(completion: Column | str, correct_answer: Column | str) -> Column:
-    """-2 .. 1; the boxed text is compared as text."""
+    """-2 .. 1; the boxed text is compared as text, and no text equals an unknown answer."""
     c, boxed = _col(completion), first_boxed(completion)
     score = (
         F.when((boxed == "") & ~F.contains(c, F.lit(PYTHON_FENCE)), -0.5)
         .when(boxed == "", 0.0)
-        .when(boxed != _col(correct_answer).cast("string"), -1.0)
+        .when(~boxed.eqNullSafe(_col(correct_answer).cast("string")), -1.0)
         .otherwise(1.0)
     )
     return score + _penalty(c)

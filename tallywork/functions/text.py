@@ -20,6 +20,9 @@ OUTPUT_SECTION = r"(?s)```output(.*?)```"
 THOUGHTS_SECTION = r"(?s)<thoughts>(.*?)</thoughts>"
 ANY_SECTION = r"(?s)(```python.*?```|```output.*?```)"
 CODE_BLOCK = r"(?sU)```python[\s\x1C-\x1F]*(.*?)[\s\x1C-\x1F]*```"
+# The same as Python spells it, and a box that is filled, for texts that are still growing.
+CODE_BLOCK_SO_FAR = r"```python\s*(.*?)\s*```"
+FILLED_BOX = r"oxed\{([^}\n]+)\}"
 CODE_LABEL = "[CODE REDACTED]"
 OUTPUT_LABEL = "[OUTPUT REDACTED]"
 THOUGHTS_LABEL = "[THOUGHTS REDACTED]"
@@ -166,11 +169,17 @@ def stdout_delta(output: Column | str, seen: Column | str) -> Column:
     return F.ltrim(_col(output), _col(seen))
 
 
-def clean_error_output(stdout: Column | str, stderr: Column | str, path: Column | str) -> Column:
-    """Error text with the script's path masked, printed output first if there is any."""
-    stdout, stderr = strip(stdout), strip(stderr)
-    masked = F.replace(stderr, _col(path), F.lit(MASKED_FILE))
-    return F.when(stdout != "", F.concat_ws("\n", stdout, masked)).otherwise(masked)
+def masked_error(stderr: Column | str, path: Column | str) -> Column:
+    """Error text with the script's path masked."""
+    return F.replace(strip(stderr), _col(path), F.lit(MASKED_FILE))
+
+
+def clean_error_output(stdout: Column | str, stderr: Column | str, path: Column | str, code: Column | str) -> Column:
+    """What a run that ended with return code ``code`` shows: a successful one its printed output
+    only, warnings left out; any other the printed output, if there is any, and the masked error.
+    """
+    stdout, masked = strip(stdout), masked_error(stderr, path)
+    return F.when(_col(code) == 0, stdout).when(stdout != "", F.concat_ws("\n", stdout, masked)).otherwise(masked)
 
 
 def error_line_prefix(code: Column | str, masked_error: Column | str) -> Column:
@@ -186,11 +195,6 @@ def error_line_prefix(code: Column | str, masked_error: Column | str) -> Column:
     return F.when(last.isNull(), code).otherwise(F.array_join(F.slice(lines, F.lit(1), upto), "\n"))
 
 
-def execution_outcome(output: Column | str) -> Column:
-    """timeout, error or ok, read off a logged output."""
-    output = _col(output)
-    return (
-        F.when(output.rlike(TIMED_OUT), "timeout")
-        .when(F.contains(output, F.lit(ERROR_LINE_MARK)), "error")
-        .otherwise("ok")
-    )
+def execution_outcome(error: Column | str, code: Column | str) -> Column:
+    """ok if the return code is 0, else timeout or error; a run that was cut off has no code."""
+    return F.when(_col(code) == 0, "ok").when(_col(error).rlike(TIMED_OUT), "timeout").otherwise("error")

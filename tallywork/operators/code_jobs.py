@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.functions.code_check import check, longest_valid_prefix
+from tallywork.functions.code_check import finding, longest_valid_prefix
 from tallywork.functions.text import CODE_BLOCK, open_code_suffix, replace_last
 
 # Fixed values of the roll-back rule.
@@ -26,25 +26,31 @@ def code_blocks(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def code_check_report(texts: DataFrame, allowed: Collection[str] = ()) -> DataFrame:
-    """Blocks per method and finding: 'ok', 'syntax_error', or 'undefined' with the name."""
+    """Blocks per method and finding: 'ok', 'syntax_error', 'too_deep', or 'undefined' with the name.
+
+    A block is parsed once, however many methods have it, with a count per method.
+    """
     allowed = frozenset(allowed)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = [check(code, allowed) for code in batch["code"]]
+            results = [finding(code, allowed) for code in batch["code"]]
             yield pd.DataFrame(
                 {
-                    "method": batch["method"],
-                    "blocks": batch["blocks"],
-                    "finding": ["syntax_error" if not ok else "undefined" if names else "ok" for ok, names in results],
+                    "counts": batch["counts"],
+                    "finding": [found for found, _ in results],
                     "names": [names or [None] for _, names in results],
                 }
             )
 
-    distinct = code_blocks(texts, "method").groupBy("method", "code").agg(F.count("*").alias("blocks"))
-    judged = distinct.mapInPandas(judge, "method string, blocks bigint, finding string, names array<string>")
+    per_method = code_blocks(texts, "method").groupBy("code", "method").agg(F.count("*").alias("blocks"))
+    # As many counts as there are methods.
+    distinct = per_method.groupBy("code").agg(F.collect_list(F.struct("method", "blocks")).alias("counts"))
+    counted = "counts array<struct<method:string,blocks:bigint>>"
+    judged = distinct.select("code", "counts").mapInPandas(judge, f"{counted}, finding string, names array<string>")
     return (
-        judged.select("method", "finding", "blocks", F.explode("names").alias("name"))
+        judged.select("finding", "names", F.inline("counts"))
+        .select("method", "finding", "blocks", F.explode("names").alias("name"))
         .groupBy("method", "finding", "name")
         .agg(F.sum("blocks").alias("blocks"))
     )

@@ -148,7 +148,7 @@ def running_prompt(chunks: DataFrame) -> DataFrame:
 # ---- Problem tables -----------------------------------------------------------------
 
 
-def sample_problems(problems: DataFrame, limit: int = 1000, seed: int = 43) -> DataFrame:
+def sample_problems(problems: DataFrame, limit: int, seed: int = 43) -> DataFrame:
     """A repeatable sample of at most ``limit`` problems."""
     mixed = F.md5(F.concat(F.col("id"), F.lit(f"-{seed}")).cast("binary"))
     return problems.orderBy(mixed, "id").limit(limit)

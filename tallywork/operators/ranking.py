@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BUCKET = 1 << 20
+from tallywork.operators.stages import written
 
 
-def grouped_positions(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    unique_id: str,
-    name: str = "position",
-    id_bucket: int = ID_BUCKET,
-) -> DataFrame:
+def grouped_positions(df: DataFrame, keys: list[str], order: list[str], unique_id: str, name: str = "position") -> DataFrame:
     """1-based position of each row in its group, ordered by ``order`` then ``unique_id``.
 
-    A plain ``row_number`` would sort a whole group in one task. Here a group is cut into
-    slices (one value of ``order`` and one range of ``unique_id``); rows are numbered per
-    slice and shifted by the number of rows in earlier slices. Only the slice counts of a
-    group meet in one task. ``order`` should be few-valued per group (seconds, ticks) and
-    ``unique_id`` a whole number.
+    Missing values come first, and rows with missing keys are groups of their own. A plain
+    ``row_number`` would sort a whole group in one task. Here the rows are range-partitioned
+    by all the columns, so a large group is spread over many partitions, however many
+    different values the order has; rows are numbered within partition and group, and shifted
+    by what the group has in earlier partitions: one row per partition and group. The
+    partitioned rows are a table, as another run of the sampling might cut them elsewhere.
     """
-    cut = "__slice"
-    sliced = df.withColumn(cut, F.floor(F.col(unique_id) / id_bucket))
-    slice_keys = [*keys, *order, cut]
-    earlier = Window.partitionBy(*keys).orderBy(*order, cut).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*slice_keys)
-        .agg(F.count("*").alias("__rows"))
-        .select(*slice_keys, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
-    )
-    within = Window.partitionBy(*slice_keys).orderBy(unique_id)
-    return (
-        sliced.join(offsets, slice_keys)
-        .withColumn(name, F.col("__offset") + F.row_number().over(within))
-        .select(*df.columns, name)
+    part = "__part"
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order, unique_id)])
+    table = written(ranged.withColumn(part, F.spark_partition_id()), "ranged")
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = table.groupBy(*keys, part).agg(F.count("*").alias("__rows")).select(
+        *[F.col(c).alias(f"__{c}") for c in keys], F.col(part).alias("__in"),
+        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"),
     )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], F.col(part) == F.col("__in"))
+    within = Window.partitionBy(*keys, part).orderBy(*[F.col(c).asc_nulls_first() for c in (*order, unique_id)])
+    numbered = table.withColumn(name, F.row_number().over(within))
+    return numbered.join(offsets, same).select(*df.columns, (F.col(name) + F.col("__offset")).alias(name))

@@ -17,8 +17,13 @@ REWARDS = ("style", "correctness", "format_logged", "length_logged", "correctnes
 
 
 def align_completions(completions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Pair each completion with its answer by key, never by position."""
-    return completions.join(answers, ["question_id", "generation_id"])
+    """Pair each completion with its answer by key, never by position; a missing question is a key too."""
+    keyed = answers.select(
+        F.col("question_id").alias("__question"), F.col("generation_id").alias("__generation"),
+        *[c for c in answers.columns if c not in ("question_id", "generation_id")],
+    )
+    same = F.col("question_id").eqNullSafe(F.col("__question")) & F.col("generation_id").eqNullSafe(F.col("__generation"))
+    return completions.join(keyed, same).drop("__question", "__generation")
 
 
 def weight_schedule(calls: DataFrame, total_calls: Column | int) -> DataFrame:
@@ -77,11 +82,12 @@ def group_advantage(scored: DataFrame, group: str = "question_id", reward: str =
     """Reward minus the mean reward of its group, without dividing by a deviation.
 
     The mean is aggregated and joined back, so that rows of a very large group stay spread:
-    a window would bring each group to one task.
+    a window would bring each group to one task. Rows without a group are one group. The
+    scores are used twice, so a frame that is costly to compute should be a table.
     """
-    means = scored.groupBy(group).agg(F.avg(reward).alias("__mean"))
+    means = scored.groupBy(F.col(group).alias("__group")).agg(F.avg(reward).alias("__mean"))
     return (
-        scored.join(means, group)
+        scored.join(means, F.col(group).eqNullSafe(F.col("__group")))
         .withColumn("advantage", F.col(reward) - F.col("__mean"))
         .select(*scored.columns, "advantage")
     )

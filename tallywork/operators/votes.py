@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod
+from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod, numeric_order
 from tallywork.operators.ranking import grouped_positions
 
 # Fixed values of the stop rules.
@@ -22,14 +22,14 @@ LEVELS = (1, 2, 3, 4, 5)
 
 def vote_weight(value: Column, count: Column) -> Column:
     """Twice the count, but once for zero: zero counts half. NULL for an invalid answer."""
-    return F.when(value.isNull(), None).when(value == 0, count).otherwise(count * 2)
+    return F.when(value.isNull(), None).when(value == "0", count).otherwise(count * 2)
 
 
 def vote_frequency(value: Column, count: Column) -> Column:
     """The count, for zero half of it rounded up; 0 for an invalid answer."""
     return (
         F.when(value.isNull(), F.lit(0).cast("bigint"))
-        .when(value == 0, F.floor((count + 1) / 2))
+        .when(value == "0", F.floor((count + 1) / 2))
         .otherwise(count)
     )
 
@@ -43,7 +43,7 @@ def vote_counts(answers: DataFrame, *more: str) -> DataFrame:
 def top_vote(answers: DataFrame) -> DataFrame:
     """Value with the largest (weight, value) per question; NULL if no answer is valid."""
     value, votes = F.col("value"), F.col("votes")
-    ballot = F.struct(vote_weight(value, votes).alias("weight"), value.alias("value"))
+    ballot = F.struct(vote_weight(value, votes).alias("weight"), numeric_order(value).alias("order"), value.alias("value"))
     return (
         vote_counts(answers)
         .groupBy("question_id")
@@ -63,7 +63,7 @@ def top_frequencies(answers: DataFrame, k: int = 3) -> DataFrame:
         "question_id", "value", vote_frequency(F.col("value"), F.col("votes")).alias("frequency")
     )
     # The rank filter reaches below the shuffle: a task passes on at most k rows per question.
-    order = Window.partitionBy("question_id").orderBy(F.desc("frequency"), F.desc_nulls_last("value"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("frequency"), numeric_order("value").desc_nulls_last())
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
@@ -128,29 +128,40 @@ def poll_snapshots(answers: DataFrame, deadline: float, poll: int = POLL_SECONDS
     )
 
 
+def last_poll(deadline: Column, poll: int = POLL_SECONDS) -> Column:
+    """``last_tick`` of a column of deadlines."""
+    return F.when(deadline >= 0, F.floor(deadline / poll) + 1).otherwise(0).cast("bigint")
+
+
 def early_stop_tick(
+    questions: DataFrame,
     answers: DataFrame,
-    deadline: float,
     poll: int = POLL_SECONDS,
     full_count: int = FULL_COUNT,
     enough_math: int = ENOUGH_MATH,
+    full_agreement: int | None = None,
 ) -> DataFrame:
     """First poll at which a question stops, the reason, and its answer then.
 
+    ``questions`` has question_id and its deadline, in seconds since it started. A question
+    without any answer stops at its deadline with the default. ``full_agreement`` replaces
+    the stop rule by one threshold (batch runs).
+
     The rules only ask how many values have a frequency of at least 1 .. 5. A frequency
     never falls, so a value enters each of these five sets once: entries are counted per
     poll and summed over the polls, and so is the running winner. No poll looks at the
-    answers again, and windows see at most one row per poll.
+    answers again, and windows see at most one row per poll up to the last one.
     """
-    last = last_tick(deadline, poll)
+    levels = LEVELS if full_agreement is None else (full_agreement,)
     math, value = F.col("method") == "math", F.col("value")
     rows = answers.select(
         "question_id", math.cast("bigint").alias("math"), answer_value("answer").alias("value"),
         poll_tick(F.col("arrival"), poll).alias("tick"),
     )
-    per_value = rows.groupBy("question_id", "value", "tick").agg(
-        F.count("*").alias("n"), F.sum("math").alias("n_math")
-    )
+    asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
+    counted = rows.groupBy("question_id", "value", "tick").agg(F.count("*").alias("n"), F.sum("math").alias("n_math"))
+    # Counts meet their question, not answers; what comes after the last poll ends here.
+    per_value = counted.join(asked, "question_id").where(F.col("tick") <= F.col("last")).drop("last")
     over_polls = Window.partitionBy("question_id", "value").orderBy("tick")
     running = per_value.withColumn("all_now", F.sum("n").over(over_polls)).withColumn(
         "math_now", F.sum("n_math").over(over_polls)
@@ -159,23 +170,23 @@ def early_stop_tick(
     def entries(scope: str, added: str) -> list[Column]:
         now = vote_frequency(value, F.col(scope))
         before = vote_frequency(value, F.col(scope) - F.col(added))
-        return [F.sum(((before < k) & (now >= k)).cast("bigint")).alias(f"{added}_{k}") for k in LEVELS]
+        return [F.sum(((before < k) & (now >= k)).cast("bigint")).alias(f"{added}_{k}") for k in levels]
 
-    ballot = F.struct(vote_weight(value, F.col("all_now")).alias("weight"), value.alias("value"))
+    ballot = F.struct(vote_weight(value, F.col("all_now")).alias("weight"), numeric_order(value).alias("order"), value.alias("value"))
     per_poll = running.groupBy("question_id", "tick").agg(
         F.sum("n").alias("n"), F.sum("n_math").alias("n_math"),
         *entries("all_now", "n"), *entries("math_now", "n_math"),
         F.max(F.when(value.isNotNull(), ballot)).alias("top"),
     )
-    # Polls after the last one are not looked at, but their questions stay.
-    in_time = F.col("tick") <= last
     so_far = Window.partitionBy("question_id").orderBy("tick")
-    sums = ["n", "n_math", *[f"{s}_{k}" for s in ("n", "n_math") for k in LEVELS]]
+    sums = ["n", "n_math", *[f"{s}_{k}" for s in ("n", "n_math") for k in levels]]
     state = per_poll.select(
         "question_id", "tick", *[F.sum(c).over(so_far).alias(c) for c in sums], F.max("top").over(so_far).alias("top")
     )
 
     def agreed(scope: str) -> Column:
+        if full_agreement is not None:
+            return F.col(f"{scope}_{full_agreement}") >= 1
         have = [None, *[F.col(f"{scope}_{k}") for k in LEVELS]]
         return (
             ((have[2] >= 1) & (have[1] <= 1))
@@ -185,22 +196,20 @@ def early_stop_tick(
         )
 
     reason = (
-        F.when(~in_time, None)
-        .when(agreed("n_math"), "math_agrees")
+        F.when(agreed("n_math"), "math_agrees")
         .when(agreed("n"), "all_agree")
         .when(F.col("n") == full_count, "all_in")
         .when(F.col("n_math") >= enough_math, "enough_math")
     )
     found = F.struct("tick", F.col("reason"), F.col("top.value").alias("value"))
     ends = state.withColumn("reason", reason).groupBy("question_id").agg(
-        F.min(F.when(F.col("reason").isNotNull(), found)).alias("stop"),
-        F.max_by("top.value", F.when(in_time, F.col("tick"))).alias("last_value"),
+        F.min(F.when(F.col("reason").isNotNull(), found)).alias("stop"), F.max_by("top.value", "tick").alias("last_value"),
     )
     stopped = F.col("stop").isNotNull()
     chosen = F.when(stopped, F.col("stop.value")).otherwise(F.col("last_value"))
-    return ends.select(
+    return asked.join(ends, "question_id", "left").select(
         "question_id",
-        F.when(stopped, F.col("stop.tick")).otherwise(F.lit(last).cast("bigint")).alias("tick"),
+        F.when(stopped, F.col("stop.tick")).otherwise(F.col("last")).alias("tick"),
         F.coalesce(F.col("stop.reason"), F.lit("deadline")).alias("reason"),
         F.coalesce(floor_mod(chosen), F.lit(DEFAULT_ANSWER).cast("bigint")).alias("answer"),
     )

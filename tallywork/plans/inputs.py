@@ -1,7 +1,7 @@
 """Inputs of the registered queries, derived from the given tables.
 
-Every input is one SELECT over whole tables without a shuffle. The same text feeds Spark
-and the SQL check, apart from the name of the string type.
+Every input is one SELECT over whole tables, without a shuffle but for the DISTINCT of the
+questions. The same text feeds Spark and the SQL check, apart from the name of the string type.
 """
 
 from __future__ import annotations
@@ -22,11 +22,22 @@ SELECT user_id * 10 + event_id % 5 AS question_id,
             WHEN event_id % 31 = 0 THEN '+2'    WHEN event_id % 37 = 0 THEN '002'
             WHEN event_id % 41 = 0 THEN '1_000' WHEN event_id % 43 = 0 THEN '9007199254740993'
             WHEN event_id % 47 = 0 THEN '-0'    WHEN event_id % 53 = 0 THEN '1e3'
+            WHEN event_id % 59 = 0 THEN '100000000000000000000'          WHEN event_id % 61 = 0 THEN '100000000000000000001'
+            WHEN event_id % 67 = 0 THEN '633825300114114700748351602688' WHEN event_id % 71 = 0 THEN '633825300114114700748351602689'
+            WHEN event_id % 73 = 0 THEN '-00100_000_000_000_000_000_000'
             WHEN user_id % 7 = 3 THEN CAST(event_id AS STRING)
             ELSE CAST(CAST(floor(value) AS BIGINT) % 5 AS STRING) END AS answer
 FROM {events}
 """
 
+# The same with continuous arrivals, and gaps in question, method and arrival.
+ARRIVALS = f"""
+SELECT CASE WHEN generation_id % 97 <> 3 THEN question_id END AS question_id, generation_id,
+       CASE WHEN generation_id % 89 <> 5 THEN method END AS method,
+       CASE WHEN generation_id % 83 <> 7 THEN arrival + (generation_id % 1009) / 1009e0 END AS arrival, answer
+FROM ({ANSWERS}) AS timed
+"""
+
 # Questions asked, among them some without any answer.
 QUESTIONS = """
 SELECT DISTINCT user_id * 10 + event_id % 6 AS question_id FROM {events}
@@ -39,12 +50,13 @@ SELECT CAST(doc_id AS STRING) AS id, doc_id AS position, text AS problem,
 FROM {documents}
 """
 
-# Completions in six shapes: right, code, answer and empty box, both, no marker, neither.
+# Completions in six shapes: right, code, answer and empty box, both, no marker, neither; some
+# without a known answer or a question.
 # Four completions answer one prompt, sixteen make one training call.
 COMPLETIONS = """
-SELECT CAST(floor(doc_id / 4.0) AS BIGINT) AS question_id, doc_id AS generation_id,
+SELECT CASE WHEN doc_id % 40 < 38 THEN CAST(floor(doc_id / 4.0) AS BIGINT) END AS question_id, doc_id AS generation_id,
        CAST(floor(doc_id / 16.0) AS BIGINT) + 1 AS call_idx,
-       CAST(floor(doc_id / 4.0) AS BIGINT) % 10 AS correct_answer,
+       CASE WHEN doc_id % 21 <> 2 THEN CAST(floor(doc_id / 4.0) AS BIGINT) % 10 END AS correct_answer,
        replace(text, '. ', '.' || chr(10) || chr(10)) ||
        CASE doc_id % 7
          WHEN 0 THEN '</think> ' || chr(92) || 'boxed' || chr(123)
@@ -87,13 +99,17 @@ SELECT doc_id, lang,
 FROM {documents}
 """
 
-# Logged runs of code: fine, failed with a traceback, timed out, failed to parse.
+# Logged runs of code: fine, failed with a traceback, timed out, failed to parse, fine with a
+# warning, killed without a word about a file.
 EXECUTIONS = """
 SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS code,
        '/tmp/run' || CAST(doc_id AS STRING) || '/tmp.py' AS path,
        CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || ' seen ' || chr(10) ELSE text END AS stdout,
-       CASE doc_id % 4
+       CASE doc_id % 6 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 2 THEN NULL WHEN 5 THEN -9 ELSE 1 END AS returncode,
+       CASE doc_id % 6
          WHEN 0 THEN ''
+         WHEN 4 THEN '/tmp/run' || CAST(doc_id AS STRING) || '/tmp.py:1: SyntaxWarning: "is" with a literal'
+         WHEN 5 THEN 'Killed'
          WHEN 1 THEN 'Traceback (most recent call last):' || chr(10) || '  File "/tmp/run' || CAST(doc_id AS STRING)
                      || '/tmp.py", line ' || CAST(doc_id % 9 + 3 AS STRING) || ', in <module>' || chr(10)
                      || '    f()' || chr(10) || '  File "/tmp/run' || CAST(doc_id AS STRING)
@@ -183,7 +199,7 @@ SELECT doc_id, doc_id % 4 AS shape, text || '```python' || chr(10) || CASE doc_i
 FROM {documents}
 """
 
-# Assistant turns cut into pieces of 16 characters; a turn is one request of a generation.
+# Turns of all roles, cut into pieces of 16 characters; a turn is one request of a generation.
 PLANTED_TURNS = """
 SELECT conv_id AS generation_id, turn AS request_counter,
        CASE WHEN (conv_id + turn) % 2 = 0 THEN 'math' ELSE 'code' END AS method,
@@ -194,11 +210,11 @@ SELECT conv_id AS generation_id, turn AS request_counter,
          WHEN 2 THEN '```python' || chr(10) || '```' || text
          WHEN 3 THEN '```python' || chr(10) || 'y = oxed' || chr(123) || '8' || chr(125) || chr(10) || '``` ' || text
          ELSE '' END AS text
-FROM {conversations} WHERE length(text) > 0
+FROM {conversations}
 """
 
 INPUTS = {
-    "answers": ANSWERS, "questions": QUESTIONS, "problems": PROBLEMS, "completions": COMPLETIONS,
+    "answers": ANSWERS, "arrivals": ARRIVALS, "questions": QUESTIONS, "problems": PROBLEMS, "completions": COMPLETIONS,
     "texts": TEXTS, "executions": EXECUTIONS, "logs": LOGS, "log_problems": LOG_PROBLEMS,
     "training_logs": TRAINING_LOGS, "turns": PLANTED_TURNS,
     "code_texts": CODE_TEXTS, "buffers": BUFFERS,
@@ -206,20 +222,9 @@ INPUTS = {
 PIECE = 16
 
 
-# Tables of long texts, and the key that spreads their rows.
-TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One of texts with fewer splits than cores is spread over the cores.
-
-    A large table has far more splits than cores and is read as it lies.
-    """
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, *TEXT_KEYS[name])
-    return rows
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def derive(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:

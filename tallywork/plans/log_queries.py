@@ -17,12 +17,12 @@ KNOWN = """known AS (SELECT question_id, CAST(answer AS VARCHAR) AS correct_answ
   QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY position DESC) = 1)"""
 CHUNKS = f"""chunks AS (SELECT generation_id, request_counter, method, chunk_idx, substr(text, chunk_idx * {PIECE} + 1, {PIECE}) AS chunk,
     (chunk_idx + 1) * {PIECE} >= length(text) AS is_last
-  FROM (SELECT *, unnest(generate_series(0, (length(text) - 1) // {PIECE})) AS chunk_idx FROM fx_turns))"""
+  FROM (SELECT *, unnest(generate_series(0, greatest(length(text) - 1, 0) // {PIECE})) AS chunk_idx FROM fx_turns))"""
 
 
 def cut_pieces(turns):
-    """Texts as a stream of chunks, the last one marked."""
-    last = F.floor((F.length("text") - 1) / PIECE)
+    """Texts as a stream of chunks, the last one marked; an empty text is one empty chunk."""
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE)
     start = (F.col("chunk_idx") * PIECE + 1).cast("int")
     return turns.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_idx")).select(
         "generation_id", "request_counter", "method", "chunk_idx",
@@ -213,9 +213,9 @@ def publish_questions(spark, folder):
 
 
 @query("sample_problems", with_inputs("""
-SELECT id, problem, answer FROM fx_problems ORDER BY md5(id || '-43'), id LIMIT 1000""", "problems"))
+SELECT id, problem, answer FROM fx_problems ORDER BY md5(id || '-43'), id LIMIT 150""", "problems"))
 def sample_problems(spark, folder):
-    return logs.sample_problems(read_input(spark, folder, "problems").select("id", "problem", "answer"))
+    return logs.sample_problems(read_input(spark, folder, "problems").select("id", "problem", "answer"), limit=150)
 
 
 @query("select_questions", with_inputs("""

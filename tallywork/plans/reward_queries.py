@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,7 +41,7 @@ rewards AS (
          (1 + list_sum(list_transform(parts, lambda p: {_preference('length(p)', 100, 0.9)} * (length(p) + 100))))
            / (1 + list_sum(list_transform(parts, lambda p: length(p) + 100))) + penalty AS format_reward,
          CASE WHEN boxed = '' AND NOT contains(completion, '```python') THEN -0.5 WHEN boxed = '' THEN 0
-              WHEN boxed <> CAST(correct_answer AS VARCHAR) THEN -1 ELSE 1 END + penalty AS correctness_reward
+              WHEN boxed IS DISTINCT FROM CAST(correct_answer AS VARCHAR) THEN -1 ELSE 1 END + penalty AS correctness_reward
   FROM measured),
 calls AS (SELECT count(*) // {PER_CALL} AS total FROM fx_completions),
 weights AS (
@@ -155,9 +156,10 @@ def reward_weight_schedule(spark, folder):
 WITH r AS (SELECT question_id, generation_id, CAST(-abs(100 - length(completion)) AS DOUBLE) AS reward FROM fx_completions)
 SELECT *, round(reward - avg(reward) OVER (PARTITION BY question_id), 6) + 0e0 AS advantage FROM r""", "completions"))
 def group_advantage(spark, folder):
-    rewards = _completions(spark, folder).select(
+    # The texts are read once; the narrow rewards feed both the mean and the difference.
+    rewards = written(_completions(spark, folder).select(
         "question_id", "generation_id", rw.char_length_reward("completion").alias("reward")
-    )
+    ), "rewards")
     return _round(scoring.group_advantage(rewards, reward="reward"), "advantage")
 
 
@@ -186,7 +188,7 @@ def scored_groups(spark, folder):
 
 @query("align_completions", with_inputs("""
 SELECT c.question_id, c.generation_id, c.call_idx, c.completion, a.correct_answer
-FROM fx_completions c JOIN fx_completions a ON a.question_id = c.question_id AND a.generation_id = c.generation_id
+FROM fx_completions c JOIN fx_completions a ON a.question_id IS NOT DISTINCT FROM c.question_id AND a.generation_id = c.generation_id
 """, "completions"))
 def align_completions(spark, folder):
     completions = _completions(spark, folder)
@@ -195,15 +197,21 @@ def align_completions(spark, folder):
 
 
 @F.pandas_udf(DoubleType())
-def _exclamations(completion: pd.Series) -> pd.Series:
-    return completion.str.count("!").astype("float64")
+def _parity(generation: pd.Series) -> pd.Series:
+    """The contract of a reward in Python, on a narrow column."""
+    return (generation % 2).astype("float64")
+
+
+def _exclamations(completion: Column) -> Column:
+    return F.regexp_count(completion, F.lit("!")).cast("double")
 
 
 @query("custom_rewards", _sql("""
 SELECT r.generation_id, CAST(-abs(100 - length(completion)) AS DOUBLE) AS length_distance,
        CAST(correctness_reward AS DOUBLE) AS correct,
-       0.1e0 * len(regexp_extract_all(completion, '!')) AS exclamations,
-       round(-abs(100 - length(completion)) + correctness_reward + 0.1e0 * len(regexp_extract_all(completion, '!')), 6) + 0e0 AS total_reward
+       0.1e0 * len(regexp_extract_all(completion, '!')) AS exclamations, 2e0 * (r.generation_id % 2) AS parity,
+       round(-abs(100 - length(completion)) + correctness_reward + 0.1e0 * len(regexp_extract_all(completion, '!'))
+             + 2 * (r.generation_id % 2), 6) + 0e0 AS total_reward
 FROM rewards r JOIN fx_completions c ON c.generation_id = r.generation_id"""))
 def custom_rewards(spark, folder):
     rewards = (
@@ -211,5 +219,6 @@ def custom_rewards(spark, folder):
         .add("length_distance", rw.char_length_reward)
         .add("correct", rw.correctness_reward, "completion", "correct_answer")
         .add("exclamations", _exclamations, weight=0.1)
+        .add("parity", _parity, "generation_id", weight=2.0)
     )
     return _round(rewards.apply(_completions(spark, folder), ["generation_id"]), "total_reward")

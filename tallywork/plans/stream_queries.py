@@ -1,64 +1,122 @@
-"""Streams over the given tables, run until the input is used up."""
+"""Streams over the given tables, delivered in waves.
+
+Each wave is written and then read by the same queries started anew, which go on where they
+ended. Some answers come with a later wave than their time; those beyond the delay are late.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.plans.inputs import INPUTS, derive, with_inputs
+from tallywork.plans.inputs import PIECE, read_input, with_inputs
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.plans.registry import query
 from tallywork.plans.text_queries import BOX_LAST, REDACTED
-from tallywork.plans.vote_queries import DEADLINE, STOPS, TOP3, VALUED
+from tallywork.plans.vote_queries import STOPS, TOP3, VALUED, deadlines
+from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_and_stream, run_available, stream_files
+from tallywork.streaming.runs import run_and_stream, run_available, split_late, stream_files
 
 EPOCH = 1_700_000_000
+DELAY = "130 seconds"
+# These streams are small; a large one keeps the session's number of shuffle partitions.
+PARTITIONS = 8
+
+WAVE = "CASE WHEN generation_id % 40 = 7 AND arrival < 100 THEN 2 ELSE least(floor(arrival / 120), 2) END"
+IN_TIME = f"""
+waves AS (SELECT *, {WAVE} AS wave FROM fx_answers),
+newest AS (SELECT wave, max(max(arrival)) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+           FROM waves GROUP BY wave),
+in_time AS (SELECT waves.* FROM waves JOIN newest USING (wave) WHERE newest IS NULL OR arrival >= newest - 130)
+"""
+
 
+def _timely(sql: str) -> str:
+    return sql.replace("fx_answers", "in_time")
 
-def stream_input(spark, folder, name):
-    """A derived input over streamed tables."""
-    tables = {
-        t: stream_files(spark, f"{folder}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", INPUTS[name]))
-    }
-    return derive(spark, INPUTS[name], **tables)
 
+def in_waves(spark, rows: DataFrame, count: int, delay: str, then: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Deliver ``rows`` by their ``wave``, with ``then`` run on what is in time; its last result, and what was late."""
+    folder = run_folder(spark, "waves")
+    plain = rows.drop("wave")
+    for i in range(count):
+        rows.where(F.col("wave") == i).select(plain.columns).write.parquet(f"{folder}/input/wave={i}")
+        stream = stream_files(spark, f"{folder}/input/wave=*", schema=plain.schema)
+        in_time, late = split_late(stream, "ts", delay, "split", f"{folder}/split")
+        result = then(in_time, folder)
+    return result, late
 
-def _timed_answers(spark, folder):
-    return stream_input(spark, folder, "answers").withColumn("ts", F.timestamp_seconds(F.col("arrival") + EPOCH))
 
+def _answers(spark, folder):
+    answers = read_input(spark, folder, "answers")
+    return answers.withColumns({"ts": F.timestamp_seconds(F.col("arrival") + EPOCH), "wave": F.expr(WAVE)})
 
-@query("poll_counts_stream", with_inputs("""
-SELECT CAST(arrival // 20 + 1 AS BIGINT) AS poll, method, count(*) AS arrived FROM fx_answers GROUP BY ALL""", "answers"))
+
+@query("poll_counts_stream", with_inputs(f"""
+WITH {IN_TIME} SELECT CAST(arrival // 20 + 1 AS BIGINT) AS poll, method, count(*) AS arrived FROM in_time GROUP BY ALL""", "answers"))
 def poll_counts_stream(spark, folder):
-    counts = live_votes.poll_counts(_timed_answers(spark, folder)).select(
-        F.floor((F.unix_seconds("poll.end") - EPOCH) / 20).alias("poll"), "method", "arrived"
-    )
-    updates = run_available(counts, "poll_counts", "update")
+    def count(answers, home):
+        counts = live_votes.poll_counts(answers, DELAY).select(
+            F.floor((F.unix_seconds("poll.end") - EPOCH) / 20).alias("poll"), "method", "arrived"
+        )
+        return run_available(counts, "poll_counts", "update", PARTITIONS, f"{home}/polls")
+
+    updates, _ = in_waves(spark, _answers(spark, folder), 3, DELAY, count)
     # A window's count only grows.
     return updates.groupBy("poll", "method").agg(F.max("arrived").alias("arrived"))
 
 
+@query("late_answers_stream", with_inputs(f"""
+WITH {IN_TIME} SELECT question_id, generation_id, method, answer, true AS late
+FROM waves ANTI JOIN in_time USING (generation_id)""", "answers"))
+def late_answers_stream(spark, folder):
+    _, late = in_waves(spark, _answers(spark, folder), 3, DELAY, lambda answers, home: answers)
+    return late.select("question_id", "generation_id", "method", "answer", "late")
+
+
 @query("live_votes_stream", with_inputs(f"""
-WITH {VALUED}, {TOP3},
+WITH {IN_TIME}, asked AS (SELECT question_id, CAST(trunc(20 + (question_id % 37 + 1) * (400 - 20) / 37e0) AS BIGINT) AS deadline FROM fx_questions),
+open AS (SELECT in_time.* FROM in_time JOIN asked USING (question_id) WHERE arrival <= deadline), {VALUED.replace("fx_answers", "open")}, {TOP3},
 cast_votes AS (SELECT question_id, count(*) AS votes FROM valued WHERE v IS NOT NULL GROUP BY question_id)
 SELECT question_id, votes, highest, second, third,
        ((highest >= 2 AND second <= 0 AND third <= 0) OR (highest >= 3 AND second <= 1)
-        OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, ((v % 1000) + 1000) % 1000 AS answer
-FROM cast_votes JOIN top3 USING (question_id) JOIN ranked USING (question_id) WHERE rn = 1""", "answers"))
+        OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, CAST(((v % 1000) + 1000) % 1000 AS BIGINT) AS answer
+FROM cast_votes JOIN top3 USING (question_id) JOIN ranked USING (question_id) WHERE rn = 1""", "answers", "questions"))
 def live_votes_stream(spark, folder):
-    counts = run_and_stream(live_votes.running_votes(_timed_answers(spark, folder)), "running_votes")
-    history = run_available(live_votes.live_votes(counts), "live_votes")
+    closing = deadlines(read_input(spark, folder, "questions")).select(
+        "question_id", F.timestamp_seconds(F.col("deadline") + EPOCH).alias("closes")
+    )
+
+    def vote(answers, home):
+        running = live_votes.running_votes(answers, until="closes", delay=DELAY)
+        counts = run_and_stream(running, "running_votes", PARTITIONS, f"{home}/running")
+        return run_available(live_votes.live_votes(counts, DELAY), "live_votes", "append", PARTITIONS, f"{home}/live")
+
+    history, _ = in_waves(spark, _answers(spark, folder).join(closing, "question_id"), 3, DELAY, vote)
     return live_votes.latest_votes(history)
 
 
-@query("early_stop_stream", with_inputs(f"WITH {VALUED}, {STOPS} SELECT * FROM stops", "answers"))
+@query("early_stop_stream", with_inputs(f"WITH {IN_TIME}, {_timely(VALUED)}, {STOPS} SELECT * FROM stops", "answers", "questions"))
 def early_stop_stream(spark, folder):
-    answers = stream_input(spark, folder, "answers").withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
-    polls = run_and_stream(live_votes.closed_polls(answers), "closed_polls")
-    counts = run_and_stream(live_votes.running_polls(polls), "running_polls")
-    return run_available(live_votes.early_stop(counts, DEADLINE), "early_stop")
+    questions = deadlines(read_input(spark, folder, "questions"))
+    answers = _answers(spark, folder)
+    # Two ticks of the clock behind the last deadline.
+    clock = spark.range(2).select(
+        ((F.col("id") + 1) * 10_000).alias("arrival"), (F.col("id") + 3).alias("wave"), F.timestamp_seconds((F.col("id") + 1) * 10_000 + EPOCH).alias("ts")
+    )
+    rows = answers.withColumn("wave", F.col("wave").cast("long")).unionByName(clock, allowMissingColumns=True)
+
+    def stop(timed, home):
+        started = timed.withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
+        polls = run_and_stream(live_votes.closed_polls(started, questions, DELAY), "closed_polls", PARTITIONS, f"{home}/polls")
+        counts = run_and_stream(live_votes.running_polls(polls), "running_polls", PARTITIONS, f"{home}/running")
+        return run_available(live_votes.early_stop(counts), "early_stop", "append", PARTITIONS, f"{home}/stops")
+
+    stops, _ = in_waves(spark, rows, 5, DELAY, stop)
+    return live_votes.with_unanswered(questions, stops)
 
 
 @query("assemble_generations_stream", with_inputs(f"""
@@ -66,19 +124,36 @@ WITH boxes AS (
   SELECT generation_id, request_counter, method, text,
          length(regexp_extract(text, CASE WHEN method = 'math' THEN '(?s)^.*?oxed\\{{[^}}\\n]+\\}}'
                                           ELSE '(?s)^.*?```python\\s*[^`\\s].*?\\s*```' END)) AS stop_at FROM fx_turns),
-cut AS (SELECT *, CASE WHEN stop_at > 0 THEN (stop_at + 15) // 16 ELSE (length(text) + 15) // 16 END AS chunks FROM boxes),
-texts AS (SELECT generation_id, request_counter, method, chunks, substr(text, 1, chunks * 16) AS text,
-       CASE WHEN stop_at = 0 THEN 'stop_token' WHEN method = 'math' THEN 'boxed' ELSE 'code_block' END AS reason FROM cut)
+cut AS (SELECT *, greatest(CASE WHEN stop_at > 0 THEN (stop_at + {PIECE - 1}) // {PIECE} ELSE (length(text) + {PIECE - 1}) // {PIECE} END, 1) AS n,
+               greatest((length(text) + {PIECE - 1}) // {PIECE}, 1) AS whole FROM boxes),
+texts AS (SELECT generation_id, request_counter, method, n AS chunks, substr(text, 1, n * {PIECE}) AS text,
+       CASE WHEN stop_at = 0 THEN 'stop_token' WHEN method = 'math' THEN 'boxed' ELSE 'code_block' END AS reason,
+       CAST(NULL AS BIGINT) AS missing FROM cut WHERE NOT (generation_id % 7 = 3 AND n > 1)
+  UNION ALL SELECT generation_id, request_counter, method, whole - 1, substr(text, 1, {PIECE}) || substr(text, {2 * PIECE + 1}), 'expired',
+       CASE WHEN whole > 2 THEN 1 END FROM cut WHERE generation_id % 7 = 3 AND n > 1)
 SELECT *, CASE WHEN method = 'math' THEN {BOX_LAST.format(c='text')}
                ELSE {BOX_LAST.format(c=REDACTED.format(c='text'))} END AS answer FROM texts""", "turns"))
 def assemble_generations_stream(spark, folder):
-    chunks = cut_pieces(stream_input(spark, folder, "turns"))
-    chunks = chunks.withColumn("ts", F.timestamp_seconds(F.col("chunk_idx") + EPOCH))
-    return run_available(generations.assemble_generations(chunks), "generations")
+    """The second chunk of some generations never comes, and the third of others comes last."""
+    chunks = cut_pieces(read_input(spark, folder, "turns")).where("NOT (generation_id % 7 = 3 AND chunk_idx = 1)")
+    wave = F.when((F.col("generation_id") % 5 == 1) & (F.col("chunk_idx") == 2), 1).otherwise((F.col("chunk_idx") >= 40).cast("int"))
+    chunks = chunks.withColumns({"ts": F.timestamp_seconds(F.col("chunk_idx") + EPOCH), "wave": wave.cast("long")})
+    clock = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("generation_id"), F.col("id").alias("request_counter"), F.lit("code").alias("method"),
+        F.lit(0).cast("bigint").alias("chunk_idx"), F.lit("").alias("chunk"), F.lit(True).alias("is_last"),
+        F.timestamp_seconds((F.col("id") + 1) * 1_000_000 + EPOCH).alias("ts"), (F.col("id") + 2).alias("wave"),
+    )
+
+    def assemble(timed, home):
+        done = generations.assemble_generations(timed, delay="1 hour", idle="1 day")
+        return run_available(done, "generations", "append", PARTITIONS, f"{home}/done")
 
+    done, _ = in_waves(spark, chunks.unionByName(clock), 4, "1 hour", assemble)
+    return done.where("generation_id >= 0")
 
-@query("throttle_stream", with_inputs("""
-WITH times AS (SELECT DISTINCT question_id, arrival FROM fx_answers),
+
+@query("throttle_stream", with_inputs(f"""
+WITH {IN_TIME}, times AS (SELECT DISTINCT question_id, arrival FROM in_time),
 next AS (SELECT a.question_id, a.arrival, min(b.arrival) AS following FROM times a
          LEFT JOIN times b ON b.question_id = a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
 kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY question_id
@@ -86,5 +161,9 @@ kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY questio
          JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
 SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttle_stream(spark, folder):
-    checks = _timed_answers(spark, folder).select("question_id", "arrival", "ts")
-    return run_available(generations.throttle(checks, "question_id", "arrival", 5), "throttle")
+    def keep(checks, home):
+        kept = generations.throttle(checks, "question_id", "arrival", DELAY, 5)
+        return run_available(kept, "throttle", "append", PARTITIONS, f"{home}/kept")
+
+    kept, _ = in_waves(spark, _answers(spark, folder).select("question_id", "arrival", "ts", "wave"), 3, DELAY, keep)
+    return kept

@@ -122,14 +122,15 @@ def stdout_delta(spark, folder):
 
 
 CLEANED = (
-    "SELECT doc_id, code, CASE WHEN o <> '' THEN o || chr(10) || e ELSE e END AS output, e AS error FROM (SELECT doc_id, code, "
+    "SELECT doc_id, code, returncode, CASE WHEN returncode = 0 THEN o WHEN o <> '' THEN o || chr(10) || e ELSE e END AS output, "
+    "e AS error FROM (SELECT doc_id, code, returncode, "
     f"{STRIP.format(c='stdout')} AS o, replace({STRIP.format(c='stderr')}, path, '<temporary_file>') AS e FROM fx_executions)"
 )
 
 
 def _cleaned(spark, folder):
     runs = read_input(spark, folder, "executions")
-    return runs.withColumn("output", tx.clean_error_output("stdout", "stderr", "path"))
+    return runs.withColumn("output", tx.clean_error_output("stdout", "stderr", "path", "returncode"))
 
 
 @query("clean_error_output", with_inputs(f"SELECT doc_id, output FROM ({CLEANED})", "executions"))
@@ -144,14 +145,13 @@ FROM (SELECT doc_id, code, TRY_CAST(regexp_extract_all(error, 'File "<temporary_
       FROM ({CLEANED}))""", "executions"))
 def error_line_prefix(spark, folder):
     runs = read_input(spark, folder, "executions")
-    masked = tx.clean_error_output(F.lit(""), "stderr", "path")
+    masked = tx.masked_error("stderr", "path")
     return runs.select("doc_id", tx.error_line_prefix("code", masked).alias("prefix"))
 
 
 @query("execution_outcome", with_inputs(f"""
-SELECT doc_id, CASE WHEN regexp_full_match(error, 'Execution timed out after [0-9]+ seconds\\.') THEN 'timeout'
-                    WHEN contains(error, 'File "<temporary_file>", line ') THEN 'error' ELSE 'ok' END AS outcome
+SELECT doc_id, CASE WHEN returncode = 0 THEN 'ok' WHEN regexp_full_match(error, 'Execution timed out after [0-9]+ seconds\\.') THEN 'timeout' ELSE 'error' END AS outcome
 FROM ({CLEANED})""", "executions"))
 def execution_outcome(spark, folder):
-    masked = tx.clean_error_output(F.lit(""), "stderr", "path")
-    return read_input(spark, folder, "executions").select("doc_id", tx.execution_outcome(masked).alias("outcome"))
+    outcome = tx.execution_outcome(tx.masked_error("stderr", "path"), "returncode")
+    return read_input(spark, folder, "executions").select("doc_id", outcome.alias("outcome"))

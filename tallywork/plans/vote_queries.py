@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywork.functions.answers import answer_value, floor_mod, is_valid_answer
-from tallywork.operators import votes
+from tallywork.operators import budget, votes
 from tallywork.plans.inputs import read_input, with_inputs
 from tallywork.plans.registry import query
 
@@ -14,9 +14,10 @@ DEADLINE = 210
 # Answers with their whole-number value, NULL if invalid.
 VALUED = """
 valued AS (
-  SELECT * EXCLUDE (num, ok), CASE WHEN ok AND TRY_CAST(CAST(num AS DOUBLE) AS BIGINT) = num THEN num END AS v
-  FROM (SELECT *, regexp_full_match(trim(answer), '[+-]?[0-9](_?[0-9])*') AS ok,
-               TRY_CAST(replace(trim(answer), '_', '') AS BIGINT) AS num FROM fx_answers)),
+  SELECT * EXCLUDE (num, ok), CASE WHEN ok AND len(list_filter(range(73), lambda i : abs(num) % (CAST(1 AS HUGEINT) << CAST(i AS INT)) = 0
+                AND abs(num) < (CAST(1 AS HUGEINT) << CAST(i + 53 AS INT)))) > 0 THEN num END AS v
+  FROM (SELECT *, regexp_full_match(trim(answer), '[+-]?[0-9](_?[0-9])*') AND len(ltrim(replace(trim(answer), '_', ''), '+-0')) <= 38 AS ok,
+               TRY_CAST(replace(replace(trim(answer), '_', ''), '+', '') AS HUGEINT) AS num FROM fx_answers)),
 counted AS (SELECT question_id, v, count(*) AS c FROM valued GROUP BY ALL),
 freq AS (SELECT question_id, v, CASE WHEN v IS NULL THEN 0 WHEN v = 0 THEN (c + 1) // 2 ELSE c END AS f FROM counted),
 ranked AS (SELECT question_id, v, CASE WHEN v = 0 THEN c ELSE 2 * c END AS w,
@@ -34,15 +35,23 @@ def _rule(h: str, s: str, t: str) -> str:
 
 
 def _sql(body: str, *more: str) -> str:
-    return with_inputs(f"WITH {VALUED}{''.join(', ' + m for m in more)} {body}", "answers")
+    inputs = ("answers", "questions") if STOPS in more else ("answers",)
+    return with_inputs(f"WITH {VALUED}{''.join(', ' + m for m in more)} {body}", *inputs)
 
 
+def deadlines(questions):
+    """Questions with a deadline each, in seconds since the start."""
+    return budget.budget_schedule(questions.withColumn("idx", F.col("question_id") % SCHEDULE["count"] + 1), **SCHEDULE)
+
+
+# A deadline for each question, from a schedule of the length of these arrivals.
+SCHEDULE = {"start": 0, "count": 37, "total": 400, "loading": 20}
 STOPS = f"""
-ticks AS (SELECT question_id, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT question_id FROM valued),
-                 generate_series(1, {DEADLINE // 20 + 1}) AS g(t)),
-seen AS (SELECT k.question_id, k.t, x.method, x.v FROM ticks k
+asked AS (SELECT question_id, CAST(trunc(20 + (question_id % 37 + 1) * (400 - 20) / 37e0) AS BIGINT) // 20 + 1 AS final FROM fx_questions),
+ticks AS (SELECT question_id, final, CAST(unnest(generate_series(1, final)) AS BIGINT) AS t FROM asked),
+seen AS (SELECT k.question_id, k.final, k.t, x.method, x.v FROM ticks k
          LEFT JOIN valued x ON x.question_id = k.question_id AND x.arrival <= 20 * k.t),
-totals AS (SELECT question_id, t, count(method) AS n, count(*) FILTER (method = 'math') AS m FROM seen GROUP BY ALL),
+totals AS (SELECT question_id, final, t, count(method) AS n, count(*) FILTER (method = 'math') AS m FROM seen GROUP BY ALL),
 by_value AS (SELECT question_id, t, v, count(*) AS c, count(*) FILTER (method = 'math') AS cm FROM seen
              WHERE v IS NOT NULL GROUP BY ALL),
 by_tick AS (SELECT question_id, t,
@@ -53,20 +62,20 @@ judged AS (SELECT o.question_id, o.t, b.best[2] AS v,
              CASE WHEN b.t IS NOT NULL AND {_rule('fm[1]', 'fm[2]', 'fm[3]')} THEN 'math_agrees'
                   WHEN b.t IS NOT NULL AND {_rule('fa[1]', 'fa[2]', 'fa[3]')} THEN 'all_agree'
                   WHEN n = 16 THEN 'all_in' WHEN m >= 4 THEN 'enough_math'
-                  WHEN o.t = {DEADLINE // 20 + 1} THEN 'deadline' END AS reason
+                  WHEN o.t = final THEN 'deadline' END AS reason
            FROM totals o LEFT JOIN by_tick b ON b.question_id = o.question_id AND b.t = o.t),
-stops AS (SELECT question_id, t AS tick, reason, coalesce(((v % 1000) + 1000) % 1000, 210) AS answer
+stops AS (SELECT question_id, t AS tick, reason, CAST(coalesce(((v % 1000) + 1000) % 1000, 210) AS BIGINT) AS answer
           FROM judged WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY t) = 1)
 """
 
 
-@query("majority_answer", _sql("SELECT question_id, ((v % 1000) + 1000) % 1000 AS answer FROM ranked WHERE rn = 1"))
+@query("majority_answer", _sql("SELECT question_id, CAST(((v % 1000) + 1000) % 1000 AS BIGINT) AS answer FROM ranked WHERE rn = 1"))
 def majority_answer(spark, folder):
     return votes.majority_answer(read_input(spark, folder, "answers"))
 
 
 @query("top_vote", _sql("""
-SELECT question_id, CASE WHEN v IS NOT NULL THEN w END AS weight, v AS value FROM ranked WHERE rn = 1"""))
+SELECT question_id, CASE WHEN v IS NOT NULL THEN w END AS weight, CAST(v AS VARCHAR) AS value FROM ranked WHERE rn = 1"""))
 def top_vote(spark, folder):
     return votes.top_vote(read_input(spark, folder, "answers"))
 
@@ -77,7 +86,7 @@ def vote_frequencies(spark, folder):
 
 
 @query("top3_frequencies", _sql("""
-SELECT question_id, v AS value, f AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY f DESC, v DESC NULLS LAST) AS place
+SELECT question_id, CAST(v AS VARCHAR) AS value, f AS frequency, row_number() OVER (PARTITION BY question_id ORDER BY f DESC, v DESC NULLS LAST) AS place
 FROM freq QUALIFY place <= 3"""))
 def top3_frequencies(spark, folder):
     return votes.top_frequencies(read_input(spark, folder, "answers")).withColumn("place", F.col("place").cast("bigint"))
@@ -98,15 +107,15 @@ def poll_snapshots(spark, folder):
 
 @query("early_stop_tick", _sql("SELECT * FROM stops", STOPS))
 def early_stop_tick(spark, folder):
-    return votes.early_stop_tick(read_input(spark, folder, "answers"), DEADLINE)
+    return votes.early_stop_tick(deadlines(read_input(spark, folder, "questions")), read_input(spark, folder, "answers"))
 
 
 @query("results_by_method", with_inputs("""
 SELECT question_id, method, arrival, generation_id, answer,
-       row_number() OVER (PARTITION BY question_id, method ORDER BY arrival, generation_id) AS position
-FROM fx_answers""", "answers"))
+       row_number() OVER (PARTITION BY question_id, method ORDER BY arrival NULLS FIRST, generation_id) AS position
+FROM fx_arrivals""", "arrivals"))
 def results_by_method(spark, folder):
-    return votes.results_by_method(read_input(spark, folder, "answers"))
+    return votes.results_by_method(read_input(spark, folder, "arrivals"))
 
 
 @query("union_methods", with_inputs("""
@@ -117,30 +126,30 @@ def union_methods(spark, folder):
 
 
 @query("predict_table", with_inputs(f"""
-WITH {VALUED} SELECT q.question_id, coalesce(((v % 1000) + 1000) % 1000, 210) AS answer
+WITH {VALUED} SELECT q.question_id, CAST(coalesce(((v % 1000) + 1000) % 1000, 210) AS BIGINT) AS answer
 FROM fx_questions q LEFT JOIN ranked r ON r.question_id = q.question_id AND rn = 1""", "answers", "questions"))
 def predict_table(spark, folder):
     return votes.predict_table(read_input(spark, folder, "questions"), read_input(spark, folder, "answers"))
 
 
-@query("valid_answer_filter", _sql("SELECT question_id, generation_id, answer, v AS value FROM valued WHERE v IS NOT NULL"))
+@query("valid_answer_filter", _sql("SELECT question_id, generation_id, answer, CAST(v AS VARCHAR) AS value FROM valued WHERE v IS NOT NULL"))
 def valid_answer_filter(spark, folder):
     answers = read_input(spark, folder, "answers").where(is_valid_answer("answer"))
     return answers.select("question_id", "generation_id", "answer", answer_value("answer").alias("value"))
 
 
 @query("mod_1000", _sql("""
-SELECT generation_id, v AS value, ((v % 1000) + 1000) % 1000 AS answer FROM valued WHERE v IS NOT NULL"""))
+SELECT generation_id, CAST(v AS VARCHAR) AS value, CAST(((v % 1000) + 1000) % 1000 AS BIGINT) AS answer FROM valued WHERE v IS NOT NULL"""))
 def mod_1000(spark, folder):
     valued = read_input(spark, folder, "answers").select("generation_id", answer_value("answer").alias("value"))
     return valued.where("value IS NOT NULL").select("*", floor_mod("value").alias("answer"))
 
 
 @query("late_results", _sql("""
-SELECT a.question_id, generation_id, method, arrival, a.answer, arrival > 20 * tick AS late,
+SELECT a.question_id, generation_id, method, arrival, a.answer, coalesce(arrival > 20 * tick, false) AS late,
        CASE WHEN arrival > 20 * tick AND method = 'code' THEN 'terminated' ELSE 'final' END AS reason
-FROM valued a JOIN stops s ON s.question_id = a.question_id""", STOPS))
+FROM valued a LEFT JOIN stops s ON s.question_id = a.question_id""", STOPS))
 def late_results(spark, folder):
     answers = read_input(spark, folder, "answers")
-    closes = votes.early_stop_tick(answers, DEADLINE).select("question_id", (F.col("tick") * 20).alias("closed_at"))
+    closes = votes.early_stop_tick(deadlines(read_input(spark, folder, "questions")), answers).select("question_id", (F.col("tick") * 20).alias("closed_at"))
     return votes.late_results(answers, closes)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,16 +32,36 @@ def build_session(app: str = "tallywork", master: str | None = None, **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one only if unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors reach.
+
+    Unset, it is a scratch folder of this machine if the session is local (tests); on a
+    cluster that is an error, as each executor would write to its own disk.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywork-"))
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywork-"))
         folder = context.getCheckpointDir()
-    return folder.removeprefix("file:")
+    return folder.rstrip("/")
+
+
+# Folders of intermediate tables made in this process.
+_made: list[str] = []
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, one per run."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_run_folders(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    removed = 0
+    while _made:
+        path = hadoop(_made.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallywork.functions.code_check import check, longest_valid_prefix
+from tallywork.functions.code_check import finding, longest_valid_prefix
 from tallywork.operators import code_jobs
 
 PIECES = (
@@ -18,10 +18,10 @@ def plain_search(code):
     for n in range(len(lines), 0, -1):
         text = "\n".join(lines[:n])
         text = text if text.endswith("\n") else text + "\n"
-        parses, undefined = check(text)
-        if parses and not undefined:
+        found, undefined = finding(text)
+        if found == "ok":
             return text, "\n".join(lines[n:]), names
-        names = undefined if parses else names
+        names = undefined if found == "undefined" else names
     return "", code, []
 
 
@@ -44,8 +44,13 @@ def test_search_equals_the_plain_one():
     ],
 )
 def test_names(code, undefined):
-    assert check(code, {"Symbol"}) == (True, undefined)
-    assert check("for") == (False, [])
+    assert finding(code, {"Symbol"}) == ("undefined" if undefined else "ok", undefined)
+    assert finding("for") == ("syntax_error", [])
+
+
+def test_depth_is_a_finding_of_its_own():
+    assert finding("x = " + "-" * 100_000 + "1") == ("too_deep", [])
+    assert finding("x\0") == ("syntax_error", [])
 
 
 def test_long_open_text_is_quick():

@@ -92,14 +92,15 @@ def test_stdout_delta_strips_a_set(values):
 
 def test_error_texts(values):
     error = 'Traceback\n  File "/t/tmp.py", line 3, in <module>\n    f()\n  File "/t/tmp.py", line 2, in f\nValueError: x'
-    rows = [(" out \n", error + "\n", "/t/tmp.py"), ("", error, "/t/tmp.py")]
+    warning = "/t/tmp.py:1: SyntaxWarning: x"
+    rows = [(" out \n", error + "\n", "/t/tmp.py", 1), ("", error, "/t/tmp.py", None), (" 42\n", warning, "/t/tmp.py", 0), ("", warning, "/t/tmp.py", 0)]
     masked = error.replace("/t/tmp.py", "<temporary_file>")
-    cleaned = values(rows, "o string, e string, p string", tx.clean_error_output("o", "e", "p"))
-    assert cleaned == ["out\n" + masked, masked]
+    cleaned = values(rows, "o string, e string, p string, c int", tx.clean_error_output("o", "e", "p", "c"))
+    assert cleaned == ["out\n" + masked, masked, "42", ""]
     codes = [("a\nb\nc", masked), ("a\nb", "no file"), ("a\nb\nc", '  File "<temporary_file>", line 3\nSyntaxError')]
     assert values(codes, "c string, e string", tx.error_line_prefix("c", "e")) == ["a", "a\nb", "a\nb"]
-    outputs = [(masked,), ("Execution timed out after 5 seconds.",), ("5",), ("",)]
-    assert values(outputs, "o string", tx.execution_outcome("o")) == ["error", "timeout", "ok", "ok"]
+    ends = [(masked, 1), ("Execution timed out after 5 seconds.", None), ("", 0), (masked, 0), ("Killed", -9), ("MemoryError", 1)]
+    assert values(ends, "o string, c int", tx.execution_outcome("o", "c")) == ["error", "timeout", "ok", "ok", "error", "error"]
 
 
 VALID = ["5", " 42 ", "+5", "-5", "007", "1_000", "9007199254740992", "\u20037\u3000"]
@@ -109,7 +110,7 @@ INVALID = ["", "1.0", "1e3", "7/2", "9007199254740993", "_1", "1__0", "1_", "+",
 def test_valid_answers(values):
     assert values([(v,) for v in VALID], "a string", is_valid_answer("a")) == [True] * len(VALID)
     assert values([(v,) for v in INVALID], "a string", is_valid_answer("a")) == [False] * len(INVALID)
-    assert values([(v,) for v in VALID], "a string", answer_value("a")) == [int(v) for v in VALID]
+    assert values([(v,) for v in VALID], "a string", answer_value("a")) == [str(int(v)) for v in VALID]
 
 
 def test_floor_mod(values):

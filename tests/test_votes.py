@@ -104,9 +104,13 @@ def test_stop_and_majority_match_a_plain_loop(spark, seed, deadline):
     groups = {}
     for q, _, m, t, a in rows:
         groups.setdefault(q, []).append((m, t, a))
-    want = {q: brute_stop(r, deadline) for q, r in groups.items()}
-    got = {r.question_id: (r.tick, r.reason, r.answer) for r in votes.early_stop_tick(df, deadline).collect()}
+    # Every second question has half the time, and one is not answered at all.
+    closing = {q: deadline / (1 + q % 2) for q in [*groups, 999]}
+    want = {q: brute_stop(groups.get(q, []), d) for q, d in closing.items()}
+    questions = spark.createDataFrame([*closing.items()], "question_id bigint, deadline double")
+    got = {r.question_id: (r.tick, r.reason, r.answer) for r in votes.early_stop_tick(questions, df).collect()}
     assert got == want
+    assert got[999][1:] == ("deadline", 210)
     # Neither row order nor partitioning matters.
     mixed = {r.question_id: r.answer for r in votes.majority_answer(df.orderBy(F.rand(7)).repartition(7)).collect()}
     winners = {q: brute_winner([a for *_, a in r]) for q, r in groups.items()}
@@ -116,8 +120,7 @@ def test_stop_and_majority_match_a_plain_loop(spark, seed, deadline):
 def test_positions_in_a_large_group(spark):
     rows = random_answers(5)
     df = spark.createDataFrame(rows, SCHEMA)
-    # Small slices, so that the large question is cut into many of them.
-    got = grouped_positions(df, ["question_id", "method"], ["arrival"], "generation_id", id_bucket=8)
+    got = grouped_positions(df, ["question_id", "method"], ["arrival"], "generation_id")
     place = {r.generation_id: r.position for r in got.collect()}
     groups = {}
     for q, g, m, t, _ in rows:
@@ -126,6 +129,47 @@ def test_positions_in_a_large_group(spark):
     assert place == want
 
 
+def test_positions_of_missing_values_and_of_continuous_times(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 1, 1]), i, rng.choice(["math", None]), rng.choice([None, rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "question_id bigint, generation_id bigint, method string, arrival double").repartition(3)
+    got = grouped_positions(df, ["question_id", "method"], ["arrival"], "generation_id").collect()
+    groups = {}
+    for q, g, m, t in rows:
+        groups.setdefault((q, m), []).append((t is not None, t or 0, g))
+    assert {r.generation_id: r.position for r in got} == {x[2]: i for r in groups.values() for i, x in enumerate(sorted(r), 1)}
+
+
+def test_one_group_of_all_rows_is_spread(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("q"), F.col("id").alias("generation_id"), F.rand(2).alias("arrival"))
+    found = grouped_positions(df, ["q"], ["arrival"], "generation_id")
+    assert found.agg(F.max("position"), F.countDistinct("position")).first() == (40_000, 40_000)
+    # Adaptive execution merges partitions as small as these; without it each holds its share.
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        parts = df.repartitionByRange("q", "arrival", "generation_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 15_000
+
+
+def test_answers_beyond_64_bits_vote(spark):
+    big, huge = "100000000000000000000", str(2**99)
+    cases = [[big, big, "5"], [huge, "-" + huge], ["+" + big, "0" + big[:1] + "_" + big[1:], huge + "1"], [str(2**99 + 1)], ["9", "10"], ["-9", "-10"]]
+    got = {r.question_id: (r.weight, r.value) for r in votes.top_vote(answers_of(spark, cases)).collect()}
+    assert got == {0: (4, big), 1: (2, huge), 2: (4, big), 3: (None, None), 4: (2, "10"), 5: (2, "-9")}
+    modulo = {r.question_id: r.answer for r in votes.majority_answer(answers_of(spark, [[huge], ["-" + huge]])).collect()}
+    assert modulo == {0: 2**99 % 1000, 1: -(2**99) % 1000}
+
+
+def test_full_agreement_stops_batch_runs(spark):
+    rows = [(1, i, "code", i, "4") for i in range(20)] + [(2, 100 + i, "math", 1, "4") for i in range(3)]
+    questions = spark.createDataFrame([(1, 100.0), (2, 100.0)], "question_id bigint, deadline double")
+    got = votes.early_stop_tick(questions, spark.createDataFrame(rows, SCHEMA), full_agreement=16, full_count=-1)
+    assert {r.question_id: (r.tick, r.reason) for r in got.collect()} == {1: (1, "all_agree"), 2: (6, "deadline")}
+
+
 def test_poll_snapshots_end_with_the_deadline(spark):
     df = spark.createDataFrame([(1, 1, "math", 5, "3"), (1, 2, "math", 45, "3"), (1, 3, "code", 90, "4")], SCHEMA)
     got = sorted((r.tick, r.method, r.arrived) for r in votes.poll_snapshots(df, 50).collect())
@@ -144,6 +188,7 @@ def test_one_more_agreeing_vote_never_delays_the_stop(spark):
     for q, times in enumerate([[5, 70], [30, 31, 90], [10], [100, 120, 140], [1, 2, 3]]):
         rows += [(q, q * 100 + i, "code", t, "4") for i, t in enumerate(times)]
         more += [(q, q * 100 + 50, "code", 35, "4")]
-    stops = lambda r: {x.question_id: x.tick for x in votes.early_stop_tick(spark.createDataFrame(r, SCHEMA), 150).collect()}
+    questions = spark.range(5).select(F.col("id").alias("question_id"), F.lit(150).alias("deadline"))
+    stops = lambda r: {x.question_id: x.tick for x in votes.early_stop_tick(questions, spark.createDataFrame(r, SCHEMA)).collect()}
     before, after = stops(rows), stops(rows + more)
     assert all(after[q] <= before[q] for q in before)
