@@ -10,53 +10,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallywork.functions.text import answer_outside_sections, last_boxed
+from tallywork.functions.text import CODE_BLOCK_SO_FAR, FILLED_BOX, PYTHON_FENCE, answer_outside_sections, last_boxed
 from tallywork.streaming.runs import expire_after, milliseconds
 
 REQUEST = ["generation_id", "request_counter", "method"]
-_STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean"
-_OUT = "generation_id bigint, request_counter bigint, method string, text string, chunks bigint, reason string"
+_STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean, scan bigint"
+_OUT = "generation_id bigint, request_counter bigint, method string, text string, chunks bigint, reason string, missing bigint"
+_BLOCK = re.compile(CODE_BLOCK_SO_FAR, re.DOTALL)
+_BOX = re.compile(FILLED_BOX)
 
 
-def assemble_generations(
-    chunks: DataFrame, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 hour"
-) -> DataFrame:
+def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts") -> DataFrame:
     """One row per finished request, written as soon as it is finished.
 
     ``chunks``: generation_id, request_counter, method, chunk_idx, chunk, is_last and an
     event time. Chunks may come in any order within the ``delay``. A code request ends with its first filled, closed code block, a
     math request with its first filled box, both at the latest with the last chunk. A
-    request that stays idle is written as it is, with the reason 'expired'. Once a request
+    request that stays idle is written with the reason 'expired': all chunks there are, in
+    order, and the first ``missing`` one if chunks behind a gap are among them. Once a request
     is written its text is dropped; a mark stays until it is idle, to ignore later chunks.
+    Chunks later than the ``delay`` belong to ``split_late``.
     """
     idle_ms = milliseconds(idle)
 
-    def ended(method: str, buffer: str, chunk: str) -> str | None:
+    def ended(method: str, buffer: str, chunk: str, scan: int) -> tuple[str | None, int]:
+        """The reason if the request has ended, and where a next search begins."""
         if method == "math":
             # A box does not span lines: look from the start of the line the chunk began in.
             line = buffer.rfind("\n", 0, len(buffer) - len(chunk)) + 1
-            return "boxed" if "}" in chunk and re.search(r"oxed\{([^}\n]+)\}", buffer[line:]) else None
-        if "`" not in chunk:
-            return None
-        blocks = re.findall(r"```python\s*(.*?)\s*```", buffer, re.DOTALL)
-        return "code_block" if blocks and blocks[-1] else None
+            return ("boxed" if "}" in chunk and _BOX.search(buffer, line) else None), scan
+        while "`" in chunk and (block := _BLOCK.search(buffer, scan)):
+            if block[1]:
+                return "code_block", scan
+            scan = block.end()
+        opened = buffer.find(PYTHON_FENCE, scan)
+        # A block that is open is searched from its fence; else a fence may be coming in.
+        return None, opened if opened >= 0 else max(scan, len(buffer) - len(PYTHON_FENCE))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         generation, request, method = key
 
-        def row(text: str, count: int, reason: str) -> pd.DataFrame:
+        def row(text: str, count: int, reason: str, missing: int | None = None) -> pd.DataFrame:
             return pd.DataFrame(
                 {
                     "generation_id": [generation], "request_counter": [request], "method": [method],
-                    "text": [text], "chunks": [count], "reason": [reason],
+                    "text": [text], "chunks": [count], "reason": [reason], "missing": pd.array([missing], dtype="Int64"),
                 }
             )
 
-        buffer, following, idx, chunk, last, done = state.get if state.exists else ("", 0, [], [], [], False)
+        buffer, following, idx, chunk, last, done, scan = state.get if state.exists else ("", 0, [], [], [], False, 0)
         if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield row(buffer, following, "expired")
+            if done:
+                state.remove()
+                return
+            behind = [c for _, c in sorted(zip(idx, chunk))]
+            yield row(buffer + "".join(behind), following + len(behind), "expired", following if behind else None)
+            state.update(("", following, [], [], [], True, 0))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
             return
         waiting, latest = dict(zip(idx, zip(chunk, last))), None
         for batch in batches:
@@ -66,13 +76,14 @@ def assemble_generations(
         while not done and following in waiting:
             piece, is_last = waiting.pop(following)
             buffer, following = buffer + piece, following + 1
-            reason = ended(method, buffer, piece) or ("stop_token" if is_last else None)
+            reason, scan = ended(method, buffer, piece, scan)
+            reason = reason or ("stop_token" if is_last else None)
             if reason:
                 yield row(buffer, following, reason)
                 buffer, waiting, done = "", {}, True
         state.update(
             (
-                buffer, following, list(waiting), [c for c, _ in waiting.values()], [bool(e) for _, e in waiting.values()], done
+                buffer, following, list(waiting), [c for c, _ in waiting.values()], [bool(e) for _, e in waiting.values()], done, scan
             )
         )
         expire_after(state, latest, idle_ms)
@@ -87,13 +98,15 @@ def assemble_generations(
 
 
 def throttle(
-    checks: DataFrame, key: str, time: str, gap: float = 5, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 hour"
+    checks: DataFrame, key: str, time: str, delay: str, gap: float = 5, ts: str = "ts", idle: str = "1 hour"
 ) -> DataFrame:
     """Keep a check only if it comes at least ``gap`` after the last kept one of its key.
 
     ``time`` is the number the gap is measured on, ``ts`` the event time. Micro-batches are
-    expected in time order, as a live log gives them; the state of a key is the time of its
-    last kept check. Equal times of a key are merged before they are shuffled.
+    expected in time order, as a live log gives them, and checks later than the ``delay``
+    belong to ``split_late``; the state of a key is the time of its last kept check, and may
+    end after ``idle``, which is no shorter than the gap. Equal times of a key are merged
+    before they are shuffled.
     """
     idle_ms = milliseconds(idle)
     names = dict(checks.dtypes)
@@ -107,13 +120,16 @@ def throttle(
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        kept, rows = [], pd.concat([*batches])
-        for t in sorted(set(rows[time].tolist())):
+        kept, times, latest = [], set(), None
+        for batch in batches:
+            times.update(batch[time].tolist())
+            latest = max(batch[ts].max(), latest or batch[ts].max())
+        for t in sorted(times):
             if last is None or t >= last + gap:
                 kept.append(t)
                 last = t
         state.update((last,))
-        expire_after(state, rows[ts].max(), idle_ms)
+        expire_after(state, latest, idle_ms)
         if kept:
             yield pd.DataFrame({key: [keys[0]] * len(kept), time: kept})
 

@@ -11,13 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod
 from tallywork.operators.votes import (
-    ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_tick, poll_tick,
+    ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_poll, poll_tick,
 )
-from tallywork.streaming.runs import expire_after, milliseconds
+from tallywork.streaming.runs import expire_at, milliseconds
 
 
-def poll_counts(answers: DataFrame, ts: str = "ts", poll: int = POLL_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """Answers arrived per poll window and method."""
+def poll_counts(answers: DataFrame, delay: str, ts: str = "ts", poll: int = POLL_SECONDS) -> DataFrame:
+    """Answers arrived per poll window and method; those later than ``delay`` belong to ``split_late``."""
     return (
         answers.withWatermark(ts, delay)
         .groupBy(F.window(ts, f"{poll} seconds").alias("poll"), "method")
@@ -48,15 +48,26 @@ def _raised(top: list[tuple[int, int]], value: int, frequency: int) -> list[tupl
 # A query may hold one stateful Python operator and no aggregation before it, so a flow is
 # two or three queries with tables between them: counts per (question, value), which spreads
 # a large question over its values, then a small state per question.
+#
+# A question's state ends when the question closes (``until``). Without a closing time it
+# stays, and rows may come in any order and as late as they like.
+
+_COUNTS = (
+    "question_id bigint, value string, tick bigint, last bigint, until timestamp, n bigint, n_math bigint, "
+    "all_now bigint, math_now bigint, ts timestamp"
+)
 
-_COUNTS = "question_id bigint, value bigint, tick bigint, n bigint, n_math bigint, all_now bigint, math_now bigint, ts timestamp"
 
+def _stateful(rows: DataFrame, delay: str | None) -> tuple[DataFrame, str]:
+    """Rows and timeout of a state that ends at a closing time, or of one that stays."""
+    if delay is None:
+        return rows, GroupStateTimeout.NoTimeout
+    return rows.withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout
 
-def _running(increments: DataFrame, idle: str) -> DataFrame:
-    """Counts before and after each increment: question_id, value, tick, n, n_math, ts."""
-    idle_ms = milliseconds(idle)
 
-    columns = ("tick", "n", "n_math", "ts")
+def _running(increments: DataFrame, delay: str | None) -> DataFrame:
+    """Counts before and after each increment."""
+    columns = ("tick", "last", "until", "n", "n_math", "ts")
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,106 +76,110 @@ def _running(increments: DataFrame, idle: str) -> DataFrame:
         question, value = key
         seen, seen_math = state.get if state.exists else (0, 0)
         rows = []
-        for tick, n, n_math, ts in sorted(r for b in batches for r in zip(*[b[c].tolist() for c in columns])):
+        for tick, last, until, n, n_math, ts in sorted((r for b in batches for r in zip(*[b[c].tolist() for c in columns])), key=lambda r: r[0]):
             seen, seen_math = seen + n, seen_math + n_math
-            rows.append((question, value, tick, n, n_math, seen, seen_math, ts))
+            rows.append((question, value, tick, last, until, n, n_math, seen, seen_math, ts))
         state.update((seen, seen_math))
-        expire_after(state, max(r[-1] for r in rows), idle_ms)
-        names = ["question_id", "value", *columns[:3], "all_now", "math_now", "ts"]
-        yield pd.DataFrame(rows, columns=names).astype({"value": "Int64"})
+        if delay is not None:
+            expire_at(state, rows[-1][4])
+        names = ["question_id", "value", "tick", "last", "until", "n", "n_math", "all_now", "math_now", "ts"]
+        yield pd.DataFrame(rows, columns=names)
 
-    return increments.groupBy("question_id", "value").applyInPandasWithState(
-        advance, _COUNTS, "seen bigint, seen_math bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows, timeout = _stateful(increments, delay)
+    return rows.groupBy("question_id", "value").applyInPandasWithState(advance, _COUNTS, "seen bigint, seen_math bigint", "append", timeout)
 
 
 def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per question and poll only the rows that can matter, the others summed into one.
 
     The three highest and the leader of a question are among the three highest and the
-    leaders of its parts. A value is exact as a double, so a missing one does no harm.
+    leaders of its parts.
     """
     group = ["question_id", "tick"]
     for batch in batches:
-        zero = batch["value"] == 0
+        zero = batch["value"] == "0"
         marked = batch.assign(
+            number=batch["value"].map(int, na_action="ignore").astype(object),
             f_all=batch["all_now"].where(~zero, (batch["all_now"] + 1) // 2),
             f_math=batch["math_now"].where(~zero, (batch["math_now"] + 1) // 2),
             weight=(2 * batch["all_now"]).where(~zero, batch["all_now"]),
         )[batch["value"].notna()]
         kept = set()
         for order, count in (("f_all", 3), ("f_math", 3), ("weight", 1)):
-            kept.update(marked.sort_values([order, "value"]).groupby(group).tail(count).index)
+            kept.update(marked.sort_values([order, "number"]).groupby(group, dropna=False).tail(count).index)
         chosen = batch.index.isin(kept)
-        rest = batch[~chosen].groupby(group, as_index=False).agg({"n": "sum", "n_math": "sum", "ts": "max"})
+        totals = {"last": "max", "until": "max", "n": "sum", "n_math": "sum", "ts": "max"}
+        rest = batch[~chosen].groupby(group, as_index=False, dropna=False).agg(totals)
         if len(rest):
-            yield rest.assign(value=pd.array([None] * len(rest), dtype="Int64"), all_now=0, math_now=0)
-        yield batch[chosen].astype({"value": "Int64"})
+            yield rest.assign(value=None, all_now=0, math_now=0)
+        yield batch[chosen]
 
 
-def running_votes(answers: DataFrame, ts: str = "ts", delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+def running_votes(answers: DataFrame, ts: str = "ts", until: str | None = None, delay: str | None = None) -> DataFrame:
     """First query of the live vote: running counts as answers come in.
 
-    Equal answers in one batch of rows are merged before they are shuffled.
+    Equal answers in one batch of rows are merged before they are shuffled. With the column
+    ``until``, the time a question closes, only answers up to it are counted and its state
+    ends there; that takes a ``delay`` for answers out of order (see ``split_late``).
     """
+    if (until is None) != (delay is None):
+        raise ValueError("a closing time and a delay go together")
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups = batch.groupby(["question_id", "value"], as_index=False)
-            yield groups.agg({"tick": "max", "n": "sum", "n_math": "sum", "ts": "max"})
+            groups = batch.groupby(["question_id", "value"], as_index=False, dropna=False)
+            yield groups.agg({"tick": "max", "last": "max", "until": "max", "n": "sum", "n_math": "sum", "ts": "max"})
 
     valid = answers.select(
-        "question_id", answer_value("answer").alias("value"), F.lit(0).cast("bigint").alias("tick"),
+        "question_id", answer_value("answer").alias("value"), F.lit(0).cast("bigint").alias("tick"), F.lit(0).cast("bigint").alias("last"),
+        (F.col(until) if until else F.lit(None)).cast("timestamp").alias("until"),
         F.lit(1).cast("bigint").alias("n"), (F.col("method") == "math").cast("bigint").alias("n_math"), F.col(ts).alias("ts"),
     ).where("value IS NOT NULL")
-    merged = valid.mapInPandas(combine, "question_id bigint, value bigint, tick bigint, n bigint, n_math bigint, ts timestamp")
-    return _running(merged.withWatermark("ts", delay), idle)
+    if until:
+        valid = valid.where("ts <= until")
+    schema = "question_id bigint, value string, tick bigint, last bigint, until timestamp, n bigint, n_math bigint, ts timestamp"
+    return _running(valid.mapInPandas(combine, schema), delay)
 
 
-def live_votes(running: DataFrame, delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+def live_votes(running: DataFrame, delay: str | None = None) -> DataFrame:
     """Second query of the live vote: a row per question whenever its vote has changed.
 
     Rows carry the votes so far, the three highest frequencies, the stop flag and the
-    leading answer.
+    leading answer. ``delay`` as in the first query.
     """
-    idle_ms = milliseconds(idle)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        votes, frequencies, values, weight, leader = state.get if state.exists else (0, [], [], -1, 0)
-        top, best = list(zip(frequencies, values)), (weight, leader)
-        latest = None
+        votes, frequencies, values, weight, leader = state.get if state.exists else (0, [], [], -1, "0")
+        top, best, until = list(zip(frequencies, map(int, values))), (weight, int(leader)), None
         for batch in batches:
-            latest = max(batch["ts"].max(), latest or batch["ts"].max())
+            until = batch["until"].max()
             for value, added, now in zip(batch["value"].tolist(), batch["n"].tolist(), batch["all_now"].tolist()):
                 votes += added
-                if pd.isna(value):
+                if value is None:
                     continue
                 value = int(value)
                 top = _raised(top, value, _frequency(value, now))
                 best = max(best, (_weight(value, now), value))
-        state.update((votes, [f for f, _ in top], [v for _, v in top], *best))
-        expire_after(state, latest, idle_ms)
+        state.update((votes, [f for f, _ in top], [str(v) for _, v in top], best[0], str(best[1])))
+        if delay is not None:
+            expire_at(state, until)
         highest, second, third = ([f for f, _ in top] + [0, 0, 0])[:3]
         yield pd.DataFrame(
             {
                 "question_id": [key[0]], "votes": [votes], "highest": [highest], "second": [second],
-                "third": [third], "leader": [best[1]],
+                "third": [third], "leader": [str(best[1])],
             }
         )
 
-    live = (
-        running.mapInPandas(_thinned, _COUNTS)
-        .withWatermark("ts", delay)
-        .groupBy("question_id")
-        .applyInPandasWithState(
-            advance,
-            "question_id bigint, votes bigint, highest bigint, second bigint, third bigint, leader bigint",
-            "votes bigint, frequency array<bigint>, value array<bigint>, weight bigint, leader bigint",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    rows, timeout = _stateful(running.mapInPandas(_thinned, _COUNTS), delay)
+    live = rows.groupBy("question_id").applyInPandasWithState(
+        advance,
+        "question_id bigint, votes bigint, highest bigint, second bigint, third bigint, leader string",
+        "votes bigint, frequency array<bigint>, value array<string>, weight bigint, leader string",
+        "append", timeout,
     )
     return live.select(
         "question_id", "votes", "highest", "second", "third",
@@ -182,67 +197,78 @@ def latest_votes(history: DataFrame) -> DataFrame:
 # ---- Early stop ----------------------------------------------------------------------
 
 
-def closed_polls(answers: DataFrame, poll: int = POLL_SECONDS, delay: str = "0 seconds") -> DataFrame:
+def closed_polls(answers: DataFrame, questions: DataFrame, delay: str, poll: int = POLL_SECONDS) -> DataFrame:
     """First query of the early stop: counts of each poll that is complete, by the watermark.
 
     ``answers``: question_id, method, answer, arrival (seconds since the question started),
-    started (timestamp).
+    started (timestamp); a row without a question is a tick of the clock, which moves time on
+    when no answers come. ``questions``: question_id and deadline, a table. A poll is complete
+    ``delay`` after its end; later answers belong to ``split_late``.
     """
     tick = poll_tick(F.col("arrival"), poll)
-    after = F.make_dt_interval(secs=(tick * poll).cast("decimal(18,6)"))
+    after = F.make_dt_interval(secs=(F.col("tick") * poll).cast("decimal(18,6)"))
+    ending = F.make_dt_interval(secs=(F.col("last") * poll).cast("decimal(18,6)"))
+    asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
+    # A poll ends up to ``poll`` seconds behind its answers.
+    late = int(milliseconds(delay) + poll * 1000)
     return (
         answers.select(
             "question_id", answer_value("answer").alias("value"), tick.alias("tick"),
-            (F.col("method") == "math").cast("bigint").alias("math"), (F.col("started") + after).alias("ts"),
+            F.coalesce((F.col("method") == "math").cast("bigint"), F.lit(0)).alias("math"), "started",
         )
-        .withWatermark("ts", delay)
-        .groupBy("question_id", "value", "tick", "ts")
+        .join(asked, "question_id", "left")
+        .select("*", (F.col("started") + after).alias("ts"), (F.col("started") + ending).alias("until"))
+        .withWatermark("ts", f"{late} milliseconds")
+        .where("tick <= last OR (question_id IS NULL AND ts IS NOT NULL)")
+        .groupBy("question_id", "value", "tick", "last", "until", "ts")
         .agg(F.count("*").alias("n"), F.sum("math").alias("n_math"))
     )
 
 
-def running_polls(polls: DataFrame, delay: str = "0 seconds", idle: str = "1 day") -> DataFrame:
+#: Complete polls come in the order of their ends; a query behind reads whole micro-batches.
+IN_ORDER = "0 seconds"
+
+
+def running_polls(polls: DataFrame) -> DataFrame:
     """Second query of the early stop: running counts over the complete polls."""
-    return _running(polls.withWatermark("ts", delay), idle)
-
-
-def early_stop(
-    running: DataFrame,
-    deadline: float,
-    poll: int = POLL_SECONDS,
-    full_count: int = FULL_COUNT,
-    enough_math: int = ENOUGH_MATH,
-    delay: str = "0 seconds",
-    grace: str = "1 day",
-) -> DataFrame:
+    return _running(polls, IN_ORDER)
+
+
+def early_stop(running: DataFrame, full_count: int = FULL_COUNT, enough_math: int = ENOUGH_MATH) -> DataFrame:
     """Third query of the early stop: a question's answer once a complete poll satisfies a
     rule, or when its deadline passes.
 
-    A question keeps its three highest values, its totals and its leader; after the
-    decision a mark stays for the ``grace`` period, to ignore later polls.
+    A question keeps its three highest values, its totals and its leader until its deadline;
+    after the decision later polls are ignored.
     """
-    last, grace_ms = last_tick(deadline, poll), milliseconds(grace)
 
     def agree(top: list[tuple[int, int]]) -> bool:
         return agreement(*([f for f, _ in top] + [0, 0, 0])[:3])
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        empty = ([], [], [], [], 0, 0, -1, 0, False, 0)
-        af, av, mf, mv, votes, math_votes, weight, leader, decided, deadline_ms = state.get if state.exists else empty
-        if state.hasTimedOut and decided:
+        def row(found: tuple[int, str], best: tuple[int, int]) -> pd.DataFrame:
+            answer = best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER
+            return pd.DataFrame({"question_id": [key[0]], "tick": [found[0]], "reason": [found[1]], "answer": [answer]})
+
+        empty = ([], [], [], [], 0, 0, -1, "0", False, 0, 0)
+        af, av, mf, mv, votes, math_votes, weight, leader, decided, deadline_ms, last = state.get if state.exists else empty
+        top, top_math, best, found = list(zip(af, map(int, av))), list(zip(mf, map(int, mv))), (weight, int(leader)), None
+        if state.hasTimedOut:
+            if not decided:
+                yield row((last, "deadline"), best)
             state.remove()
             return
-        top, top_math, best, found = list(zip(af, av)), list(zip(mf, mv)), (weight, leader), None
-        latest = 0
-        for tick, rows in [] if state.hasTimedOut else pd.concat([*batches]).groupby("tick", sort=True):
+        rows = pd.concat([*batches])
+        if key[0] is None or pd.isna(key[0]):
+            return  # the clock
+        last, latest, deadline_ms = int(rows["last"].iloc[0]), 0, rows["until"].iloc[0].value // 1_000_000
+        for tick, part in rows.groupby("tick", sort=True):
             latest = int(tick)
-            deadline_ms = int(rows["ts"].iloc[0].value // 1_000_000) + (last - latest) * poll * 1000
-            if decided or found or tick > last:
+            if decided or found:
                 break
-            votes, math_votes = votes + int(rows["n"].sum()), math_votes + int(rows["n_math"].sum())
-            valid = rows[rows["value"].notna()]
-            counts = (valid[c].astype("int64").tolist() for c in ("value", "all_now", "math_now"))
-            for value, all_now, math_now in zip(*counts):
+            votes, math_votes = votes + int(part["n"].sum()), math_votes + int(part["n_math"].sum())
+            valid = part[part["value"].notna()]
+            for value, all_now, math_now in zip(map(int, valid["value"]), valid["all_now"].tolist(), valid["math_now"].tolist()):
                 top = _raised(top, value, _frequency(value, all_now))
                 top_math = _raised(top_math, value, _frequency(value, math_now)) if math_now else top_math
                 best = max(best, (_weight(value, all_now), value))
@@ -259,27 +285,31 @@ def early_stop(
             found = (last, "deadline")
         if found:
             decided = True
-            yield pd.DataFrame(
-                {
-                    "question_id": [key[0]], "tick": [found[0]], "reason": [found[1]],
-                    "answer": [best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER],
-                }
-            )
+            yield row(found, best)
         state.update(
-            ([f for f, _ in top], [v for _, v in top], [f for f, _ in top_math], [v for _, v in top_math],
-             votes, math_votes, *best, decided, deadline_ms)
+            ([f for f, _ in top], [str(v) for _, v in top], [f for f, _ in top_math], [str(v) for _, v in top_math],
+             votes, math_votes, best[0], str(best[1]), decided, deadline_ms, last)
         )
         # A state times out once the watermark is past its time, so one before the deadline.
-        state.setTimeoutTimestamp(max(deadline_ms, now) + grace_ms if decided else max(deadline_ms - 1, now + 1))
+        state.setTimeoutTimestamp(max(deadline_ms - 1, now + 1))
 
     return (
         running.mapInPandas(_thinned, _COUNTS)
-        .withWatermark("ts", delay)
+        .withWatermark("ts", IN_ORDER)
         .groupBy("question_id")
         .applyInPandasWithState(
             decide, "question_id bigint, tick bigint, reason string, answer bigint",
-            "all_frequency array<bigint>, all_value array<bigint>, math_frequency array<bigint>, math_value array<bigint>, "
-            "votes bigint, math_votes bigint, weight bigint, leader bigint, decided boolean, deadline_ms bigint",
+            "all_frequency array<bigint>, all_value array<string>, math_frequency array<bigint>, math_value array<string>, "
+            "votes bigint, math_votes bigint, weight bigint, leader string, decided boolean, deadline_ms bigint, last bigint",
             "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def with_unanswered(questions: DataFrame, stops: DataFrame, poll: int = POLL_SECONDS) -> DataFrame:
+    """What ``early_stop`` wrote, and the default at its deadline for a question without any answer."""
+    asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
+    return asked.join(stops, "question_id", "left").select(
+        "question_id", F.coalesce("tick", "last").alias("tick"), F.coalesce("reason", F.lit("deadline")).alias("reason"),
+        F.coalesce("answer", F.lit(DEFAULT_ANSWER).cast("bigint")).alias("answer"),
+    )

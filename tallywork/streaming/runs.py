@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
@@ -17,15 +18,20 @@ def milliseconds(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
+def expire_at(state: GroupState, time: pd.Timestamp) -> None:
+    """Let a state time out at ``time``, or with the next step of the watermark if that is past."""
+    state.setTimeoutTimestamp(max(time.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+
+
 def expire_after(state: GroupState, latest: pd.Timestamp | None, idle_ms: int) -> None:
     """Let a state time out ``idle_ms`` after its latest event or the watermark, the later one."""
     event_ms = latest.value // 1_000_000 if latest is not None else 0
     state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs()) + idle_ms)
 
 
-def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream, with the schema they have."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet files as a stream, with the schema they have if none is given."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # The stream reader wants a folder or a pattern; a pattern may also name one file.
@@ -35,27 +41,30 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 @contextmanager
 def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
-    """Streams started inside keep their state in ``count`` partitions, one per core if None.
+    """Streams started inside keep their state in ``count`` partitions, the session's number if None.
 
     A stream keeps this number for good, and adaptive execution does not merge them.
     """
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(count or spark.sparkContext.defaultParallelism))
+    spark.conf.set(key, str(count or before))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def write_available(stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None) -> str:
+def write_available(
+    stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None, folder: str | None = None
+) -> str:
     """Run ``stream`` until its input is used up and return the folder of what it wrote.
 
     Appended rows go to a file sink. Updated rows are kept per micro-batch in batch=N, which
-    a repeated batch overwrites.
+    a repeated batch overwrites. Given the ``folder`` of an earlier run, the stream goes on
+    where that ended.
     """
     spark = stream.sparkSession
-    folder = run_folder(spark, label)
+    folder = folder or run_folder(spark, label)
     out, progress = f"{folder}/rows", f"{folder}/progress"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
@@ -68,16 +77,49 @@ def write_available(stream: DataFrame, label: str, mode: str = "append", partiti
     return out
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, label: str, mode: str = "append", partitions: int | None = None, folder: str | None = None
+) -> DataFrame:
     """What ``write_available`` wrote; updated rows come with the number of their ``batch``."""
     schema = stream.schema
     if mode != "append":
         schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    out = write_available(stream, label, mode)
+    out = write_available(stream, label, mode, partitions, folder)
     return stream.sparkSession.read.option("basePath", out).schema(schema).parquet(out)
 
 
-def run_and_stream(stream: DataFrame, label: str) -> DataFrame:
+def run_and_stream(stream: DataFrame, label: str, partitions: int | None = None, folder: str | None = None) -> DataFrame:
     """What ``write_available`` wrote, as the stream of a next query."""
-    out = write_available(stream, label)
+    out = write_available(stream, label, partitions=partitions, folder=folder)
     return stream.sparkSession.readStream.schema(stream.schema).parquet(out)
+
+
+def split_late(stream: DataFrame, ts: str, delay: str, label: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run ``stream`` until its input is used up: rows in time as a stream, and the late ones as a table.
+
+    A row is late if it is older, by more than ``delay``, than the newest row of the
+    micro-batches before its own. Stateful operators would drop such rows without a trace;
+    here they are kept, with the number of their ``batch``. Each micro-batch is one table
+    with the newest time so far beside it, both overwritten if the batch is repeated, so a
+    run with the same ``folder`` goes on where an earlier one ended. An operator behind it
+    needs the same delay, and should read no fewer files at a time than a micro-batch wrote,
+    unless the delay covers the time one micro-batch spans.
+    """
+    spark = stream.sparkSession
+    folder = folder or run_folder(spark, label)
+    out, newest = f"{folder}/rows", f"{folder}/newest"
+
+    def split(rows: DataFrame, batch: int) -> None:
+        before = spark.read.parquet(f"{newest}/batch={batch - 1}").first()[0] if batch else None
+        mark = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col(ts) < mark, F.lit(False))
+        rows.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{out}/batch={batch}")
+        seen = spark.read.schema(stream.schema).parquet(f"{out}/batch={batch}").agg(F.max(ts).alias("t"))
+        seen.select(F.greatest("t", F.lit(before).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{newest}/batch={batch}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    writer.foreachBatch(split).start().awaitTermination()
+    in_time = stream_files(spark, f"{out}/batch=*/late=false", schema=stream.schema)
+    flagged = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("late", T.BooleanType())])
+    late = spark.read.option("basePath", out).schema(flagged).parquet(out).where("late")
+    return in_time, late

@@ -1,6 +1,7 @@
 """Streams in several micro-batches equal the batch operators."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import Window
@@ -11,7 +12,7 @@ from tallywork.plans.inputs import read_input
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_and_stream, run_available, stream_files
+from tallywork.streaming.runs import run_and_stream, run_available, split_late, stream_files
 
 SF = "/root/testdata/sf0.001"
 EPOCH = 1_700_000_000
@@ -36,10 +37,28 @@ def rows_of(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def asked(spark, answers, deadline):
+    """The questions answered, those of even numbers with half the time, and one without an answer."""
+    ids = answers.select("question_id").distinct().union(spark.range(-5, -4))
+    return ids.select("question_id", (F.lit(deadline) / (2 - F.col("question_id") % 2)).alias("deadline"))
+
+
+def with_clock(answers, *times):
+    """Answers, and ticks of the clock behind them."""
+    clock = answers.sparkSession.createDataFrame([(t,) for t in times], "arrival bigint")
+    return answers.drop("ts").unionByName(clock, allowMissingColumns=True).withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
+
+
+def stopped(spark, timed, questions, files, **options):
+    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed, F.col("arrival"), files), questions, "1 second"), "polls")
+    counts = run_and_stream(live_votes.running_polls(polls), "counts")
+    return live_votes.with_unanswered(questions, run_available(live_votes.early_stop(counts, **options), "stops"))
+
+
 def test_votes_in_any_order(spark, answers):
     stream = in_files(spark, answers, F.md5(F.col("generation_id").cast("string")), 3)
-    counts = run_and_stream(live_votes.running_votes(stream, delay="1 hour"), "running")
-    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts, delay="1 hour"), "live"))
+    counts = run_and_stream(live_votes.running_votes(stream), "running")
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts), "live"))
     valid = votes.vote_frequencies(answers).where("highest > 0")
     assert rows_of(live, "question_id", "highest", "second", "third") == rows_of(valid, *valid.columns)
     majority = votes.majority_answer(answers).where("answer IS NOT NULL")
@@ -47,18 +66,15 @@ def test_votes_in_any_order(spark, answers):
 
 
 def test_early_stop_over_ordered_batches(spark, answers):
-    deadline = 130
-    timed = answers.withColumn("started", F.timestamp_seconds(F.lit(EPOCH))).drop("ts")
-    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed, F.col("arrival"), 3)), "polls")
-    counts = run_and_stream(live_votes.running_polls(polls), "counts")
-    stops = run_available(live_votes.early_stop(counts, deadline), "stops")
-    want = votes.early_stop_tick(answers, deadline)
+    questions = asked(spark, answers, 130)
+    stops = stopped(spark, with_clock(answers, 5000, 9000), questions, 4)
+    want = votes.early_stop_tick(questions, answers)
     assert rows_of(stops, *want.columns) == rows_of(want, *want.columns)
 
 
 def test_poll_counts_with_updates(spark, answers):
     stream = in_files(spark, answers, F.col("arrival"), 3)
-    counts = live_votes.poll_counts(stream).select(F.unix_seconds("poll.end").alias("poll"), "method", "arrived")
+    counts = live_votes.poll_counts(stream, "1 minute").select(F.unix_seconds("poll.end").alias("poll"), "method", "arrived")
     got = run_available(counts, "polls", "update").groupBy("poll", "method").agg(F.max("arrived").alias("arrived"))
     want = answers.groupBy((F.floor(F.col("arrival") / 20) * 20 + 20 + EPOCH).alias("poll"), "method").agg(F.count("*").alias("arrived"))
     assert rows_of(got, "poll", "method", "arrived") == rows_of(want, "poll", "method", "arrived")
@@ -68,7 +84,7 @@ def test_generations_from_shuffled_chunks(spark):
     chunks = cut_pieces(read_input(spark, SF, "turns").where("generation_id < 8"))
     chunks = chunks.withColumn("ts", F.timestamp_seconds(F.col("chunk_idx") + EPOCH))
     stream = in_files(spark, chunks, F.md5(F.concat_ws("-", "generation_id", "request_counter", "chunk_idx")), 3)
-    done = run_available(generations.assemble_generations(stream, delay="1 day"), "done")
+    done = run_available(generations.assemble_generations(stream, delay="1 day", idle="1 day"), "done")
     full = {(r[0], r[1]): r[2] for r in logs.request_texts(chunks).collect()}
     rows = done.collect()
     assert {(r.generation_id, r.request_counter) for r in rows} == set(full) and len(rows) == len(full)
@@ -80,13 +96,13 @@ def test_generations_from_shuffled_chunks(spark):
 
 def test_throttle_over_ordered_batches(spark, answers):
     stream = in_files(spark, answers.select("question_id", "arrival", "ts"), F.col("arrival"), 3)
-    kept = run_available(generations.throttle(stream, "question_id", "arrival"), "throttle")
+    kept = run_available(generations.throttle(stream, "question_id", "arrival", "10 minutes"), "throttle")
     want = throttle.throttled_checks(answers, "question_id", "arrival")
     assert rows_of(kept, "question_id", "arrival") == rows_of(want, "question_id", "arrival")
 
 
 def test_late_flags_on_a_stream(spark, answers):
-    closes = votes.early_stop_tick(answers, 130).select("question_id", (F.col("tick") * 20).alias("closed_at"))
+    closes = votes.early_stop_tick(asked(spark, answers, 130), answers).select("question_id", (F.col("tick") * 20).alias("closed_at"))
     stream = in_files(spark, answers, F.col("arrival"), 2)
     flagged = run_available(votes.late_results(stream, closes), "late")
     want = votes.late_results(answers, closes)
@@ -99,15 +115,89 @@ def test_a_large_question_is_thinned_without_loss(spark):
     rows += [(2, 2000, "code", 10, "x"), (2, 2001, "code", 30, "0"), (2, 2002, "code", 30, "")]
     df = spark.createDataFrame(rows, "question_id bigint, generation_id bigint, method string, arrival bigint, answer string")
     timed = df.withColumn("started", F.timestamp_seconds(F.lit(EPOCH))).withColumn("ts", F.timestamp_seconds(F.col("arrival") + EPOCH))
-    counts = run_and_stream(live_votes.running_votes(in_files(spark, timed, F.col("arrival"), 2), delay="1 hour"), "running")
-    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts, delay="1 hour"), "live"))
+    counts = run_and_stream(live_votes.running_votes(in_files(spark, timed, F.col("arrival"), 2)), "running")
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts), "live"))
     want = votes.vote_frequencies(df)
     assert rows_of(live, *want.columns) == rows_of(want, *want.columns)
     assert rows_of(live, "question_id", "votes", "answer") == [
         (1, 1500, votes.majority_answer(df).where("question_id = 1").first().answer), (2, 1, 0),
     ]
-    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed.drop("ts"), F.col("arrival"), 2)), "polls")
-    running = run_and_stream(live_votes.running_polls(polls), "counts")
-    stops = run_available(live_votes.early_stop(running, 40, enough_math=10**6, full_count=-1), "stops")
-    batch = votes.early_stop_tick(df, 40, enough_math=10**6, full_count=-1)
+    questions = spark.createDataFrame([(1, 40), (2, 40)], "question_id bigint, deadline bigint")
+    stops = stopped(spark, with_clock(timed, 900, 9000), questions, 3, enough_math=10**6, full_count=-1)
+    batch = votes.early_stop_tick(questions, df, enough_math=10**6, full_count=-1)
     assert rows_of(stops, *batch.columns) == rows_of(batch, *batch.columns)
+
+
+VOTES = "question_id bigint, generation_id bigint, method string, answer string, ts timestamp, closes timestamp"
+
+
+def waves(spark, label, rows, schema, run):
+    """Deliver lists of rows one after another, ``run`` started anew on each; the last result."""
+    folder = run_folder(spark, label)
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/input/wave={i}")
+        empty = spark.createDataFrame([], schema)
+        result = run(stream_files(spark, f"{folder}/input/wave=*", schema=empty.schema), folder)
+    return result
+
+
+def at(seconds):
+    return datetime.fromtimestamp(EPOCH + seconds)
+
+
+def test_late_rows_are_kept_and_a_restart_goes_on(spark):
+    rows = [[(1, 1, "math", "5", at(0), None), (1, 2, "math", "5", at(100), None)], [(1, 3, "math", "5", at(70), None), (1, 4, "math", "5", at(69), None)],
+            [(1, 5, "math", "5", None, None), (1, 6, "math", "5", at(300), None)], [(1, 7, "math", "5", at(100), None)]]
+    in_time, late = waves(spark, "late", rows, VOTES, lambda s, home: split_late(s, "ts", "30 seconds", "split", f"{home}/split"))
+    assert sorted((r.generation_id, r.batch, r.late) for r in late.collect()) == [(4, 1, True), (7, 3, True)]
+    kept = run_available(in_time, "kept")
+    assert sorted(r.generation_id for r in kept.collect()) == [1, 2, 3, 5, 6]
+
+
+def test_counts_go_on_after_a_long_silence(spark):
+    week = 7 * 86_400
+
+    def vote(stream, home):
+        counts = run_and_stream(live_votes.running_votes(stream), "running", 2, f"{home}/running")
+        return run_available(live_votes.live_votes(counts), "live", "append", 2, f"{home}/live")
+
+    rows = [[(1, i, "math", "5", at(i), None) for i in range(4)] + [(None, 9, "code", "7", at(1), None)], [(1, 5, "math", "5", at(week), None)], [(1, 6, "math", "5", at(10), None)]]
+    live = live_votes.latest_votes(waves(spark, "silence", rows, VOTES, vote))
+    assert sorted(((r.question_id, r.votes, r.highest) for r in live.collect()), key=str) == [(1, 6, 6), (None, 1, 1)]
+
+
+def test_a_vote_after_the_close_does_not_count(spark):
+    def vote(stream, home):
+        counts = run_and_stream(live_votes.running_votes(stream, until="closes", delay="10 seconds"), "running", 2, f"{home}/running")
+        return run_available(live_votes.live_votes(counts, "10 seconds"), "live", "append", 2, f"{home}/live")
+
+    rows = [[(1, 1, "math", "5", at(1), at(50)), (2, 2, "math", "6", at(2), at(900))], [(1, 3, "math", "7", at(400), at(50)), (2, 4, "code", "6", at(400), at(900))],
+            [(2, 5, "code", "6", at(800), at(900))]]
+    live = live_votes.latest_votes(waves(spark, "close", rows, VOTES, vote))
+    assert sorted((r.question_id, r.votes, r.highest, r.answer) for r in live.collect()) == [(1, 1, 1, 5), (2, 3, 3, 6)]
+
+
+def test_an_idle_request_keeps_what_has_come(spark):
+    schema = "generation_id bigint, request_counter bigint, method string, chunk_idx bigint, chunk string, is_last boolean, ts timestamp"
+
+    def assemble(stream, home):
+        done = generations.assemble_generations(stream, delay="10 seconds", idle="60 seconds")
+        return run_available(done, "done", "append", 2, f"{home}/done")
+
+    rows = [[(1, 1, "math", 0, "a", False, at(0)), (1, 1, "math", 3, "d", True, at(1)), (1, 1, "math", 2, "c", False, at(1)), (2, 1, "math", 0, "x", False, at(0))],
+            [(9, 1, "math", 0, "", True, at(500))], [(9, 2, "math", 0, "", True, at(501))], [(9, 3, "math", 0, "", True, at(5000))]]
+    done = waves(spark, "idle", rows, schema, assemble)
+    got = sorted((r.generation_id, r.text, r.chunks, r.reason, r.missing) for r in done.collect() if r.generation_id < 9)
+    assert got == [(1, "acd", 3, "expired", 1), (2, "x", 1, "expired", None)]
+
+
+def test_first_filled_block_ends_a_request(spark):
+    schema = "generation_id bigint, request_counter bigint, method string, chunk_idx bigint, chunk string, is_last boolean, ts timestamp"
+    text = "```python\n```  ``` ```python ``` ```python\nx = 1\n``` ```python ``` end"
+    for size in (1, 3, 7, 100):
+        parts = [text[i : i + size] for i in range(0, len(text), size)]
+        rows = [[(1, 1, "code", i, p, i + 1 == len(parts), at(i)) for i, p in enumerate(parts)]]
+        done = waves(spark, "blocks", rows, schema, lambda s, home: run_available(generations.assemble_generations(s, "1 day", "1 day"), "d", "append", 2, f"{home}/d"))
+        row = done.first()
+        end = text.index("x = 1") + 9
+        assert (row.reason, row.chunks, row.text) == ("code_block", -(-end // size), text[: -(-end // size) * size])
