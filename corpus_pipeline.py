@@ -18,6 +18,7 @@ from tallywork.llm.queries import MOST_EPOCHS, SEED, SHARE, WEIGHTS, tree
 from tallywork.operators.stages import written
 
 LEAST_SCORE = 1 / 3
+SIMILARITY = 0.8
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -32,8 +33,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, that with the least id."""
-    return simhash.one_of_each(docs)
+    """Of documents linked by similar shingles of five words, that with the least id."""
+    return simhash.one_of_each(docs, shingle=5, similarity=SIMILARITY)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,8 +72,37 @@ def test_one_of_each_component_stays(spark):
     assert kept.where("doc_id = 5").count() == 2
 
 
+def jaccard(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("options", [{}, {"split_above": 20}])
+def test_near_copies_by_similarity(spark, options):
+    """Copies with some words changed are found, other texts are not; the smallest id stays."""
+    rows, similar = [], []
+    for base in range(40):
+        words = prose(base, 150 + 10 * base).split()
+        rows.append((base * 10, " ".join(words), "en", "x"))
+        for copy in range(1, 4):
+            changed = list(words)
+            for i in range(0, len(words), 30 * copy):
+                changed[i] = f"w{base}x{copy}x{i}"
+            rows.append((base * 10 + copy, " ".join(changed), "en", "x"))
+            similar.append((base * 10 + copy, jaccard(rows[-1][1], " ".join(words))))
+    rows += [(5000 + i, prose(900 + i, 60), "en", "x") for i in range(300)] + [(9000, "", "en", "x"), (9001, None, "en", "x")]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs, shingle=5, similarity=0.8, **options).collect()}
+    assert all(i // 10 == c // 10 for i, c in found.items() if i < 5000)
+    near = [i for i, j in similar if j >= 0.8]
+    assert len(near) >= 80 and sum(found[i] != i for i in near) >= 0.95 * len(near)
+    assert all(found[5000 + i] == 5000 + i for i in range(300)) and found[9001] == 9000
+    assert simhash.one_of_each(docs, shingle=5, similarity=0.8).columns == docs.columns
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
+    assert simhash.near_copies(empty, shingle=5, similarity=0.8).count() == 0
     assert simhash.near_copies(empty).count() == simhash.one_of_each(empty).count() == 0
 
 
@@ -87,7 +116,7 @@ def test_index_joins_up_all_links(seed):
     codes = np.unique(np.concatenate((codes, rng.integers(0, 2**63, 200, dtype=np.uint64)))).view(np.int64)
     bucket = np.zeros(len(codes), np.int64) if seed % 2 else codes & 3
     a, b = simhash.linked(bucket, codes, 3)
-    mine = dict(zip(a.tolist(), b.tolist()))
+    mine = dict(zip(codes[a].tolist(), codes[b].tolist()))
     expected = {}
     for k in np.unique(bucket):
         inside = codes[bucket == k].tolist()
