@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.text import tokens_below, training_span
+from tallywork.operators.logs import attach_correct_answer, fill_eventual_answer, training_flag
 from tallywork.operators.ranking import grouped_positions
 
 # Fixed values, in tokens.
@@ -70,21 +71,26 @@ def eligible_rows(logs: DataFrame) -> DataFrame:
     return kept.select("question_id", "position", label.alias("label"))
 
 
-def training_set(logs: DataFrame) -> DataFrame:
+def answered(logs: DataFrame, problems: DataFrame) -> DataFrame:
+    """Raw log records with the training flag, the answer of their run, and the known one."""
+    flagged = training_flag(logs.drop("flag_for_training", "eventual_answer", "correct_answer"))
+    filled = fill_eventual_answer(flagged.withColumnRenamed("training_flag", "flag_for_training"))
+    return attach_correct_answer(filled, problems)
+
+
+def training_set(logs: DataFrame, max_input: int = MAX_INPUT, max_output: int = MAX_OUTPUT) -> DataFrame:
     """Paired training rows in order: position, question, label, prompt, completion, answer.
 
-    Pairs are found on narrow rows; the texts are fetched for the chosen rows only.
+    ``logs`` are the records of ``answered``, with a position. One aggregate per question and
+    label carries the texts of the first row along, so nothing is joined, and a task passes on
+    one row per question and label.
     """
-    pairs = pair_right_wrong(eligible_rows(logs))
-    chosen = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("wrong_position").alias("position"), F.lit("wrong").alias("label")),
-                F.struct(F.col("right_position").alias("position"), F.lit("right").alias("label")),
-            )
-        ).alias("row")
-    ).select("row.*")
-    texts = logs.where("flag_for_training").select(
-        "position", "question_id", "prompt", training_span("buffer").alias("completion"), "correct_answer"
-    )
-    return sequential_order(texts.join(chosen, "position"))
+    label = right_or_wrong(F.col("eventual_answer"), F.col("correct_answer"))
+    completion = training_span("buffer")
+    rows = length_filter(logs.where("flag_for_training"), "prompt", completion, max_input=max_input, max_output=max_output)
+    text = F.struct("prompt", completion.alias("completion"), "correct_answer")
+    labelled = rows.select("question_id", label.alias("label"), "position", text.alias("text")).where("label IS NOT NULL")
+    first = labelled.groupBy("question_id", "label").agg(F.min("position").alias("position"), F.min_by("text", "position").alias("text"))
+    both = first.groupBy("question_id").agg(F.collect_list(F.struct("label", "position", "text")).alias("pair"))
+    paired = both.where(F.size("pair") == 2).select("question_id", F.explode("pair").alias("row"))
+    return sequential_order(paired.select("row.position", "question_id", "row.label", "row.text.*"))

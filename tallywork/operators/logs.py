@@ -25,11 +25,17 @@ LOG_SCHEMA = T.StructType(
         T.StructField("request_counter", T.LongType()),
         T.StructField("token_counter", T.LongType()),
         T.StructField("log_time", T.DoubleType()),
+        T.StructField("elapsed", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("flag_for_training", T.BooleanType()),
         T.StructField("prompt", T.StringType()),
         T.StructField("buffer", T.StringType()),
+        T.StructField("new_buffer", T.StringType()),
+        T.StructField("code", T.StringType()),
+        T.StructField("injected", T.StringType()),
         T.StructField("answer", T.StringType()),
+        T.StructField("eventual_answer", T.StringType()),
+        T.StructField("correct_answer", T.StringType()),
     ]
 )
 
@@ -42,9 +48,12 @@ def training_logs(logs: DataFrame) -> DataFrame:
     return logs.where("flag_for_training")
 
 
+CLOSING = ("final", "terminated")
+
+
 def closings(logs: DataFrame) -> DataFrame:
     """The last record of every run."""
-    return logs.where(F.col("reason").isin("final", "terminated"))
+    return logs.where(F.col("reason").isin(*CLOSING))
 
 
 def normalize_logs(*records: DataFrame, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
@@ -64,7 +73,7 @@ def union_question_logs(*logs: DataFrame) -> DataFrame:
 
 
 def fill_eventual_answer(logs: DataFrame) -> DataFrame:
-    """The run's answer on each of its records, '-1' where it is empty."""
+    """The run's answer on each of its records, '-1' where it is empty, NULL while the run has no end."""
     answer = F.coalesce(F.col("answer"), F.lit(""))
     ends = closings(logs).select(*RUN, F.when(answer == "", "-1").otherwise(answer).alias("eventual_answer"))
     return logs.join(ends, RUN, "left")
@@ -73,13 +82,15 @@ def fill_eventual_answer(logs: DataFrame) -> DataFrame:
 def training_flag(requests: DataFrame) -> DataFrame:
     """Request k is a training row if request k - 1 of its run ended with a terminal execution.
 
+    The record that closes a run is never one, though it has the number of the last request.
     Looked up by request number, so a very long run is spread over tasks.
     """
     marked = requests.where(F.col("reason") == "terminal_code_execution").select(
         *RUN, (F.col("request_counter") + 1).alias("request_counter"), F.lit(True).alias("training_flag")
     )
     flagged = requests.join(marked, [*RUN, "request_counter"], "left")
-    return flagged.withColumn("training_flag", F.coalesce("training_flag", F.lit(False)))
+    request = ~F.coalesce(F.col("reason").isin(*CLOSING), F.lit(False))
+    return flagged.withColumn("training_flag", F.coalesce("training_flag", F.lit(False)) & request)
 
 
 def attach_correct_answer(logs: DataFrame, problems: DataFrame, key: str = "question_id") -> DataFrame:

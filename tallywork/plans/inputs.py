@@ -124,8 +124,12 @@ FROM {documents}
 # Generation logs: five records per run, the last one final. Runs come in pairs, the own
 # run of a method (defer 0) and the hand-over to the other method (defer 1).
 LOGS = """
-SELECT question_id, method, generation_idx, defer_count, request_counter,
+SELECT event_id AS position, question_id, method, generation_idx, defer_count, request_counter,
        request_counter * 40 + event_id % 7 AS token_counter,
+       CASE WHEN method = 'code' THEN CAST(event_id % 61 AS STRING) || ' s' END AS elapsed,
+       CASE WHEN event_type = 'click' THEN 'step ' || props END AS new_buffer,
+       CASE WHEN method = 'code' AND request_counter < 5 THEN 'a = ' || CAST(event_id AS STRING) END AS code,
+       CASE WHEN event_id % 4 = 1 THEN chr(10) || props END AS injected,
        request_counter * 20 + event_id * 7 % 19 + 0.5e0 AS log_time,
        CASE WHEN request_counter = 5 THEN CASE WHEN method = 'code' AND event_id % 3 = 0 THEN 'terminated' ELSE 'final' END
             WHEN method = 'math' THEN 'stream_complete'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywork.operators import budget, curate, logs, prompts, throttle
 from tallywork.plans.inputs import PIECE, read_input, with_inputs
@@ -57,12 +58,15 @@ def training_logs(spark, folder):
 
 @query("normalize_logs", with_inputs("""
 SELECT question_id, method, generation_idx, defer_count, request_counter, CASE WHEN method = 'math' THEN token_counter END AS token_counter,
-       log_time, reason, CASE WHEN method = 'code' THEN flag_for_training END AS flag_for_training,
+       log_time, CASE WHEN method = 'code' THEN elapsed END AS elapsed, reason,
+       CASE WHEN method = 'code' THEN flag_for_training END AS flag_for_training,
        CASE WHEN method = 'math' OR reason <> 'unassigned' THEN prompt END AS prompt,
-       CASE WHEN method = 'code' THEN buffer END AS buffer, CAST(NULL AS VARCHAR) AS answer FROM fx_logs""", "logs"))
+       CASE WHEN method = 'code' THEN buffer END AS buffer, CASE WHEN method = 'code' THEN new_buffer END AS new_buffer,
+       CASE WHEN method = 'code' THEN code END AS code, CASE WHEN method = 'code' THEN injected END AS injected,
+       CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS eventual_answer, CAST(NULL AS VARCHAR) AS correct_answer FROM fx_logs""", "logs"))
 def normalize_logs(spark, folder):
     rows = _logs(spark, folder).drop("answer")
-    math = rows.where("method = 'math'").drop("flag_for_training", "buffer")
+    math = rows.where("method = 'math'").drop("flag_for_training", "buffer", "elapsed", "new_buffer", "code", "injected")
     code = rows.where("method = 'code'").drop("token_counter")
     unassigned = code.where("reason = 'unassigned'").drop("prompt")
     return logs.normalize_logs(math, code.where("reason <> 'unassigned'"), unassigned)
@@ -83,13 +87,13 @@ def fill_eventual_answer(spark, folder):
     return filled.select(*logs.RUN, "request_counter", "reason", "eventual_answer")
 
 
-@query("training_flag", with_inputs(f"""
-SELECT {RUN}, request_counter, reason, coalesce(lag(reason) OVER (PARTITION BY {RUN} ORDER BY request_counter)
-       = 'terminal_code_execution', false) AS training_flag
-FROM fx_logs WHERE reason NOT IN ('final', 'terminated')""", "logs"))
+FLAGS = f"""flags AS (SELECT *, reason NOT IN ('final', 'terminated') AND coalesce(lag(reason) OVER (
+       PARTITION BY {RUN} ORDER BY request_counter, reason IN ('final', 'terminated')) = 'terminal_code_execution', false) AS training_flag FROM fx_logs)"""
+
+
+@query("training_flag", with_inputs(f"WITH {FLAGS} SELECT {RUN}, request_counter, reason, training_flag FROM flags", "logs"))
 def training_flag(spark, folder):
-    requests = _logs(spark, folder).where("reason NOT IN ('final', 'terminated')")
-    return logs.training_flag(requests.select(*logs.RUN, "request_counter", "reason"))
+    return logs.training_flag(_logs(spark, folder).select(*logs.RUN, "request_counter", "reason"))
 
 
 @query("attach_correct_answer", with_inputs(f"""
@@ -123,40 +127,30 @@ def generation_outcome(spark, folder):
     return logs.generation_outcome(_ends(spark, folder), read_input(spark, folder, "log_problems"))
 
 
-@query("write_generation_logs", with_inputs(f"""
-WITH outputs AS (SELECT 'generation_logs' AS output, * FROM fx_logs
+OUTPUTS = """outputs AS (SELECT 'generation_logs' AS output, * FROM fx_logs
   UNION ALL SELECT 'generation_logs_final', * FROM fx_logs WHERE reason = 'final'
-  UNION ALL SELECT 'generation_logs_training', * FROM fx_logs WHERE flag_for_training)
-SELECT output, {RUN}, request_counter, log_time, reason, prompt, buffer FROM outputs""", "logs"))
+  UNION ALL SELECT 'generation_logs_training', * FROM fx_logs WHERE flag_for_training)"""
+
+
+@query("write_generation_logs", with_inputs(f"""
+WITH {OUTPUTS} SELECT output, {RUN}, request_counter, log_time, reason, prompt, buffer FROM outputs""", "logs"))
 def write_generation_logs(spark, folder):
-    paths = log_files.write_generation_logs(_logs(spark, folder), run_folder(spark, "logs"))
-    outputs = [
-        spark.read.parquet(path).select(
-            F.lit(name).alias("output"), *logs.RUN, "request_counter", "log_time", "reason", "prompt", "buffer"
-        )
-        for name, path in paths.items()
-    ]
-    return logs.union_question_logs(*outputs)
-
-
-@query("archive_run_logs", with_inputs("""
-WITH outputs AS (SELECT 'generation_logs' AS output, * FROM fx_logs
-  UNION ALL SELECT 'generation_logs_final', * FROM fx_logs WHERE reason = 'final'
-  UNION ALL SELECT 'generation_logs_training', * FROM fx_logs WHERE flag_for_training)
-SELECT 'run-1' AS run_id, output, method, count(*) AS records, CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars,
-       CAST(sum(length(buffer)) AS BIGINT) AS buffer_chars, CAST(sum(token_counter) AS BIGINT) AS tokens
-FROM outputs GROUP BY output, method""", "logs"))
+    home = run_folder(spark, "logs")
+    rows = _logs(spark, folder)
+    log_files.write_generation_logs(rows, home)
+    written = spark.read.schema(f"{rows.schema.toDDL()}, output string").parquet(home)
+    return written.select("output", *logs.RUN, "request_counter", "log_time", "reason", "prompt", "buffer")
+
+
+@query("archive_run_logs", with_inputs(f"WITH {OUTPUTS} SELECT 'run-1' AS run_id, * FROM outputs", "logs"))
 def archive_run_logs(spark, folder):
-    written = run_folder(spark, "run")
+    """A run is archived, another beside it, and the first once more."""
     rows = _logs(spark, folder)
-    log_files.write_generation_logs(rows, written, as_csv=True)
-    kept = log_files.archive_run_logs(spark, written, run_folder(spark, "archive"), "run-1", rows.schema)
-    return kept.groupBy("run_id", "output", "method").agg(
-        F.count("*").alias("records"),
-        F.sum(F.length("prompt")).cast("bigint").alias("prompt_chars"),
-        F.coalesce(F.sum(F.length("buffer")), F.lit(0)).cast("bigint").alias("buffer_chars"),
-        F.sum("token_counter").alias("tokens"),
-    )
+    home, archive = run_folder(spark, "run"), run_folder(spark, "archive")
+    log_files.write_generation_logs(rows, home)
+    for run in ("run-1", "run-2", "run-1"):
+        kept = log_files.archive_run_logs(spark, home, archive, run, rows.schema)
+    return kept
 
 
 # ---- Chunks -------------------------------------------------------------------------
@@ -191,17 +185,22 @@ def throttled_checks(spark, folder):
 # ---- Problems, prompts and budgets --------------------------------------------------
 
 
-@query("scan_problems", with_inputs("SELECT id, problem, answer FROM fx_problems", "problems"))
+@query("scan_problems", with_inputs("SELECT id, CASE WHEN position % 9 = 4 THEN '' WHEN position % 9 <> 5 THEN problem END AS problem, "
+                                    "answer FROM fx_problems", "problems"))
 def scan_problems(spark, folder):
+    """From a file of more columns in another order, with empty and missing texts."""
     path = run_folder(spark, "problems")
-    problems.write_csv(read_input(spark, folder, "problems").select("id", "problem", "answer"), path)
+    rows = read_input(spark, folder, "problems")
+    text = F.when(F.col("position") % 9 == 4, "").when(F.col("position") % 9 != 5, F.col("problem"))
+    problems.write_csv(rows.select("answer", "position", text.alias("problem"), "id"), path)
     return problems.scan_problems(spark, path)
 
 
 @query("scan_training_set", with_inputs("SELECT prompt, correct_answer FROM fx_training_logs", "training_logs"))
 def scan_training_set(spark, folder):
     path = run_folder(spark, "training")
-    problems.write_csv(read_input(spark, folder, "training_logs").select("prompt", "correct_answer"), path)
+    rows = read_input(spark, folder, "training_logs")
+    problems.write_csv(rows.select("question_id", "correct_answer", "eventual_answer", "prompt"), path)
     return problems.scan_training_set(spark, path)
 
 
@@ -209,7 +208,7 @@ def scan_training_set(spark, folder):
 def publish_questions(spark, folder):
     path = run_folder(spark, "questions")
     problems.publish_questions(read_input(spark, folder, "problems").select("id", "problem", "answer"), path)
-    return problems.read_csv(spark, path, "id STRING, problem STRING")
+    return problems.read_csv(spark, path, T.StructType(problems.PROBLEM_SCHEMA.fields[:2]))
 
 
 @query("sample_problems", with_inputs("""
@@ -336,12 +335,25 @@ def pair_right_wrong_all(spark, folder):
     return curate.pair_right_wrong(_labelled(spark, folder), all_pairs=True)
 
 
+FROM_LOGS = f"""
+{FLAGS}, {ENDS}, {KNOWN},
+filled AS (SELECT f.position, f.question_id, f.prompt, f.buffer, f.training_flag, CASE WHEN coalesce(e.answer, '') = '' THEN '-1' ELSE e.answer END AS eventual,
+                  coalesce(k.correct_answer, '') AS correct_answer, string_split(f.buffer, '```python')[1] AS completion
+           FROM flags f JOIN ends e USING ({RUN}) LEFT JOIN known k ON k.question_id = f.question_id),
+eligible AS (SELECT *, CASE WHEN eventual = correct_answer THEN 'right' ELSE 'wrong' END AS label FROM filled
+             WHERE training_flag AND eventual <> '-1' AND correct_answer <> ''
+               AND {TOKENS.format(c='prompt')} < 90 AND {TOKENS.format(c='completion')} < 25),
+firsts AS (SELECT * FROM eligible QUALIFY row_number() OVER (PARTITION BY question_id, label ORDER BY position) = 1)
+"""
+
+
 @query("training_set", with_inputs(f"""
-WITH {LABELLED} SELECT position, e.question_id, label, prompt, completion, correct_answer
-FROM eligible e JOIN paired p ON pair = 1 AND e.position IN (wrong_position, right_position)
-ORDER BY position""", "training_logs"))
+WITH {FROM_LOGS} SELECT position, question_id, label, prompt, completion, correct_answer FROM firsts
+QUALIFY count(*) OVER (PARTITION BY question_id) = 2 ORDER BY position""", "logs", "log_problems"))
 def training_set(spark, folder):
-    return curate.training_set(read_input(spark, folder, "training_logs"))
+    """From raw logs: flag, run's answer, known answer, completion, token limits, pairs, order."""
+    records = curate.answered(_logs(spark, folder), read_input(spark, folder, "log_problems"))
+    return curate.training_set(records, max_input=90, max_output=25)
 
 
 @query("sequential_order", with_inputs("SELECT position, prompt, correct_answer FROM fx_training_logs ORDER BY position", "training_logs"))

@@ -1,4 +1,4 @@
-"""Generation-log outputs and their archive."""
+"""Generation-log outputs and their archive, as tables partitioned by output."""
 
 from __future__ import annotations
 
@@ -6,40 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.operators.logs import LOG_SCHEMA, final_logs, sorted_logs, training_logs
-from tallywork.sources.problems import read_csv, write_csv
+from tallywork.operators.logs import LOG_ORDER, LOG_SCHEMA
+from tallywork.sources.problems import write_csv
 
 LOG_OUTPUTS = ("generation_logs", "generation_logs_final", "generation_logs_training")
+OUTPUT = T.StructField("output", T.StringType())
 
 
-def write_generation_logs(logs: DataFrame, folder: str, as_csv: bool = False) -> dict[str, str]:
+def write_generation_logs(logs: DataFrame, folder: str) -> dict[str, str]:
     """Write all records, final records and training records, each sorted; return the paths.
 
-    The full output is written first and the other two are filtered from it, so the logs
-    are computed and sorted once and no executor has to keep them.
+    Each record is given the outputs it belongs to, and all outputs are sorted and written
+    together: the logs are computed once, and nothing is read again.
     """
-    spark = logs.sparkSession
-    paths = {name: f"{folder}/{name}{'.csv' if as_csv else ''}" for name in LOG_OUTPUTS}
+    final, training = F.col("reason") == "final", F.col("flag_for_training")
+    outputs = F.array_compact(F.array(F.lit(LOG_OUTPUTS[0]), F.when(final, LOG_OUTPUTS[1]), F.when(training, LOG_OUTPUTS[2])))
+    rows = logs.withColumn("output", F.explode(outputs))
+    ordered = rows.orderBy("output", *[F.asc_nulls_last(c) for c in LOG_ORDER])
+    ordered.write.partitionBy("output").parquet(folder)
+    return {name: f"{folder}/output={name}" for name in LOG_OUTPUTS}
 
-    def write(rows: DataFrame, path: str) -> None:
-        write_csv(rows, path) if as_csv else rows.write.parquet(path)
 
-    write(sorted_logs(logs), paths["generation_logs"])
-    if as_csv:
-        written = read_csv(spark, paths["generation_logs"], logs.schema)
-    else:
-        written = spark.read.schema(logs.schema).parquet(paths["generation_logs"])
-    write(sorted_logs(final_logs(written)), paths["generation_logs_final"])
-    write(sorted_logs(training_logs(written)), paths["generation_logs_training"])
-    return paths
+def write_csv_outputs(spark: SparkSession, folder: str, paths: dict[str, str], schema: T.StructType = LOG_SCHEMA) -> None:
+    """The outputs at ``paths`` again as CSV, in their order, for readers of small logs."""
+    for name, path in paths.items():
+        write_csv(spark.read.schema(schema).parquet(path), f"{folder}/{name}.csv")
 
 
 def archive_run_logs(
     spark: SparkSession, folder: str, archive: str, run_id: str, schema: T.StructType = LOG_SCHEMA
 ) -> DataFrame:
-    """Keep every generation_*.csv of a run in an archive partitioned by run and output."""
-    rows = read_csv(spark, f"{folder}/generation_*.csv", schema)
-    output = F.regexp_extract(F.input_file_name(), r"(generation_[^/]*)\.csv", 1)
-    kept = rows.select("*", F.lit(run_id).alias("run_id"), output.alias("output"))
-    kept.write.mode("append").partitionBy("run_id", "output").parquet(archive)
-    return spark.read.parquet(archive).where(F.col("run_id") == run_id)
+    """Keep all outputs of a run in an archive partitioned by run and output.
+
+    Archiving a run again replaces what the archive has of it.
+    """
+    whole = T.StructType([*schema.fields, OUTPUT])
+    kept = spark.read.schema(whole).parquet(folder).withColumn("run_id", F.lit(run_id))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "output").parquet(archive)
+    archived = T.StructType([*schema.fields, T.StructField("run_id", T.StringType()), OUTPUT])
+    return spark.read.schema(archived).parquet(archive).where(F.col("run_id") == run_id)

@@ -125,3 +125,33 @@ def test_keyword_selection(spark):
     df = spark.createDataFrame([("a", "Fred and"), ("b", "other")], "id string, problem string")
     got = {r.id: r.preset_answer for r in logs.select_questions(df, ["Triangle", "Fred"]).collect()}
     assert got == {"a": None, "b": 210}
+
+
+def test_closing_records_are_never_flagged(spark):
+    rows = [(1, "terminal_code_execution"), (2, "stop_token"), (2, "final"), (3, None)]
+    df = spark.createDataFrame([(1, "code", 1, 0, n, r) for n, r in rows], "question_id int, method string, generation_idx int, defer_count int, request_counter int, reason string")
+    got = {(r.request_counter, r.reason): r.training_flag for r in logs.training_flag(df).collect()}
+    assert got == {(1, "terminal_code_execution"): False, (2, "stop_token"): True, (2, "final"): False, (3, None): False}
+
+
+def test_training_set_from_raw_logs_in_order(spark):
+    run = "question_id bigint, method string, generation_idx bigint, defer_count bigint"
+    rows = []
+    for q in range(12):
+        for g, answer in enumerate([str(q), "77", "77", str(q), ""]):
+            at = 1000 - q * 50 + g * 5
+            rows += [
+                (q, "code", g, 0, 1, "terminal_code_execution", f"p{q}-{g}-1", "b", None, at),
+                (q, "code", g, 0, 2, "stop_token", f"p{q}-{g}-2", f"t{q}-{g}```python\nx", None, at + 1),
+                (q, "code", g, 0, 2, "final", "end", "end", answer, at + 2),
+            ]
+    log = spark.createDataFrame(rows, f"{run}, request_counter bigint, reason string, prompt string, buffer string, answer string, position bigint").repartition(7)
+    known = spark.createDataFrame([(q, 0, q) for q in range(10)], "question_id bigint, position bigint, answer bigint")
+    got = [tuple(r) for r in curate.training_set(curate.answered(log, known)).collect()]
+    want = [(1001 - q * 50 + g * 5, q, label, f"p{q}-{g}-2", f"t{q}-{g}", str(q)) for q in range(10) for g, label in ((0, "right"), (1, "wrong"))]
+    assert got == sorted(want)
+
+
+def test_sequential_order_is_that_of_the_positions(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("position")).repartition(6)
+    assert [r.position for r in curate.sequential_order(df).collect()] == list(range(500))
