@@ -41,7 +41,8 @@ def format_valid(completion: Column | str) -> Column:
     return F.contains(c, F.lit(END_OF_THOUGHT)) & (boxed != code)
 
 
-def _penalty(completion: Column | str) -> Column:
+def format_penalty(completion: Column | str) -> Column:
+    """What each reward takes off a completion of another format."""
     return F.when(format_valid(completion), 0.0).otherwise(-1.0)
 
 
@@ -53,18 +54,20 @@ def token_lengths(completion: Column | str) -> tuple[Column, Column]:
     return thinking, tokens + token_count(rest)
 
 
-def length_reward(completion: Column | str, thinking: Column | None = None, tokens: Column | None = None) -> Column:
-    """Half thinking length, half full length; token columns may be supplied."""
+def length_reward(
+    completion: Column | str, thinking: Column | None = None, tokens: Column | None = None, penalty: Column | None = None
+) -> Column:
+    """Half thinking length, half full length; columns of tokens and of the penalty may be supplied."""
     if thinking is None or tokens is None:
         thinking, tokens = token_lengths(completion)
     return (
         0.5 * length_preference(thinking, PREFERRED_THINKING_TOKENS, scaling=LENGTH_SCALING)
         + 0.5 * length_preference(tokens, PREFERRED_TOKENS, scaling=LENGTH_SCALING)
-        + _penalty(completion)
+        + (format_penalty(completion) if penalty is None else penalty)
     )
 
 
-def format_reward(completion: Column | str) -> Column:
+def format_reward(completion: Column | str, penalty: Column | None = None) -> Column:
     """Paragraphs of the thinking part should be near 100 characters."""
     c = _col(completion)
     thinking = F.when(
@@ -81,10 +84,10 @@ def format_reward(completion: Column | str) -> Column:
 
     start = F.struct(F.lit(1.0).alias("scored"), F.lit(1.0).alias("seen"))
     share = F.aggregate(lengths, start, add, lambda t: t["scored"] / t["seen"])
-    return share + _penalty(c)
+    return share + (format_penalty(c) if penalty is None else penalty)
 
 
-def correctness_reward(completion: Column | str, correct_answer: Column | str) -> Column:
+def correctness_reward(completion: Column | str, correct_answer: Column | str, penalty: Column | None = None) -> Column:
     """-2 .. 1; the boxed text is compared as text, and no text equals an unknown answer."""
     c, boxed = _col(completion), first_boxed(completion)
     score = (
@@ -93,7 +96,7 @@ def correctness_reward(completion: Column | str, correct_answer: Column | str) -
         .when(~boxed.eqNullSafe(_col(correct_answer).cast("string")), -1.0)
         .otherwise(1.0)
     )
-    return score + _penalty(c)
+    return score + (format_penalty(c) if penalty is None else penalty)
 
 
 def char_length_reward(completion: Column | str) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Collection, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.code_check import finding, longest_valid_prefix
-from tallywork.functions.text import CODE_BLOCK, open_code_suffix, replace_last
+from tallywork.functions.text import CODE_BLOCK, open_code_suffix
 
 # Fixed values of the roll-back rule.
 MAX_SUFFIX_BREAKS = 5
@@ -77,27 +77,39 @@ def valid_prefix_table(codes: DataFrame, allowed: Collection[str] = ()) -> DataF
     )
 
 
-def must_roll_back(suffix: Column, names: Column) -> Column:
-    breaks = F.length(suffix) - F.length(F.replace(suffix, F.lit("\n"), F.lit("")))
-    return (F.size(names) > 0) | (breaks > MAX_SUFFIX_BREAKS) | F.contains(suffix, F.lit("\n\n"))
+def must_roll_back(suffix: str, names: list[str]) -> bool:
+    return bool(names) or suffix.count("\n") > MAX_SUFFIX_BREAKS or "\n\n" in suffix
 
 
 def rewrite_decision(requests: DataFrame, allowed: Collection[str] = ()) -> DataFrame:
     """For each ``buffer`` with open code: roll it back or not, and the buffer to go on with.
 
-    Requests and checked codes meet by a digest, and a request's code is cut out of its
-    buffer again behind the join, so the shuffle does not carry it.
+    Requests and checked codes meet by a digest. A check gives back how much of the code to
+    keep, the names, and the decision; the buffer is cut behind the join, so no code text goes
+    through it.
     """
+    allowed = frozenset(allowed)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [longest_valid_prefix(code, allowed) for code in batch["code"]]
+            yield pd.DataFrame(
+                {
+                    "digest": batch["digest"],
+                    "dropped": [len(code) - len(prefix) for code, (prefix, _, _) in zip(batch["code"], parts)],
+                    "names": [n for _, _, n in parts],
+                    "rolled_back": [must_roll_back(s, n) for _, s, n in parts],
+                }
+            )
+
     code = open_code_suffix("buffer")
     opened = requests.where(code != "")
-    checked = valid_prefix_table(opened.select(code.alias("code")), allowed).select(
-        F.sha2("code", 256).alias("digest"), "prefix", "suffix", "names"
-    )
+    distinct = opened.select(F.sha2(code, 256).alias("digest"), code.alias("code")).distinct()
+    checked = distinct.mapInPandas(decide, "digest string, dropped int, names array<string>, rolled_back boolean")
     joined = opened.withColumn("digest", F.sha2(code, 256)).join(checked, "digest")
-    rolled = must_roll_back(F.col("suffix"), F.col("names"))
     comment = F.when(F.size("names") > 0, F.concat(F.lit(NAMES_COMMENT), F.array_join("names", " "))).otherwise("")
+    kept = F.substr("buffer", F.lit(1), F.length("buffer") - F.col("dropped"))
     return joined.select(
-        *requests.columns, "names", rolled.alias("rolled_back"),
-        F.when(rolled, replace_last("buffer", code, F.concat("prefix", comment)))
-        .otherwise(F.col("buffer")).alias("new_buffer"),
+        *requests.columns, "names", "rolled_back",
+        F.when(F.col("rolled_back"), F.concat(kept, comment)).otherwise(F.col("buffer")).alias("new_buffer"),
     )

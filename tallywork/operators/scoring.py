@@ -50,13 +50,14 @@ def score(
     """
     if thinking is None or tokens is None:
         thinking, tokens = rw.token_lengths("completion")
-    # Lengths are columns of their own, so that each text is measured once.
-    measured = completions.select("*", thinking.alias("__thinking"), tokens.alias("__tokens"))
+    # Lengths and the format test are columns of their own, so that each text is measured once.
+    measured = completions.select("*", thinking.alias("__thinking"), tokens.alias("__tokens"), rw.format_penalty("completion").alias("__penalty"))
+    penalty = F.col("__penalty")
     base = measured.select(
         "question_id", "generation_id", "call_idx",
-        rw.format_reward("completion").alias("format_reward"),
-        rw.length_reward("completion", F.col("__thinking"), F.col("__tokens")).alias("length_reward"),
-        rw.correctness_reward("completion", "correct_answer").alias("correctness_reward"),
+        rw.format_reward("completion", penalty).alias("format_reward"),
+        rw.length_reward("completion", F.col("__thinking"), F.col("__tokens"), penalty).alias("length_reward"),
+        rw.correctness_reward("completion", "correct_answer", penalty).alias("correctness_reward"),
     )
     style = F.col("style_weight") * (F.col("format_reward") + F.col("length_reward"))
     terms = _with_weights(base, total_calls).select(
@@ -70,12 +71,20 @@ def score(
     return terms.withColumn("total_reward", sum((F.col(r) for r in REWARDS[1:]), F.col(REWARDS[0])))
 
 
-def reward_step_metrics(scored: DataFrame, evaluation_steps: int = EVALUATION_STEPS) -> DataFrame:
-    """Mean of each reward per call, and whether the call is followed by an evaluation."""
-    means = scored.groupBy("call_idx").agg(
-        F.count("*").alias("completions"), *[F.avg(r).alias(f"mean_{r}") for r in (*REWARDS, "total_reward")]
-    )
-    return means.withColumn("evaluated", F.col("call_idx") % evaluation_steps == 0)
+def reward_step_metrics(scored: DataFrame, evaluation: DataFrame, evaluation_steps: int = EVALUATION_STEPS) -> DataFrame:
+    """Mean of each reward per call of the training set, and per step of the evaluation set.
+
+    The evaluation set is scored at the start (call 0) and after every ``evaluation_steps``
+    calls; its completions carry the call they were made after.
+    """
+
+    def means(rows: DataFrame, name: str) -> DataFrame:
+        measured = [F.avg(r).alias(f"mean_{r}") for r in (*REWARDS, "total_reward")]
+        return rows.groupBy(F.lit(name).alias("data_set"), "call_idx").agg(F.count("*").alias("completions"), *measured)
+
+    due = evaluation.where(F.col("call_idx") % evaluation_steps == 0)
+    both = means(scored, "training").unionByName(means(due, "evaluation"))
+    return both.withColumn("evaluated", F.col("call_idx") % evaluation_steps == 0)
 
 
 def group_advantage(scored: DataFrame, group: str = "question_id", reward: str = "total_reward") -> DataFrame:

@@ -71,6 +71,9 @@ SELECT CASE WHEN doc_id % 40 < 38 THEN CAST(floor(doc_id / 4.0) AS BIGINT) END A
 FROM {documents}
 """
 
+# The evaluation set, in the same shapes, as completed at the start and after every 16 calls.
+EVALUATION = COMPLETIONS.replace("CAST(floor(doc_id / 16.0) AS BIGINT) + 1 AS call_idx", "CAST(floor(doc_id / 64.0) AS BIGINT) * 16 AS call_idx")
+
 # Whole documents with sections, boxes, open fences and long lines planted around them.
 TEXTS = """
 SELECT doc_id, lang,
@@ -218,7 +221,7 @@ FROM {conversations}
 """
 
 INPUTS = {
-    "answers": ANSWERS, "arrivals": ARRIVALS, "questions": QUESTIONS, "problems": PROBLEMS, "completions": COMPLETIONS,
+    "answers": ANSWERS, "arrivals": ARRIVALS, "questions": QUESTIONS, "problems": PROBLEMS, "completions": COMPLETIONS, "evaluation": EVALUATION,
     "texts": TEXTS, "executions": EXECUTIONS, "logs": LOGS, "log_problems": LOG_PROBLEMS,
     "training_logs": TRAINING_LOGS, "turns": PLANTED_TURNS,
     "code_texts": CODE_TEXTS, "buffers": BUFFERS,

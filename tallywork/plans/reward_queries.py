@@ -166,11 +166,19 @@ def group_advantage(spark, folder):
 MEANS = (*scoring.REWARDS, "total_reward")
 
 
-@query("reward_step_metrics", _sql(
-    "SELECT call_idx, count(*) AS completions, call_idx % 16 = 0 AS evaluated, "
-    + ", ".join(f"round(avg({c}), 9) + 0e0 AS mean_{c}" for c in MEANS) + " FROM totals GROUP BY call_idx"))
+EVALUATED = SCORES.replace("fx_completions", "fx_evaluation").replace(
+    f"calls AS (SELECT count(*) // {PER_CALL} AS total FROM fx_evaluation)", f"calls AS (SELECT count(*) // {PER_CALL} AS total FROM fx_completions)")
+AVERAGES = "call_idx, count(*) AS completions, call_idx % 16 = 0 AS evaluated, " + ", ".join(f"round(avg({c}), 9) + 0e0 AS mean_{c}" for c in MEANS)
+
+
+@query("reward_step_metrics", with_inputs(f"""
+SELECT 'training' AS data_set, * FROM (WITH {SCORES} SELECT {AVERAGES} FROM totals GROUP BY call_idx)
+UNION ALL SELECT 'evaluation', * FROM (WITH {EVALUATED} SELECT {AVERAGES} FROM totals GROUP BY call_idx)""", "completions", "evaluation"))
 def reward_step_metrics(spark, folder):
-    return _round(scoring.reward_step_metrics(_scored(spark, folder)), *[f"mean_{c}" for c in MEANS], digits=9)
+    completions, evaluation = _completions(spark, folder), read_input(spark, folder, "evaluation")
+    total = _total_calls(completions)
+    metrics = scoring.reward_step_metrics(scoring.score(completions, total), scoring.score(evaluation, total))
+    return _round(metrics, *[f"mean_{c}" for c in MEANS], digits=9)
 
 
 @query("scored_groups", _sql("""
