@@ -3,8 +3,10 @@
 A key's times are cut into slices. A slice's outcome depends on the time kept last before
 it only through the first time it keeps, its entry, and only the times of its first ``gap``
 can be entries. So each slice lists its entries with the exit (last kept time) that each
-leads to; one short walk per key over its slices picks the entries; and each slice keeps
-what follows from its entry. No task sees more than a slice of a key's times.
+leads to. Lists of neighbouring slices are put together into one of the same kind, a few at a
+time, until a key has few; a walk picks the entries there, and those of the parts below on
+the way back. At last each slice keeps what follows from its entry. No task sees more than a
+slice of a key's times, or the lists of a few neighbours.
 """
 
 from __future__ import annotations
@@ -16,27 +18,86 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.operators.stages import written
+
 GAP = 5
 GAPS_PER_SLICE = 200
+NEIGHBOURS = 64
+
+
+def _follow(parts: list, gap: float, last: float | None = None, entry: float | None = None) -> tuple[list, float | None]:
+    """The entry of each part entered, and the last kept time, behind ``last`` or from ``entry`` on."""
+    entered = []
+    for part in parts:
+        entries = part["entries"]
+        if entry is not None:
+            at = int(np.searchsorted(entries, entry))
+            if at == len(entries) or entries[at] != entry:
+                continue
+            entry = None
+        else:
+            at = 0 if last is None else int(np.searchsorted(entries, last + gap))
+        if at < len(entries):
+            last = part["exits"][at]
+            entered.append((part["part"], entries[at]))
+    return entered, last
+
+
+def _entered(listed: DataFrame, key: str, gap: float, kind: str, neighbours: int) -> DataFrame:
+    """key, part, entry of each part that is entered, from key, part, entries, exits."""
+    listed = written(listed, "throttle")
+    types = dict(listed.dtypes)
+    gathered = F.sort_array(F.collect_list(F.struct("part", "entries", "exits"))).alias("parts")
+    out = f"{key} {types[key]}, part bigint, entry {kind}"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for owner, parts, entry in zip(batch[key], batch["parts"], batch["entry"]):
+                entered, _ = _follow(parts, gap, entry=None if pd.isna(entry) else entry)
+                rows.extend((owner, part, at) for part, at in entered)
+            yield pd.DataFrame(rows, columns=[key, "part", "entry"])
+
+    most = listed.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most <= neighbours:
+        return listed.groupBy(key).agg(gathered).withColumn("entry", F.lit(None).cast(kind)).mapInPandas(walk, out)
+    groups = written(listed.groupBy(key, F.floor(F.col("part") / neighbours).alias("group")).agg(gathered), "throttle")
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            entries, exits = [], []
+            for parts in batch["parts"]:
+                # A first part that is too close to what came before leaves the next one's first time.
+                possible = [*parts[0]["entries"], *(p["entries"][0] for p in parts[1:2])]
+                entries.append(possible)
+                exits.append([_follow(parts, gap, entry=e)[1] for e in possible])
+            yield pd.DataFrame({key: batch[key], "part": batch["group"], "entries": entries, "exits": exits})
+
+    together = groups.mapInPandas(put_together, f"{key} {types[key]}, part bigint, entries array<{kind}>, exits array<{kind}>")
+    above = _entered(together, key, gap, kind, neighbours).select(F.col(key).alias("__key"), F.col("part").alias("__part"), "entry")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("group") == F.col("__part"))
+    return groups.join(above, same).select(key, "parts", "entry").mapInPandas(walk, out)
 
 
 def throttled_checks(
-    checks: DataFrame, key: str, time: str, gap: float = GAP, gaps_per_slice: int = GAPS_PER_SLICE
+    checks: DataFrame, key: str, time: str, gap: float = GAP, gaps_per_slice: int = GAPS_PER_SLICE, neighbours: int = NEIGHBOURS
 ) -> DataFrame:
     """Keep a check only if it comes at least ``gap`` after the last kept one of its key."""
     types = dict(checks.dtypes)
     width = gap * gaps_per_slice
-    slices = (
-        checks.select(key, time)
+    # The slices are used twice.
+    slices = written(
+        checks.where(F.col(time).isNotNull()).select(key, time)
         .distinct()
-        .groupBy(key, F.floor(F.col(time) / width).alias("slice"))
-        .agg(F.sort_array(F.collect_list(time)).alias("times"))
+        .groupBy(key, F.floor(F.col(time) / width).alias("part"))
+        .agg(F.sort_array(F.collect_list(time)).alias("times")),
+        "slices",
     )
 
     def doors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             entries, exits = [], []
-            for part, times in zip(batch["slice"], batch["times"]):
+            for part, times in zip(batch["part"], batch["times"]):
                 following = np.searchsorted(times, times + gap)
                 exit_at = np.arange(len(times))
                 for i in range(len(times) - 1, -1, -1):
@@ -46,29 +107,15 @@ def throttled_checks(
                 last = np.searchsorted(times, part * width + gap) + 1
                 entries.append(times[:last])
                 exits.append(times[exit_at[:last]])
-            yield pd.DataFrame({key: batch[key], "slice": batch["slice"], "entries": entries, "exits": exits})
+            yield pd.DataFrame({key: batch[key], "part": batch["part"], "entries": entries, "exits": exits})
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for owner, parts in zip(batch[key], batch["parts"]):
-                last = None
-                for part in parts:
-                    at = 0 if last is None else int(np.searchsorted(part["entries"], last + gap))
-                    if at < len(part["entries"]):
-                        last = part["exits"][at]
-                        rows.append((owner, part["slice"], part["entries"][at]))
-            yield pd.DataFrame(rows, columns=[key, "slice", "entry"])
-
-    per_slice = f"{key} {types[key]}, slice bigint"
-    listed = slices.mapInPandas(doors, f"{per_slice}, entries array<{types[time]}>, exits array<{types[time]}>")
-    per_key = listed.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("slice", "entries", "exits"))).alias("parts")
-    )
-    entered = per_key.mapInPandas(walk, f"{per_slice}, entry {types[time]}")
+    kind = types[time]
+    listed = slices.mapInPandas(doors, f"{key} {types[key]}, part bigint, entries array<{kind}>, exits array<{kind}>")
+    entered = _entered(listed, key, gap, kind, neighbours).select(F.col(key).alias("__key"), F.col("part").alias("__part"), "entry")
     kept = F.aggregate(
         F.filter("times", lambda t: t > F.col("entry")),
         F.array("entry"),
         lambda chosen, t: F.when(t >= F.element_at(chosen, -1) + gap, F.array_append(chosen, t)).otherwise(chosen),
     )
-    return slices.join(entered, [key, "slice"]).select(key, F.explode(kept).alias(time))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part"))
+    return slices.join(entered, same).select(key, F.explode(kept).alias(time))

@@ -155,3 +155,20 @@ def test_training_set_from_raw_logs_in_order(spark):
 def test_sequential_order_is_that_of_the_positions(spark):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("position")).repartition(6)
     assert [r.position for r in curate.sequential_order(df).collect()] == list(range(500))
+
+
+def test_throttle_through_many_levels(spark):
+    rng = random.Random(2)
+    times = {q: sorted({round(rng.uniform(0, 4000) if q else rng.choice([0, 900, 2500]) + rng.uniform(0, 9), 2) for _ in range(1500)}) for q in range(4)}
+    rows = [(q if q < 3 else None, t) for q, ts in times.items() for t in ts] + [(1, None)]
+    df = spark.createDataFrame(rows, "generation_id bigint, t double").repartition(5)
+    want = []
+    for q, ts in times.items():
+        last = None
+        for t in ts:
+            if last is None or t >= last + 5:
+                want.append((q if q < 3 else None, t))
+                last = t
+    for options in ({}, {"gaps_per_slice": 2, "neighbours": 3}, {"gaps_per_slice": 1, "neighbours": 2}):
+        got = [tuple(r) for r in throttle.throttled_checks(df, "generation_id", "t", **options).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)

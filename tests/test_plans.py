@@ -8,10 +8,10 @@ from __spark_entry__ import entry, queries
 from tallywork.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"code_check_report", "valid_prefix_table", "rewrite_decision", "custom_rewards", "throttled_checks"}
+PYTHON = {"code_check_report", "valid_prefix_table", "rewrite_decision", "custom_rewards"}
 WRITES = {
     "scan_problems", "scan_training_set", "publish_questions", "write_generation_logs", "archive_run_logs",
-    "pair_right_wrong_all", "scored_groups", "results_by_method", "group_advantage",
+    "pair_right_wrong_all", "scored_groups", "results_by_method", "group_advantage", "throttled_checks",
 }
 BATCH = sorted(n for n in catalog.QUERIES if not n.endswith("_stream") and n not in WRITES)
 
