@@ -9,11 +9,11 @@ share. A search goes down from the root and adds up the differences in the bits
 adds; beyond ``distance`` the whole group is left out.
 
 Two fingerprints are offered. A narrow one of 64 bits links at a given number of differing
-bits. A wide one of 512 bits links by similarity: near copies of Jaccard similarity 0.8 differ in
-about 15 % of the bits, too many for any band of 64 bits to agree on, so sixteen parts of 32 bits
-are searched each for itself within 3 bits, and a pair found counts if the whole fingerprints
+bits. A wide one of 256 bits links by similarity: near copies of Jaccard similarity 0.8 differ in
+about 15 % of the bits, too many for any band of 64 bits to agree on, so sixteen parts of 16 bits
+are searched each for itself within 1 bit, and a pair found counts if the whole fingerprints
 differ in no more bits than the similarity allows. At 0.8 a part finds a pair with probability
-0.26, all sixteen with 0.99.
+0.28, all sixteen with 0.995.
 
 Links are not listed: a search skips a group that is already in its own component, and a task
 gives each fingerprint one edge to the least of its component. Components over all tasks are
@@ -43,14 +43,14 @@ from tallywork.operators.stages import written
 
 SEED, BITS = 42, 64
 #: The wide fingerprint: words of 64 bits, and bits and allowed differences of a part.
-WIDE_WORDS, PART_BITS, PART_DISTANCE = 8, 32, 3
+WIDE_WORDS, PART_BITS, PART_DISTANCE = 4, 16, 1
 #: Differing bits beyond the expected number that are still accepted, in standard deviations.
-TOLERANCE = 2.5
+TOLERANCE = 2.0
 # Fixed values of a well-known mixing function of 64-bit numbers.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPLIT_ABOVE = 1 << 20
 FAN = 8
-PAIRS_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 20
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: For each byte value, its eight bits, the lowest first.
