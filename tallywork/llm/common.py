@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -19,25 +18,9 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
     return wanted
 
 
-def renamed(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns of ``df``, under the names an operator works with."""
-    return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
-
-
-def record_batches(frame_of: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable[[Batches], Batches]:
-    """A function for ``mapInArrow`` that turns each batch into columns of ``schema``."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            columns = frame_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-    return run
-
-
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces whose texts hold at most ``most`` bytes, or one row."""
-    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
@@ -46,7 +29,3 @@ def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBat
         held += size + 1
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def sha256_hex(column: Column) -> Column:
-    return F.sha2(column, 256)
