@@ -19,11 +19,10 @@ _WHOLE = "decimal(38,0)"
 
 def _double_holds(digits: Column) -> Column:
     """Whether a double holds the number exactly: it is below 2^53 but for factors of two."""
-    factors = F.array(
-        *[F.struct(F.lit(str(2**i)).cast(_WHOLE).alias("power"), F.lit(str(2 ** (i + 53))).cast(_WHOLE).alias("limit")) for i in range(73)]
-    )
+    # One text literal: building the powers one by one would take longer than most queries.
+    powers = F.transform(F.split(F.lit(",".join(str(2**i) for i in range(73))), ","), lambda p: p.cast(_WHOLE))
     number = digits.try_cast(_WHOLE)
-    exact = F.exists(factors, lambda f: (number < f["limit"]) & (number % f["power"] == 0))
+    exact = F.exists(powers, lambda p: (number / p < 2**53) & (number % p == 0))
     return F.when(F.length(digits) <= 15, True).when(F.length(digits) <= MOST_DIGITS, exact).otherwise(False)
 
 
@@ -36,8 +35,14 @@ def answer_value(answer: Column | str) -> Column:
     """
     text = strip(answer)
     digits = F.regexp_replace(F.replace(text, F.lit("_"), F.lit("")), "^[+-]?0*(?=[0-9])", "")
-    sign = F.when(F.startswith(text, F.lit("-")) & (digits != "0"), "-").otherwise("")
-    return F.when(text.rlike(r"^[+-]?[0-9](_?[0-9])*$") & _double_holds(digits), F.concat(sign, digits))
+    negative = F.startswith(text, F.lit("-"))
+
+    def value(d: Column) -> Column:
+        return F.when(_double_holds(d), F.when(negative & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d))
+
+    # Bound to a name, so that the digits are taken out once.
+    bound = F.transform(F.array(digits), value)
+    return F.when(text.rlike(r"^[+-]?[0-9](_?[0-9])*$"), F.element_at(bound, 1))
 
 
 def numeric_order(value: Column | str) -> Column:
