@@ -11,13 +11,18 @@ adds; beyond ``distance`` the whole group is left out.
 Two fingerprints are offered. A narrow one of 64 bits links at a given number of differing
 bits. A wide one of 256 bits links by similarity: near copies of Jaccard similarity 0.8 differ in
 about 15 % of the bits, too many for any band of 64 bits to agree on, so sixteen parts of 16 bits
-are searched each for itself within 1 bit, and a pair found counts if the whole fingerprints
-differ in no more bits than the similarity allows. At 0.8 a part finds a pair with probability
-0.28, all sixteen with 0.995.
-
-Links are not listed: a search skips a group that is already in its own component, and a task
-gives each fingerprint one edge to the least of its component. Components over all tasks are
-joined up in Spark.
+are searched each for itself within 1 bit. At 0.8 a part finds a pair with probability 0.28, all
+sixteen with 0.995. A pair found is a candidate if the whole fingerprints differ in no more bits
+than the similarity allows, and a link if the sets of shingles of two texts, one of each
+fingerprint, have the similarity.
+
+Links of narrow fingerprints are not listed: a search skips a group that is already in its own
+component, and a task gives each fingerprint one edge to the least of its component. Wide ones
+are searched twice. The first search lists, per task, pairs that join up all that differ in no
+more bits than expected; those that are links make components. The second lists all candidates
+of different components, so no pair is passed over for a link that was not verified. Its pairs
+grow with the square of a crowd whose texts are close to the similarity but not linked.
+Components over all tasks are joined up in Spark.
 
 Defined results: a null text, or one without words, has fingerprint 0, linked like any other; a
 text of fewer words than a shingle is one shingle; repeated rows repeat; a component whose ids
@@ -44,13 +49,14 @@ from tallywork.operators.stages import written
 SEED, BITS = 42, 64
 #: The wide fingerprint: words of 64 bits, and bits and allowed differences of a part.
 WIDE_WORDS, PART_BITS, PART_DISTANCE = 4, 16, 1
-#: Differing bits beyond the expected number that are still accepted, in standard deviations.
-TOLERANCE = 2.0
+#: Differing bits of candidates beyond the expected number, in standard deviations.
+TOLERANCE = 4.0
 # Fixed values of a well-known mixing function of 64-bit numbers.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPLIT_ABOVE = 1 << 20
 FAN = 8
 PAIRS_AT_ONCE = 1 << 20
+ASKING_AT_ONCE = 1 << 14
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: For each byte value, its eight bits, the lowest first.
@@ -89,11 +95,11 @@ def wide_fingerprint(text: str | None, shingle: int) -> bytes:
     return b"".join(out)
 
 
-def most_differing(similarity: float) -> int:
-    """Differing bits of wide fingerprints accepted for texts of this Jaccard similarity."""
+def most_differing(similarity: float, tolerance: float = TOLERANCE) -> int:
+    """Differing bits of wide fingerprints of candidates for this Jaccard similarity."""
     bits = WIDE_WORDS * BITS
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + TOLERANCE * math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + tolerance * math.sqrt(bits * share * (1 - share)))
 
 
 def fingerprints(documents: DataFrame, key: str, text: str, shingle: int, wide: bool = False) -> DataFrame:
@@ -203,14 +209,9 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = further
 
 
-def linked(bucket: np.ndarray, codes: np.ndarray, distance: int, whole: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint that has links in these buckets: its place, and that of one it reaches.
-
-    ``codes`` are fingerprints, or parts of the ``whole`` ones (rows of words), of which two
-    linked may differ in no more than ``most`` bits. Equal fingerprints have one place.
-    """
-    owner = codes if whole is None else whole.view(f"V{whole.shape[1] * 8}").ravel()
-    _, place, number = np.unique(owner, return_index=True, return_inverse=True)
+def linked(bucket: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint that has links in these buckets: its place, and that of one it reaches. Equal fingerprints have one place."""
+    _, place, number = np.unique(codes, return_index=True, return_inverse=True)
     index = GrayIndex(bucket, codes.view(np.uint64))
     number = number[index.order]
     root = np.arange(len(place))
@@ -218,16 +219,63 @@ def linked(bucket: np.ndarray, codes: np.ndarray, distance: int, whole: np.ndarr
     while start < len(codes):
         label = root[number]
         i, j = index.pairs(np.arange(start, min(start + step, len(codes))), distance, label, index.uniform_labels(label))
-        i, j = number[i], number[j]
-        if whole is not None and len(i):
-            near = [np.bitwise_count(whole[place[a]] ^ whole[place[b]]).sum(axis=1) <= most for a, b in zip(*(np.array_split(x, len(i) // PAIRS_AT_ONCE + 1) for x in (i, j)))]
-            i, j = i[np.concatenate(near)], j[np.concatenate(near)]
-        root = merge(root, i, j)
+        root = merge(root, number[i], number[j])
         start, step = start + step, step * 2
     moved = np.flatnonzero(root != np.arange(len(place)))
     return place[moved], place[root[moved]]
 
 
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join the trees of each pair as ``merge`` does; of the pairs, the first ones first, those that join two trees."""
+    out = [(a[:0], b[:0])]
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root, *(np.concatenate(ends) for ends in zip(*out))
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        _, first = np.unique(np.maximum(x, y), return_index=True)
+        out.append((a[first], b[first]))
+        root = merge(root, *out[-1])
+
+
+def close_pairs(
+    bucket: np.ndarray, codes: np.ndarray, whole: np.ndarray, near: int, most: int, known: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose ``whole`` fingerprints (rows of words) are close, and whose parts ``codes`` meet in a bucket.
+
+    Given ``known`` components: all pairs of different ones that differ in at most ``most`` bits.
+    Else pairs that join up all within ``near`` bits, and of each fingerprint that has another
+    within ``most`` a pair with itself, unless it is in one of these.
+    """
+    _, place, number = np.unique(whole.view(f"V{whole.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    index = GrayIndex(bucket, codes.view(np.uint64))
+    number = number[index.order]
+    root = np.arange(len(place)) if known is None else np.unique(known[place], return_inverse=True)[1]
+    uniform, out = None, [(place[:0], place[:0])]
+    start, step = 0, 256
+    while start < len(codes):
+        label = root[number]
+        uniform = index.uniform_labels(label) if uniform is None or known is None else uniform
+        i, j = index.pairs(np.arange(start, min(start + step, len(codes))), PART_DISTANCE, label, uniform)
+        start, step = start + step, min(2 * step, ASKING_AT_ONCE)
+        if not len(i):
+            continue
+        i, j = number[i], number[j]
+        pieces = zip(*(np.array_split(x, len(i) // PAIRS_AT_ONCE + 1) for x in (i, j)))
+        differ = np.concatenate([np.bitwise_count(whole[place[a]] ^ whole[place[b]]).sum(axis=1) for a, b in pieces])
+        keep = np.flatnonzero(differ <= most)
+        keep = keep[np.argsort(differ[keep], kind="stable")]
+        i, j, differ = i[keep], j[keep], differ[keep]
+        if known is None:
+            ends = np.unique(np.concatenate((i, j)))
+            out.append((ends, ends))
+            root, i, j = forest(root, i[differ <= near], j[differ <= near])
+        out.append((np.minimum(i, j), np.maximum(i, j)))
+    pairs = np.unique(np.stack([np.concatenate(ends) for ends in zip(*out)]), axis=1)
+    return place[pairs[0]], place[pairs[1]]
+
+
 # The whole table.
 
 
@@ -275,25 +323,69 @@ def links(prints: DataFrame, distance: int, split_above: int = SPLIT_ABOVE) -> D
     return buckets(codes, BITS, distance, split_above).repartition("path").mapInArrow(run, "a long, b long")
 
 
-def wide_links(prints: DataFrame, similarity: float, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Edges (a, b) between wide fingerprints that differ in no more bits than ``similarity`` allows."""
-    most = most_differing(similarity)
+def wide_pairs(prints: DataFrame, similarity: float, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Pairs (a, b) of wide fingerprints as ``close_pairs`` gives them; a column ``component`` has known components."""
+    near, most, named = most_differing(similarity, 0.0), most_differing(similarity), "component" in prints.columns
 
     def run(batches: Batches) -> Batches:
         held = [(b.column("path").to_numpy(), b.column("code").to_numpy(), b"".join(b.column("print").to_pylist())) for b in batches]
         if held:
             path, codes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            whole = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, WIDE_WORDS)
-            ends = linked(path, codes, PART_DISTANCE, whole, most)
-            yield pa.RecordBatch.from_arrays([pa.array([whole[i].tobytes() for i in at], pa.binary()) for at in ends], ["a", "b"])
+            words = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, WIDE_WORDS + named)
+            whole = np.ascontiguousarray(words[:, :WIDE_WORDS])
+            ends = close_pairs(path, codes, whole, near, most, words[:, WIDE_WORDS] if named else None)
+            for at in range(0, len(ends[0]), ASKING_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array([whole[i].tobytes() for i in end[at : at + ASKING_AT_ONCE]], pa.binary()) for end in ends], ["a", "b"])
 
     size = PART_BITS // 8
     parts = [
         F.struct(F.conv(F.hex(F.substring("print", 1 + i * size, size)), 16, 10).cast("long").alias("code"), F.lit(i).cast("long").alias("path"))
         for i in range(WIDE_WORDS * BITS // PART_BITS)
     ]
-    codes = prints.select("print", F.inline(F.array(*parts)))
-    return buckets(codes, PART_BITS, PART_DISTANCE, split_above).repartition("path").mapInArrow(run, "a binary, b binary")
+    # The component travels behind the fingerprint.
+    carried = F.concat("print", F.unhex(F.lpad(F.hex("component"), 16, "0"))) if named else F.col("print")
+    codes = prints.select(carried.alias("print"), F.inline(F.array(*parts)))
+    found = buckets(codes, PART_BITS, PART_DISTANCE, split_above).repartition("path").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(documents: DataFrame, key: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """Per fingerprint of ``wanted`` (print, least): ``print`` and ``shingles``, the distinct hashes of a text that has it."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            sets = pa.array([np.unique(hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([wide_fingerprint(t, shingle) for t in texts], pa.binary()), sets], ["print", "shingles"])
+
+    chosen = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    keys = wanted.select(F.col("least").alias("key")).where("key IS NOT NULL").distinct()
+    unnamed = wanted.where("least IS NULL").select("print")
+    named = chosen.join(keys, "key", "left_semi").select("text")
+    rows = named if unnamed.isEmpty() else named.unionByName(chosen.where("key IS NULL").select("text"))
+    found = rows.mapInArrow(run, "print binary, shingles array<bigint>").join(wanted.select("print"), "print", "left_semi")
+    return found.groupBy("print").agg(F.min("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of shingles have at least this Jaccard similarity."""
+    one, other = (sets.select(F.col("print").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "ab")
+    both = pairs.where("a != b").join(one, "a").join(other, "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
+    return shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b")
+
+
+def wide_links(documents: DataFrame, key: str, text: str, shingle: int, distinct: DataFrame, similarity: float, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Edges (a, b) that join up all wide fingerprints (print, least) whose texts have this Jaccard similarity."""
+    first = written(wide_pairs(distinct.select("print"), similarity, split_above), "near-pairs")
+    ends = first.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    sets = written(shingle_sets(documents, key, text, shingle, written(distinct.join(ends, "print", "left_semi"), "near-prints")), "shingle-sets")
+    sure = written(verified(first, sets, similarity), "near-links")
+    # Only fingerprints with a candidate are searched again.
+    searched = sets.select("print").join(components(sure).select(F.col("node").alias("print"), "root"), "print", "left")
+    searched = searched.select("print", F.xxhash64(F.coalesce("root", "print")).alias("component"))
+    rest = written(wide_pairs(searched, similarity, split_above), "near-pairs")
+    return sure.unionByName(verified(rest, sets, similarity))
 
 
 def near_copies(
@@ -302,13 +394,15 @@ def near_copies(
 ) -> DataFrame:
     """Per document: its key, ``print`` (the fingerprint) and ``component_id`` (the least key reachable).
 
-    Narrow fingerprints link at ``distance``; given a ``similarity``, wide ones are taken. They
-    are written once, without texts.
+    Narrow fingerprints link at ``distance``; given a ``similarity``, wide ones are taken, and
+    links are verified by the texts. Fingerprints are written once, without texts.
     """
     each = written(fingerprints(documents, key, text, shingle, wide=similarity is not None), "prints")
     distinct = written(each.groupBy("print").agg(F.min("key").alias("least")), "distinct-prints")
-    prints = distinct.select("print")
-    edges = links(prints, distance, split_above) if similarity is None else wide_links(prints, similarity, split_above)
+    if similarity is None:
+        edges = links(distinct.select("print"), distance, split_above)
+    else:
+        edges = wide_links(documents, key, text, shingle, distinct, similarity, split_above)
     roots = components(edges)
     rooted = distinct.join(roots.select(F.col("node").alias("print"), "root"), "print", "left")
     rooted = rooted.select("print", "least", F.coalesce("root", "print").alias("root"))

@@ -100,6 +100,23 @@ def test_near_copies_by_similarity(spark, options):
     assert simhash.one_of_each(docs, shingle=5, similarity=0.8).columns == docs.columns
 
 
+def test_links_have_the_similarity(spark):
+    """Pairs below 0.8 both stay, also where one is linked to a third text; links are all of 0.8 or more."""
+    rows, pairs = [], []
+    for base in range(60):
+        words = prose(base, 400).split()
+        changed = list(words)
+        for i in range(0, 400, 14 + base):
+            changed[i] = f"w{base}x{i}"
+        rows += [(10 * base, " ".join(words), "en", "x"), (10 * base + 1, " ".join(changed), "en", "x"), (10 * base + 2, " ".join([*changed, "end"]), "en", "x")]
+        pairs.append((base, jaccard(rows[-3][1], rows[-2][1]), jaccard(rows[-3][1], rows[-1][1])))
+    assert sum(0.5 <= one < 0.79 for _, one, _ in pairs) >= 20
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, rows), shingle=5, similarity=0.8).collect()}
+    for base, *similar in pairs:
+        assert found[10 * base] == 10 * base
+        assert found[10 * base + 1] == found[10 * base + 2] == (10 * base if max(similar) >= 0.8 else 10 * base + 1)
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert simhash.near_copies(empty, shingle=5, similarity=0.8).count() == 0
