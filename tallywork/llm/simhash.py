@@ -8,8 +8,9 @@ nodes of the index hold the bits their fingerprints share, an upper node what it
 share. A search goes down from the root and adds up the differences in the bits that each level
 adds; beyond ``distance`` the whole group is left out.
 
-Two fingerprints are offered. A narrow one of 64 bits links at a given number of differing
-bits. A wide one of 256 bits links by similarity: near copies of Jaccard similarity 0.8 differ in
+Two fingerprints are offered. A narrow one of 64 bits, of shingles with repeats, links at a given
+number of differing bits. A wide one of 256 bits, of distinct shingles, so that a phrase said over
+and over counts once, links by similarity: near copies of Jaccard similarity 0.8 differ in
 about 15 % of the bits, too many for any band of 64 bits to agree on, so sixteen parts of 16 bits
 are searched each for itself within 1 bit. At 0.8 a part finds a pair with probability 0.28, all
 sixteen with 0.995. A pair found is a candidate if the whole fingerprints differ in no more bits
@@ -85,8 +86,8 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """The wide fingerprint: the narrow one of several hash functions, mixed out of one."""
-    first, out = hashes(text, shingle), []
+    """The wide fingerprint: the narrow one of the distinct shingles by several hash functions, mixed out of one."""
+    first, out = np.unique(hashes(text, shingle)), []
     for word in range(WIDE_WORDS):
         mixed = first + np.uint64(GOLDEN * (word + 1) % (1 << 64))
         mixed = (mixed ^ (mixed >> np.uint64(30))) * MIX_1

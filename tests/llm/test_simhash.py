@@ -117,6 +117,15 @@ def test_links_have_the_similarity(spark):
         assert found[10 * base + 1] == found[10 * base + 2] == (10 * base if max(similar) >= 0.8 else 10 * base + 1)
 
 
+def test_repeats_count_once_by_similarity(spark):
+    """Texts that share a looped line only all stay; those of equal shingles and other counts are copies."""
+    loop = "all rights are reserved by us "
+    rows = [(i, loop * 60 + prose(i, 40), "en", "x") for i in range(12)]
+    rows += [(100 + i, prose(50, 60) + " " + loop * (2 + 40 * i) + prose(51, 60), "en", "x") for i in range(3)]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, rows), shingle=5, similarity=0.8).collect()}
+    assert found == {**{i: i for i in range(12)}, 100: 100, 101: 100, 102: 100}
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert simhash.near_copies(empty, shingle=5, similarity=0.8).count() == 0
