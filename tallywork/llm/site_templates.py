@@ -1,10 +1,11 @@
 """HTML extraction: the main text of a page, without what its site repeats.
 
-Elements that say what they are (menus, adverts, forms and so on) are left out; what is left of
-the articles, or of the body where there is none, is the main text, one line per block, but for
-the site's template. To find that, every container element in the main text has a digest of its
-subtree (tags, classes, texts), and Spark counts, per host, on how many different articles a
-subtree occurs; those on many are deleted.
+The text of the articles, or of the body where there is none, is the main text, one line per
+block, without the site's template and without elements that say what they are (menus, adverts,
+forms and so on). To find the template, every container element has a digest of its subtree
+(tags, classes, texts), and Spark counts, per host, on how many different articles a subtree
+occurs; those on many are deleted. Only digests are shuffled, pages are not: the digests of the
+templates are broadcast, unless there are too many.
 
 Copies of an article count once, so an article copied on its own site is not a template. A
 subtree that holds half of the article's text or more, or that is a paragraph within an
@@ -22,6 +23,7 @@ import hashlib
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +70,9 @@ LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt".split())
 
 #: A subtree on this many different articles of a host is its template.
 MANY_PAGES = 12
+#: Digests of templates that are broadcast, eight bytes each; more are joined by host.
+MOST_BROADCAST = 16 << 20
+ROWS = "host long, subtree long, article long"
 
 
 class _Element:
@@ -79,15 +84,11 @@ class _Element:
 
 
 class Page:
-    """One reading of a page: ``blocks`` of text with their place, ``subtrees`` with their size.
+    """One reading of a page: ``blocks`` of text with their place, ``subtrees`` with their size and blocks."""
 
-    ``templates`` are digests of subtrees to leave out.
-    """
-
-    def __init__(self, html: str | None, templates: frozenset[bytes] = frozenset()):
-        self.templates = templates
+    def __init__(self, html: str | None):
         self.blocks: list[tuple[str, str | None]] = []
-        self.subtrees: list[tuple[bytes, int, str | None]] = []
+        self.subtrees: list[tuple[bytes, int, int, int]] = []
         self.places: set[str] = set()
         self.parts: list[str] = []
         self.stack = [_Element("", False, False, None, 0, b"")]
@@ -202,11 +203,11 @@ class Page:
         above.kept_size += element.kept_size
         leaf = element.tag in LEAVES and element.article is None
         if element.size and (element.tag in CONTAINERS or leaf):
-            self.subtrees.append((digest, element.kept_size, element.article))
             menu = element.article is None and element.tag in CONTAINERS and element.links > 0.8 * element.size and len(element.content) > 2
-            if digest in self.templates or menu:
+            if menu:
                 del self.blocks[element.blocks :]
                 above.kept_size -= element.kept_size
+            self.subtrees.append((digest, element.kept_size, element.blocks, len(self.blocks)))
 
     def _end_block(self) -> None:
         if self.parts:
@@ -221,15 +222,20 @@ class Page:
         """Where the main text is: in articles, else in the main element, else anywhere."""
         return next((p for p in ("article", "main") if p in self.places), None)
 
-    def text(self) -> str:
+    def text(self, gone: frozenset[int] | set[int] = frozenset()) -> str:
+        """The main text but for the blocks ``gone``."""
         place = self._place()
-        return "\n".join(t for t, at in self.blocks if place is None or at == place)
+        return "\n".join(t for i, (t, at) in enumerate(self.blocks) if (place is None or at == place) and i not in gone)
+
+    def candidates(self) -> list[tuple[bytes, int, int]]:
+        """The subtrees that may be part of a template, with the blocks they hold: none of half the main text or more."""
+        size = len(self.text())
+        return [(digest, start, end) for digest, kept, start, end in self.subtrees if 2 * kept < size]
 
-    def candidates(self) -> tuple[bytes, list[bytes]]:
-        """A digest of the main text, and the subtrees that hold some of it and may be part of a template."""
-        text, place = self.text(), self._place()
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
-        return whole, sorted({d for d, size, at in self.subtrees if 0 < 2 * size < len(text) and place in (None, at)})
+
+def short(*parts: bytes) -> int:
+    """A digest as a signed number."""
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
 def above_dropped(stack: list[_Element]) -> bool:
@@ -244,58 +250,64 @@ def host_of(url: Column) -> Column:
 
 
 def subtree_table(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """A row per page with a host and per candidate: host, page (digest of html), article, subtree."""
+    """A row per page with a host and per candidate: digests of the host, of host and subtree, and of the main text."""
 
     def read(batches: Batches) -> Batches:
         for batch in batches:
-            hosts, page, article, subtree = [], [], [], []
-            for host, digest, source in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-                whole, found = Page(source).candidates()
-                hosts += [host] * len(found)
-                page += [digest] * len(found)
-                article += [whole] * len(found)
-                subtree += found
-            yield pa.RecordBatch.from_pydict({
-                "host": pa.array(hosts, pa.string()), "page": pa.array(page, pa.binary()),
-                "article": pa.array(article, pa.binary()), "subtree": pa.array(subtree, pa.binary()),
-            })
-
-    source = F.col(f"`{html}`")
-    named = pages.select(host_of(F.col(f"`{url}`")).alias("host"), page_digest(source).alias("page"), source.alias("html"))
-    named = named.where("host IS NOT NULL AND html IS NOT NULL")
-    return named.mapInArrow(read, "host string, page binary, article binary, subtree binary")
-
-
-def page_digest(html: Column) -> Column:
-    return F.unhex(F.md5(F.encode(html, "utf-8")))
-
-
-def removals(pages: DataFrame, url: str, html: str, many: int = MANY_PAGES) -> DataFrame:
-    """Per host and page (digest of html) with template parts: the digests of their subtrees."""
-    subtrees = written(subtree_table(pages, url, html), "subtrees")
-    templates = subtrees.groupBy("host", "subtree").agg(F.countDistinct("article").alias("articles")).where(F.col("articles") >= many)
-    found = subtrees.select("host", "page", "subtree").distinct().join(templates.select("host", "subtree"), ["host", "subtree"])
-    # A page's own elements bound this list.
-    return found.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))
-
-
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", many: int = MANY_PAGES, into: str = "main_text") -> DataFrame:
+            found = set()
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                name, page = host.encode("utf-8", "surrogatepass"), Page(source)
+                site, article = short(name), short(page.text().encode("utf-8", "surrogatepass"))
+                found.update((site, short(name, digest), article) for digest, _, _ in page.candidates())
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "subtree", "article"])
+
+    named = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    return named.where("host IS NOT NULL AND html IS NOT NULL").mapInArrow(read, ROWS)
+
+
+def templates(pages: DataFrame, url: str, html: str, many: int = MANY_PAGES) -> DataFrame:
+    """Digests (host, subtree) of the subtrees on ``many`` different articles of a host or more."""
+    counts = subtree_table(pages, url, html).distinct().groupBy("host", "subtree").agg(F.count("*").alias("articles"))
+    return counts.where(F.col("articles") >= many).select("host", "subtree")
+
+
+def main_text(
+    pages: DataFrame, url: str = "url", html: str = "html", many: int = MANY_PAGES, into: str = "main_text", most_broadcast: int = MOST_BROADCAST,
+) -> DataFrame:
     """``pages`` with one more column ``into`` (under a free name, the last column): the main text.
 
-    The subtrees to delete are written to the shared folder, so that their size is known when
-    they are joined: a small table is broadcast by Spark, a large one is not.
+    Templates are written to the shared folder. Up to ``most_broadcast`` their digests are
+    broadcast and pages stay where they are; more are joined to the pages by host.
     """
     result = free_name(into, pages.columns)
-    host, page, drop = (free_name(c, pages.columns) for c in ("host", "page", "subtrees"))
-    gone = written(removals(pages, url, html, many), "templates")
-    gone = gone.select(F.col("host").alias(host), F.col("page").alias(page), F.col("subtrees").alias(drop))
-    keyed = pages.withColumns({host: host_of(F.col(f"`{url}`")), page: page_digest(F.col(f"`{html}`"))})
-    joined = keyed.join(gone, [host, page], "left").select(*(F.col(f"`{c}`") for c in pages.columns), drop)
+    host, site, drop = (free_name(c, pages.columns) for c in ("host", "site", "subtrees"))
+    gone = written(templates(pages, url, html, many), "templates")
+    keyed = pages.withColumn(host, host_of(F.col(f"`{url}`")))
+    if gone.count() <= most_broadcast:
+        known = np.sort(gone.select("subtree").toArrow().column(0).to_numpy())
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+    else:
+        shared, number = None, F.udf(lambda h: None if h is None else short(h.encode("utf-8", "surrogatepass")), "long")
+        lists = gone.groupBy(F.col("host").alias(site)).agg(F.sort_array(F.collect_list("subtree")).alias(drop))
+        keyed = keyed.withColumn(site, number(host)).join(lists, site, "left").select(*(F.col(f"`{c}`") for c in pages.columns), host, drop)
+
+    def main(name: str | None, source: str | None, known: np.ndarray) -> str:
+        page = Page(source)
+        # Subtrees without blocks were left out by name already.
+        held = [c for c in page.candidates() if c[1] < c[2]] if name is not None and len(known) else []
+        if not held:
+            return page.text()
+        keys = np.array([short(name.encode("utf-8", "surrogatepass"), digest) for digest, _, _ in held], np.int64)
+        hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+        return page.text({i for (_, start, end), out in zip(held, hit) if out for i in range(start, end)})
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:
-            texts = [Page(source, frozenset(gone or ())).text() for source, gone in zip(batch.column(html).to_pylist(), batch.column(drop).to_pylist())]
-            kept = [batch.column(c) for c in batch.schema.names if c != drop]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*(c for c in batch.schema.names if c != drop), result])
+            names, sources = batch.column(host).to_pylist(), batch.column(html).to_pylist()
+            lists = [shared.value] * len(names) if shared else [np.array(x or (), np.int64) for x in batch.column(drop).to_pylist()]
+            texts = [main(*row) for row in zip(names, sources, lists)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in pages_columns), pa.array(texts, pa.string())], [*pages_columns, result])
 
-    return joined.mapInArrow(extract, T.StructType([*pages.schema.fields, T.StructField(result, T.StringType())]))
+    pages_columns = pages.columns
+    return keyed.mapInArrow(extract, T.StructType([*pages.schema.fields, T.StructField(result, T.StringType())]))

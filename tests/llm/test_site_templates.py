@@ -6,7 +6,7 @@ import pytest
 from helpers import prose
 from pyspark.sql import functions as F
 
-from tallywork.llm.site_templates import Page, host_of, main_text
+from tallywork.llm.site_templates import Page, host_of, main_text, subtree_table, templates
 
 
 @pytest.mark.parametrize(
@@ -60,6 +60,19 @@ def test_templates_are_per_host_and_articles_stay(spark):
     assert main_text(table(spark, [])).count() == 0
 
 
+def test_templates_by_join_are_the_same(spark):
+    rows = [(i, f"https://h{i % 3}.example/{i}", f"<article><p>{prose(i, 40)}</p><div>more of h{i % 3}</div></article>") for i in range(45)] + [(90, None, "<p>x")]
+    first, second = (sorted(map(tuple, main_text(table(spark, rows), **o).select("page_id", "_main_text").collect())) for o in ({}, {"most_broadcast": 0}))
+    assert first == second == sorted([(i, prose(i, 40)) for i in range(45)] + [(90, "x")])
+
+
+def test_given_pages_are_counted(spark):
+    """Menus, adverts and footers of the given sites are counted too, also where their names leave them out."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    assert subtree_table(pages, "url", "html").select("host").distinct().count() == 60
+    assert templates(pages, "url", "html").count() > 0
+
+
 def test_hosts(spark):
     urls = ["https://A.b/c", "http://u:p@x.y:8/z", "//n", None, "mailto:a@b", "http://", "ftp://h?q"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
