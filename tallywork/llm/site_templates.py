@@ -8,8 +8,9 @@ occurs; those on many are deleted. Only digests are shuffled, pages are not: the
 templates are broadcast, unless there are too many.
 
 Copies of an article count once, so an article copied on its own site is not a template. A
-subtree that holds half of the article's text or more, or that is a paragraph within an
-article, is never one either.
+subtree that holds half of the article's text or more is never one either; nor is a paragraph,
+list item or heading within an article that holds a quarter or is not on most articles, which
+spares quoted ones.
 
 Defined results: null html is empty; a null or unreadable url has no host, and its page no
 template; repeated rows repeat. Unclosed and misplaced tags are read as browsers do in the main:
@@ -70,9 +71,13 @@ LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt".split())
 
 #: A subtree on this many different articles of a host is its template.
 MANY_PAGES = 12
+#: So is one on fewer, but no fewer than these, that is on this share of the host's articles.
+LEAST_PAGES, SHARE = 6, 0.5
+#: A paragraph, list item or heading within an article is one by this share only.
+SHARE_WITHIN = 0.8
 #: Digests of templates that are broadcast, eight bytes each; more are joined by host.
 MOST_BROADCAST = 16 << 20
-ROWS = "host long, subtree long, article long"
+ROWS = "host long, subtree long, within boolean, article long"
 
 
 class _Element:
@@ -88,7 +93,7 @@ class Page:
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, str | None]] = []
-        self.subtrees: list[tuple[bytes, int, int, int]] = []
+        self.subtrees: list[tuple[bytes, int, bool, int, int]] = []
         self.places: set[str] = set()
         self.parts: list[str] = []
         self.stack = [_Element("", False, False, None, 0, b"")]
@@ -201,13 +206,13 @@ class Page:
         above.size += element.size
         above.links += element.links + (element.size if element.tag == "a" else 0)
         above.kept_size += element.kept_size
-        leaf = element.tag in LEAVES and element.article is None
+        leaf = element.tag in LEAVES and (element.article is None or element.kept_size > 0)
         if element.size and (element.tag in CONTAINERS or leaf):
             menu = element.article is None and element.tag in CONTAINERS and element.links > 0.8 * element.size and len(element.content) > 2
             if menu:
                 del self.blocks[element.blocks :]
                 above.kept_size -= element.kept_size
-            self.subtrees.append((digest, element.kept_size, element.blocks, len(self.blocks)))
+            self.subtrees.append((digest, element.kept_size, leaf and element.article is not None, element.blocks, len(self.blocks)))
 
     def _end_block(self) -> None:
         if self.parts:
@@ -227,10 +232,10 @@ class Page:
         place = self._place()
         return "\n".join(t for i, (t, at) in enumerate(self.blocks) if (place is None or at == place) and i not in gone)
 
-    def candidates(self) -> list[tuple[bytes, int, int]]:
-        """The subtrees that may be part of a template, with the blocks they hold: none of half the main text or more."""
+    def candidates(self) -> list[tuple[bytes, bool, int, int]]:
+        """The subtrees that may be part of a template: digest, whether a leaf within an article, and the blocks they hold."""
         size = len(self.text())
-        return [(digest, start, end) for digest, kept, start, end in self.subtrees if 2 * kept < size]
+        return [(digest, within, start, end) for digest, kept, within, start, end in self.subtrees if (4 if within else 2) * kept < size]
 
 
 def short(*parts: bytes) -> int:
@@ -250,7 +255,10 @@ def host_of(url: Column) -> Column:
 
 
 def subtree_table(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """A row per page with a host and per candidate: digests of the host, of host and subtree, and of the main text."""
+    """A row per page with a host and per candidate: digests of the host, of host and subtree, and of the main text.
+
+    One more row per page has a null subtree.
+    """
 
     def read(batches: Batches) -> Batches:
         for batch in batches:
@@ -258,18 +266,24 @@ def subtree_table(pages: DataFrame, url: str, html: str) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 name, page = host.encode("utf-8", "surrogatepass"), Page(source)
                 site, article = short(name), short(page.text().encode("utf-8", "surrogatepass"))
-                found.update((site, short(name, digest), article) for digest, _, _ in page.candidates())
-            columns = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "subtree", "article"])
+                found.add((site, None, False, article))
+                found.update((site, short(name, digest, b"in" if within else b""), within, article) for digest, within, _, _ in page.candidates())
+            columns = zip(*found) if found else ((), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "subtree", "within", "article"])
 
     named = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     return named.where("host IS NOT NULL AND html IS NOT NULL").mapInArrow(read, ROWS)
 
 
 def templates(pages: DataFrame, url: str, html: str, many: int = MANY_PAGES) -> DataFrame:
-    """Digests (host, subtree) of the subtrees on ``many`` different articles of a host or more."""
-    counts = subtree_table(pages, url, html).distinct().groupBy("host", "subtree").agg(F.count("*").alias("articles"))
-    return counts.where(F.col("articles") >= many).select("host", "subtree")
+    """Digests (host, subtree) of the subtrees on ``many`` different articles of a host or on its share."""
+    counts = subtree_table(pages, url, html).distinct().groupBy("host", "subtree", "within").agg(F.count("*").alias("articles"))
+    counts = written(counts.where(F.col("subtree").isNull() | (F.col("articles") >= min(many, LEAST_PAGES))), "subtree-counts")
+    whole = counts.where("subtree IS NULL").select("host", F.col("articles").alias("whole"))
+    share = F.when(F.col("within"), SHARE_WITHIN).otherwise(SHARE)
+    often = ~F.col("within") & (F.col("articles") >= many) | (F.col("articles") >= LEAST_PAGES) & (F.col("articles") >= share * F.col("whole"))
+    return counts.where("subtree IS NOT NULL").join(whole, "host").where(often).select("host", "subtree")
 
 
 def main_text(
@@ -295,12 +309,12 @@ def main_text(
     def main(name: str | None, source: str | None, known: np.ndarray) -> str:
         page = Page(source)
         # Subtrees without blocks were left out by name already.
-        held = [c for c in page.candidates() if c[1] < c[2]] if name is not None and len(known) else []
+        held = [c for c in page.candidates() if c[2] < c[3]] if name is not None and len(known) else []
         if not held:
             return page.text()
-        keys = np.array([short(name.encode("utf-8", "surrogatepass"), digest) for digest, _, _ in held], np.int64)
+        keys = np.array([short(name.encode("utf-8", "surrogatepass"), digest, b"in" if within else b"") for digest, within, _, _ in held], np.int64)
         hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-        return page.text({i for (_, start, end), out in zip(held, hit) if out for i in range(start, end)})
+        return page.text({i for (_, _, start, end), out in zip(held, hit) if out for i in range(start, end)})
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:

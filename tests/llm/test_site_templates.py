@@ -73,6 +73,14 @@ def test_given_pages_are_counted(spark):
     assert templates(pages, "url", "html").count() > 0
 
 
+def test_small_hosts_and_lines_within_articles(spark):
+    """Eight pages of a host are enough; a line of every article goes, one quoted in half of them stays."""
+    quote = "<p>to be or not to be</p>"
+    rows = [(i, f"https://s.example/{i}", f"<article><p>{prose(i, 60)}</p><p>Subscribe now</p>{quote if i % 2 else ''}<div>our box</div></article>") for i in range(8)]
+    text = {r.page_id: r["_main_text"] for r in main_text(table(spark, rows)).collect()}
+    assert text == {i: prose(i, 60) + ("\nto be or not to be" if i % 2 else "") for i in range(8)}
+
+
 def test_hosts(spark):
     urls = ["https://A.b/c", "http://u:p@x.y:8/z", "//n", None, "mailto:a@b", "http://", "ftp://h?q"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
