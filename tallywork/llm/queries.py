@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import block_topk, chat_format, decontaminate, language_mix, line_dedup, mixing, secret_scan, simhash, site_templates, warc_zip
+from tallywork.llm import (
+    block_topk, chat_format, decontaminate, hard_negatives, language_mix, line_dedup, mixing, packing, prefix_trie, secret_scan, simhash, site_templates, warc_zip,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,3 +299,79 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = site_templates.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), into="text")
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2,048 tokens, as few as can be."""
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    placed = packing.packed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor, a.label = b.label AS same, b.id AS id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id AS negative, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, positive_score, negative_score
+FROM n WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth embedding and each of its five positives, ten rows of other labels within its window."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+# The check digest of a number's digits bit by bit, as the database has no function for it.
+CRC_SQL = """xor(4294967295, list_reduce(
+    flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(conv AS VARCHAR), '')]),
+    lambda crc, x : xor(xor(crc, x) // 2, 3988292384 * (xor(crc, x) % 2)), 4294967295))"""
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv, count(*) AS size, conv - conv % 100 AS base FROM t GROUP BY conv),
+headed AS (SELECT *, {CRC_SQL} % 6 AS head FROM convs),
+sized AS (SELECT h.conv, h.base, h.head, least(h.head, coalesce(b.size, 0)) AS lent FROM headed AS h LEFT JOIN convs AS b ON b.conv = h.base),
+turns AS (
+  SELECT s.conv, t.place AS depth, t.role, t.text FROM sized AS s JOIN t ON t.conv = s.base AND t.place <= s.lent
+  UNION ALL SELECT s.conv, t.place - s.head + s.lent, t.role, t.text FROM sized AS s JOIN t ON t.conv = s.conv AND t.place > s.head),
+path AS (
+  SELECT conv, depth, length(text) AS chars, string_agg(sha256(len(role) || ':' || role || text), '') OVER (PARTITION BY conv ORDER BY depth) AS key FROM turns
+  UNION ALL SELECT conv, 0, 0, '' FROM convs),
+nodes AS (SELECT key, any_value(depth) AS depth, min(conv) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM path GROUP BY key),
+kids AS (SELECT key[: (depth - 1) * 64] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+each AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+totals AS (
+  SELECT p.key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * e.chars) AS saved
+  FROM each AS e JOIN path AS p ON p.conv = e.conv_id AND p.depth <= e.depth GROUP BY p.key),
+last AS (SELECT conv, max_by(key, depth) AS key FROM path GROUP BY conv),
+ends AS (SELECT key, string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) AS ids FROM last GROUP BY key)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, e.n_convs, e.n_children, t.n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM each AS e JOIN totals AS t USING (key) LEFT JOIN nodes AS a ON e.depth > 0 AND a.key = e.key[: (e.depth - 1) * 64] LEFT JOIN ends USING (key)
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with the first turns of the hundred's first one."""
+    head, base = F.crc32(F.col("conv").cast("string")) % 6, F.col("conv") - F.col("conv") % 100
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), head, base, most_head=5)
