@@ -13,16 +13,17 @@ number of differing bits. A wide one of 256 bits, of distinct shingles, so that
 and over counts once, links by similarity: near copies of Jaccard similarity 0.8 differ in
 about 15 % of the bits, too many for any band of 64 bits to agree on, so sixteen parts of 16 bits
 are searched each for itself within 1 bit. At 0.8 a part finds a pair with probability 0.28, all
-sixteen with 0.995. A pair found is a candidate if the whole fingerprints differ in no more bits
-than the similarity allows, and a link if the sets of shingles of two texts, one of each
-fingerprint, have the similarity.
-
-Links of narrow fingerprints are not listed: a search skips a group that is already in its own
-component, and a task gives each fingerprint one edge to the least of its component. Wide ones
-are searched twice. The first search lists, per task, pairs that join up all that differ in no
-more bits than expected; those that are links make components. The second lists all candidates
-of different components, so no pair is passed over for a link that was not verified. Its pairs
-grow with the square of a crowd whose texts are close to the similarity but not linked.
+sixteen with 0.995. Two found are candidates if the whole fingerprints differ in no more bits
+than the similarity allows, and linked if the sets of shingles of two texts, one of each
+fingerprint, have the similarity. Texts of one wide fingerprint are linked without comparing.
+
+Links of fingerprints are not listed: a search skips a group that is already in its own
+component, and a task gives no more edges than join its components up. Edges of candidates make
+neighbourhoods, each of which is then compared text by text: a neighbourhood that fits is one
+task's work, a larger one is dealt into blocks, every two of which meet in a task. Shared shingles
+of all pairs are counted there at once, and again only edges that join up linked texts leave the
+task. So a crowd of texts that are close to the similarity but not linked costs comparisons, no
+rows; and a link is found also where the search met its ends by way of others only.
 Components over all tasks are joined up in Spark.
 
 Defined results: a null text, or one without words, has fingerprint 0, linked like any other; a
@@ -58,6 +59,11 @@ SPLIT_ABOVE = 1 << 20
 FAN = 8
 PAIRS_AT_ONCE = 1 << 20
 ASKING_AT_ONCE = 1 << 14
+#: Texts and shingles of a block of a neighbourhood; two blocks meet in a task.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: A shingle in this share of a block's texts is counted by a product of matrices, others by their texts.
+DENSE_SHARE = 1 / 16
+SHINGLES_AT_ONCE = 1 << 12
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: For each byte value, its eight bits, the lowest first.
@@ -240,41 +246,74 @@ def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         root = merge(root, *out[-1])
 
 
-def close_pairs(
-    bucket: np.ndarray, codes: np.ndarray, whole: np.ndarray, near: int, most: int, known: np.ndarray | None = None,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose ``whole`` fingerprints (rows of words) are close, and whose parts ``codes`` meet in a bucket.
+def close_pairs(bucket: np.ndarray, codes: np.ndarray, whole: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that join up all whose ``whole`` fingerprints (rows of words) differ in at most ``most`` bits.
 
-    Given ``known`` components: all pairs of different ones that differ in at most ``most`` bits.
-    Else pairs that join up all within ``near`` bits, and of each fingerprint that has another
-    within ``most`` a pair with itself, unless it is in one of these.
+    Only those whose parts ``codes`` meet in a bucket are compared.
     """
     _, place, number = np.unique(whole.view(f"V{whole.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
     index = GrayIndex(bucket, codes.view(np.uint64))
     number = number[index.order]
-    root = np.arange(len(place)) if known is None else np.unique(known[place], return_inverse=True)[1]
-    uniform, out = None, [(place[:0], place[:0])]
+    root = np.arange(len(place))
+    out = [(place[:0], place[:0])]
     start, step = 0, 256
     while start < len(codes):
         label = root[number]
-        uniform = index.uniform_labels(label) if uniform is None or known is None else uniform
-        i, j = index.pairs(np.arange(start, min(start + step, len(codes))), PART_DISTANCE, label, uniform)
+        i, j = index.pairs(np.arange(start, min(start + step, len(codes))), PART_DISTANCE, label, index.uniform_labels(label))
         start, step = start + step, min(2 * step, ASKING_AT_ONCE)
-        if not len(i):
-            continue
-        i, j = number[i], number[j]
-        pieces = zip(*(np.array_split(x, len(i) // PAIRS_AT_ONCE + 1) for x in (i, j)))
-        differ = np.concatenate([np.bitwise_count(whole[place[a]] ^ whole[place[b]]).sum(axis=1) for a, b in pieces])
-        keep = np.flatnonzero(differ <= most)
-        keep = keep[np.argsort(differ[keep], kind="stable")]
-        i, j, differ = i[keep], j[keep], differ[keep]
-        if known is None:
-            ends = np.unique(np.concatenate((i, j)))
-            out.append((ends, ends))
-            root, i, j = forest(root, i[differ <= near], j[differ <= near])
-        out.append((np.minimum(i, j), np.maximum(i, j)))
-    pairs = np.unique(np.stack([np.concatenate(ends) for ends in zip(*out)]), axis=1)
-    return place[pairs[0]], place[pairs[1]]
+        if len(i):
+            i, j = number[i], number[j]
+            pieces = zip(*(np.array_split(x, len(i) // PAIRS_AT_ONCE + 1) for x in (i, j)))
+            keep = np.concatenate([np.bitwise_count(whole[place[a]] ^ whole[place[b]]).sum(axis=1) <= most for a, b in pieces])
+            root, i, j = forest(root, i[keep], j[keep])
+            out.append((i, j))
+    return tuple(place[np.concatenate(ends)] for ends in zip(*out))
+
+
+def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``first`` shares with each of ``second``."""
+    sizes = [np.array([len(x) for x in sets], np.int64) for sets in (first, second)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    values = [np.concatenate(sets) if sets else np.zeros(0, np.int64) for sets in (first, second)]
+    _, number = np.unique(np.concatenate(values), return_inverse=True)
+    numbers = number[: len(values[0])], number[len(values[0]) :]
+    counts = [np.bincount(n, minlength=len(number)) for n in numbers]
+    shared = np.zeros((len(first), len(second)), np.int64)
+    both = (counts[0] > 0) & (counts[1] > 0)
+    dense = both & (counts[0] > DENSE_SHARE * len(first)) & (counts[1] > DENSE_SHARE * len(second))
+    column = np.cumsum(dense) - 1
+    total = int(dense.sum())
+    for at in range(0, total, SHINGLES_AT_ONCE):
+        sides = []
+        for n, r, size in zip(numbers, rows, map(len, (first, second))):
+            here = dense[n] & (column[n] >= at) & (column[n] < at + SHINGLES_AT_ONCE)
+            side = np.zeros((size, min(SHINGLES_AT_ONCE, total - at)), np.float32)
+            side[r[here], column[n[here]] - at] = 1
+            sides.append(side)
+        shared += (sides[0] @ sides[1].T).astype(np.int64)
+    # A rarer value meets all that have it on the other side.
+    rare = both & ~dense
+    ends = []
+    for n, r in zip(numbers, rows):
+        here = np.flatnonzero(rare[n])
+        here = here[np.argsort(n[here], kind="stable")]
+        ends.append((n[here], r[here]))
+    (value, one), (values_there, other) = ends
+    begins, stops = np.searchsorted(values_there, value), np.searchsorted(values_there, value, side="right")
+    meets = stops - begins
+    flat = shared.ravel()
+    for part in np.array_split(np.arange(len(value)), int(meets.sum()) // PAIRS_AT_ONCE + 1):
+        n = meets[part]
+        there = np.repeat(begins[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        flat += np.bincount(np.repeat(one[part], n) * len(second) + other[there], minlength=flat.size)
+    return shared
+
+
+def similar(first: list[np.ndarray], second: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of sets whose Jaccard similarity is at least this."""
+    shared = shared_counts(first, second)
+    sizes = [np.array([len(x) for x in sets], np.int64) for sets in (first, second)]
+    return np.nonzero((shared > 0) & (shared / np.maximum(sizes[0][:, None] + sizes[1] - shared, 1) >= similarity))
 
 
 # The whole table.
@@ -325,16 +364,15 @@ def links(prints: DataFrame, distance: int, split_above: int = SPLIT_ABOVE) -> D
 
 
 def wide_pairs(prints: DataFrame, similarity: float, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Pairs (a, b) of wide fingerprints as ``close_pairs`` gives them; a column ``component`` has known components."""
-    near, most, named = most_differing(similarity, 0.0), most_differing(similarity), "component" in prints.columns
+    """Edges (a, b) that join up all wide fingerprints found to be candidates for this similarity."""
+    most = most_differing(similarity)
 
     def run(batches: Batches) -> Batches:
         held = [(b.column("path").to_numpy(), b.column("code").to_numpy(), b"".join(b.column("print").to_pylist())) for b in batches]
         if held:
             path, codes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            words = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, WIDE_WORDS + named)
-            whole = np.ascontiguousarray(words[:, :WIDE_WORDS])
-            ends = close_pairs(path, codes, whole, near, most, words[:, WIDE_WORDS] if named else None)
+            whole = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, WIDE_WORDS)
+            ends = close_pairs(path, codes, whole, most)
             for at in range(0, len(ends[0]), ASKING_AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array([whole[i].tobytes() for i in end[at : at + ASKING_AT_ONCE]], pa.binary()) for end in ends], ["a", "b"])
 
@@ -343,9 +381,7 @@ def wide_pairs(prints: DataFrame, similarity: float, split_above: int = SPLIT_AB
         F.struct(F.conv(F.hex(F.substring("print", 1 + i * size, size)), 16, 10).cast("long").alias("code"), F.lit(i).cast("long").alias("path"))
         for i in range(WIDE_WORDS * BITS // PART_BITS)
     ]
-    # The component travels behind the fingerprint.
-    carried = F.concat("print", F.unhex(F.lpad(F.hex("component"), 16, "0"))) if named else F.col("print")
-    codes = prints.select(carried.alias("print"), F.inline(F.array(*parts)))
+    codes = prints.select("print", F.inline(F.array(*parts)))
     found = buckets(codes, PART_BITS, PART_DISTANCE, split_above).repartition("path").mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -368,25 +404,41 @@ def shingle_sets(documents: DataFrame, key: str, text: str, shingle: int, wanted
     return found.groupBy("print").agg(F.min("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of shingles have at least this Jaccard similarity."""
-    one, other = (sets.select(F.col("print").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "ab")
-    both = pairs.where("a != b").join(one, "a").join(other, "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    return shared.where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("a", "b")
+def linked_texts(sets: DataFrame, similarity: float, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) that join up all of one neighbourhood with this similarity, from (root, print, shingles).
+
+    A neighbourhood is dealt into as many blocks as its texts and shingles need; every two meet.
+    """
+    size = F.size("shingles").cast("long")
+    whole = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("size") / block_shingles), F.lit(1)).cast("long")
+    dealt = sets.join(whole.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("root", "print", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(held: pa.Table) -> pa.Table:
+        prints, block = held.column("print").to_pylist(), held.column("block").to_numpy()
+        lists = held.column("shingles").combine_chunks()
+        values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        texts = [values[at[i] : at[i + 1]] for i in range(len(prints))]
+        one = np.flatnonzero(block == held.column("low")[0].as_py())
+        other = np.flatnonzero(block == held.column("high")[0].as_py())
+        i, j = similar([texts[x] for x in one], [texts[x] for x in other], similarity)
+        i, j = one[i], other[j]
+        _, i, j = forest(np.arange(len(prints)), i[i != j], j[i != j])
+        return pa.table({n: pa.array([prints[x] for x in end], pa.binary()) for n, end in (("a", i), ("b", j))})
+
+    return met.groupBy("root", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
 def wide_links(documents: DataFrame, key: str, text: str, shingle: int, distinct: DataFrame, similarity: float, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Edges (a, b) that join up all wide fingerprints (print, least) whose texts have this Jaccard similarity."""
-    first = written(wide_pairs(distinct.select("print"), similarity, split_above), "near-pairs")
-    ends = first.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    sets = written(shingle_sets(documents, key, text, shingle, written(distinct.join(ends, "print", "left_semi"), "near-prints")), "shingle-sets")
-    sure = written(verified(first, sets, similarity), "near-links")
-    # Only fingerprints with a candidate are searched again.
-    searched = sets.select("print").join(components(sure).select(F.col("node").alias("print"), "root"), "print", "left")
-    searched = searched.select("print", F.xxhash64(F.coalesce("root", "print")).alias("component"))
-    rest = written(wide_pairs(searched, similarity, split_above), "near-pairs")
-    return sure.unionByName(verified(rest, sets, similarity))
+    near = components(written(wide_pairs(distinct.select("print"), similarity, split_above), "near-pairs"))
+    near = near.select(F.col("node").alias("print"), "root")
+    near = written(near.unionByName(near.select(F.col("root").alias("print"), "root").distinct()), "near-prints")
+    wanted = written(distinct.join(near, "print", "left_semi"), "near-prints")
+    sets = written(shingle_sets(documents, key, text, shingle, wanted).join(near, "print"), "shingle-sets")
+    return linked_texts(sets, similarity)
 
 
 def near_copies(

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -126,6 +127,62 @@ def test_repeats_count_once_by_similarity(spark):
     assert found == {**{i: i for i in range(12)}, 100: 100, 101: 100, 102: 100}
 
 
+def crowd(base, count, changed=4, size=200):
+    """Texts of one base, each with some words of its own."""
+    words = prose(base, size).split()
+    out = []
+    for copy in range(count):
+        mine = list(words)
+        for i in random.Random(copy).sample(range(size), changed):
+            mine[i] = f"w{copy}x{i}"
+        out.append(" ".join(mine))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_texts": 50}, {"block_shingles": 3000}])
+def test_blocks_of_a_neighbourhood_lose_no_link(spark, blocks):
+    """Mixed similarities around the limit: the edges join up what comparing all pairs joins up."""
+    texts = [t for c in (1, 2, 3, 4, 5) for t in crowd(1, 60, c)] + crowd(2, 40, 2) + ["one two", "three"]
+    sets = [np.unique(simhash.hashes(t, 5)).view(np.int64) for t in texts]
+    table = spark.createDataFrame([(b"r" if i < 340 else b"s", i.to_bytes(4, "big"), x.tolist()) for i, x in enumerate(sets)], "root binary, print binary, shingles array<bigint>")
+    edges = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash.linked_texts(table, 0.8, **blocks).collect()]
+    same = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in edges) and len(same) > 2000
+    root = simhash.merge(np.arange(len(texts)), *np.array(edges).T)
+    assert root.tolist() == simhash.merge(np.arange(len(texts)), *np.array(same).T).tolist()
+    # No more than a forest for every two blocks that meet.
+    assert len(edges) < len(texts) * (1 if not blocks else 25)
+
+
+def test_shared_counts(spark):
+    chance = np.random.default_rng(3)
+    for share in (simhash.DENSE_SHARE, 0.0, 2.0):
+        first, second = ([np.unique(chance.integers(0, 60, chance.integers(0, 40))) for _ in range(n)] for n in (30, 50))
+        before, simhash.DENSE_SHARE = simhash.DENSE_SHARE, share
+        try:
+            assert simhash.shared_counts(first, second).tolist() == [[len(np.intersect1d(a, b)) for b in second] for a in first]
+        finally:
+            simhash.DENSE_SHARE = before
+    assert simhash.shared_counts([], second).shape == (0, 50)
+
+
+@pytest.mark.parametrize("count", [300, 3000])
+def test_an_unlinked_crowd_is_no_square_of_rows(spark, count):
+    """Texts of about 0.7 similarity all stay, and no step makes more rows than in proportion."""
+    rows = [(i, t, "en", "x") for i, t in enumerate(crowd(9, count))]
+    docs = documents(spark, rows, extra=False)
+    prints = simhash.fingerprints(docs, "doc_id", "text", 5, wide=True).select("print").distinct()
+    pairs = simhash.wide_pairs(prints, 0.8)
+    # Each of the parts' two bands may join the crowd up once more.
+    assert pairs.count() < 40 * count
+    found = simhash.near_copies(docs, shingle=5, similarity=0.8).where("doc_id <> component_id").count()
+    if count == 300:
+        sets = [np.unique(simhash.hashes(r[1], 5)) for r in rows]
+        i, j = simhash.similar(sets, sets, 0.8)
+        assert found == len({max(x) for x in zip(i.tolist(), j.tolist()) if x[0] != x[1]})
+    assert found < count / 10
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert simhash.near_copies(empty, shingle=5, similarity=0.8).count() == 0
