@@ -1,7 +1,7 @@
 """HTML extraction: the main text of a page, without what its site repeats.
 
-The text of the articles, or of the body where there is none, is the main text, one line per
-block, without the site's template and without elements that say what they are (menus, adverts,
+The text of the articles, or of the body where there is none, is the main text, blocks joined by
+an empty line, without the site's template and without elements that say what they are (menus, adverts,
 forms and so on). To find the template, every container element has a digest of its subtree
 (tags, classes, texts), and Spark counts, per host, on how many different articles a subtree
 occurs; those on many are deleted. Only digests are shuffled, pages are not: the digests of the
@@ -230,7 +230,7 @@ class Page:
     def text(self, gone: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text but for the blocks ``gone``."""
         place = self._place()
-        return "\n".join(t for i, (t, at) in enumerate(self.blocks) if (place is None or at == place) and i not in gone)
+        return "\n\n".join(t for i, (t, at) in enumerate(self.blocks) if (place is None or at == place) and i not in gone)
 
     def candidates(self) -> list[tuple[bytes, bool, int, int]]:
         """The subtrees that may be part of a template: digest, whether a leaf within an article, and the blocks they hold."""

@@ -13,16 +13,16 @@ from tallywork.llm.site_templates import Page, host_of, main_text, subtree_table
     "html,text",
     [
         (None, ""), ("", ""), ("plain  text\n here", "plain text here"), ("a < b &lt;c&gt; &amp;amp; &#233;&eacute;", "a < b <c> &amp; éé"),
-        ("<p>one<p>two<b>bold<br>line</b></p>tail", "one\ntwobold line\ntail"),
-        ("<article><h1>T</h1><p><b>first<br><p>second</p></article><footer>f", "T\nfirst\nsecond"),
+        ("<p>one<p>two<b>bold<br>line</b></p>tail", "one\n\ntwobold line\n\ntail"),
+        ("<article><h1>T</h1><p><b>first<br><p>second</p></article><footer>f", "T\n\nfirst\n\nsecond"),
         ("<nav>n</nav><article><p>a</p><aside>b</aside><div class='ad top'>c</div><form>d<input value='>'>e</form></article>out", "a"),
         ("<script>if (a < b) '</p>'</script><style>p{}</style><p>x</p><!-- <p>y</p> --><noscript>n</noscript>", "x"),
-        ("<header><h1>Site</h1></header><main><header><h2>Title</h2>by me</header><p>t</p></main>", "Title\nt"),
+        ("<header><h1>Site</h1></header><main><header><h2>Title</h2>by me</header><p>t</p></main>", "Title\n\nt"),
         ("<div id=cookie-notice>c</div><div hidden>h</div><div style='display: none'>s</div><div role=navigation>r</div><p>t", "t"),
-        ("<ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>text</p>", "text"), ("<ul><li>a<li>b</ul>", "a\nb"),
-        ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<article><section class=comments><p>Nice</p></section><p>t</p></article>", "t"),
+        ("<ul><li><a href=x>one</a><li><a href=y>two</a></ul><p>text</p>", "text"), ("<ul><li>a<li>b</ul>", "a\n\nb"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"), ("<article><section class=comments><p>Nice</p></section><p>t</p></article>", "t"),
         ("<p title='a>b' data-x=\"</p>\">in</p>", "in"), ("</div></p>x<b>y</i>z", "xyz"), ("<p>un<", "un<"), ("<p>a<!-- open", "a"), ("<title>t</title>b", "b"),
-        ("<body class='has-sidebar comments'><p>x</p></body>", "x"), ("x&nbsp;&nbsp;y z", "x y z"), ("<P CLASS=AD>q</P><DIV>w</DIV>", "w"), ("<a href=\"x>t</a><p>y", "t\ny"),
+        ("<body class='has-sidebar comments'><p>x</p></body>", "x"), ("x&nbsp;&nbsp;y z", "x y z"), ("<P CLASS=AD>q</P><DIV>w</DIV>", "w"), ("<a href=\"x>t</a><p>y", "t\n\ny"),
     ],
 )
 def test_main_text(html, text):
@@ -52,9 +52,9 @@ def test_templates_are_per_host_and_articles_stay(spark):
     assert out.columns == [*pages.columns, "_main_text"]
     text = {r.page_id: r["_main_text"] for r in out.collect()}
     assert out.count() == len(rows)
-    assert all(text[i] == f"{prose(i, 40)}\n{shared}" for i in range(20))
-    assert all(text[100 + i] == f"{prose(i, 40)}\nRead more of us\nend" for i in range(5))
-    assert all(text[200 + i] == f"{shared}\nagain\nand more" for i in range(30))  # copies of one page
+    assert all(text[i] == f"{prose(i, 40)}\n\n{shared}" for i in range(20))
+    assert all(text[100 + i] == f"{prose(i, 40)}\n\nRead more of us\n\nend" for i in range(5))
+    assert all(text[200 + i] == f"{shared}\n\nagain\n\nand more" for i in range(30))  # copies of one page
     assert text[300].endswith("Read more of us") and text[301] == "Read more of us" and text[None] == text[302] == ""
     assert all(text[400 + i] == prose(i, 40) for i in range(20))
     assert main_text(table(spark, [])).count() == 0
@@ -78,7 +78,7 @@ def test_small_hosts_and_lines_within_articles(spark):
     quote = "<p>to be or not to be</p>"
     rows = [(i, f"https://s.example/{i}", f"<article><p>{prose(i, 60)}</p><p>Subscribe now</p>{quote if i % 2 else ''}<div>our box</div></article>") for i in range(8)]
     text = {r.page_id: r["_main_text"] for r in main_text(table(spark, rows)).collect()}
-    assert text == {i: prose(i, 60) + ("\nto be or not to be" if i % 2 else "") for i in range(8)}
+    assert text == {i: prose(i, 60) + ("\n\nto be or not to be" if i % 2 else "") for i in range(8)}
 
 
 def test_hosts(spark):
@@ -92,4 +92,4 @@ def test_given_pages_against_a_plain_reading():
     for _, html in duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
         article = html[html.index("<article>") + 9 : html.index("</article>")].replace("<b>", "").replace("<br>", " ")
         blocks = [" ".join(entities.unescape(b).split()) for b in re.split("</?(?:p|h1)>", article)]
-        assert Page(html).text() == "\n".join(b for b in blocks if b)
+        assert Page(html).text() == "\n\n".join(b for b in blocks if b)
