@@ -186,15 +186,16 @@ words AS (
   SELECT doc_id, level, start, start + length(unit) AS stop,
          regexp_extract_all(rtrim(translate(unit, {LETTERS}), ' .' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[^\x20\x09-\x0D]+') AS w
   FROM units),
-named AS (SELECT doc_id, level, start, stop, array_to_string(w, ' ') AS unit FROM words WHERE len(w) >= 5),
+named AS (SELECT doc_id, level, start, stop, array_to_string(w, ' ') AS unit,
+                 lead(start) OVER (PARTITION BY doc_id, level ORDER BY start) AS following FROM words WHERE len(w) > 0),
 gone AS (
-  SELECT doc_id, start, stop FROM (
+  SELECT doc_id, start, stop, following FROM (
     SELECT *, row_number() OVER (PARTITION BY level, unit ORDER BY doc_id, start) AS rank FROM named) WHERE rank > 1),
 marked AS (
-  SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-                 THEN 0 ELSE 1 END AS fresh FROM gone),
+  SELECT *, CASE WHEN start < max(stop) OVER before OR start = max(following) OVER before THEN 0 ELSE 1 END AS fresh FROM gone
+  WINDOW before AS (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM marked),
-spans AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, island),
+spans AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM islands GROUP BY doc_id, island HAVING max(stop) - min(start) >= {line_dedup.LEAST_RUN}),
 listed AS (
   SELECT doc_id, count(*) AS n, sum(stop - start) AS chars,
          string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start) AS spans
@@ -208,7 +209,7 @@ FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN counted USING (doc_id)
 
 @query("op7_line_dedup", LINE_DEDUP_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated lines and sentences of every document."""
+    """The repeated passages of every document, by its lines and sentences."""
     found = line_dedup.repeated_units(table(spark, sf_dir, "documents"))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     listed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
