@@ -1,10 +1,13 @@
 """HTML extraction: the main text of a page, without what its site repeats.
 
 The text of the articles, or of the body where there is none, is the main text, blocks joined by
-an empty line, without the site's template and without elements that say what they are (menus, adverts,
-forms and so on). To find the template, every container element has a digest of its subtree
-(tags, classes, texts), and Spark counts, per host, on how many different articles a subtree
-occurs; those on many are deleted. Only digests are shuffled, pages are not: the digests of the
+an empty line, without the site's template. To find the template, every container element has a
+digest of its subtree (tags, classes, texts), and Spark counts, per host, on how many different
+articles a subtree occurs. A subtree is the template's if its share of the host's articles is at
+least ``SHARE`` with some confidence: on three of three, or most of many. There is no absolute
+number, so a quotation on a few pages stays however large the host grows. Its blocks are deleted;
+what is left and says what it is (menus, adverts, forms and so on, by element, role, or whole
+class names) goes after that. Only digests are shuffled, pages are not: the digests of the
 templates are broadcast, unless there are too many.
 
 Copies of an article count once, so an article copied on its own site is not a template. A
@@ -12,6 +15,9 @@ subtree that holds half of the article's text or more is never one either; nor i
 list item or heading within an article that holds a quarter or is not on most articles, which
 spares quoted ones.
 
+Articles that name themselves something else, such as comments, are not main text. If a main
+element holds articles of less text than stands beside them, all of it is main text.
+
 Defined results: null html is empty; a null or unreadable url has no host, and its page no
 template; repeated rows repeat. Unclosed and misplaced tags are read as browsers do in the main:
 a block ends an open paragraph, an end tag closes what is open inside its element, and one
@@ -65,21 +71,30 @@ DROPPED_WORDS = frozenset(
     " notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination"
     " pager widget widgets toolbar skip skiplink".split()
 )
+#: Words that may stand beside those in a name, and change nothing.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button buttons col column container content div first form group holder icon icons id inner item items last left link"
+    " links list main media page post posts right row section site slot text top unit wrap wrapper".split()
+)
 HEADER_WORDS = frozenset("header masthead".split())
 CONTAINERS = frozenset("div section aside nav ul ol dl table form header footer figure menu center blockquote fieldset details".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt".split())
 
-#: A subtree on this many different articles of a host is its template.
-MANY_PAGES = 12
-#: So is one on fewer, but no fewer than these, that is on this share of the host's articles.
-LEAST_PAGES, SHARE = 6, 0.5
-#: A paragraph, list item or heading within an article is one by this share only.
-SHARE_WITHIN = 0.8
+#: The least share of the host's articles that a template's subtree is on, with this confidence in standard deviations.
+SHARE, CONFIDENCE = 0.5, 1.64
+#: A paragraph, list item or heading within an article is one by this share.
+SHARE_WITHIN = 0.7
 #: Digests of templates that are broadcast, eight bytes each; more are joined by host.
 MOST_BROADCAST = 16 << 20
 ROWS = "host long, subtree long, within boolean, article long"
 
 
+def names_something_else(name: str) -> bool:
+    """Whether a class or id is made of dropped words, and of others that change nothing."""
+    words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return any(w in DROPPED_WORDS for w in words) and all(w in DROPPED_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
 class _Element:
     __slots__ = ("tag", "drop", "header", "article", "blocks", "content", "size", "links", "kept_size")
 
@@ -89,13 +104,15 @@ class _Element:
 
 
 class Page:
-    """One reading of a page: ``blocks`` of text with their place, ``subtrees`` with their size and blocks."""
+    """One reading of a page: ``blocks`` of text with their place, and whether they name themselves something else; ``subtrees`` with their size and blocks."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, str | None]] = []
+        self.blocks: list[tuple[str, str | None, bool]] = []
         self.subtrees: list[tuple[bytes, int, bool, int, int]] = []
         self.places: set[str] = set()
+        # What belongs to the open block, and what stands in it and names itself something else.
         self.parts: list[str] = []
+        self.named_parts: list[str] = []
         self.stack = [_Element("", False, False, None, 0, b"")]
         self._read(html or "")
         while len(self.stack) > 1:
@@ -141,8 +158,10 @@ class Page:
         if size:
             top.content.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
             top.size += size
-        if not top.drop and not (top.header and top.article is None):
-            self.parts.append(text)
+        named = top.drop or top.header and top.article is None
+        if top.tag not in RAW:
+            (self.named_parts if named else self.parts).append(text)
+        if not named:
             top.kept_size += size
 
     def _start(self, tag: str, rest: str) -> None:
@@ -159,18 +178,19 @@ class Page:
         place = above.article
         if tag in ("article", "main") or named.get("role", "").lower() == "main":
             place = "article" if tag == "article" or place == "article" else "main"
-            if not above.drop:
-                self.places.add(place)
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower())) if named else ()
         header = above.header or tag == "header" or (tag not in ("body", "html", "article", "main") and not HEADER_WORDS.isdisjoint(words))
         if header and (tag in HEADINGS and place):
             header = False
         drop = above.drop or tag in DROPPED or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
-        if named and not drop and tag not in ("body", "html", "article", "main"):
+        if named and not drop and tag not in ("body", "html", "main"):
+            classes = f"{named.get('class', '')} {named.get('id', '')}".split()
             drop = (
-                named.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(words)
+                named.get("role", "").lower() in DROPPED_ROLES or any(map(names_something_else, classes))
                 or "display:none" in named.get("style", "").replace(" ", "").lower()
             )
+        if place != above.article and not drop:
+            self.places.add(place)
         element = _Element(tag, drop or header, header, place, len(self.blocks), f"<{tag} {' '.join(sorted(words))}>".encode())
         # Within a header only headings are kept, and those within an article only.
         if not header and above.header and not above_dropped(self.stack):
@@ -210,27 +230,38 @@ class Page:
         if element.size and (element.tag in CONTAINERS or leaf):
             menu = element.article is None and element.tag in CONTAINERS and element.links > 0.8 * element.size and len(element.content) > 2
             if menu:
-                del self.blocks[element.blocks :]
+                self.blocks[element.blocks :] = [(text, at, True) for text, at, _ in self.blocks[element.blocks :]]
                 above.kept_size -= element.kept_size
             self.subtrees.append((digest, element.kept_size, leaf and element.article is not None, element.blocks, len(self.blocks)))
 
     def _end_block(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((text, self.stack[-1].article))
-            self.parts.clear()
+        for parts, named in ((self.parts, False), (self.named_parts, True)):
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    self.blocks.append((text, self.stack[-1].article, named))
+                parts.clear()
 
     # What was read.
 
-    def _place(self) -> str | None:
-        """Where the main text is: in articles, else in the main element, else anywhere."""
-        return next((p for p in ("article", "main") if p in self.places), None)
+    def _places(self) -> tuple[str | None, ...]:
+        """Where the main text is: in articles, unless the main element around them says more; else in the main element, else anywhere."""
+        sizes = dict.fromkeys(("article", "main"), 0)
+        for text, at, named in self.blocks:
+            if at and not named:
+                sizes[at] += len(text)
+        if "article" in self.places and (sizes["article"] >= sizes["main"] or "main" not in self.places):
+            return ("article",)
+        return ("article", "main") if "main" in self.places else (None, "article", "main")
 
     def text(self, gone: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text but for the blocks ``gone``."""
-        place = self._place()
-        return "\n\n".join(t for i, (t, at) in enumerate(self.blocks) if (place is None or at == place) and i not in gone)
+        places = self._places()
+        return "\n\n".join(t for i, (t, at, named) in enumerate(self.blocks) if at in places and not named and i not in gone)
+
+    def shown(self, gone: frozenset[int] | set[int] = frozenset()) -> str:
+        """All text but for the blocks ``gone``, whatever it says it is."""
+        return "\n\n".join(t for i, (t, _, _) in enumerate(self.blocks) if i not in gone)
 
     def candidates(self) -> list[tuple[bytes, bool, int, int]]:
         """The subtrees that may be part of a template: digest, whether a leaf within an article, and the blocks they hold."""
@@ -276,18 +307,36 @@ def subtree_table(pages: DataFrame, url: str, html: str) -> DataFrame:
     return named.where("host IS NOT NULL AND html IS NOT NULL").mapInArrow(read, ROWS)
 
 
-def templates(pages: DataFrame, url: str, html: str, many: int = MANY_PAGES) -> DataFrame:
-    """Digests (host, subtree) of the subtrees on ``many`` different articles of a host or on its share."""
+def at_least(count: Column, whole: Column) -> Column:
+    """The share that ``count`` of ``whole`` shows with confidence: the lower end of Wilson's interval."""
+    share, square = count / whole, CONFIDENCE**2
+    spread = CONFIDENCE * F.sqrt(share * (1 - share) / whole + square / (4 * whole * whole))
+    return (share + square / (2 * whole) - spread) / (1 + square / whole)
+
+
+def templates(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """Digests (host, subtree) of the subtrees that are on their share of the host's different articles."""
     counts = subtree_table(pages, url, html).distinct().groupBy("host", "subtree", "within").agg(F.count("*").alias("articles"))
-    counts = written(counts.where(F.col("subtree").isNull() | (F.col("articles") >= min(many, LEAST_PAGES))), "subtree-counts")
+    # One article alone never shows a share.
+    counts = written(counts.where("subtree IS NULL OR articles > 1"), "subtree-counts")
     whole = counts.where("subtree IS NULL").select("host", F.col("articles").alias("whole"))
-    share = F.when(F.col("within"), SHARE_WITHIN).otherwise(SHARE)
-    often = ~F.col("within") & (F.col("articles") >= many) | (F.col("articles") >= LEAST_PAGES) & (F.col("articles") >= share * F.col("whole"))
+    often = at_least(F.col("articles"), F.col("whole")) >= F.when(F.col("within"), SHARE_WITHIN).otherwise(SHARE)
     return counts.where("subtree IS NOT NULL").join(whole, "host").where(often).select("host", "subtree")
 
 
+def template_blocks(page: Page, host: str | None, known: np.ndarray) -> set[int]:
+    """Places of the page's blocks that are in a template, by the sorted digests ``known``."""
+    held = [c for c in page.candidates() if c[2] < c[3]] if host is not None and len(known) else []
+    if not held:
+        return set()
+    name = host.encode("utf-8", "surrogatepass")
+    keys = np.array([short(name, digest, b"in" if within else b"") for digest, within, _, _ in held], np.int64)
+    hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+    return {i for (_, _, start, end), out in zip(held, hit) if out for i in range(start, end)}
+
+
 def main_text(
-    pages: DataFrame, url: str = "url", html: str = "html", many: int = MANY_PAGES, into: str = "main_text", most_broadcast: int = MOST_BROADCAST,
+    pages: DataFrame, url: str = "url", html: str = "html", into: str = "main_text", most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """``pages`` with one more column ``into`` (under a free name, the last column): the main text.
 
@@ -296,7 +345,7 @@ def main_text(
     """
     result = free_name(into, pages.columns)
     host, site, drop = (free_name(c, pages.columns) for c in ("host", "site", "subtrees"))
-    gone = written(templates(pages, url, html, many), "templates")
+    gone = written(templates(pages, url, html), "templates")
     keyed = pages.withColumn(host, host_of(F.col(f"`{url}`")))
     if gone.count() <= most_broadcast:
         known = np.sort(gone.select("subtree").toArrow().column(0).to_numpy())
@@ -308,13 +357,7 @@ def main_text(
 
     def main(name: str | None, source: str | None, known: np.ndarray) -> str:
         page = Page(source)
-        # Subtrees without blocks were left out by name already.
-        held = [c for c in page.candidates() if c[2] < c[3]] if name is not None and len(known) else []
-        if not held:
-            return page.text()
-        keys = np.array([short(name.encode("utf-8", "surrogatepass"), digest, b"in" if within else b"") for digest, within, _, _ in held], np.int64)
-        hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-        return page.text({i for (_, _, start, end), out in zip(held, hit) if out for i in range(start, end)})
+        return page.text(template_blocks(page, name, known))
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:
