@@ -39,6 +39,7 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+RANGES_PER_TASK = 4
 
 # Signatures and sizes of the ZIP format.
 END_MARK, END_SIZE, END_SEARCH = b"PK\x05\x06", 22, 22 + 65535
@@ -318,6 +319,9 @@ def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool =
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    ranges = packages.select("package").mapInArrow(plan, "package string, starts array<long>, lengths array<long>")
-    spread = ranges.repartition(F.xxhash64("package", F.col("starts")[0]))
+    ranges = written(packages.select("package").mapInArrow(plan, "package string, starts array<long>, lengths array<long>"), "ranges")
+    # By the number of ranges, each of some megabytes to read: their table is so small that adaptive
+    # execution would take it for one task's work.
+    tasks = max(1, -(-ranges.count() // RANGES_PER_TASK))
+    spread = ranges.repartition(tasks, F.xxhash64("package", F.col("starts")[0]))
     return spread.mapInArrow(read, ", ".join(f"{name} {kind}" for name, (kind, _) in RECORD.items()))
