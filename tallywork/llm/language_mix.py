@@ -6,6 +6,10 @@ languages from its words. The language set is the one of the best penalised like
 the sets of the k largest proportions; the search stops at one language where no larger set
 can win, as the likelihood of all languages bounds that of any set.
 
+Proportions compare the learned languages with each other only. Whether a text is of any of them
+is told by its fit, the mean log-likelihood of its trigrams in its language: ``typical_fits``
+learns over all labelled documents how low that may be.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0 and no
 proportions; so is every text if no document is labelled. Ties go to the language that sorts
 first. Rows are judged one by one, so repeated rows repeat. An empty text is never learned
@@ -26,8 +30,10 @@ from tallywork.llm.common import Batches, free_name, slices
 
 UNKNOWN = "und"
 BUCKET_BITS = 16
-#: The table of log-likelihoods is broadcast; it may not hold more than this.
+#: The table of log-likelihoods is gathered and broadcast; it may not hold more than this.
 MODEL_BYTES = 256 << 20
+#: A fit is too low at twice the distance from the mean that this share of labelled documents exceeds; shorter texts have more room.
+UNTYPICAL, ROOM, LEAST_TRIGRAMS = 1e-3, 4.0, 50
 ITERATIONS, SETTLED = 40, 1e-3
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -36,9 +42,14 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 els
 
 MIX = T.StructType([
     T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType())), T.StructField("fit", T.DoubleType()), T.StructField("trigrams", T.LongType()),
 ])
-MIX_ARROW = pa.struct([("language", pa.string()), ("score", pa.float64()), ("proportions", pa.map_(pa.string(), pa.float64()))])
+MIX_ARROW = pa.struct([("language", pa.string()), ("score", pa.float64()), ("proportions", pa.map_(pa.string(), pa.float64())), ("fit", pa.float64()), ("trigrams", pa.int64())])
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of the letter categories; numbers in other forms, which the pattern takes too, are not."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
 def letters(text: str) -> bytes:
@@ -87,10 +98,19 @@ def learn(labelled: DataFrame, text: str = "text", language: str = "lang", model
     names = sorted(r[0] for r in labelled.where(F.col(f"`{language}`").isNotNull()).select(F.col(f"`{language}`").alias("l")).distinct().limit(model_bytes >> BUCKET_BITS).collect())
     if len(names) * (4 << BUCKET_BITS) > model_bytes:
         raise ValueError(f"{len(names)} languages or more exceed the {model_bytes} bytes a model may hold")
-    table = np.zeros((1 << BUCKET_BITS, len(names)))
-    rows = counts.toPandas()  # at most one row per cell of the table
-    table[rows["bucket"], np.searchsorted(np.array(names, object), rows["language"])] = rows["n"]
-    return names, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (1 << BUCKET_BITS))).astype(np.float32)
+
+    def column(cells: pa.Table) -> pa.Table:
+        """The log-likelihoods of a language, of at most one cell per bucket."""
+        n = np.zeros(1 << BUCKET_BITS)
+        n[cells.column("bucket").to_numpy()] = cells.column("n").to_numpy()
+        logs = np.log((n + 0.5) / (n.sum() + 0.5 * (1 << BUCKET_BITS))).astype(np.float32)
+        return pa.table({"language": cells.column("language")[:1], "logs": pa.array([logs.tobytes()], pa.binary())})
+
+    table = np.zeros((1 << BUCKET_BITS, len(names)), np.float32)
+    table[:] = np.log(0.5 / (0.5 * (1 << BUCKET_BITS)))
+    for row in counts.groupBy("language").applyInArrow(column, "language string, logs binary").toLocalIterator():
+        table[:, names.index(row["language"])] = np.frombuffer(row["logs"], np.float32)
+    return names, table
 
 
 def expectation_maximisation(likelihood: np.ndarray, starts: np.ndarray, owner: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +132,11 @@ def expectation_maximisation(likelihood: np.ndarray, starts: np.ndarray, owner:
     return share, fit
 
 
-def _infer_together(parts: list[bytes], table: np.ndarray, penalty: float) -> np.ndarray:
-    """Proportions of the chosen language set for each text; every text has a letter byte."""
+def _infer_together(parts: list[bytes], table: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: proportions of the chosen language set, mean log-likelihood of a trigram in each language, trigrams.
+
+    Every text has a letter byte.
+    """
     sizes = np.array([len(p) + 1 for p in parts])
     text_starts = np.concatenate(([1], 1 + np.cumsum(sizes)[:-1]))
     buckets, middle = trigrams(b" " + b" ".join(parts) + b" ")
@@ -122,6 +145,8 @@ def _infer_together(parts: list[bytes], table: np.ndarray, penalty: float) -> np
     words = np.add.reduceat(table[buckets], word_starts, axis=0)
     owner = np.searchsorted(text_starts, middle[word_starts], side="right") - 1
     starts = np.flatnonzero(np.concatenate(([True], np.diff(owner) > 0)))
+    n_trigrams = np.bincount(np.searchsorted(text_starts, middle, side="right") - 1, minlength=len(parts))
+    fits = np.add.reduceat(words, starts, axis=0, dtype=np.float64) / n_trigrams[:, None]
     top = words.max(axis=1, keepdims=True)
     likelihood = np.maximum(np.exp(words - top), 1e-30)
 
@@ -131,7 +156,7 @@ def _infer_together(parts: list[bytes], table: np.ndarray, penalty: float) -> np
     chosen = np.zeros((len(parts), languages), np.float32)
     chosen[np.arange(len(parts)), best] = 1
     if languages == 1:
-        return chosen
+        return chosen, fits, n_trigrams
     every = np.full((len(parts), languages), 1 / languages, np.float32)
     full, full_fit = expectation_maximisation(likelihood, starts, owner, every)
     cost = penalty * np.log(np.maximum(2, np.bincount(owner, minlength=len(parts))))
@@ -156,20 +181,20 @@ def _infer_together(parts: list[bytes], table: np.ndarray, penalty: float) -> np
         better = fit - (k - 1) * cost[open_] > score[open_]
         chosen[open_[better]] = share[better]
         score[open_[better]] = (fit - (k - 1) * cost[open_])[better]
-    return chosen
+    return chosen, fits, n_trigrams
 
 
 def mixtures(texts: list[str | None], names: list[str], table: np.ndarray, penalty: float) -> list[dict]:
-    """Language, score and proportions of each text."""
-    out: list[dict] = [{"language": UNKNOWN, "score": 0.0, "proportions": []} for _ in texts]
-    at = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+    """Language, score, proportions and fit of each text."""
+    out: list[dict] = [{"language": UNKNOWN, "score": 0.0, "proportions": [], "fit": None, "trigrams": 0} for _ in texts]
+    at = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
     if not at:
         return out
-    for i, share in zip(at, _infer_together([letters(texts[i]) for i in at], table, penalty)):
+    for i, share, fit, n in zip(at, *_infer_together([letters(texts[i]) for i in at], table, penalty)):
         best = int(share.argmax())
         out[i] = {
             "language": names[best], "score": min(1.0, float(share[best])),
-            "proportions": [(names[j], float(share[j])) for j in np.flatnonzero(share > 0)],
+            "proportions": [(names[j], float(share[j])) for j in np.flatnonzero(share > 0)], "fit": float(fit[best]), "trigrams": int(n),
         }
     return out
 
@@ -199,13 +224,55 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], key: str
     return mixed.select(F.col("key").alias(key), *(F.col("mix")[c].alias(c) for c in MIX.names))
 
 
+def typical_fits(
+    labelled: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", language: str = "lang", untypical: float = UNTYPICAL, least_trigrams: int = LEAST_TRIGRAMS,
+) -> dict[str, tuple[float, float]]:
+    """Of each learned language: the least fit of a long text, and the spread of a single trigram.
+
+    Learned over all labelled documents of ``least_trigrams`` or more: one row per language comes back.
+    """
+    names, table = model
+    state = labelled.sparkSession.sparkContext.broadcast((names, table))
+
+    def measure(batches: Batches) -> Batches:
+        names, table = state.value
+        for batch in batches:
+            rows = []
+            for label, value in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist()):
+                if label in names and value:
+                    logs = table[trigrams(b" " + letters(value) + b" ")[0], names.index(label)]
+                    if len(logs) >= least_trigrams:
+                        rows.append((label, float(logs.mean(dtype=np.float64)), float(logs.var(dtype=np.float64)), len(logs)))
+            columns = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["language", "fit", "spread", "n"])
+
+    chosen = labelled.select(F.col(f"`{language}`").alias("language"), F.col(f"`{text}`").alias("text")).where("language IS NOT NULL AND text IS NOT NULL")
+    measured = chosen.mapInArrow(measure, "language string, fit double, spread double, n long")
+    rows = measured.groupBy("language").agg(
+        (F.sum(F.col("fit") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.col("spread") * F.col("n")) / F.sum("n")).alias("variance"),
+        F.percentile_approx("fit", untypical, 10_000).alias("low"),
+    ).collect()
+    return {r["language"]: (2 * r["low"] - r["mean"], float(np.sqrt(r["variance"]))) for r in rows}
+
+
 def accepted(
     documents: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least_score: float = 0.5, penalty: float = 2.0,
+    fits: dict[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """The rows of ``documents`` in which one language has at least ``least_score`` of the words."""
+    """The rows of ``documents`` in which one language has at least ``least_score`` of the words.
+
+    Given ``typical_fits``, rows that fit their language worse go too; a language without any
+    is not judged.
+    """
     name = free_name("mix", documents.columns)
     mixed = _with_mix(documents, model, text, name, penalty)
-    kept = mixed.where((F.col(name)["language"] != UNKNOWN) & (F.col(name)["score"] >= least_score))
+    mix = F.col(name)
+    typical = F.lit(True)
+    for language, (low, spread) in (fits or {}).items():
+        far = mix["fit"] < F.lit(low) - ROOM * spread / F.sqrt(mix["trigrams"])
+        typical &= ~F.coalesce((mix["language"] == language) & far, F.lit(False))
+    kept = mixed.where((mix["language"] != UNKNOWN) & (mix["score"] >= least_score) & typical)
     return kept.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 

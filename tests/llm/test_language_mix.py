@@ -55,6 +55,69 @@ def test_awkward_rows(spark):
     assert {1, 2, 3, 8}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_numbers_in_other_forms_are_no_letters(spark):
+    table = np.log(np.full((1 << 16, 2), 0.5, np.float32))
+    found = language_mix.mixtures(["½ ² ①", "Ⅳ ٣", "ª", "x²", "é", "漢"], ["aa", "bb"], table, 2.0)
+    assert [m["language"] for m in found] == ["und", "und", "aa", "aa", "aa", "aa"]
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    docs = documents(spark, [(i, made("aa", 3, 30), k, None) for i, k in enumerate(["zz", "mm", "bb"])] + [(9, made("aa", 4, 30), None, None)])
+    found = language_mix.identify(docs, language_mix.learn(docs)).where("doc_id = 9").first()
+    assert found.language == "bb" and found.score == 1.0
+
+
+def plain_mixture(text, table, penalty):
+    """Proportions by the plainest form of the method: every set of the k largest proportions, word by word."""
+    words = []
+    for word in language_mix.letters(text).split():
+        buckets, _ = language_mix.trigrams(b" " + word + b" ")
+        words.append(np.exp(np.maximum((w := table[buckets].sum(axis=0)) - w.max(), np.log(1e-30))))
+
+    def maximised(inside, share):
+        for _ in range(language_mix.ITERATIONS):
+            joint = [w * share / (w * share).sum() for w in words]
+            new = sum(joint) / len(words)
+            moved, share = abs(new - share).max(), new
+            if moved < language_mix.SETTLED:
+                break
+        return share, sum(np.log((w * share).sum()) for w in words)
+
+    n = table.shape[1]
+    single = [sum(np.log(w[j]) for w in words) for j in range(n)]
+    best, chosen = max(single), np.eye(n)[int(np.argmax(single))]
+    full, _ = maximised(None, np.full(n, 1 / n))
+    order = np.argsort(-full, kind="stable")
+    for k in range(2, n + 1):
+        share = np.where(np.isin(np.arange(n), order[:k]), np.maximum(full, 1e-6), 0)
+        share, fit = maximised(None, share / share.sum())
+        if fit - (k - 1) * penalty * np.log(max(2, len(words))) > best:
+            best, chosen = fit - (k - 1) * penalty * np.log(max(2, len(words))), share
+    return chosen
+
+
+def test_equals_plain_expectation_maximisation(spark):
+    docs = documents(spark, labelled(spark, 20))
+    names, table = language_mix.learn(docs)
+    texts = [made("aa", i, 20 + i) + " " + made("bb", i + 50, 5 * i) + (" " + made("cc", i, 30) if i % 3 == 0 else "") for i in range(12)] + [made("cc", 1, 1)]
+    for text, found in zip(texts, language_mix.mixtures(texts, names, table, 2.0)):
+        want = plain_mixture(text, table.astype(np.float64), 2.0)
+        assert {n: v for n, v in found["proportions"]}.keys() == {names[j] for j in np.flatnonzero(want > 0)}
+        assert all(abs(v - want[names.index(n)]) < 2e-3 for n, v in found["proportions"])
+
+
+def test_foreign_texts_do_not_fit(spark):
+    rows = labelled(spark, 60)
+    foreign = [(9000, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏" * 4, None, None), (9001, " ".join("qxzjf"[(i * 7 + j) % 5] * 3 + "jqf" for i in range(30) for j in range(2)), None, None), (9002, made("bb", 7, 2), None, None)]
+    docs = documents(spark, rows + foreign)
+    model = language_mix.learn(docs)
+    fits = language_mix.typical_fits(docs, model)
+    assert fits.keys() == set(LETTERS)
+    kept = {r.doc_id for r in language_mix.accepted(docs, model, fits=fits).collect()}
+    assert kept == {r[0] for r in rows} | {9002}
+    assert {9000, 9001} <= {r.doc_id for r in language_mix.accepted(docs, model).collect()}
+
+
 def test_nothing_learned_and_empty_table(spark):
     docs = documents(spark, [(1, "words", None, None)])
     model = language_mix.learn(docs)
