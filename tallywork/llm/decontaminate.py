@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -212,18 +213,29 @@ def contamination(
 
 def decontaminated(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = 10, shard_bytes: int = 24 << 20, block_bytes: int = 64 << 20,
+    window: int = 10, shard_bytes: int = 24 << 20, block_bytes: int = 64 << 20, drop_emptied: bool = False,
 ) -> DataFrame:
     """``documents`` with the hit spans cut out of their texts; a text of hits only becomes empty.
 
     Each span gives way to one line break. Cutting may bring words together that form a phrase
-    again; ``contamination`` of the result tells.
+    again, so changed texts are scanned again until none is hit; each round is a table. With
+    ``drop_emptied`` a row goes if it was hit and nothing but white space is left.
     """
-    found, name = _scanned(documents, benchmark, text, item, item_text, window, shard_bytes, block_bytes)
-    spans = F.col(name)["spans"]
-    whole = F.col(f"`{text}`")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(whole).cast("long")))
-    rest = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(whole, p["a"] + 1, p["b"] - p["a"])), "\n")
-    changed = F.when(F.size(spans) > 0, rest).otherwise(whole)
-    return found.select(*(changed.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns))
+    hit, done, rest = free_name("hit", documents.columns), [], documents
+    while True:
+        found, name = _scanned(rest, benchmark, text, item, item_text, window, shard_bytes, block_bytes)
+        spans = F.col(name)["spans"]
+        whole = F.col(f"`{text}`")
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+        ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(whole).cast("long")))
+        left = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(whole, p["a"] + 1, p["b"] - p["a"])), "\n")
+        changed = F.when(F.size(spans) > 0, left).otherwise(whole)
+        columns = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns]
+        cut = written(found.select(*columns, (F.size(spans) > 0).alias(hit)), "decontaminated")
+        done.append(cut.where(~F.col(hit)).drop(hit))
+        again = cut.where(F.col(hit)).drop(hit)
+        rest = again.where(F.col(f"`{text}`").rlike(r"\S"))
+        if not drop_emptied:
+            done.append(again.where(~F.col(f"`{text}`").rlike(r"\S")))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
