@@ -1,6 +1,6 @@
 """The training-data pipeline: stages over ``documents``, each written and read by the next.
 
-A document goes if no language has a third of its words, if a near copy with a smaller id stays,
+A document goes if no language has a third of its words or fits its trigrams, if a near copy with a smaller id stays,
 or if nothing but benchmark passages is in it; benchmark passages are cut out of the others, and
 secrets are replaced by a mark. What is left is mixed to the target weights, which adds the
 epoch a document is read in.
@@ -27,29 +27,44 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one language has a third of the words."""
-    model = language_mix.learn(docs.where(~language_mix.held_out()))
-    return language_mix.accepted(docs, model, least_score=LEAST_SCORE)
+    """Documents in which one language has a third of the words and fits as labelled ones do.
+
+    Null texts and those without letters go. Rows are judged one by one, so repeated rows stay
+    or go together; ties between languages go to the one that sorts first.
+    """
+    labelled = docs.where(~language_mix.held_out())
+    model = language_mix.learn(labelled)
+    return language_mix.accepted(docs, model, least_score=LEAST_SCORE, fits=language_mix.typical_fits(labelled, model))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles of five words, that with the least id."""
+    """Of documents linked by similar shingles of five words, that with the least id.
+
+    Texts without words are linked with each other. Repeated rows of the id that stays all stay;
+    rows without an id go if a linked one has an id, else they stay.
+    """
     return simhash.one_of_each(docs, shingle=5, similarity=SIMILARITY)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages; those that were nothing else go."""
-    rest = decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _measured(rest.where(F.col("text").rlike(r"\S")))
+    """Documents without benchmark passages; those that were nothing else go.
+
+    Null and blank texts without a passage stay as they are; repeated rows are cut alike.
+    """
+    return _measured(decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), drop_emptied=True))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a mark in place of each secret."""
+    """Documents with a mark in place of each secret; null texts and repeated rows stay."""
     return _measured(secret_scan.redacted(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents mixed to the weights, a row for each epoch that reads them."""
+    """Documents mixed to the weights, a row for each epoch that reads them.
+
+    Null texts have no tokens; missing names of a level are a source of their own; rows of equal
+    place in the seeded order are read together.
+    """
     return mixing.mixed(docs, tree(), SHARE, WEIGHTS, most_epochs=MOST_EPOCHS, seed=SEED)
 
 
