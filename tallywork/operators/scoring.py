@@ -5,8 +5,10 @@ Input rows: question_id, generation_id, call_idx (1, 2, ...), completion, correc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import inspect
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,24 +104,118 @@ def group_advantage(scored: DataFrame, group: str = "question_id", reward: str =
     )
 
 
+#: Names by which functions ask for the two lists that every reward gets, and their columns.
+CALL_LISTS = {"prompts": "prompt", "completions": "completion"}
+_KEPT, _PLACE = "__kept", "__place"
+
+
+class PythonReward:
+    """A function of lists to a list of numbers, bound to columns by the names of its arguments.
+
+    ``prompts`` and ``completions`` are the columns prompt and completion, any other argument is
+    the column of its name; ``**columns`` gets all columns that are left. An argument with a
+    default may lack its column. None in the result is a missing reward.
+    """
+
+    def __init__(self, function: Callable[..., list[float | None]]):
+        self.function = function
+        self.named: dict[str, bool] = {}
+        self.takes_rest = False
+        for p in inspect.signature(function).parameters.values():
+            if p.kind is p.VAR_KEYWORD:
+                self.takes_rest = True
+            elif p.kind in (p.VAR_POSITIONAL, p.POSITIONAL_ONLY):
+                raise TypeError(f"{function.__name__}: arguments are bound by name, so {p.name} cannot be")
+            else:
+                self.named[p.name] = p.default is p.empty
+
+    def inputs(self, columns: list[str]) -> dict[str, str]:
+        """Column of each argument that is passed."""
+        bound = {}
+        for name, needed in self.named.items():
+            column = CALL_LISTS.get(name, name)
+            if column in columns:
+                bound[name] = column
+            elif needed:
+                raise ValueError(f"{self.function.__name__} needs a column {column}")
+        if self.takes_rest:
+            lists = {c: n for n, c in CALL_LISTS.items()}
+            bound.update((lists.get(c, c), c) for c in columns if c not in bound.values())
+        return bound
+
+    def __call__(self, lists: dict[str, list], bound: dict[str, str], rows: int) -> list[float | None]:
+        out = list(self.function(**{name: lists[column] for name, column in bound.items()}))
+        if len(out) != rows:
+            raise ValueError(f"{self.function.__name__} gave {len(out)} rewards for {rows} completions")
+        return [None if x is None else float(x) for x in out]
+
+
 class RewardSet:
     """User-supplied rewards, summed.
 
     A reward is a function of columns that returns a column: built from native functions,
-    or a pandas UDF around any Python code.
+    or a pandas UDF around any Python code. Or it is a plain Python function over lists, which
+    runs on bounded batches of rows or, given ``per_call``, on all rows of one training call.
     """
 
     def __init__(self) -> None:
         self._rewards: dict[str, tuple[Callable[..., Column], tuple[str, ...], float]] = {}
+        self._functions: dict[str, tuple[PythonReward, float]] = {}
 
     def add(self, name: str, reward: Callable[..., Column], *inputs: str, weight: float = 1.0) -> "RewardSet":
         self._rewards[name] = (reward, inputs or ("completion",), weight)
         return self
 
-    def apply(self, completions: DataFrame, keep: list[str], total: str = "total_reward") -> DataFrame:
+    def add_function(self, function: Callable[..., list[float | None]], name: str | None = None, weight: float = 1.0) -> "RewardSet":
+        """Add a function ``(prompts, completions, ..., **columns) -> list of numbers`` as it is."""
+        self._functions[name or function.__name__] = (PythonReward(function), weight)
+        return self
+
+    def apply(self, completions: DataFrame, keep: list[str], total: str = "total_reward", per_call: str | None = None) -> DataFrame:
+        """The columns ``keep``, each reward by its name, and the sum of those that are there.
+
+        ``per_call`` names the column of the training call: functions then get whole calls, whose
+        size is that of a training batch.
+        """
         terms = {
             name: weight * reward(*[F.col(i) for i in inputs])
             for name, (reward, inputs, weight) in self._rewards.items()
         }
-        scored = completions.select(*keep, *[term.alias(name) for name, term in terms.items()])
-        return scored.withColumn(total, sum((F.col(n) for n in terms), F.lit(0.0)))
+        if not self._functions:
+            scored = completions.select(*keep, *[term.alias(name) for name, term in terms.items()])
+        else:
+            scored = self._called(completions, keep, terms, per_call)
+        names = [*terms, *self._functions]
+        return scored.withColumn(total, sum((F.coalesce(F.col(n), F.lit(0.0)) if n in self._functions else F.col(n) for n in names), F.lit(0.0)))
+
+    def _called(self, completions: DataFrame, keep: list[str], terms: dict[str, Column], per_call: str | None) -> DataFrame:
+        columns = completions.columns
+        bound = {name: f.inputs(columns) for name, (f, _) in self._functions.items()}
+        read = sorted({c for b in bound.values() for c in b.values()})
+        # What is kept and the native terms pass by in one struct, so that names cannot clash.
+        kept = F.struct(*[F.col(c) for c in keep], *[t.alias(n) for n, t in terms.items()])
+        asked = completions.select(kept.alias(_KEPT), *read, *([F.col(per_call).alias(_PLACE)] if per_call else []))
+        kind, functions = asked.schema[_KEPT].dataType.simpleString(), self._functions
+
+        def score_batch(batch: pa.RecordBatch | pa.Table) -> list[pa.Array]:
+            lists = {c: batch.column(c).to_pylist() for c in read}
+            rewards = []
+            for name, (function, weight) in functions.items():
+                values = function(lists, bound[name], batch.num_rows)
+                rewards.append(pa.array([None if v is None else weight * v for v in values], pa.float64()))
+            return rewards
+
+        schema = f"{_KEPT} {kind}, " + ", ".join(f"`{n}` double" for n in functions)
+        if per_call:
+            def run_call(call: pa.Table) -> pa.Table:
+                return pa.table([call.column(_KEPT), *score_batch(call)], names=[_KEPT, *functions])
+
+            scored = asked.groupBy(_PLACE).applyInArrow(run_call, schema)
+        else:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([batch.column(_KEPT), *score_batch(batch)], names=[_KEPT, *functions])
+
+            scored = asked.mapInArrow(run, schema)
+        return scored.select(f"{_KEPT}.*", *functions)

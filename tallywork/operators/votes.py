@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod, numeric_order
+from tallywork.operators.joins import join_on
 from tallywork.operators.ranking import grouped_positions
 
 # Fixed values of the stop rules.
@@ -106,28 +107,38 @@ def last_tick(deadline: float, poll: int = POLL_SECONDS) -> int:
     return int(deadline // poll) + 1 if deadline >= 0 else 0
 
 
-def poll_snapshots(answers: DataFrame, deadline: float, poll: int = POLL_SECONDS) -> DataFrame:
-    """At each poll the answers that have arrived, counted per method and answer text.
+def poll_intervals(answers: DataFrame, deadline: float, poll: int = POLL_SECONDS) -> DataFrame:
+    """Counts of arrived answers per method and answer text with the polls they hold for, ``since`` to ``until``.
 
-    Counts are formed before they are repeated for later polls; a group of equal answers
-    has at most one row per poll.
+    A group of equal answers has a row for each poll that saw more of it, so rows grow with the
+    answers, not with the deadline.
     """
     last = last_tick(deadline, poll)
     keys = ["question_id", "method", "answer"]
     counts = (
-        answers.select(*keys, poll_tick(F.col("arrival"), poll).alias("tick"))
-        .where(F.col("tick") <= last)
-        .groupBy(*keys, "tick")
+        answers.select(*keys, poll_tick(F.col("arrival"), poll).alias("since"))
+        .where(F.col("since") <= last)
+        .groupBy(*keys, "since")
         .agg(F.count("*").alias("n"))
     )
-    in_time = Window.partitionBy(*keys).orderBy("tick")
-    return (
-        counts.withColumn("arrived", F.sum("n").over(in_time))
-        .withColumn("until", F.coalesce(F.lead("tick").over(in_time) - 1, F.lit(last).cast("bigint")))
-        .select(*keys, "arrived", F.explode(F.sequence("tick", "until")).alias("tick"))
+    in_time = Window.partitionBy(*keys).orderBy("since")
+    return counts.select(
+        *keys, F.sum("n").over(in_time).alias("arrived"), "since",
+        F.coalesce(F.lead("since").over(in_time) - 1, F.lit(last).cast("bigint")).alias("until"),
     )
 
 
+def arrived_at(intervals: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per row of ``asked`` (question_id, tick), the counts of ``poll_intervals`` that hold then."""
+    met = join_on(intervals, asked.select("question_id", "tick"), ["question_id"])
+    return met.where("tick BETWEEN since AND until").select("question_id", "method", "answer", "arrived", "tick")
+
+
+def poll_snapshots(answers: DataFrame, deadline: float, poll: int = POLL_SECONDS) -> DataFrame:
+    """At each poll the answers that have arrived, counted per method and answer text: the intervals written out."""
+    return poll_intervals(answers, deadline, poll).select("question_id", "method", "answer", "arrived", F.explode(F.sequence("since", "until")).alias("tick"))
+
+
 def last_poll(deadline: Column, poll: int = POLL_SECONDS) -> Column:
     """``last_tick`` of a column of deadlines."""
     return F.when(deadline >= 0, F.floor(deadline / poll) + 1).otherwise(0).cast("bigint")
@@ -161,7 +172,7 @@ def early_stop_tick(
     asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
     counted = rows.groupBy("question_id", "value", "tick").agg(F.count("*").alias("n"), F.sum("math").alias("n_math"))
     # Counts meet their question, not answers; what comes after the last poll ends here.
-    per_value = counted.join(asked, "question_id").where(F.col("tick") <= F.col("last")).drop("last")
+    per_value = join_on(counted, asked, ["question_id"]).where(F.col("tick") <= F.col("last")).drop("last")
     over_polls = Window.partitionBy("question_id", "value").orderBy("tick")
     running = per_value.withColumn("all_now", F.sum("n").over(over_polls)).withColumn(
         "math_now", F.sum("n_math").over(over_polls)
@@ -207,7 +218,7 @@ def early_stop_tick(
     )
     stopped = F.col("stop").isNotNull()
     chosen = F.when(stopped, F.col("stop.value")).otherwise(F.col("last_value"))
-    return asked.join(ends, "question_id", "left").select(
+    return join_on(asked, ends, ["question_id"], "left").select(
         "question_id",
         F.when(stopped, F.col("stop.tick")).otherwise(F.col("last")).alias("tick"),
         F.coalesce(F.col("stop.reason"), F.lit("deadline")).alias("reason"),
@@ -229,7 +240,7 @@ def union_methods(math_answers: DataFrame, code_answers: DataFrame) -> DataFrame
 def predict_table(questions: DataFrame, answers: DataFrame, default: int = DEFAULT_ANSWER) -> DataFrame:
     """Question rows in, (question, answer) rows out; the default where no vote was valid."""
     voted = majority_answer(answers)
-    return questions.join(voted, "question_id", "left").select(
+    return join_on(questions, voted, ["question_id"], "left").select(
         "question_id", F.coalesce("answer", F.lit(default).cast("bigint")).alias("answer")
     )
 
@@ -241,7 +252,7 @@ def late_results(answers: DataFrame, closes: DataFrame) -> DataFrame:
     'terminated' and still counts under its question; a late math answer stays 'final'.
     """
     late = F.coalesce(F.col("arrival") > F.col("closed_at"), F.lit(False))
-    return answers.join(closes, "question_id", "left").select(
+    return join_on(answers, closes, ["question_id"], "left").select(
         "question_id", "generation_id", "method", "arrival", "answer", late.alias("late"),
         F.when(late & (F.col("method") == "code"), "terminated").otherwise("final").alias("reason"),
     )

@@ -10,9 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Answers as they arrive: about 13 per question, of many shapes.
+# Answers as they arrive: about 13 per question, of many shapes; some without a question.
 ANSWERS = """
-SELECT user_id * 10 + event_id % 5 AS question_id,
+SELECT CASE WHEN event_id % 101 <> 50 THEN user_id * 10 + event_id % 5 END AS question_id,
        event_id AS generation_id,
        CASE WHEN event_type IN ('view', 'click') THEN 'math' ELSE 'code' END AS method,
        CAST(event_id * 37 % 340 AS BIGINT) AS arrival,
@@ -24,6 +24,8 @@ SELECT user_id * 10 + event_id % 5 AS question_id,
             WHEN event_id % 47 = 0 THEN '-0'    WHEN event_id % 53 = 0 THEN '1e3'
             WHEN event_id % 59 = 0 THEN '100000000000000000000'          WHEN event_id % 61 = 0 THEN '100000000000000000001'
             WHEN event_id % 67 = 0 THEN '633825300114114700748351602688' WHEN event_id % 71 = 0 THEN '633825300114114700748351602689'
+            WHEN event_id % 79 = 0 THEN '1606938044258990275541962092341162602522202993782792835301376'
+            WHEN event_id % 83 = 0 THEN '-1606938044258990275541962092341162602522202993782792835301377'
             WHEN event_id % 73 = 0 THEN '-00100_000_000_000_000_000_000'
             WHEN user_id % 7 = 3 THEN CAST(event_id AS STRING)
             ELSE CAST(CAST(floor(value) AS BIGINT) % 5 AS STRING) END AS answer
@@ -38,9 +40,9 @@ SELECT CASE WHEN generation_id % 97 <> 3 THEN question_id END AS question_id, ge
 FROM ({ANSWERS}) AS timed
 """
 
-# Questions asked, among them some without any answer.
+# Questions asked, among them some without any answer, and a missing one.
 QUESTIONS = """
-SELECT DISTINCT user_id * 10 + event_id % 6 AS question_id FROM {events}
+SELECT DISTINCT CASE WHEN event_id % 101 <> 50 THEN user_id * 10 + event_id % 6 END AS question_id FROM {events}
 """
 
 # A problem table: texts repeat where documents are copies, some words serve as keywords.
@@ -124,8 +126,9 @@ SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS code,
 FROM {documents}
 """
 
-# Generation logs: five records per run, the last one final. Runs come in pairs, the own
-# run of a method (defer 0) and the hand-over to the other method (defer 1).
+# Generation logs: five records per run, the last one final; some runs have an end before it, and
+# one question and one generation's number are missing. Runs come in pairs, the own run of a
+# method (defer 0) and the hand-over to the other method (defer 1).
 LOGS = """
 SELECT event_id AS position, question_id, method, generation_idx, defer_count, request_counter,
        request_counter * 40 + event_id % 7 AS token_counter,
@@ -134,26 +137,26 @@ SELECT event_id AS position, question_id, method, generation_idx, defer_count, r
        CASE WHEN method = 'code' AND request_counter < 5 THEN 'a = ' || CAST(event_id AS STRING) END AS code,
        CASE WHEN event_id % 4 = 1 THEN chr(10) || props END AS injected,
        request_counter * 20 + event_id * 7 % 19 + 0.5e0 AS log_time,
-       CASE WHEN request_counter = 5 THEN CASE WHEN method = 'code' AND event_id % 3 = 0 THEN 'terminated' ELSE 'final' END
+       CASE WHEN request_counter = 5 OR event_id % 365 = 8 THEN CASE WHEN method = 'code' AND event_id % 3 = 0 THEN 'terminated' ELSE 'final' END
             WHEN method = 'math' THEN 'stream_complete'
             WHEN event_type = 'view' THEN 'terminal_code_execution'
             WHEN event_type = 'click' THEN 'longest_valid_prefix'
             WHEN event_type = 'error' THEN 'intermediate_code_execution'
             WHEN event_type = 'signup' THEN 'stop_token' ELSE 'unassigned' END AS reason,
        method = 'code' AND request_counter < 5 AND event_type IN ('click', 'signup') AS flag_for_training,
-       'Question ' || CAST(question_id AS STRING) || chr(10) || '```python' || chr(10) || 'a = '
+       'Question ' || coalesce(CAST(question_id AS STRING), '') || chr(10) || '```python' || chr(10) || 'a = '
          || CAST(event_id AS STRING) || chr(10) || '# check' || chr(10) || '```' || chr(10) || '```output' || chr(10)
          || props || chr(10) || '```' || chr(10) || repeat('word ', CAST(event_id % 60 AS INT)) AS prompt,
        CASE WHEN event_id % 10 = 4 THEN ''
             ELSE repeat('step ', CAST(event_id % 30 AS INT)) || '```python' || chr(10) || 'b = 2' END AS buffer,
        CASE WHEN request_counter < 5 THEN NULL WHEN event_id % 35 = 4 THEN ''
-            ELSE CAST((question_id + event_id % 3) % 10 AS STRING) END AS answer
+            ELSE CAST((coalesce(question_id, 4) + event_id % 3) % 10 AS STRING) END AS answer
 FROM (
-  SELECT *, CASE WHEN (generation_idx + defer_count) % 2 = 1 THEN 'math' ELSE 'code' END AS method
+  SELECT *, CASE WHEN (coalesce(generation_idx, 1) + defer_count) % 2 = 1 THEN 'math' ELSE 'code' END AS method
   FROM (
     SELECT event_id, event_type, props,
-           CAST(floor(event_id / 80.0) AS BIGINT) AS question_id,
-           CAST(floor(event_id / 10.0) AS BIGINT) % 8 + 1 AS generation_idx,
+           CASE WHEN event_id < 320 OR event_id >= 400 THEN CAST(floor(event_id / 80.0) AS BIGINT) END AS question_id,
+           CASE WHEN event_id < 500 OR event_id >= 510 THEN CAST(floor(event_id / 10.0) AS BIGINT) % 8 + 1 END AS generation_idx,
            CAST(floor(event_id / 5.0) AS BIGINT) % 2 AS defer_count,
            event_id % 5 + 1 AS request_counter
     FROM {events}) AS numbered) AS records

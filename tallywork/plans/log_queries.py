@@ -13,7 +13,15 @@ from tallywork.session import run_folder
 from tallywork.sources import log_files, problems
 
 RUN = "question_id, method, generation_idx, defer_count"
-ENDS = "ends AS (SELECT * FROM fx_logs WHERE reason IN ('final', 'terminated'))"
+ENDS = f"""ends AS (SELECT * FROM fx_logs WHERE reason IN ('final', 'terminated')),
+  last_ends AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY {RUN} ORDER BY log_time DESC) = 1)"""
+
+
+def _same(a: str, b: str, *columns: str) -> str:
+    """Whether rows of two tables agree, also in missing values."""
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in columns)
+
+
 KNOWN = """known AS (SELECT question_id, CAST(answer AS VARCHAR) AS correct_answer FROM fx_log_problems
   QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY position DESC) = 1)"""
 CHUNKS = f"""chunks AS (SELECT generation_id, request_counter, method, chunk_idx, substr(text, chunk_idx * {PIECE} + 1, {PIECE}) AS chunk,
@@ -75,13 +83,13 @@ def normalize_logs(spark, folder):
 @query("union_question_logs", with_inputs("SELECT * FROM fx_logs", "logs"))
 def union_question_logs(spark, folder):
     rows = _logs(spark, folder)
-    return logs.union_question_logs(*[rows.where(F.col("question_id") % 3 == i) for i in range(3)])
+    return logs.union_question_logs(*[rows.where(F.coalesce("question_id", F.lit(0)) % 3 == i) for i in range(3)])
 
 
 @query("fill_eventual_answer", with_inputs(f"""
 WITH {ENDS} SELECT l.{RUN.replace(', ', ', l.')}, l.request_counter, l.reason,
        CASE WHEN coalesce(e.answer, '') = '' THEN '-1' ELSE e.answer END AS eventual_answer
-FROM fx_logs l JOIN ends e USING ({RUN})""", "logs"))
+FROM fx_logs l JOIN last_ends e ON {_same("l", "e", *logs.RUN)}""", "logs"))
 def fill_eventual_answer(spark, folder):
     filled = logs.fill_eventual_answer(_logs(spark, folder))
     return filled.select(*logs.RUN, "request_counter", "reason", "eventual_answer")
@@ -106,7 +114,7 @@ def attach_correct_answer(spark, folder):
 
 @query("arrival_times", with_inputs(f"""
 WITH {ENDS} SELECT e.question_id, e.method, e.generation_idx, e.defer_count, e.log_time + coalesce(p.log_time, 0) AS arrival
-FROM ends e LEFT JOIN ends p ON p.question_id = e.question_id AND p.generation_idx = e.generation_idx
+FROM ends e LEFT JOIN last_ends p ON {_same("p", "e", "question_id", "generation_idx")}
   AND p.defer_count = e.defer_count - 1 AND p.method <> e.method""", "logs"))
 def arrival_times(spark, folder):
     return logs.arrival_times(_ends(spark, folder).select(*logs.RUN, "log_time"))
@@ -121,8 +129,8 @@ def sorted_logs(spark, folder):
 
 @query("generation_outcome", with_inputs(f"""
 WITH {ENDS}, {KNOWN} SELECT method, defer_count, CASE WHEN coalesce(answer, '') = '' THEN 'none'
-       WHEN answer = coalesce(correct_answer, '') THEN 'right' ELSE 'wrong' END AS outcome, count(*) AS runs
-FROM ends LEFT JOIN known USING (question_id) GROUP BY ALL""", "logs", "log_problems"))
+       WHEN coalesce(correct_answer, '') = '' THEN 'unknown' WHEN answer = correct_answer THEN 'right' ELSE 'wrong' END AS outcome, count(*) AS runs
+FROM last_ends LEFT JOIN known USING (question_id) GROUP BY ALL""", "logs", "log_problems"))
 def generation_outcome(spark, folder):
     return logs.generation_outcome(_ends(spark, folder), read_input(spark, folder, "log_problems"))
 
@@ -173,10 +181,10 @@ def running_prompt(spark, folder):
 @query("throttled_checks", with_inputs("""
 WITH times AS (SELECT DISTINCT question_id, arrival FROM fx_answers),
 next AS (SELECT a.question_id, a.arrival, min(b.arrival) AS following FROM times a
-         LEFT JOIN times b ON b.question_id = a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
+         LEFT JOIN times b ON b.question_id IS NOT DISTINCT FROM a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
 kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY question_id
          UNION ALL SELECT n.question_id, n.following FROM kept k
-         JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
+         JOIN next n ON n.question_id IS NOT DISTINCT FROM k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
 SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttled_checks(spark, folder):
     return throttle.throttled_checks(read_input(spark, folder, "answers"), "question_id", "arrival", 5)
@@ -264,19 +272,19 @@ def prompt_templates(spark, folder):
 
 
 @query("handover_prompts", with_inputs(f"""
-WITH {ENDS}, own AS (SELECT *, {SECTIONS.format(c='prompt')} AS sections FROM ends WHERE defer_count = 0)
+WITH {ENDS}, own AS (SELECT *, {SECTIONS.format(c='prompt')} AS sections FROM last_ends WHERE defer_count = 0)
 SELECT o.question_id, o.generation_idx, o.method, o.answer, n.method AS to_method, n.answer AS to_answer,
-       'Question ' || CAST(o.question_id AS VARCHAR) || CASE WHEN o.method = 'code' THEN
+       'Question ' || coalesce(CAST(o.question_id AS VARCHAR), '') || CASE WHEN o.method = 'code' THEN
          CASE WHEN sections <> '' THEN {_literal(prompts.SECTIONS_LEAD)} || sections ELSE '' END
          || CASE WHEN o.answer <> '' THEN {_literal(prompts.HINT_LEAD)} || o.answer || {_literal(prompts.MATH_CHECK)} ELSE '' END
        ELSE CASE WHEN o.buffer <> '' THEN {_literal(prompts.THOUGHTS_LEAD)} || o.buffer || {_literal(prompts.THOUGHTS_END)} ELSE '' END
          || CASE WHEN o.answer <> '' THEN {_literal(prompts.HINT_LEAD)} || o.answer || {_literal(prompts.CODE_CHECK)} ELSE '' END
        END AS handover
-FROM own o LEFT JOIN ends n ON n.question_id = o.question_id AND n.generation_idx = o.generation_idx AND n.defer_count = 1
+FROM own o LEFT JOIN last_ends n ON {_same("n", "o", "question_id", "generation_idx")} AND n.defer_count = 1
 """, "logs"))
 def handover_prompts(spark, folder):
-    ends = _ends(spark, folder).withColumn("question", F.concat(F.lit("Question "), F.col("question_id").cast("string")))
-    return prompts.handover_prompts(ends)
+    ends = logs.last_ends(_ends(spark, folder), "prompt", "buffer", "answer")
+    return prompts.handover_prompts(ends.withColumn("question", F.concat(F.lit("Question "), F.coalesce(F.col("question_id").cast("string"), F.lit("")))))
 
 
 START = 1_700_000_000
@@ -339,7 +347,7 @@ FROM_LOGS = f"""
 {FLAGS}, {ENDS}, {KNOWN},
 filled AS (SELECT f.position, f.question_id, f.prompt, f.buffer, f.training_flag, CASE WHEN coalesce(e.answer, '') = '' THEN '-1' ELSE e.answer END AS eventual,
                   coalesce(k.correct_answer, '') AS correct_answer, string_split(f.buffer, '```python')[1] AS completion
-           FROM flags f JOIN ends e USING ({RUN}) LEFT JOIN known k ON k.question_id = f.question_id),
+           FROM flags f JOIN last_ends e ON {_same("f", "e", *logs.RUN)} LEFT JOIN known k ON k.question_id = f.question_id),
 eligible AS (SELECT *, CASE WHEN eventual = correct_answer THEN 'right' ELSE 'wrong' END AS label FROM filled
              WHERE training_flag AND eventual <> '-1' AND correct_answer <> ''
                AND {TOKENS.format(c='prompt')} < 90 AND {TOKENS.format(c='completion')} < 25),

@@ -214,13 +214,24 @@ def _exclamations(completion: Column) -> Column:
     return F.regexp_count(completion, F.lit("!")).cast("double")
 
 
+def distinct_words(completions: list[str], question_id: list[int | None], **columns: list) -> list[float | None]:
+    """A reward as users write it, over lists: the share of words that differ; none without a question."""
+    shares = []
+    for text, question in zip(completions, question_id):
+        words = [w for w in text.split(" ") if w]
+        shares.append(None if question is None or not words else len(set(words)) / len(words))
+    return shares
+
+
 @query("custom_rewards", _sql("""
 SELECT r.generation_id, CAST(-abs(100 - length(completion)) AS DOUBLE) AS length_distance,
        CAST(correctness_reward AS DOUBLE) AS correct,
        0.1e0 * len(regexp_extract_all(completion, '!')) AS exclamations, 2e0 * (r.generation_id % 2) AS parity,
+       round(words, 6) + 0e0 AS distinct_words,
        round(-abs(100 - length(completion)) + correctness_reward + 0.1e0 * len(regexp_extract_all(completion, '!'))
-             + 2 * (r.generation_id % 2), 6) + 0e0 AS total_reward
-FROM rewards r JOIN fx_completions c ON c.generation_id = r.generation_id"""))
+             + 2 * (r.generation_id % 2) + coalesce(words, 0), 6) + 0e0 AS total_reward
+FROM rewards r JOIN (SELECT *, CASE WHEN question_id IS NOT NULL AND len(w) > 0 THEN 0.5e0 * len(list_distinct(w)) / len(w) END AS words
+       FROM (SELECT *, list_filter(string_split(completion, ' '), lambda x : x <> '') AS w FROM fx_completions)) c ON c.generation_id = r.generation_id"""))
 def custom_rewards(spark, folder):
     rewards = (
         scoring.RewardSet()
@@ -228,5 +239,6 @@ def custom_rewards(spark, folder):
         .add("correct", rw.correctness_reward, "completion", "correct_answer")
         .add("exclamations", _exclamations, weight=0.1)
         .add("parity", _parity, "generation_id", weight=2.0)
+        .add_function(distinct_words, weight=0.5)
     )
-    return _round(rewards.apply(_completions(spark, folder), ["generation_id"]), "total_reward")
+    return _round(rewards.apply(_completions(spark, folder), ["generation_id"]), "distinct_words", "total_reward")

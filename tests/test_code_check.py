@@ -1,6 +1,7 @@
 """The skipping search against the plain one, and what counts as defined."""
 
 import random
+import time
 
 import pytest
 
@@ -60,6 +61,30 @@ def test_long_open_text_is_quick():
     assert longest_valid_prefix(code)[0::2] == ("x = 1\n", ["q"])
 
 
+def test_a_long_block_is_quick():
+    """Twenty thousand lines within one function, with an error and an undefined name far apart."""
+    body = "".join(f"    v{i} = v{max(i - 1, 0)} + 1\n" for i in range(20_000))
+    code = "def f(v0):\n" + body.replace("    v15000 =", "    v15000 = missing +", 1).replace("    v19000 =", "    v19000 = = ", 1)
+    started = time.perf_counter()
+    prefix, rest, names = longest_valid_prefix(code)
+    assert prefix.count("\n") == 15_001 and rest.startswith("    v15000") and names == ["missing"]
+    assert time.perf_counter() - started < 20
+
+
+def test_blank_lines_and_comments_belong_to_what_parses():
+    assert longest_valid_prefix("# a\n\nx = (\n") == ("# a\n", "x = (", [])
+    assert longest_valid_prefix("x = 1\n\n  # c\ny = q\nz") == ("x = 1\n\n  # c\n", "y = q", ["q"])
+    assert longest_valid_prefix("") == ("", "", []) and longest_valid_prefix("x = 1") == ("", "x = 1", [])
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_other_line_breaks_are_read_as_the_parser_does():
+    rng = random.Random(12)
+    for _ in range(500):
+        code = rng.choice(["\r", "\f", "\n\f", "\r\n"]).join(rng.choice(PIECES) for _ in range(rng.randint(1, 6))) + "\nlast"
+        assert longest_valid_prefix(code) == plain_search(code)
+
+
 def test_rewrite(spark):
     rows = [
         (1, "go ```python\na = 1\nprint(q)\nb"), (2, "```python\na = 1\nb"), (3, "no code"), (4, "```python\nx = [\n" + "1,\n" * 6 + "2"),

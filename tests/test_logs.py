@@ -172,3 +172,81 @@ def test_throttle_through_many_levels(spark):
     for options in ({}, {"gaps_per_slice": 2, "neighbours": 3}, {"gaps_per_slice": 1, "neighbours": 2}):
         got = [tuple(r) for r in throttle.throttled_checks(df, "generation_id", "t", **options).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def kept_by(times, gap):
+    out = []
+    for t in sorted(set(times)):
+        if not out or t >= out[-1] + gap:
+            out.append(t)
+    return out
+
+
+def test_throttle_by_links(spark):
+    """Crowded keys keep the same times as others, whatever lies in one range or batch."""
+    chance = random.Random(8)
+    spread = {q: [round(chance.uniform(0, 300), 2) for _ in range(1500)] for q in (1, 2)} | {None: [float(t) for t in range(0, 900, 2)], 3: [7.0], 4: [1.0, 2.0, 3.0]}
+    rows = [(q, t) for q, ts in spread.items() for t in ts] + [(1, None)]
+    df = spark.createDataFrame(rows, "generation_id bigint, t double").repartition(5)
+    want = sorted(((q, t) for q, ts in spread.items() for t in kept_by(ts, 5)), key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for most in (0, 100, 600):
+            got = throttle.throttled_checks(df, "generation_id", "t", gap=5, most_listed=most).collect()
+            assert sorted(map(tuple, got), key=repr) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_next_allowed_times(spark):
+    chance = random.Random(3)
+    times = {q: sorted({chance.randrange(0, 400) for _ in range(150)}) for q in ("a", "b", None)}
+    df = spark.createDataFrame([(q, t) for q, ts in times.items() for t in ts], "k string, t bigint").repartition(4)
+    got = {(r.k, r.t): r.to for r in throttle.next_allowed(df, "k", "t", 7).collect()}
+    assert got == {(q, t): min((x for x in ts if x >= t + 7), default=None) for q, ts in times.items() for t in ts}
+
+
+def test_runs_with_missing_keys_and_several_ends(spark):
+    """One row in, one row out, whatever is missing in a run's key; the latest end counts."""
+    rows = [
+        (None, "code", 1, 0, 1, "terminal_code_execution", 5.0, None), (None, "code", 1, 0, 2, "stop_token", 8.0, None), (None, "code", 1, 0, 2, "terminated", 9.0, "3"),
+        (None, "code", 1, 0, 2, "final", 12.0, "4"), (None, "math", 1, 1, 1, "final", 2.0, "5"), (1, "code", None, 0, 1, "final", 6.0, ""), (1, None, 2, 0, 1, "final", 7.0, "8"),
+        (2, "code", 1, 0, 1, "terminal_code_execution", 1.0, None), (2, "code", 1, 0, 1, "terminal_code_execution", 1.0, None), (2, "code", 1, 0, 2, "stop_token", 2.0, None),
+    ]
+    df = spark.createDataFrame(rows, RUN + ", request_counter bigint, reason string, log_time double, answer string")
+    filled = logs.fill_eventual_answer(df).select("question_id", "method", "reason", "eventual_answer").collect()
+    assert sorted(map(tuple, filled), key=repr) == sorted([(r[0], r[1], r[5], "5" if r[1] == "math" else "4" if r[0] is None else {None: "-1", 2: "8", 1: None}[r[2]]) for r in rows], key=repr)
+    flags = logs.training_flag(df).select("question_id", "request_counter", "reason", "training_flag").collect()
+    assert len(flags) == len(rows) and {(r[0], r[2]) for r in flags if r[3]} == {(None, "stop_token"), (2, "stop_token")}
+    arrivals = logs.arrival_times(logs.closings(df)).collect()
+    assert sorted((r.question_id is None, r.arrival) for r in arrivals) == [(False, 6.0), (False, 7.0), (True, 9.0), (True, 12.0), (True, 14.0)]
+    known = spark.createDataFrame([(1, 0, 8)], "question_id bigint, position bigint, answer bigint")
+    outcome = {(r.method, r.outcome): r.runs for r in logs.generation_outcome(logs.closings(df), known).collect()}
+    assert outcome == {("code", "unknown"): 1, ("math", "unknown"): 1, ("code", "none"): 1, (None, "right"): 1}
+
+
+def test_folded_prompts_do_not_grow_with_the_requests(spark):
+    """The same text in one request and in sixty-four takes about as much room; chosen prompts are cut from it."""
+    def chunks(requests):
+        return [(1, r, i, "abcdefgh" * 8) for r in range(requests) for i in range(256 // requests)]
+
+    schema = "generation_id bigint, request_counter bigint, chunk_idx bigint, chunk string"
+    sizes = []
+    for requests in (1, 64):
+        folded = logs.folded_prompts(spark.createDataFrame(chunks(requests), schema))
+        row = folded.first()
+        sizes.append(len(row.text) + 16 * len(row.ends))
+        whole = "".join(c for *_, c in chunks(requests))
+        got = [tuple(r) for r in logs.prompts_at(folded, F.col("request_counter") % 7 == 3).collect()]
+        assert sorted(got) == [(1, r, whole[: (r + 1) * 256 // requests * 64]) for r in range(requests) if r % 7 == 3]
+    assert sizes[1] < 1.1 * sizes[0]
+
+
+def test_samples_of_any_size(spark):
+    ids = [f"p{i}" for i in range(500)] + ["twice", "twice", None]
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n bigint").repartition(4)
+    key = F.md5(F.concat(F.col("id"), F.lit("-43")).cast("binary"))
+    for limit in (0, 1, 7, 250, 503, 900):
+        want = sorted((r.id for r in df.orderBy(key, "id").limit(limit).collect()), key=repr)
+        for few in (10_000, 1):
+            assert sorted((r.id for r in logs.sample_problems(df, limit, few=few).collect()), key=repr) == want

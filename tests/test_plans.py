@@ -24,7 +24,7 @@ def plan(spark, name):
 def test_no_product_and_python_only_where_needed(spark, name):
     text = plan(spark, name)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text)
-    assert bool(re.search(r"MapInPandas|EvalPython", text)) == (name in PYTHON)
+    assert bool(re.search(r"MapInPandas|MapInArrow|EvalPython", text)) == (name in PYTHON)
 
 
 def test_votes_aggregate_before_the_shuffle(spark):

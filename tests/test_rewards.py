@@ -100,3 +100,42 @@ def test_weights_sum_to_one_at_equal_counters(spark):
         (2 * rw.style_weight(F.col("id"), 40) + rw.correctness_weight(F.col("id"), 40)).alias("s")
     )
     assert all(r.s == pytest.approx(1.0) for r in counters.collect())
+
+
+def test_plain_functions_are_bound_by_name(spark):
+    """Functions as a trainer takes them: lists in, a list out, other columns by name."""
+
+    def overlap(prompts, completions, **columns):
+        assert set(columns) == {"correct_answer", "call_idx", "generation_id"} and len(columns["call_idx"]) == len(prompts)
+        return [float(p in c) for p, c in zip(prompts, completions)]
+
+    def exact(completions, correct_answer, tolerance=0.5):
+        return [None if a is None else tolerance * (a == c) for c, a in zip(completions, correct_answer)]
+
+    rows = [(i, i // 4, f"p{i % 3}", f"p{i % 2} said", "p0 said" if i % 5 else None) for i in range(40)]
+    table = spark.createDataFrame(rows, "generation_id bigint, call_idx bigint, prompt string, completion string, correct_answer string").repartition(3)
+    rewards = scoring.RewardSet().add("length", lambda c: F.length(c).cast("double")).add_function(overlap, weight=2.0).add_function(exact, name="same")
+    for options in ({}, {"per_call": "call_idx"}):
+        got = {r.generation_id: (r.length, r.overlap, r.same, r.total_reward) for r in rewards.apply(table, ["generation_id"], **options).collect()}
+        for i, _, p, c, a in rows:
+            same = None if a is None else 0.5 * (a == c)
+            assert got[i] == (7.0, 2.0 * (p in c), same, 7.0 + 2.0 * (p in c) + (same or 0))
+
+
+def test_a_function_over_whole_calls(spark):
+    def rank(completions):
+        return [sum(len(o) < len(c) for o in completions) for c in completions]
+
+    table = spark.createDataFrame([(i, i % 7, "x" * (i // 7)) for i in range(70)], "generation_id bigint, call_idx bigint, completion string").repartition(5)
+    got = scoring.RewardSet().add_function(rank).apply(table, ["generation_id", "call_idx"], per_call="call_idx").collect()
+    assert {r.generation_id: r.rank for r in got} == {i: i // 7 for i in range(70)} and len(got) == 70
+
+
+def test_functions_that_cannot_be_bound(spark):
+    table = spark.createDataFrame([(1, "a")], "generation_id bigint, completion string")
+    with pytest.raises(ValueError, match="correct"):
+        scoring.RewardSet().add_function(lambda completions, correct: []).apply(table, ["generation_id"])
+    with pytest.raises(TypeError, match="by name"):
+        scoring.RewardSet().add_function(lambda *lists: [])
+    with pytest.raises(Exception, match="gave 0 rewards for 1"):
+        scoring.RewardSet().add_function(lambda completions: []).apply(table, ["generation_id"]).collect()

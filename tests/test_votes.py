@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallywork.functions.answers import answer_value, floor_mod
 from tallywork.operators import votes
 from tallywork.operators.ranking import grouped_positions
 
@@ -163,6 +164,30 @@ def test_answers_beyond_64_bits_vote(spark):
     assert modulo == {0: 2**99 % 1000, 1: -(2**99) % 1000}
 
 
+def test_answers_of_any_length_vote(spark):
+    """Whole numbers that a double holds are valid, whatever their length; others are not."""
+    chance = random.Random(5)
+    texts = [str(s * m * 2**e) for e in (0, 1, 19, 20, 21, 60, 147, 700, 970) for m in (1, 3, 2**53 - 1, 2**53, 2**53 + 1, 10**20 + 1) for s in (1, -1)]
+    texts += [str(10**n + d) for n in (15, 16, 17, 22, 23, 40, 308) for d in (0, 1, -1, 2**30)] + [str(2**1024), str(2**1024 - 2**970), str(2**1024 - 2**969), "1" + "0" * 400, "0" * 400 + "7", "9" * 309]
+    texts += [str(chance.getrandbits(53) << chance.randrange(0, 300)) for _ in range(100)] + [str(chance.getrandbits(200)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string")
+    got = {r.i: (r.v, r.m) for r in df.select("i", answer_value("t").alias("v"), floor_mod(answer_value("t")).alias("m")).collect()}
+    assert got == {i: (str(number(t)), number(t) % 1000) if number(t) is not None else (None, None) for i, t in enumerate(texts)}
+    cases = [[str(2**200), str(2**200 + 1), "9"], ["-" + str(2**200), "5"]]
+    assert {r.question_id: r.answer for r in votes.majority_answer(answers_of(spark, cases)).collect()} == {0: 2**200 % 1000, 1: 5}
+
+
+def test_a_missing_question_is_a_question(spark):
+    rows = [(None, i, "math", 5 * i, "9") for i in range(3)] + [(1, 10, "code", 50, "4")]
+    df, questions = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(None, 100.0), (1, 100.0), (2, 100.0)], "question_id bigint, deadline double")
+    assert {r.question_id: r.answer for r in votes.predict_table(questions, df).collect()} == {None: 9, 1: 4, 2: 210}
+    stops = {r.question_id: (r.tick, r.reason, r.answer) for r in votes.early_stop_tick(questions, df).collect()}
+    assert stops == {None: (1, "math_agrees", 9), 1: (6, "deadline", 4), 2: (6, "deadline", 210)}
+    closes = spark.createDataFrame([(None, 7), (1, 60)], "question_id bigint, closed_at bigint")
+    late = {r.generation_id: r.late for r in votes.late_results(df, closes).collect()}
+    assert late == {0: False, 1: False, 2: True, 10: False}
+
+
 def test_full_agreement_stops_batch_runs(spark):
     rows = [(1, i, "code", i, "4") for i in range(20)] + [(2, 100 + i, "math", 1, "4") for i in range(3)]
     questions = spark.createDataFrame([(1, 100.0), (2, 100.0)], "question_id bigint, deadline double")
@@ -176,6 +201,15 @@ def test_poll_snapshots_end_with_the_deadline(spark):
     assert got == [(1, "math", 1), (2, "math", 1), (3, "math", 2)]
 
 
+def test_intervals_do_not_grow_with_the_deadline(spark):
+    df = spark.createDataFrame([(1, 1, "math", 5, "3"), (1, 2, "math", 45, "3"), (1, 3, "code", 90, "4"), (None, 4, "code", 15, "4")], SCHEMA)
+    short, long = (votes.poll_intervals(df, deadline) for deadline in (100, 10**9))
+    assert short.count() == long.count() == 4
+    asked = spark.createDataFrame([(1, 2), (1, 10**7), (None, 3), (2, 1)], "question_id bigint, tick bigint")
+    got = sorted(((r.question_id, r.tick, r.answer, r.arrived) for r in votes.arrived_at(long, asked).collect()), key=repr)
+    assert got == sorted([(1, 2, "3", 1), (1, 10**7, "3", 2), (1, 10**7, "4", 1), (None, 3, "4", 1)], key=repr)
+
+
 def test_late_results(spark):
     df = spark.createDataFrame([(1, 1, "math", 50, "3"), (1, 2, "code", 50, "3"), (1, 3, "code", 40, "4"), (2, 4, "code", 9, "1")], SCHEMA)
     closes = spark.createDataFrame([(1, 40)], "question_id bigint, closed_at bigint")
