@@ -11,21 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.operators.joins import join_on
 from tallywork.plans.inputs import PIECE, read_input, with_inputs
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.plans.registry import query
 from tallywork.plans.text_queries import BOX_LAST, REDACTED
-from tallywork.plans.vote_queries import STOPS, TOP3, VALUED, deadlines
+from tallywork.plans.vote_queries import FLOOR_MOD, STOPS, TOP3, VALUED, deadlines
 from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_and_stream, run_available, split_late, stream_files
+from tallywork.streaming.runs import run_available, split_late, stream_files
 
 EPOCH = 1_700_000_000
 DELAY = "130 seconds"
 # These streams are small; a large one keeps the session's number of shuffle partitions.
 PARTITIONS = 8
 
-WAVE = "CASE WHEN generation_id % 40 = 7 AND arrival < 100 THEN 2 ELSE least(floor(arrival / 120), 2) END"
+# Some come a wave late, which is within the delay, and some too late.
+WAVE = """CASE WHEN generation_id % 40 = 7 AND arrival < 100 THEN 2 WHEN generation_id % 20 = 3 THEN least(floor(arrival / 120) + 1, 2)
+               ELSE least(floor(arrival / 120), 2) END"""
 IN_TIME = f"""
 waves AS (SELECT *, {WAVE} AS wave FROM fx_answers),
 newest AS (SELECT wave, max(max(arrival)) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
@@ -55,6 +58,11 @@ def _answers(spark, folder):
     return answers.withColumns({"ts": F.timestamp_seconds(F.col("arrival") + EPOCH), "wave": F.expr(WAVE)})
 
 
+def _clock(spark, first):
+    """Two ticks of the clock behind all answers, in waves from ``first`` on."""
+    return spark.range(2).select((F.col("id") + first).alias("wave"), F.timestamp_seconds((F.col("id") + 1) * 10_000 + EPOCH).alias("ts"))
+
+
 @query("poll_counts_stream", with_inputs(f"""
 WITH {IN_TIME} SELECT CAST(arrival // 20 + 1 AS BIGINT) AS poll, method, count(*) AS arrived FROM in_time GROUP BY ALL""", "answers"))
 def poll_counts_stream(spark, folder):
@@ -78,24 +86,22 @@ def late_answers_stream(spark, folder):
 
 
 @query("live_votes_stream", with_inputs(f"""
-WITH {IN_TIME}, asked AS (SELECT question_id, CAST(trunc(20 + (question_id % 37 + 1) * (400 - 20) / 37e0) AS BIGINT) AS deadline FROM fx_questions),
-open AS (SELECT in_time.* FROM in_time JOIN asked USING (question_id) WHERE arrival <= deadline), {VALUED.replace("fx_answers", "open")}, {TOP3},
+WITH {IN_TIME}, asked AS (SELECT question_id, CAST(trunc(20 + (coalesce(question_id, 0) % 37 + 1) * (400 - 20) / 37e0) AS BIGINT) AS deadline FROM fx_questions),
+open AS (SELECT in_time.* FROM in_time JOIN asked ON asked.question_id IS NOT DISTINCT FROM in_time.question_id WHERE arrival <= deadline), {VALUED.replace("fx_answers", "open")}, {TOP3},
 cast_votes AS (SELECT question_id, count(*) AS votes FROM valued WHERE v IS NOT NULL GROUP BY question_id)
-SELECT question_id, votes, highest, second, third,
+SELECT c.question_id, votes, highest, second, third,
        ((highest >= 2 AND second <= 0 AND third <= 0) OR (highest >= 3 AND second <= 1)
-        OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, CAST(((v % 1000) + 1000) % 1000 AS BIGINT) AS answer
-FROM cast_votes JOIN top3 USING (question_id) JOIN ranked USING (question_id) WHERE rn = 1""", "answers", "questions"))
+        OR (highest >= 4 AND second <= 3) OR highest >= 5) AS stop, {FLOOR_MOD.format(c="v")} AS answer
+FROM cast_votes c JOIN top3 t ON t.question_id IS NOT DISTINCT FROM c.question_id JOIN ranked r ON r.question_id IS NOT DISTINCT FROM c.question_id WHERE rn = 1""", "answers", "questions"))
 def live_votes_stream(spark, folder):
     closing = deadlines(read_input(spark, folder, "questions")).select(
         "question_id", F.timestamp_seconds(F.col("deadline") + EPOCH).alias("closes")
     )
 
     def vote(answers, home):
-        running = live_votes.running_votes(answers, until="closes", delay=DELAY)
-        counts = run_and_stream(running, "running_votes", PARTITIONS, f"{home}/running")
-        return run_available(live_votes.live_votes(counts, DELAY), "live_votes", "append", PARTITIONS, f"{home}/live")
+        return run_available(live_votes.live_votes(answers, until="closes", delay=DELAY), "live_votes", "append", PARTITIONS, f"{home}/live")
 
-    history, _ = in_waves(spark, _answers(spark, folder).join(closing, "question_id"), 3, DELAY, vote)
+    history, _ = in_waves(spark, join_on(_answers(spark, folder), closing, ["question_id"]), 3, DELAY, vote)
     return live_votes.latest_votes(history)
 
 
@@ -103,17 +109,11 @@ def live_votes_stream(spark, folder):
 def early_stop_stream(spark, folder):
     questions = deadlines(read_input(spark, folder, "questions"))
     answers = _answers(spark, folder)
-    # Two ticks of the clock behind the last deadline.
-    clock = spark.range(2).select(
-        ((F.col("id") + 1) * 10_000).alias("arrival"), (F.col("id") + 3).alias("wave"), F.timestamp_seconds((F.col("id") + 1) * 10_000 + EPOCH).alias("ts")
-    )
-    rows = answers.withColumn("wave", F.col("wave").cast("long")).unionByName(clock, allowMissingColumns=True)
+    rows = answers.withColumn("wave", F.col("wave").cast("long")).unionByName(_clock(spark, 3), allowMissingColumns=True)
 
     def stop(timed, home):
-        started = timed.withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
-        polls = run_and_stream(live_votes.closed_polls(started, questions, DELAY), "closed_polls", PARTITIONS, f"{home}/polls")
-        counts = run_and_stream(live_votes.running_polls(polls), "running_polls", PARTITIONS, f"{home}/running")
-        return run_available(live_votes.early_stop(counts), "early_stop", "append", PARTITIONS, f"{home}/stops")
+        started = timed.withColumn("started", F.when(F.col("arrival").isNull(), F.col("ts")).otherwise(F.timestamp_seconds(F.lit(EPOCH))))
+        return run_available(live_votes.early_stop(started, questions, DELAY), "early_stop", "append", PARTITIONS, f"{home}/stops")
 
     stops, _ = in_waves(spark, rows, 5, DELAY, stop)
     return live_votes.with_unanswered(questions, stops)
@@ -155,15 +155,16 @@ def assemble_generations_stream(spark, folder):
 @query("throttle_stream", with_inputs(f"""
 WITH {IN_TIME}, times AS (SELECT DISTINCT question_id, arrival FROM in_time),
 next AS (SELECT a.question_id, a.arrival, min(b.arrival) AS following FROM times a
-         LEFT JOIN times b ON b.question_id = a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
+         LEFT JOIN times b ON b.question_id IS NOT DISTINCT FROM a.question_id AND b.arrival >= a.arrival + 5 GROUP BY ALL),
 kept AS (SELECT question_id, min(arrival) AS arrival FROM times GROUP BY question_id
          UNION ALL SELECT n.question_id, n.following FROM kept k
-         JOIN next n ON n.question_id = k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
+         JOIN next n ON n.question_id IS NOT DISTINCT FROM k.question_id AND n.arrival = k.arrival WHERE n.following IS NOT NULL)
 SELECT * FROM kept""", "answers").replace("WITH", "WITH RECURSIVE", 1))
 def throttle_stream(spark, folder):
     def keep(checks, home):
         kept = generations.throttle(checks, "question_id", "arrival", DELAY, 5)
         return run_available(kept, "throttle", "append", PARTITIONS, f"{home}/kept")
 
-    kept, _ = in_waves(spark, _answers(spark, folder).select("question_id", "arrival", "ts", "wave"), 3, DELAY, keep)
+    checks = _answers(spark, folder).select("question_id", "arrival", "ts", F.col("wave").cast("long").alias("wave"))
+    kept, _ = in_waves(spark, checks.unionByName(_clock(spark, 3), allowMissingColumns=True), 5, DELAY, keep)
     return kept

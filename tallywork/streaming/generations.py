@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywork.functions.text import CODE_BLOCK_SO_FAR, FILLED_BOX, PYTHON_FENCE, answer_outside_sections, last_boxed
-from tallywork.streaming.runs import expire_after, milliseconds
+from tallywork.streaming.runs import expire_after, key_of, milliseconds, never_missing
 
 REQUEST = ["generation_id", "request_counter", "method"]
 _STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean, scan bigint"
@@ -97,47 +99,83 @@ def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts
     return finished.withColumn("answer", answer)
 
 
+KEY = "__key"
+
+
+class _InOrder(StatefulProcessor):
+    """A key's checks wait until the watermark has passed them and are judged in their order.
+
+    What waits is a list; a timer for its first time releases all that are due by then, and one
+    behind the last kept check ends the key's state once it is idle.
+    """
+
+    def __init__(self, time: str, kind: str, gap: float, idle_ms: int):
+        self.time, self.kind, self.gap, self.idle_ms = time, kind, gap, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"ms bigint, time {self.kind}")
+        self.kept = handle.getValueState("kept", f"ms bigint, time {self.kind}")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh = sorted({pair for batch in rows for pair in zip(batch["ms"].tolist(), batch[self.time].tolist())})
+        self.waiting.appendList(fresh)
+        self.handle.registerTimer(fresh[0][0])
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(pair) for pair in self.waiting.get()] if self.waiting.exists() else []
+        due, later = sorted({t for ms, t in held if ms <= now}), sorted({pair for pair in held if pair[0] > now})
+        newest = max((ms for ms, _ in held if ms <= now), default=None)
+        _, last = self.kept.get() if self.kept.exists() else (None, None)
+        released = []
+        for t in due:
+            if last is None or t >= last + self.gap:
+                released.append(t)
+                last = t
+        if due:
+            self.kept.update((newest, last))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0])
+        else:
+            self.waiting.clear()
+            idle_from = self.kept.get()[0] + self.idle_ms if self.kept.exists() else None
+            if idle_from is not None and idle_from <= now:
+                self.kept.clear()
+            elif idle_from is not None:
+                self.handle.registerTimer(idle_from)
+        if released:
+            yield pd.DataFrame({KEY: [key[0]] * len(released), self.time: released})
+
+    def close(self) -> None:
+        pass
+
+
 def throttle(
     checks: DataFrame, key: str, time: str, delay: str, gap: float = 5, ts: str = "ts", idle: str = "1 hour"
 ) -> DataFrame:
     """Keep a check only if it comes at least ``gap`` after the last kept one of its key.
 
-    ``time`` is the number the gap is measured on, ``ts`` the event time. Micro-batches are
-    expected in time order, as a live log gives them, and checks later than the ``delay``
-    belong to ``split_late``; the state of a key is the time of its last kept check, and may
-    end after ``idle``, which is no shorter than the gap. Equal times of a key are merged
-    before they are shuffled.
+    ``time`` is the number the gap is measured on, ``ts`` the event time, which goes up with it.
+    Checks may come in any order within the ``delay``: they wait for the watermark, and the
+    result is that of the batch operator. Later ones belong to ``split_late``. A check without a
+    time is none, but its event time moves the watermark on, as a tick of the clock. A key's
+    state may end after ``idle``, which is no shorter than the gap. Equal times of a key are
+    merged before they are shuffled.
     """
-    idle_ms = milliseconds(idle)
     names = dict(checks.dtypes)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop_duplicates([key, time])
-
-    def advance(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept, times, latest = [], set(), None
-        for batch in batches:
-            times.update(batch[time].tolist())
-            latest = max(batch[ts].max(), latest or batch[ts].max())
-        for t in sorted(times):
-            if last is None or t >= last + gap:
-                kept.append(t)
-                last = t
-        state.update((last,))
-        expire_after(state, latest, idle_ms)
-        if kept:
-            yield pd.DataFrame({key: [keys[0]] * len(kept), time: kept})
-
-    schema = f"{key} {names[key]}, {time} {names[time]}"
-    return (
-        checks.select(key, time, ts)
-        .mapInPandas(distinct, f"{schema}, {ts} timestamp")
-        .withWatermark(ts, delay)
-        .groupBy(key)
-        .applyInPandasWithState(advance, schema, f"last {names[time]}", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+            yield batch.drop_duplicates([KEY, time])
+
+    # A millisecond more on either side, as rows of the watermark's own time count as late.
+    timed = checks.select(never_missing(key).alias(KEY), time, ts, (F.unix_millis(ts) + 1).alias("ms")).where(F.col(ts).isNotNull())
+    merged = timed.mapInPandas(distinct, f"{KEY} string, {time} {names[time]}, {ts} timestamp, ms bigint")
+    # The condition names the event time, as another would be tested before the watermark sees the row.
+    marked = merged.withWatermark(ts, f"{milliseconds(delay) + 2} milliseconds").where(F.col(time).isNotNull() | F.col(ts).isNull())
+    judge = _InOrder(time, names[time], gap, milliseconds(idle))
+    kept = marked.groupBy(KEY).transformWithStateInPandas(judge, f"{KEY} string, {time} {names[time]}", "Append", "EventTime")
+    return kept.select(key_of(KEY, names[key]).alias(key), time)

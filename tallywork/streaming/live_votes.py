@@ -1,19 +1,28 @@
-"""Votes and early stop on a stream of answers."""
+"""Votes and early stop on a stream of answers.
+
+Each flow is one query of three stateful operators in a chain: counts per (question, value), which
+spread a large question over its values; a thinning per part of a question, which passes on only
+what can matter; and a small state per question. States are typed, and event-time timers end
+them: a question's states go when it closes (``until``). Without a closing time they stay, and rows
+may come in any order and as late as they like.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywork.functions.answers import DEFAULT_ANSWER, MODULUS, answer_value, floor_mod
+from tallywork.operators.joins import join_on
 from tallywork.operators.votes import (
     ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_poll, poll_tick,
 )
-from tallywork.streaming.runs import expire_at, milliseconds
+from tallywork.streaming.runs import key_of, milliseconds, never_missing
 
 
 def poll_counts(answers: DataFrame, delay: str, ts: str = "ts", poll: int = POLL_SECONDS) -> DataFrame:
@@ -43,50 +52,104 @@ def _raised(top: list[tuple[int, int]], value: int, frequency: int) -> list[tupl
     return sorted([(reached, value), *[(f, v) for f, v in top if v != value]], reverse=True)[:3]
 
 
-# ---- Running counts per question and value -------------------------------------------
-#
-# A query may hold one stateful Python operator and no aggregation before it, so a flow is
-# two or three queries with tables between them: counts per (question, value), which spreads
-# a large question over its values, then a small state per question.
-#
-# A question's state ends when the question closes (``until``). Without a closing time it
-# stays, and rows may come in any order and as late as they like.
+# ---- The operators of the chain --------------------------------------------------------
 
+#: ``question`` and, in _ROWS, ``value`` are texts that are never missing.
+#: ``ts_ms`` is a time in milliseconds not before ``ts``, for timers; ``until_ms`` lies behind the last of these.
+_ROWS = "question string, value string, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, ts timestamp, ts_ms bigint"
 _COUNTS = (
-    "question_id bigint, value string, tick bigint, last bigint, until timestamp, n bigint, n_math bigint, "
+    "question string, value string, part bigint, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, "
     "all_now bigint, math_now bigint, ts timestamp"
 )
+_NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
+#: Parts of a question that are thinned each for itself.
+PARTS = 64
 
 
-def _stateful(rows: DataFrame, delay: str | None) -> tuple[DataFrame, str]:
-    """Rows and timeout of a state that ends at a closing time, or of one that stays."""
-    if delay is None:
-        return rows, GroupStateTimeout.NoTimeout
-    return rows.withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout
+def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one question, value and poll merged into one before they are shuffled."""
+    for batch in batches:
+        groups = batch.groupby(["question", "value", "tick"], as_index=False)
+        yield groups.agg({"last": "max", "until_ms": "max", "n": "sum", "n_math": "sum", "ts": "max", "ts_ms": "max"})[list(batch.columns)]
 
 
-def _running(increments: DataFrame, delay: str | None) -> DataFrame:
-    """Counts before and after each increment."""
-    columns = ("tick", "last", "until", "n", "n_math", "ts")
+class _Counting(StatefulProcessor):
+    """Running counts of a question's value, as rows come or, by polls, once a poll is complete.
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        question, value = key
-        seen, seen_math = state.get if state.exists else (0, 0)
-        rows = []
-        for tick, last, until, n, n_math, ts in sorted((r for b in batches for r in zip(*[b[c].tolist() for c in columns])), key=lambda r: r[0]):
-            seen, seen_math = seen + n, seen_math + n_math
-            rows.append((question, value, tick, last, until, n, n_math, seen, seen_math, ts))
-        state.update((seen, seen_math))
-        if delay is not None:
-            expire_at(state, rows[-1][4])
-        names = ["question_id", "value", "tick", "last", "until", "n", "n_math", "all_now", "math_now", "ts"]
-        yield pd.DataFrame(rows, columns=names)
+    A poll's counts wait in a map until the watermark has passed its end.
+    """
+
+    def __init__(self, by_polls: bool, closes: bool):
+        self.by_polls, self.closes = by_polls, closes
 
-    rows, timeout = _stateful(increments, delay)
-    return rows.groupBy("question_id", "value").applyInPandasWithState(advance, _COUNTS, "seen bigint, seen_math bigint", "append", timeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n bigint, n_math bigint, until_ms bigint")
+        self.waiting = handle.getMapState("waiting", "tick bigint", "last bigint, until_ms bigint, n bigint, n_math bigint, ts_ms bigint")
+
+    def _counted(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        """Counts after each of ``rows`` (tick, last, until_ms, n, n_math, ts_ms)."""
+        question, value = key[0], key[1][1:] or None
+        seen, seen_math, until = self.seen.get() if self.seen.exists() else (0, 0, None)
+        out, part = [], 0 if value is None else sum(value.encode()) % PARTS
+        for tick, last, until, n, n_math, at in rows:
+            seen, seen_math = seen + n, seen_math + n_math
+            out.append((question, value, part, tick, last, until, n, n_math, seen, seen_math, at))
+        self.seen.update((seen, seen_math, until))
+        counted = pd.DataFrame(out, columns=_NAMES)
+        # With its zone, so that it is the same time in any session.
+        return counted.assign(ts=pd.to_datetime(counted["ts"], unit="ms", utc=True))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, tuple] = {}
+        for batch in rows:
+            for tick, last, until, n, n_math, at in zip(*(batch[c].tolist() for c in ("tick", "last", "until_ms", "n", "n_math", "ts_ms"))):
+                until = None if pd.isna(until) else int(until)
+                _, _, n_0, math_0, at_0 = fresh.get(tick, (last, until, 0, 0, at))
+                fresh[tick] = (last, until, n_0 + n, math_0 + n_math, max(at, at_0))
+        if not self.by_polls:
+            yield self._counted(key, [(tick, *row) for tick, row in sorted(fresh.items())])
+            if self.closes:
+                self.handle.registerTimer(max(row[1] for row in fresh.values()))
+            return
+        for tick, row in fresh.items():
+            if self.waiting.containsKey((tick,)):
+                _, _, n, n_math, _ = self.waiting.getValue((tick,))
+                row = (*row[:2], row[2] + n, row[3] + n_math, row[4])
+            self.waiting.updateValue((tick,), row)
+            self.handle.registerTimer(row[4])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.by_polls else {}
+        complete = sorted((tick, *row) for tick, row in held.items() if row[4] <= now)
+        for tick, *_ in complete:
+            self.waiting.removeKey((tick,))
+        if complete:
+            yield self._counted(key, complete)
+        until = self.seen.get()[2] if self.seen.exists() else None
+        if len(complete) == len(held) and until is not None:
+            if until <= now:
+                self.seen.clear()
+            else:
+                self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+class _Thinning(StatefulProcessor):
+    """Keeps nothing; passes on what can matter of a part of a question."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for kept in _thinned(rows):
+            yield kept[_NAMES]
+
+    def close(self) -> None:
+        pass
 
 
 def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +158,7 @@ def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     The three highest and the leader of a question are among the three highest and the
     leaders of its parts.
     """
-    group = ["question_id", "tick"]
+    group = ["question", "tick"]
     for batch in batches:
         zero = batch["value"] == "0"
         marked = batch.assign(
@@ -108,208 +171,213 @@ def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for order, count in (("f_all", 3), ("f_math", 3), ("weight", 1)):
             kept.update(marked.sort_values([order, "number"]).groupby(group, dropna=False).tail(count).index)
         chosen = batch.index.isin(kept)
-        totals = {"last": "max", "until": "max", "n": "sum", "n_math": "sum", "ts": "max"}
+        totals = {"part": "max", "last": "max", "until_ms": "max", "n": "sum", "n_math": "sum", "ts": "max"}
         rest = batch[~chosen].groupby(group, as_index=False, dropna=False).agg(totals)
         if len(rest):
             yield rest.assign(value=None, all_now=0, math_now=0)
         yield batch[chosen]
 
 
-def running_votes(answers: DataFrame, ts: str = "ts", until: str | None = None, delay: str | None = None) -> DataFrame:
-    """First query of the live vote: running counts as answers come in.
+class _Voting(StatefulProcessor):
+    """A question's vote so far, whenever it has changed."""
 
-    Equal answers in one batch of rows are merged before they are shuffled. With the column
-    ``until``, the time a question closes, only answers up to it are counted and its state
-    ends there; that takes a ``delay`` for answers out of order (see ``split_late``).
-    """
-    if (until is None) != (delay is None):
-        raise ValueError("a closing time and a delay go together")
+    OUT = "question string, votes bigint, highest bigint, second bigint, third bigint, leader string"
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups = batch.groupby(["question_id", "value"], as_index=False, dropna=False)
-            yield groups.agg({"tick": "max", "last": "max", "until": "max", "n": "sum", "n_math": "sum", "ts": "max"})
+    def __init__(self, closes: bool):
+        self.closes = closes
 
-    valid = answers.select(
-        "question_id", answer_value("answer").alias("value"), F.lit(0).cast("bigint").alias("tick"), F.lit(0).cast("bigint").alias("last"),
-        (F.col(until) if until else F.lit(None)).cast("timestamp").alias("until"),
-        F.lit(1).cast("bigint").alias("n"), (F.col("method") == "math").cast("bigint").alias("n_math"), F.col(ts).alias("ts"),
-    ).where("value IS NOT NULL")
-    if until:
-        valid = valid.where("ts <= until")
-    schema = "question_id bigint, value string, tick bigint, last bigint, until timestamp, n bigint, n_math bigint, ts timestamp"
-    return _running(valid.mapInPandas(combine, schema), delay)
-
-
-def live_votes(running: DataFrame, delay: str | None = None) -> DataFrame:
-    """Second query of the live vote: a row per question whenever its vote has changed.
-
-    Rows carry the votes so far, the three highest frequencies, the stop flag and the
-    leading answer. ``delay`` as in the first query.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.vote = handle.getValueState("vote", "votes bigint, frequency array<bigint>, value array<string>, weight bigint, leader string")
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        votes, frequencies, values, weight, leader = state.get if state.exists else (0, [], [], -1, "0")
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        votes, frequencies, values, weight, leader = self.vote.get() if self.vote.exists() else (0, [], [], -1, "0")
         top, best, until = list(zip(frequencies, map(int, values))), (weight, int(leader)), None
-        for batch in batches:
-            until = batch["until"].max()
+        for batch in rows:
+            until = batch["until_ms"].max()
             for value, added, now in zip(batch["value"].tolist(), batch["n"].tolist(), batch["all_now"].tolist()):
                 votes += added
-                if value is None:
+                if value is None or pd.isna(value):
                     continue
                 value = int(value)
                 top = _raised(top, value, _frequency(value, now))
                 best = max(best, (_weight(value, now), value))
-        state.update((votes, [f for f, _ in top], [str(v) for _, v in top], best[0], str(best[1])))
-        if delay is not None:
-            expire_at(state, until)
+        self.vote.update((votes, [f for f, _ in top], [str(v) for _, v in top], best[0], str(best[1])))
+        if self.closes:
+            self.handle.registerTimer(int(until))
         highest, second, third = ([f for f, _ in top] + [0, 0, 0])[:3]
-        yield pd.DataFrame(
-            {
-                "question_id": [key[0]], "votes": [votes], "highest": [highest], "second": [second],
-                "third": [third], "leader": [str(best[1])],
-            }
-        )
-
-    rows, timeout = _stateful(running.mapInPandas(_thinned, _COUNTS), delay)
-    live = rows.groupBy("question_id").applyInPandasWithState(
-        advance,
-        "question_id bigint, votes bigint, highest bigint, second bigint, third bigint, leader string",
-        "votes bigint, frequency array<bigint>, value array<string>, weight bigint, leader string",
-        "append", timeout,
-    )
-    return live.select(
-        "question_id", "votes", "highest", "second", "third",
-        agreement(F.col("highest"), F.col("second"), F.col("third")).alias("stop"),
-        floor_mod("leader").alias("answer"),
-    )
+        yield pd.DataFrame({"question": [key[0]], "votes": [votes], "highest": [highest], "second": [second], "third": [third], "leader": [str(best[1])]})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.vote.clear()
+        yield from ()
 
-def latest_votes(history: DataFrame) -> DataFrame:
-    """The last row of each question out of what ``live_votes`` has written."""
-    others = [c for c in history.columns if c != "question_id"]
-    return history.groupBy("question_id").agg(F.max(F.struct(*others)).alias("row")).select("question_id", "row.*")
+    def close(self) -> None:
+        pass
 
 
-# ---- Early stop ----------------------------------------------------------------------
-
-
-def closed_polls(answers: DataFrame, questions: DataFrame, delay: str, poll: int = POLL_SECONDS) -> DataFrame:
-    """First query of the early stop: counts of each poll that is complete, by the watermark.
+class _Stopping(StatefulProcessor):
+    """A question's answer once a complete poll satisfies a rule, or when its deadline passes.
 
-    ``answers``: question_id, method, answer, arrival (seconds since the question started),
-    started (timestamp); a row without a question is a tick of the clock, which moves time on
-    when no answers come. ``questions``: question_id and deadline, a table. A poll is complete
-    ``delay`` after its end; later answers belong to ``split_late``.
+    A question keeps its three highest values, its totals and its leader until its deadline;
+    after the decision later polls are ignored.
     """
-    tick = poll_tick(F.col("arrival"), poll)
-    after = F.make_dt_interval(secs=(F.col("tick") * poll).cast("decimal(18,6)"))
-    ending = F.make_dt_interval(secs=(F.col("last") * poll).cast("decimal(18,6)"))
-    asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
-    # A poll ends up to ``poll`` seconds behind its answers.
-    late = int(milliseconds(delay) + poll * 1000)
-    return (
-        answers.select(
-            "question_id", answer_value("answer").alias("value"), tick.alias("tick"),
-            F.coalesce((F.col("method") == "math").cast("bigint"), F.lit(0)).alias("math"), "started",
-        )
-        .join(asked, "question_id", "left")
-        .select("*", (F.col("started") + after).alias("ts"), (F.col("started") + ending).alias("until"))
-        .withWatermark("ts", f"{late} milliseconds")
-        .where("tick <= last OR (question_id IS NULL AND ts IS NOT NULL)")
-        .groupBy("question_id", "value", "tick", "last", "until", "ts")
-        .agg(F.count("*").alias("n"), F.sum("math").alias("n_math"))
-    )
 
+    OUT = "question string, tick bigint, reason string, answer bigint"
 
-#: Complete polls come in the order of their ends; a query behind reads whole micro-batches.
-IN_ORDER = "0 seconds"
+    def __init__(self, full_count: int, enough_math: int):
+        self.full_count, self.enough_math = full_count, enough_math
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "votes bigint, math_votes bigint, decided boolean, last bigint")
+        self.best = handle.getValueState("best", "weight bigint, leader string")
+        self.top = {s: handle.getValueState(f"top_{s}", "frequency array<bigint>, value array<string>") for s in ("all", "math")}
 
-def running_polls(polls: DataFrame) -> DataFrame:
-    """Second query of the early stop: running counts over the complete polls."""
-    return _running(polls, IN_ORDER)
+    def _row(self, key: tuple, tick: int, reason: str, best: tuple[int, int]) -> pd.DataFrame:
+        answer = best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER
+        return pd.DataFrame({"question": [key[0]], "tick": [tick], "reason": [reason], "answer": [answer]})
 
+    def _leader(self) -> tuple[int, int]:
+        weight, leader = self.best.get() if self.best.exists() else (-1, "0")
+        return weight, int(leader)
 
-def early_stop(running: DataFrame, full_count: int = FULL_COUNT, enough_math: int = ENOUGH_MATH) -> DataFrame:
-    """Third query of the early stop: a question's answer once a complete poll satisfies a
-    rule, or when its deadline passes.
-
-    A question keeps its three highest values, its totals and its leader until its deadline;
-    after the decision later polls are ignored.
-    """
-
-    def agree(top: list[tuple[int, int]]) -> bool:
-        return agreement(*([f for f, _ in top] + [0, 0, 0])[:3])
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(found: tuple[int, str], best: tuple[int, int]) -> pd.DataFrame:
-            answer = best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER
-            return pd.DataFrame({"question_id": [key[0]], "tick": [found[0]], "reason": [found[1]], "answer": [answer]})
-
-        empty = ([], [], [], [], 0, 0, -1, "0", False, 0, 0)
-        af, av, mf, mv, votes, math_votes, weight, leader, decided, deadline_ms, last = state.get if state.exists else empty
-        top, top_math, best, found = list(zip(af, map(int, av))), list(zip(mf, map(int, mv))), (weight, int(leader)), None
-        if state.hasTimedOut:
-            if not decided:
-                yield row((last, "deadline"), best)
-            state.remove()
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        polls = pd.concat([*rows])
+        votes, math_votes, decided, last = self.totals.get() if self.totals.exists() else (0, 0, False, int(polls["last"].iloc[0]))
+        if decided:
             return
-        rows = pd.concat([*batches])
-        if key[0] is None or pd.isna(key[0]):
-            return  # the clock
-        last, latest, deadline_ms = int(rows["last"].iloc[0]), 0, rows["until"].iloc[0].value // 1_000_000
-        for tick, part in rows.groupby("tick", sort=True):
-            latest = int(tick)
-            if decided or found:
-                break
+        top = {s: list(zip(*(held[0], map(int, held[1])))) if (held := state.get() if state.exists() else None) else [] for s, state in self.top.items()}
+        best, found = self._leader(), None
+        for tick, part in polls.groupby("tick", sort=True):
             votes, math_votes = votes + int(part["n"].sum()), math_votes + int(part["n_math"].sum())
             valid = part[part["value"].notna()]
             for value, all_now, math_now in zip(map(int, valid["value"]), valid["all_now"].tolist(), valid["math_now"].tolist()):
-                top = _raised(top, value, _frequency(value, all_now))
-                top_math = _raised(top_math, value, _frequency(value, math_now)) if math_now else top_math
+                top["all"] = _raised(top["all"], value, _frequency(value, all_now))
+                top["math"] = _raised(top["math"], value, _frequency(value, math_now)) if math_now else top["math"]
                 best = max(best, (_weight(value, all_now), value))
-            if agree(top_math):
-                found = (latest, "math_agrees")
-            elif agree(top):
-                found = (latest, "all_agree")
-            elif votes == full_count:
-                found = (latest, "all_in")
-            elif math_votes >= enough_math:
-                found = (latest, "enough_math")
-        now = state.getCurrentWatermarkMs()
-        if not decided and not found and (latest >= last or now >= deadline_ms):
-            found = (last, "deadline")
+            agree = {s: agreement(*([f for f, _ in t] + [0, 0, 0])[:3]) for s, t in top.items()}
+            reason = (
+                "math_agrees" if agree["math"] else "all_agree" if agree["all"] else "all_in" if votes == self.full_count
+                else "enough_math" if math_votes >= self.enough_math else "deadline" if tick >= last else None
+            )
+            if reason:
+                found = (int(tick), reason)
+                break
+        self.totals.update((votes, math_votes, bool(found), last))
+        self.best.update((best[0], str(best[1])))
+        for scope, state in self.top.items():
+            state.update(([f for f, _ in top[scope]], [str(v) for _, v in top[scope]]))
+        self.handle.registerTimer(int(polls["until_ms"].iloc[0]))
         if found:
-            decided = True
-            yield row(found, best)
-        state.update(
-            ([f for f, _ in top], [str(v) for _, v in top], [f for f, _ in top_math], [str(v) for _, v in top_math],
-             votes, math_votes, best[0], str(best[1]), decided, deadline_ms, last)
-        )
-        # A state times out once the watermark is past its time, so one before the deadline.
-        state.setTimeoutTimestamp(max(deadline_ms - 1, now + 1))
+            yield self._row(key, *found, best)
 
-    return (
-        running.mapInPandas(_thinned, _COUNTS)
-        .withWatermark("ts", IN_ORDER)
-        .groupBy("question_id")
-        .applyInPandasWithState(
-            decide, "question_id bigint, tick bigint, reason string, answer bigint",
-            "all_frequency array<bigint>, all_value array<string>, math_frequency array<bigint>, math_value array<string>, "
-            "votes bigint, math_votes bigint, weight bigint, leader string, decided boolean, deadline_ms bigint, last bigint",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.totals.exists():
+            _, _, decided, last = self.totals.get()
+            if not decided:
+                yield self._row(key, last, "deadline", self._leader())
+        for state in (self.totals, self.best, *self.top.values()):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _chained(rows: DataFrame, first: StatefulProcessor, last: StatefulProcessor, timed: bool) -> DataFrame:
+    """The three operators of a flow behind one another, in one query."""
+    mode = "EventTime" if timed else "None"
+    time = {"eventTimeColumnName": "ts"} if timed else {}
+    counts = rows.groupBy("question", "value").transformWithStateInPandas(first, _COUNTS, "Append", mode, **time)
+    thin = counts.groupBy("question", "part").transformWithStateInPandas(_Thinning(), _COUNTS, "Append", mode, **time)
+    found = thin.groupBy("question").transformWithStateInPandas(last, last.OUT, "Append", mode)
+    return found.select(key_of("question", "bigint").alias("question_id"), *[c for c in found.columns if c != "question"])
+
+
+def _merged(rows: DataFrame, delay_ms: int | None) -> DataFrame:
+    merged = rows.mapInPandas(combined, _ROWS)
+    # One more millisecond, as rows of the watermark's own time count as late.
+    if delay_ms is None:
+        return merged
+    # Ticks of the clock (poll -1) have moved the watermark and go. The condition names the event
+    # time, as another would be tested before the watermark sees the row.
+    return merged.withWatermark("ts", f"{delay_ms + 1} milliseconds").where("tick >= 0 OR ts IS NULL")
+
+
+# ---- Live votes ------------------------------------------------------------------------
+
+
+def live_votes(answers: DataFrame, ts: str = "ts", until: str | None = None, delay: str | None = None) -> DataFrame:
+    """A row per question whenever its vote has changed, as answers come in.
+
+    Rows carry the votes so far, the three highest frequencies, the stop flag and the leading
+    answer. With the column ``until``, the time a question closes, only answers up to it are
+    counted and its states end there; that takes a ``delay`` for answers out of order (see
+    ``split_late``).
+    """
+    if (until is None) != (delay is None):
+        raise ValueError("a closing time and a delay go together")
+    closes = (F.col(until) if until else F.lit(None)).cast("timestamp")
+    valid = answers.select(
+        never_missing("question_id").alias("question"), never_missing(answer_value("answer")).alias("value"), F.lit(0).cast("bigint").alias("tick"), F.lit(0).cast("bigint").alias("last"),
+        (F.unix_millis(closes) + 2).alias("until_ms"), F.lit(1).cast("bigint").alias("n"),
+        F.coalesce(F.col("method") == "math", F.lit(False)).cast("bigint").alias("n_math"), F.col(ts).alias("ts"), (F.unix_millis(ts) + 1).alias("ts_ms"),
+        *([closes.alias("closes")] if until else []),
+    ).where("value <> ''")
+    if until:
+        valid = valid.where("ts <= closes").drop("closes")
+    live = _chained(_merged(valid, milliseconds(delay) if delay else None), _Counting(False, until is not None), _Voting(until is not None), until is not None)
+    return live.select(
+        "question_id", "votes", "highest", "second", "third",
+        agreement(F.col("highest"), F.col("second"), F.col("third")).alias("stop"),
+        floor_mod("leader").alias("answer"),
     )
 
 
+def latest_votes(history: DataFrame) -> DataFrame:
+    """The last row of each question out of what ``live_votes`` has written."""
+    others = [c for c in history.columns if c != "question_id"]
+    return history.groupBy("question_id").agg(F.max(F.struct(*others)).alias("row")).select("question_id", "row.*")
+
+
+# ---- Early stop ----------------------------------------------------------------------
+
+
+def _after(started: str, tick: str, poll: int) -> Column:
+    return F.col(started) + F.make_dt_interval(secs=(F.col(tick) * poll).cast("decimal(18,6)"))
+
+
+def early_stop(
+    answers: DataFrame, questions: DataFrame, delay: str, poll: int = POLL_SECONDS, full_count: int = FULL_COUNT, enough_math: int = ENOUGH_MATH,
+) -> DataFrame:
+    """A question's answer once a complete poll satisfies a rule, or when its deadline passes.
+
+    ``answers``: question_id, method, answer, arrival (seconds since the question started),
+    started (timestamp); a row without an arrival is a tick of the clock at ``started``, which
+    moves time on when no answers come. ``questions``: question_id and deadline, a table. A poll
+    is complete ``delay`` after its end; later answers belong to ``split_late``.
+    """
+    asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"), F.lit(True).alias("asked"))
+    timed = join_on(
+        answers.select(
+            "question_id", answer_value("answer").alias("value"), poll_tick(F.col("arrival"), poll).alias("tick"), F.col("arrival").isNull().alias("clock"),
+            F.coalesce((F.col("method") == "math").cast("bigint"), F.lit(0)).alias("n_math"), "started",
+        ), asked, ["question_id"], "left",
+    ).where("clock OR (asked AND tick <= last)")
+    ts = F.when(F.col("clock"), F.col("started")).otherwise(_after("started", "tick", poll))
+    until = F.when(F.col("clock"), F.col("started")).otherwise(_after("started", "last", poll))
+    rows = timed.select(
+        never_missing("question_id").alias("question"), never_missing("value").alias("value"), F.when(F.col("clock"), -1).otherwise(F.col("tick")).cast("bigint").alias("tick"), F.coalesce("last", F.lit(0)).cast("bigint").alias("last"),
+        (F.unix_millis(until) + 2).alias("until_ms"), F.when(F.col("clock"), 0).otherwise(1).cast("bigint").alias("n"), "n_math", ts.alias("ts"), (F.unix_millis(ts) + 1).alias("ts_ms"),
+    ).where("ts IS NOT NULL")
+    # A poll ends up to ``poll`` seconds behind its answers.
+    return _chained(_merged(rows, milliseconds(delay) + poll * 1000), _Counting(True, True), _Stopping(full_count, enough_math), True)
+
+
 def with_unanswered(questions: DataFrame, stops: DataFrame, poll: int = POLL_SECONDS) -> DataFrame:
     """What ``early_stop`` wrote, and the default at its deadline for a question without any answer."""
     asked = questions.select("question_id", last_poll(F.col("deadline"), poll).alias("last"))
-    return asked.join(stops, "question_id", "left").select(
+    return join_on(asked, stops, ["question_id"], "left").select(
         "question_id", F.coalesce("tick", "last").alias("tick"), F.coalesce("reason", F.lit("deadline")).alias("reason"),
         F.coalesce("answer", F.lit(DEFAULT_ANSWER).cast("bigint")).alias("answer"),
     )

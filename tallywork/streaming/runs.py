@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
@@ -18,11 +18,6 @@ def milliseconds(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def expire_at(state: GroupState, time: pd.Timestamp) -> None:
-    """Let a state time out at ``time``, or with the next step of the watermark if that is past."""
-    state.setTimeoutTimestamp(max(time.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
-
-
 def expire_after(state: GroupState, latest: pd.Timestamp | None, idle_ms: int) -> None:
     """Let a state time out ``idle_ms`` after its latest event or the watermark, the later one."""
     event_ms = latest.value // 1_000_000 if latest is not None else 0
@@ -39,19 +34,36 @@ def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(pattern)
 
 
+def never_missing(key: Column | str) -> Column:
+    """A key as a text that is never missing; stateful operators in Python mix up keys if some are."""
+    return F.coalesce(F.concat(F.lit("="), (F.col(key) if isinstance(key, str) else key).cast("string")), F.lit(""))
+
+
+def key_of(text: Column | str, kind: str) -> Column:
+    """The key that ``never_missing`` has made a text of, as ``kind``."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text != "", F.substring(text, 2, 1 << 30).cast(kind))
+
+
+# Typed states and timers need this store of the two that come with Spark.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
-def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+def state_settings(spark: SparkSession, count: int | None) -> Iterator[None]:
     """Streams started inside keep their state in ``count`` partitions, the session's number if None.
 
-    A stream keeps this number for good, and adaptive execution does not merge them.
+    A stream keeps this number and its store for good, and adaptive execution does not merge them.
     """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(count or before))
+    wanted = {"spark.sql.shuffle.partitions": str(count) if count else None, "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value or before[key])
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def write_available(
@@ -71,7 +83,7 @@ def write_available(
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
-    with state_partitions(spark, partitions):
+    with state_settings(spark, partitions):
         query = writer.start()
     query.awaitTermination()
     return out

@@ -12,7 +12,7 @@ from tallywork.plans.inputs import read_input
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_and_stream, run_available, split_late, stream_files
+from tallywork.streaming.runs import run_available, split_late, stream_files
 
 SF = "/root/testdata/sf0.001"
 EPOCH = 1_700_000_000
@@ -34,31 +34,31 @@ def answers(spark):
 
 
 def rows_of(df, *columns):
-    return sorted(tuple(r) for r in df.select(*columns).collect())
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
 def asked(spark, answers, deadline):
     """The questions answered, those of even numbers with half the time, and one without an answer."""
     ids = answers.select("question_id").distinct().union(spark.range(-5, -4))
-    return ids.select("question_id", (F.lit(deadline) / (2 - F.col("question_id") % 2)).alias("deadline"))
+    return ids.select("question_id", (F.lit(deadline) / (2 - F.coalesce("question_id", F.lit(0)) % 2)).alias("deadline"))
 
 
 def with_clock(answers, *times):
     """Answers, and ticks of the clock behind them."""
-    clock = answers.sparkSession.createDataFrame([(t,) for t in times], "arrival bigint")
-    return answers.drop("ts").unionByName(clock, allowMissingColumns=True).withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
+    started = answers.drop("ts").withColumn("started", F.timestamp_seconds(F.lit(EPOCH)))
+    clock = answers.sparkSession.createDataFrame([(t,) for t in times], "t bigint").select(F.timestamp_seconds(F.col("t") + EPOCH).alias("started"))
+    return started.unionByName(clock, allowMissingColumns=True)
 
 
 def stopped(spark, timed, questions, files, **options):
-    polls = run_and_stream(live_votes.closed_polls(in_files(spark, timed, F.col("arrival"), files), questions, "1 second"), "polls")
-    counts = run_and_stream(live_votes.running_polls(polls), "counts")
-    return live_votes.with_unanswered(questions, run_available(live_votes.early_stop(counts, **options), "stops"))
+    order = F.coalesce(F.col("arrival"), F.unix_seconds("started"))
+    stops = live_votes.early_stop(in_files(spark, timed, order, files), questions, "1 second", **options)
+    return live_votes.with_unanswered(questions, run_available(stops, "stops"))
 
 
 def test_votes_in_any_order(spark, answers):
     stream = in_files(spark, answers, F.md5(F.col("generation_id").cast("string")), 3)
-    counts = run_and_stream(live_votes.running_votes(stream), "running")
-    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts), "live"))
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(stream), "live"))
     valid = votes.vote_frequencies(answers).where("highest > 0")
     assert rows_of(live, "question_id", "highest", "second", "third") == rows_of(valid, *valid.columns)
     majority = votes.majority_answer(answers).where("answer IS NOT NULL")
@@ -94,13 +94,35 @@ def test_generations_from_shuffled_chunks(spark):
     assert {r.reason for r in rows} == {"boxed", "code_block", "stop_token"}
 
 
-def test_throttle_over_ordered_batches(spark, answers):
-    stream = in_files(spark, answers.select("question_id", "arrival", "ts"), F.col("arrival"), 3)
+CHECKS = "question_id bigint, arrival bigint, ts timestamp"
+
+
+def keep(stream, home):
+    return run_available(generations.throttle(stream, "question_id", "arrival", "130 seconds"), "kept", "append", 2, f"{home}/kept")
+
+
+def test_throttle_over_batches_in_any_order(spark, answers):
+    """Micro-batches out of order within the delay give what the batch operator gives."""
+    checks = answers.select("question_id", "arrival", "ts")
+    clock = spark.createDataFrame([(None, None, at(9000 * (i + 1))) for i in range(2)], CHECKS)
+    mixed = F.when(F.col("arrival").isNull(), F.unix_seconds("ts")).otherwise(F.floor(F.col("arrival") / 60) * 60 + F.pmod(F.xxhash64("question_id", "arrival"), F.lit(120)))
+    stream = in_files(spark, checks.unionByName(clock), mixed, 5)
     kept = run_available(generations.throttle(stream, "question_id", "arrival", "10 minutes"), "throttle")
     want = throttle.throttled_checks(answers, "question_id", "arrival")
     assert rows_of(kept, "question_id", "arrival") == rows_of(want, "question_id", "arrival")
 
 
+def test_checks_wait_for_earlier_ones_over_restarts(spark):
+    rows = [[(1, 10, at(10)), (1, 20, at(20)), (None, 11, at(11))], [(1, 15, at(15)), (1, 30, at(30)), (None, 7, at(7)), (None, 12, at(12))], [(None, None, at(5000))], [(None, None, at(9999))]]
+    kept = waves(spark, "throttled", rows, CHECKS, keep)
+    assert rows_of(kept, "question_id", "arrival") == sorted([(1, 10), (1, 15), (1, 20), (1, 30), (None, 7), (None, 12)], key=repr)
+
+
+def test_a_key_forgets_after_its_idle_time_only(spark):
+    rows = [[(1, 10, at(10))], [(1, 600, at(600)), (2, 601, at(601))], [(1, 603, at(603)), (2, 604, at(604)), (2, 606, at(606))], [(None, None, at(9000))], [(None, None, at(18000))], [(None, None, at(27000))]]
+    assert rows_of(waves(spark, "idle-keys", rows, CHECKS, keep), "question_id", "arrival") == [(1, 10), (1, 600), (2, 601), (2, 606)]
+
+
 def test_late_flags_on_a_stream(spark, answers):
     closes = votes.early_stop_tick(asked(spark, answers, 130), answers).select("question_id", (F.col("tick") * 20).alias("closed_at"))
     stream = in_files(spark, answers, F.col("arrival"), 2)
@@ -115,8 +137,7 @@ def test_a_large_question_is_thinned_without_loss(spark):
     rows += [(2, 2000, "code", 10, "x"), (2, 2001, "code", 30, "0"), (2, 2002, "code", 30, "")]
     df = spark.createDataFrame(rows, "question_id bigint, generation_id bigint, method string, arrival bigint, answer string")
     timed = df.withColumn("started", F.timestamp_seconds(F.lit(EPOCH))).withColumn("ts", F.timestamp_seconds(F.col("arrival") + EPOCH))
-    counts = run_and_stream(live_votes.running_votes(in_files(spark, timed, F.col("arrival"), 2)), "running")
-    live = live_votes.latest_votes(run_available(live_votes.live_votes(counts), "live"))
+    live = live_votes.latest_votes(run_available(live_votes.live_votes(in_files(spark, timed, F.col("arrival"), 2)), "live"))
     want = votes.vote_frequencies(df)
     assert rows_of(live, *want.columns) == rows_of(want, *want.columns)
     assert rows_of(live, "question_id", "votes", "answer") == [
@@ -154,12 +175,30 @@ def test_late_rows_are_kept_and_a_restart_goes_on(spark):
     assert sorted(r.generation_id for r in kept.collect()) == [1, 2, 3, 5, 6]
 
 
+def test_one_query_stops_over_restarts_and_late_polls(spark):
+    """A poll is judged once it is complete, whatever came out of order, also by a query started anew."""
+    schema = "question_id bigint, method string, answer string, arrival bigint, started timestamp"
+    zero, questions = at(0), spark.createDataFrame([(1, 100), (2, 60), (None, 100), (4, 40)], "question_id bigint, deadline bigint")
+    rows = [
+        [(1, "code", "5", 50, zero), (2, "code", "8", 10, zero), (None, "math", "3", 5, zero)],
+        [(1, "code", "5", 30, zero), (None, "math", "3", 25, zero), (2, "code", "9", 300, zero)],
+        [(1, "code", "6", 35, zero), (7, "code", "1", 5, zero)], [(None, None, None, None, at(4000))], [(None, None, None, None, at(9000))],
+    ]
+
+    def stop(stream, home):
+        return run_available(live_votes.early_stop(stream, questions, "60 seconds"), "stops", "append", 2, f"{home}/stops")
+
+    stops = live_votes.with_unanswered(questions, waves(spark, "stops", rows, schema, stop))
+    answers = spark.createDataFrame([(q, i, m, a, x) for i, (q, m, x, a, _) in enumerate(r for w in rows[:3] for r in w)], "question_id bigint, generation_id bigint, method string, arrival bigint, answer string")
+    want = votes.early_stop_tick(questions, answers)
+    assert rows_of(stops, *want.columns) == rows_of(want, *want.columns) and want.where("reason = 'math_agrees' AND question_id IS NULL").count() == 1
+
+
 def test_counts_go_on_after_a_long_silence(spark):
     week = 7 * 86_400
 
     def vote(stream, home):
-        counts = run_and_stream(live_votes.running_votes(stream), "running", 2, f"{home}/running")
-        return run_available(live_votes.live_votes(counts), "live", "append", 2, f"{home}/live")
+        return run_available(live_votes.live_votes(stream), "live", "append", 2, f"{home}/live")
 
     rows = [[(1, i, "math", "5", at(i), None) for i in range(4)] + [(None, 9, "code", "7", at(1), None)], [(1, 5, "math", "5", at(week), None)], [(1, 6, "math", "5", at(10), None)]]
     live = live_votes.latest_votes(waves(spark, "silence", rows, VOTES, vote))
@@ -168,8 +207,7 @@ def test_counts_go_on_after_a_long_silence(spark):
 
 def test_a_vote_after_the_close_does_not_count(spark):
     def vote(stream, home):
-        counts = run_and_stream(live_votes.running_votes(stream, until="closes", delay="10 seconds"), "running", 2, f"{home}/running")
-        return run_available(live_votes.live_votes(counts, "10 seconds"), "live", "append", 2, f"{home}/live")
+        return run_available(live_votes.live_votes(stream, until="closes", delay="10 seconds"), "live", "append", 2, f"{home}/live")
 
     rows = [[(1, 1, "math", "5", at(1), at(50)), (2, 2, "math", "6", at(2), at(900))], [(1, 3, "math", "7", at(400), at(50)), (2, 4, "code", "6", at(400), at(900))],
             [(2, 5, "code", "6", at(800), at(900))]]
