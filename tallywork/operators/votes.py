@@ -36,9 +36,10 @@ def vote_frequency(value: Column, count: Column) -> Column:
 
 
 def vote_counts(answers: DataFrame, *more: str) -> DataFrame:
-    """Answers per question and value (NULL for invalid ones)."""
-    valued = answers.select("question_id", *more, answer_value("answer").alias("value"))
-    return valued.groupBy("question_id", *more, "value").agg(F.count("*").alias("votes"))
+    """Answers per question and value (NULL for invalid ones). Equal texts are counted before they are parsed."""
+    texts = answers.groupBy("question_id", *more, "answer").agg(F.count("*").alias("votes"))
+    valued = texts.select("question_id", *more, answer_value("answer").alias("value"), "votes")
+    return valued.groupBy("question_id", *more, "value").agg(F.sum("votes").alias("votes"))
 
 
 def top_vote(answers: DataFrame) -> DataFrame:
