@@ -6,8 +6,8 @@ inferred from the characters it uses; then its symbols are tested for a uniform
 correlation with their successors. The three together give one statistic (Fisher's), which is
 large where chance is rejected: a token looks random if chance is not.
 
-How ordinary tokens do in the battery is learned from the corpus: every ``ORDINARY_STEP``
-characters of every text the words that follow are run together to a token of a usual length, and
+How ordinary tokens do in the battery is learned from the whole corpus: all words of every text, but
+for those that may hold a secret, are run together and cut into tokens of usual lengths, and
 the logarithms of their statistics have a mean and a spread per encoding and length. A token's
 p-value is the chance that an ordinary one is as random; an encoding that ordinary tokens hardly
 have takes what all of that length give. All tokens of the corpus form one family, those within
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +43,16 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_TOKEN = 20
 TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
-#: What is left out where words are run together, and what may itself be a secret there.
-NOT_TOKEN = re.compile(r"[^A-Za-z0-9]+")
-SECRETS = re.compile(rf"\S*[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}\S*|\S*[=:]\S*")
+#: In a word that may itself be a secret; and what is left out where words are run together.
+LONG = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN}}}")
+NOT_TOKEN = re.sub(rb"[A-Za-z0-9]", b"", bytes(range(256)))
 
 # Letters from the common to the rare ones, so that groups of neighbours are as common, and the tests tell prose from chance.
 LOWER, UPPER, DIGITS = "etaoinsrhdlucmfywgpbvkxqjz", "ETAOINSRHDLUCMFYWGPBVKXQJZ", "0123456789"
-#: An ordinary token is made at every so many code points, of these lengths in turn (the text's length tells the first), from the words of so many.
-ORDINARY_STEP, ORDINARY_SIZES, ORDINARY_WINDOW = 500, (20, 26, 34, 44, 64), 200
+#: Ordinary tokens have these lengths in turn (the text's length tells the first).
+ORDINARY_SIZES = (20, 26, 34, 44, 64)
+#: Characters of ordinary tokens that are tested at a time.
+TESTED_AT_ONCE = 1 << 21
 #: Ordinary tokens of an encoding and length that make a null of their own, and the least spread of logarithms.
 LEAST_ORDINARY, LEAST_SPREAD = 30, 0.3
 #: Statistics beyond this are as far from chance as any; they count as this, so that odd tokens do not widen the spread.
@@ -62,6 +66,9 @@ ENCODINGS = (
 )
 PLACES = {alphabet: {c: i for i, c in enumerate(alphabet)} for _, alphabet in ENCODINGS}
 SYMBOLS = [(name, alphabet, frozenset(alphabet)) for name, alphabet in ENCODINGS]
+#: The same by byte: each encoding's places, and a bit for each encoding that has the byte.
+PLACE_OF = np.array([[alphabet.find(chr(c)) for c in range(128)] for _, alphabet in ENCODINGS], np.int16)
+ENCODINGS_OF = sum((PLACE_OF[i] >= 0).astype(np.int32) << i for i in range(len(ENCODINGS)))
 
 #: Below this, the battery says a token is not by chance.
 NOT_BY_CHANCE = 1e-3
@@ -149,18 +156,107 @@ def size_of(length: int) -> int:
     return max([x for x in ORDINARY_SIZES if x <= length], default=ORDINARY_SIZES[0])
 
 
-def ordinary_tokens(text: str) -> list[tuple[str, int, int, float, float]]:
-    """What the text's ordinary tokens give: encoding, length, number, sum of logarithms and of their squares."""
+def _each(function, values: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(function, values.tolist()), float, len(values))
+
+
+def batteries(tokens: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """Encodings and the statistics of their tokens, as ``battery`` gives them; a row of bytes is a token of letters and digits."""
+    n = tokens.shape[1]
+    tokens = tokens[(tokens != tokens[:, :1]).any(axis=1) & (tokens > ord("9")).any(axis=1)]
+    shared = np.bitwise_and.reduce(ENCODINGS_OF[tokens], axis=1)
+    narrowest, out = shared & -shared, []
+    for i, (name, alphabet) in enumerate(ENCODINGS):
+        rows = tokens[narrowest == 1 << i]
+        if not len(rows):
+            continue
+        symbols, size = PLACE_OF[i][rows], len(alphabet)
+
+        groups = max(2, min(size, n // 5))
+        group_of = np.arange(size) * groups // size
+        cells = np.arange(len(rows))[:, None] * groups + group_of[symbols]
+        counts = np.bincount(cells.ravel(), minlength=len(rows) * groups).reshape(-1, groups)
+        expected = n * np.bincount(group_of, minlength=groups) / size
+        p_uniform = _each(lambda x: chi_squared_above(x, groups - 1), ((counts - expected) ** 2 / expected).sum(axis=1))
+
+        high = symbols * 2 >= size
+        ups = high.sum(axis=1)
+        runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+        mean = 1 + 2 * ups * (n - ups) / n
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        p_runs = 2 * _each(above, np.abs(runs - mean) / np.sqrt(np.where(spread > 0, spread, 1)))
+        p_runs = np.where((ups == 0) | (ups == n), 0.0, np.where(spread > 0, p_runs, 1.0))
+
+        off = symbols - symbols.mean(axis=1)[:, None]
+        serial = np.einsum("ij,ij->i", off[:, :-1], off[:, 1:]) / np.einsum("ij,ij->i", off, off)
+        p_serial = 2 * _each(above, np.abs(serial + 1 / n) * math.sqrt(n))
+
+        out.append((name, -2 * sum(np.log(np.maximum(p, 1e-300)) for p in (p_uniform, p_runs, p_serial))))
+    return out
+
+
+def run_together(text: str) -> bytes:
+    """Letters and digits of all words, but for words that may hold a secret."""
+    words = [w for w in text.split() if not ("=" in w or ":" in w or len(w) >= MIN_TOKEN and LONG.search(w))]
+    return "".join(words).encode("ascii", "ignore").translate(None, NOT_TOKEN)
+
+
+def cuts(length: int, turn: int) -> dict[int, list[np.ndarray]]:
+    """Starts by length of the tokens that ``length`` characters are cut into.
+
+    What is too short for the length in turn is a token of its own, or lengthens the last one if
+    it is no token; every character counts unless all are too few for a token.
+    """
+    sizes = [ORDINARY_SIZES[(turn + i) % len(ORDINARY_SIZES)] for i in range(len(ORDINARY_SIZES))]
+    rounds, rest = divmod(length, sum(sizes))
+    starts = {size: [np.arange(rounds) * sum(sizes) + sum(sizes[:i])] for i, size in enumerate(sizes) if rounds}
+    at, last = length - rest, (sizes[-1] if rounds else 0)
+    for size in sizes:
+        if length - at < size:
+            break
+        starts.setdefault(size, []).append(np.array([at]))
+        at, last = at + size, size
+    rest = length - at
+    if rest >= MIN_TOKEN:
+        starts.setdefault(rest, []).append(np.array([at]))
+    elif rest and last:
+        starts[last][-1] = starts[last][-1][:-1]
+        starts.setdefault(last + rest, []).append(np.array([at - last]))
+    return starts
+
+
+def ordinary_sums(texts: Iterable[str]) -> list[tuple[str, int, int, float, float]]:
+    """What the ordinary tokens of texts give: encoding, usual length, number, sum of logarithms and of their squares."""
     sums: dict[tuple[str, int], list[float]] = {}
-    for i, at in enumerate(range(0, len(text), ORDINARY_STEP)):
-        size = ORDINARY_SIZES[(i + len(text)) % len(ORDINARY_SIZES)]
-        joined = NOT_TOKEN.sub("", SECRETS.sub("", text[at : at + ORDINARY_WINDOW]))[:size]
-        tested = battery(joined) if len(joined) == size else None
-        if tested:
-            value = logarithm(tested[1])
-            held = sums.setdefault((tested[0], size), [0, 0.0, 0.0])
-            held[0], held[1], held[2] = held[0] + 1, held[1] + value, held[2] + value * value
-    return [(*key, int(n), s, ss) for key, (n, s, ss) in sums.items()]
+    held: list[bytes] = []
+    starts: dict[int, list[np.ndarray]] = {}
+    filled = 0
+
+    def test() -> None:
+        joined = np.frombuffer(b"".join(held), np.uint8)
+        for length, found in starts.items():
+            every, step = np.concatenate(found), max(1, TESTED_AT_ONCE // length)
+            for i in range(0, len(every), step):
+                for name, statistics in batteries(joined[every[i : i + step, None] + np.arange(length)]):
+                    values = np.log(np.clip(statistics, 1e-3, MOST_STATISTIC))
+                    of = sums.setdefault((name, size_of(length)), [0, 0.0, 0.0])
+                    of[:] = of[0] + len(values), of[1] + values.sum(), of[2] + (values * values).sum()
+
+    for text in texts:
+        joined = run_together(text)
+        for length, found in cuts(len(joined), len(text) % len(ORDINARY_SIZES)).items():
+            starts.setdefault(length, []).extend(x + filled for x in found)
+        held.append(joined)
+        filled += len(joined)
+        if filled >= TESTED_AT_ONCE:
+            test()
+            held, starts, filled = [], {}, 0
+    test()
+    return [(*key, int(n), float(s), float(ss)) for key, (n, s, ss) in sums.items()]
+
+
+def ordinary_tokens(text: str) -> list[tuple[str, int, int, float, float]]:
+    return ordinary_sums([text])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -196,7 +292,8 @@ def _with_spans(df: DataFrame, text: str, name: str, ordinary: str) -> DataFrame
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             spans = _listed([spans_of(t) for t in texts], tuple(SPANS.elementType.names), SPANS_ARROW)
-            usual = _listed([ordinary_tokens(t) for t in texts], tuple(ORDINARY.elementType.names), ORDINARY_ARROW)
+            # What a batch gives stands in its first row.
+            usual = _listed([ordinary_sums(texts), *[()] * (len(texts) - 1)][: len(texts)], tuple(ORDINARY.elementType.names), ORDINARY_ARROW)
             yield pa.RecordBatch.from_arrays([*batch.columns, spans, usual], [*batch.schema.names, name, ordinary])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, SPANS), T.StructField(ordinary, ORDINARY)]))
@@ -264,27 +361,23 @@ def threshold(found: DataFrame, spans: str, null: Null, false_share: float = FAL
     return best
 
 
-def _judged(found: DataFrame, spans: str, ordinary: str, false_share: float) -> DataFrame:
-    """``found`` with base spans and discoveries only in ``spans``, as kind, start, end, encoding."""
+#: What is left of a span once it is judged.
+KEPT = T.ArrayType(T.StructType(SPANS.elementType.fields[:4]))
+KEPT_ARROW = pa.list_(pa.struct(list(SPANS_ARROW.value_type)[:4]))
+
+
+def _judge(found: DataFrame, spans: str, ordinary: str, false_share: float) -> Callable[[Iterable[tuple]], list[tuple]]:
+    """A filter for a text's spans that leaves base spans and discoveries only, as kind, start, end, encoding."""
     null = ordinary_null(found, ordinary)
     least = threshold(found, spans, null, false_share)
-    kept = T.ArrayType(T.StructType(SPANS.elementType.fields[:4]))
-    kept_arrow = pa.list_(pa.struct(list(SPANS_ARROW.value_type)[:4]))
 
-    def judge(batches: Batches) -> Batches:
-        for batch in batches:
-            rows = []
-            for row in batch.column(spans).to_pylist():
-                rows.append([
-                    s for s in row if s["kind"] != "random"
-                    or not s["inside"] and by_chance(s["statistic"]) >= NOT_BY_CHANCE and bin_of(null, s["encoding"], s["end"] - s["start"], s["statistic"]) >= least
-                ])
-            names = [n for n in batch.schema.names if n not in (spans, ordinary)]
-            chosen = pa.array(([{k: s[k] for k in ("kind", "start", "end", "encoding")} for s in r] for r in rows), kept_arrow, size=len(rows))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), chosen], [*names, spans])
+    def kept(row: Iterable[tuple]) -> list[tuple]:
+        return [
+            (kind, start, end, encoding) for kind, start, end, encoding, statistic, inside in row
+            if kind != "random" or not inside and by_chance(statistic) >= NOT_BY_CHANCE and bin_of(null, encoding, end - start, statistic) >= least
+        ]
 
-    fields = [f for f in found.schema.fields if f.name not in (spans, ordinary)]
-    return found.mapInArrow(judge, T.StructType([*fields, T.StructField(spans, kept)]))
+    return kept
 
 
 def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
@@ -294,17 +387,35 @@ def scan(documents: DataFrame, key: str = "doc_id", text: str = "text", false_sh
     """
     chosen = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     found = written(_with_spans(chosen, "text", "spans", "ordinary").select("key", "spans", "ordinary"), "secrets")
-    return _judged(found, "spans", "ordinary", false_share).select(F.col("key").alias(key), "spans")
+    kept = _judge(found, "spans", "ordinary", false_share)
+
+    def judge(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = (kept(s.values() for s in row) for row in batch.column("spans").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _listed([*rows], tuple(KEPT.elementType.names), KEPT_ARROW)], ["key", "spans"])
+
+    fields = [found.schema["key"], T.StructField("spans", KEPT)]
+    return found.select("key", "spans").mapInArrow(judge, T.StructType(fields)).select(F.col("key").alias(key), "spans")
 
 
 def redacted(documents: DataFrame, text: str = "text", mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
-    """``documents`` with each secret in a text replaced by ``mark``, overlapping ones together."""
-    name, ordinary = free_name("spans", documents.columns), free_name("ordinary", documents.columns)
-    # Texts are tested once; the table holds them with their spans.
-    found = _judged(written(_with_spans(documents, text, name, ordinary), "secrets"), name, ordinary, false_share)
+    """``documents`` with each secret in a text replaced by ``mark``, overlapping ones together.
+
+    Texts are searched twice, for the limits and to be cut, rather than written once more; only spans are.
+    """
+    name = free_name("spans", documents.columns)
+    chosen = documents.select(F.col(f"`{text}`").alias("text"))
+    kept = _judge(written(_with_spans(chosen, "text", "spans", "ordinary").select("spans", "ordinary"), "secrets"), "spans", "ordinary", false_share)
+
+    def judge(batches: Batches) -> Batches:
+        for batch in batches:
+            rows = [kept(spans_of(t or "")) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _listed(rows, tuple(KEPT.elementType.names), KEPT_ARROW)], [*batch.schema.names, name])
+
+    found = documents.mapInArrow(judge, T.StructType([*documents.schema.fields, T.StructField(name, KEPT)]))
     whole, spans = F.col(f"`{text}`"), F.col(name)
     # Cuts in order: a span starts a new cut if it lies behind all before it.
-    cuts = F.aggregate(
+    merged = F.aggregate(
         spans, F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["e"] >= s["start"]),
@@ -314,7 +425,7 @@ def redacted(documents: DataFrame, text: str = "text", mark: str = "[SECRET]", f
             ),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("s"), s["end"].alias("e"))))),
     )
-    found = found.withColumn(name, cuts)
+    found = found.withColumn(name, merged)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(name, lambda s: s["e"]))
     ends = F.concat(F.transform(name, lambda s: s["s"]), F.array(F.char_length(whole).cast("long")))
     rest = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(whole, p["a"] + 1, p["b"] - p["a"])), mark)

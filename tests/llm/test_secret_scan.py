@@ -2,6 +2,8 @@ import random
 import re
 import string
 
+import corpus_pipeline
+import numpy as np
 from helpers import awkward, documents, prose
 
 from tallywork.llm import secret_scan
@@ -54,6 +56,44 @@ def test_battery_on_random_and_ordinary_tokens():
     assert secret_scan.battery("1234567890123456789012") is None and secret_scan.battery("a" * 30) is None
 
 
+def test_ordinary_tokens_are_all_words_of_a_text():
+    """Every letter behind the first twenty counts, wherever it stands, and once."""
+    words = prose(31, 400).split()
+    whole = secret_scan.ordinary_tokens(" ".join(words))
+    assert sum(n for _, _, n, _, _ in whole) >= len("".join(words)) // 84
+    for at in range(0, 390, 10):
+        other = [*words[:at], *(w[::-1].replace("a", "q").replace("e", "x") for w in words[at : at + 10]), *words[at + 10 :]]
+        assert secret_scan.ordinary_tokens(" ".join(other)) != whole, at
+    for length in range(700):
+        for turn in range(5):
+            covered = np.zeros(length, int)
+            for size, starts in secret_scan.cuts(length, turn).items():
+                for start in np.concatenate(starts).tolist():
+                    assert 20 <= size < 84 and start + size <= length
+                    covered[start : start + size] += 1
+            assert (covered == (length >= secret_scan.MIN_TOKEN)).all()
+    assert secret_scan.run_together("ä-b c\u2003d9 x=y u: " + "z" * 20 + " e\x00f") == b"bcd9ef"
+
+
+def test_many_batteries_equal_each():
+    for size in (20, 23, 44, 83):
+        alphabets = (string.ascii_lowercase, "abcdef0123456789", string.ascii_letters + string.digits, string.ascii_uppercase + "234567", "ab", "zq7", string.digits)
+        tokens = [t for a in alphabets for t in keys(size, a, size, 40)] + ["a" * size, "a" * (size - 1) + "z"]
+        each = [r for r in map(secret_scan.battery, tokens) if r]
+        many = [(name, x) for name, xs in secret_scan.batteries(np.frombuffer("".join(tokens).encode(), np.uint8).reshape(-1, size)) for x in xs.tolist()]
+        assert len(each) == len(many) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(sorted(each), sorted(many)))
+
+
+def test_sums_of_large_batches_are_those_of_their_texts(monkeypatch):
+    monkeypatch.setattr(secret_scan, "TESTED_AT_ONCE", 500)
+    texts, sums = ["", "short", *(prose(i, 30 + i * 7) for i in range(20))], {}
+    for t in texts:
+        for name, size, *values in secret_scan.ordinary_tokens(t):
+            sums[name, size] = np.add(sums.get((name, size), 0), values)
+    together = {(name, size): values for name, size, *values in secret_scan.ordinary_sums(texts)}
+    assert together.keys() == sums.keys() and all(np.allclose(together[k], sums[k]) for k in sums)
+
+
 def test_threshold_equals_the_plain_step_up_rule(spark):
     """All tokens sorted by p over length: the last that is within its rank's share, and all before it."""
     rng = random.Random(5)
@@ -115,3 +155,26 @@ def test_redaction_keeps_all_else(spark):
     assert sorted(map(repr, cut.where("doc_id is null or doc_id < 50").collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id < 50").collect()))
     assert cut.where("doc_id = 50").first().text == 'ä x [SECRET]" y b [SECRET]'
     assert secret_scan.redacted(documents(spark, [])).count() == secret_scan.scan(documents(spark, [])).count() == 0
+
+
+def test_redaction_cuts_what_the_scan_finds_and_writes_no_texts(spark, monkeypatch):
+    key = keys(13, string.ascii_letters + string.digits, 64, 4)
+    rows = [(i, f"{prose(i, 200)} {key[i % 4] if i < 8 else ''} {CASES[i % len(CASES)]}", "en", "x") for i in range(60)]
+    docs, tables = documents(spark, rows), []
+    monkeypatch.setattr(secret_scan, "written", lambda df, label, write=secret_scan.written: tables.append(write(df, label)) or tables[-1])
+    cut = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert [t.columns for t in tables] == [["spans", "ordinary"]]
+    for r in secret_scan.scan(docs).collect():
+        text, out, at = rows[r.doc_id][1], "", 0
+        for _, start, end, _ in r.spans:
+            out, at = (out if start <= at and out else out + text[at:start] + "[SECRET]"), max(at, end)
+        assert cut[r.doc_id] == out + text[at:]
+
+
+def test_the_pipeline_learns_from_every_word(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_scan, "ordinary_null", lambda found, ordinary, learn=secret_scan.ordinary_null: seen.append(found) or learn(found, ordinary))
+    rows = [(i, prose(i, 300), "en", "x") for i in range(20)]
+    corpus_pipeline.secrets(spark, documents(spark, rows), "").count()
+    letters = sum(len(re.sub("[^a-z]", "", r[1])) for r in rows)
+    assert sum(n for r in seen[0].collect() for _, _, n, *_ in r.ordinary) >= letters // 84
