@@ -24,7 +24,7 @@ from tallywork.streaming.runs import run_available, split_late, stream_files
 EPOCH = 1_700_000_000
 DELAY = "130 seconds"
 # These streams are small; a large one keeps the session's number of shuffle partitions.
-PARTITIONS = 4
+PARTITIONS = 8
 
 # Some come a wave late, which is within the delay, and some too late.
 WAVE = """CASE WHEN generation_id % 40 = 7 AND arrival < 100 THEN 2 WHEN generation_id % 20 = 3 THEN least(floor(arrival / 120) + 1, 2)

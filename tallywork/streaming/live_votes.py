@@ -1,15 +1,18 @@
 """Votes and early stop on a stream of answers.
 
-Each flow is one query of three stateful operators in a chain: counts per (question, value), which
-spread a large question over its values; a thinning per part of a question, which passes on only
-what can matter; and a small state per question. States are typed, and event-time timers end
-them: a question's states go when it closes (``until``). Without a closing time they stay, and rows
-may come in any order and as late as they like.
+Each flow is one query of two stateful operators in a chain: counts per (question, value), thinned
+to what can matter, and a small state per question. A large question is spread over the parts
+its values fall in. The operators' keys are buckets of many questions, so that a micro-batch calls Python
+once per bucket and not per key, and what a bucket knows is a table in its state. Event-time timers
+end what is known of a question when it closes (``until``). Without a closing time it stays, and
+rows may come in any order and as late as they like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -22,7 +25,7 @@ from tallywork.operators.joins import join_on
 from tallywork.operators.votes import (
     ENOUGH_MATH, FULL_COUNT, POLL_SECONDS, agreement, last_poll, poll_tick,
 )
-from tallywork.streaming.runs import key_of, milliseconds, never_missing
+from tallywork.streaming.runs import HeldTable, bucket_of, key_of, milliseconds, never_missing
 
 
 def poll_counts(answers: DataFrame, delay: str, ts: str = "ts", poll: int = POLL_SECONDS) -> DataFrame:
@@ -57,13 +60,14 @@ def _raised(top: list[tuple[int, int]], value: int, frequency: int) -> list[tupl
 #: ``question`` and, in _ROWS, ``value`` are texts that are never missing.
 #: ``ts_ms`` is a time in milliseconds not before ``ts``, for timers; ``until_ms`` lies behind the last of these.
 _ROWS = "question string, value string, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, ts timestamp, ts_ms bigint"
-_COUNTS = (
-    "question string, value string, part bigint, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, "
-    "all_now bigint, math_now bigint, ts timestamp"
-)
+_COUNTS = "question string, value string, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, all_now bigint, math_now bigint, ts timestamp"
 _NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
-#: Parts of a question that are thinned each for itself.
+#: Parts that a question's values fall in; a part is counted and thinned for itself.
 PARTS = 64
+#: No more rows than this of a question and poll are passed on as they are.
+FEW = 7
+#: The close of a question that has none.
+NEVER = 1 << 62
 
 
 def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,9 +78,10 @@ def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Counting(StatefulProcessor):
-    """Running counts of a question's value, as rows come or, by polls, once a poll is complete.
+    """Running counts of each question's values, as rows come or, by polls, once a poll is complete.
 
-    A poll's counts wait in a map until the watermark has passed its end.
+    A poll's counts wait until the watermark has passed its end. A bucket holds a table of counts
+    and one of what waits, and one timer for the first time at which something is due.
     """
 
     def __init__(self, by_polls: bool, closes: bool):
@@ -84,98 +89,91 @@ class _Counting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n bigint, n_math bigint, until_ms bigint")
-        self.waiting = handle.getMapState("waiting", "tick bigint", "last bigint, until_ms bigint, n bigint, n_math bigint, ts_ms bigint")
-
-    def _counted(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        """Counts after each of ``rows`` (tick, last, until_ms, n, n_math, ts_ms)."""
-        question, value = key[0], key[1][1:] or None
-        seen, seen_math, until = self.seen.get() if self.seen.exists() else (0, 0, None)
-        out, part = [], 0 if value is None else sum(value.encode()) % PARTS
-        for tick, last, until, n, n_math, at in rows:
-            seen, seen_math = seen + n, seen_math + n_math
-            out.append((question, value, part, tick, last, until, n, n_math, seen, seen_math, at))
-        self.seen.update((seen, seen_math, until))
-        counted = pd.DataFrame(out, columns=_NAMES)
+        self.seen = HeldTable(handle, "seen", "question string, value string, n bigint, n_math bigint, until_ms bigint")
+        self.waiting = HeldTable(handle, "waiting", "question string, value string, tick bigint, last bigint, until_ms bigint, n bigint, n_math bigint, ts_ms bigint")
+
+    def _counted(self, rows: pd.DataFrame, now: int | None = None) -> pd.DataFrame:
+        """Counts after each of ``rows``; counts of questions closed by ``now`` go."""
+        seen = self.seen.get()
+        each = ["question", "value"]
+        every = pd.concat([seen.assign(tick=-2), rows], ignore_index=True).sort_values([*each, "tick"], kind="stable")
+        every[["all_now", "math_now"]] = every.groupby(each, sort=False)[["n", "n_math"]].cumsum()
+        newest = every.drop_duplicates(each, keep="last")
+        if now is not None:
+            newest = newest[newest["until_ms"] > now]
+        self.seen.put(newest.assign(n=newest["all_now"], n_math=newest["math_now"]))
+        counted = every[every["tick"] > -2]
         # With its zone, so that it is the same time in any session.
-        return counted.assign(ts=pd.to_datetime(counted["ts"], unit="ms", utc=True))
+        counted = counted.assign(ts=pd.to_datetime(counted["ts_ms"].astype("int64"), unit="ms", utc=True), value=counted["value"].str[1:].where(counted["value"] != "", None))
+        numbers = ["tick", "last", "until_ms", "n", "n_math", "all_now", "math_now"]
+        return thinned(counted[_NAMES].astype(dict.fromkeys(numbers, "int64")).reset_index(drop=True))
+
+    def _wait(self, waiting: pd.DataFrame) -> None:
+        """A timer for what is due first."""
+        due = [t["until_ms" if i else "ts_ms"].min() for i, t in enumerate((waiting, self.seen.get())) if len(t)]
+        if due and min(due) < NEVER:
+            self.handle.registerTimer(int(min(due)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, tuple] = {}
-        for batch in rows:
-            for tick, last, until, n, n_math, at in zip(*(batch[c].tolist() for c in ("tick", "last", "until_ms", "n", "n_math", "ts_ms"))):
-                until = None if pd.isna(until) else int(until)
-                _, _, n_0, math_0, at_0 = fresh.get(tick, (last, until, 0, 0, at))
-                fresh[tick] = (last, until, n_0 + n, math_0 + n_math, max(at, at_0))
-        if not self.by_polls:
-            yield self._counted(key, [(tick, *row) for tick, row in sorted(fresh.items())])
-            if self.closes:
-                self.handle.registerTimer(max(row[1] for row in fresh.values()))
+        merged = [*rows, *([self.waiting.get()] if self.by_polls else [])]
+        fresh = pd.concat([m[self.waiting.columns] for m in merged if len(m)], ignore_index=True).groupby(["question", "value", "tick"], as_index=False)
+        fresh = fresh.agg({"last": "max", "until_ms": "max", "n": "sum", "n_math": "sum", "ts_ms": "max"})
+        if self.by_polls:
+            self.waiting.put(fresh)
+            self.handle.registerTimer(int(fresh["ts_ms"].min()))
             return
-        for tick, row in fresh.items():
-            if self.waiting.containsKey((tick,)):
-                _, _, n, n_math, _ = self.waiting.getValue((tick,))
-                row = (*row[:2], row[2] + n, row[3] + n_math, row[4])
-            self.waiting.updateValue((tick,), row)
-            self.handle.registerTimer(row[4])
+        yield self._counted(fresh)
+        if self.closes:
+            self._wait(fresh[:0])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.by_polls else {}
-        complete = sorted((tick, *row) for tick, row in held.items() if row[4] <= now)
-        for tick, *_ in complete:
-            self.waiting.removeKey((tick,))
-        if complete:
-            yield self._counted(key, complete)
-        until = self.seen.get()[2] if self.seen.exists() else None
-        if len(complete) == len(held) and until is not None:
-            if until <= now:
-                self.seen.clear()
-            else:
-                self.handle.registerTimer(until)
+        held = self.waiting.get()
+        complete = held["ts_ms"] <= now
+        counted, rest = self._counted(held[complete], now), held[~complete]
+        self.waiting.put(rest)
+        self._wait(rest)
+        if len(counted):
+            yield counted
 
     def close(self) -> None:
         pass
 
 
-class _Thinning(StatefulProcessor):
-    """Keeps nothing; passes on what can matter of a part of a question."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        pass
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for kept in _thinned(rows):
-            yield kept[_NAMES]
-
-    def close(self) -> None:
-        pass
-
-
-def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def thinned(batch: pd.DataFrame) -> pd.DataFrame:
     """Per question and poll only the rows that can matter, the others summed into one.
 
     The three highest and the leader of a question are among the three highest and the
     leaders of its parts.
     """
     group = ["question", "tick"]
-    for batch in batches:
-        zero = batch["value"] == "0"
-        marked = batch.assign(
-            number=batch["value"].map(int, na_action="ignore").astype(object),
-            f_all=batch["all_now"].where(~zero, (batch["all_now"] + 1) // 2),
-            f_math=batch["math_now"].where(~zero, (batch["math_now"] + 1) // 2),
-            weight=(2 * batch["all_now"]).where(~zero, batch["all_now"]),
-        )[batch["value"].notna()]
-        kept = set()
-        for order, count in (("f_all", 3), ("f_math", 3), ("weight", 1)):
-            kept.update(marked.sort_values([order, "number"]).groupby(group, dropna=False).tail(count).index)
-        chosen = batch.index.isin(kept)
-        totals = {"part": "max", "last": "max", "until_ms": "max", "n": "sum", "n_math": "sum", "ts": "max"}
-        rest = batch[~chosen].groupby(group, as_index=False, dropna=False).agg(totals)
-        if len(rest):
-            yield rest.assign(value=None, all_now=0, math_now=0)
-        yield batch[chosen]
+    many = batch.groupby(group)["n"].transform("size") > FEW
+    if not many.any():
+        return batch
+    few, batch = batch[~many], batch[many]
+    zero = batch["value"] == "0"
+    marked = batch.assign(
+        number=batch["value"].map(int, na_action="ignore").astype(object),
+        f_all=batch["all_now"].where(~zero, (batch["all_now"] + 1) // 2),
+        f_math=batch["math_now"].where(~zero, (batch["math_now"] + 1) // 2),
+        weight=(2 * batch["all_now"]).where(~zero, batch["all_now"]),
+    )[batch["value"].notna()]
+    kept = set()
+    for order, count in (("f_all", 3), ("f_math", 3), ("weight", 1)):
+        kept.update(marked.sort_values([order, "number"]).groupby(group).tail(count).index)
+    chosen = batch.index.isin(kept)
+    totals = {"last": "max", "until_ms": "max", "n": "sum", "n_math": "sum", "ts": "max"}
+    rest = batch[~chosen].groupby(group, as_index=False).agg(totals).assign(value=None, all_now=0, math_now=0)
+    return pd.concat([part for part in (few, batch[chosen], rest[_NAMES]) if len(part)], ignore_index=True)
+
+
+def _polled(rows: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[str, Iterator[tuple]]]:
+    """Questions with their rows' ``names`` by poll; a missing value is None."""
+    every = pd.concat([*rows], ignore_index=True).sort_values(["question", "tick"], kind="stable")
+    values = every["value"].astype(object).where(every["value"].notna(), None)
+    columns = (every.assign(value=values)[c].tolist() for c in ("question", *names))
+    for question, of in groupby(zip(*columns), itemgetter(0)):
+        yield question, (row[1:] for row in of)
 
 
 class _Voting(StatefulProcessor):
@@ -188,28 +186,33 @@ class _Voting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.vote = handle.getValueState("vote", "votes bigint, frequency array<bigint>, value array<string>, weight bigint, leader string")
+        self.held = HeldTable(handle, "votes", "question string, until_ms bigint, votes bigint, frequency array<bigint>, value array<string>, weight bigint, leader string")
+
+    def _keep(self, votes: dict[str, tuple]) -> None:
+        self.held.put_rows(votes.values())
+        if self.closes and votes:
+            self.handle.registerTimer(min(v[1] for v in votes.values()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        votes, frequencies, values, weight, leader = self.vote.get() if self.vote.exists() else (0, [], [], -1, "0")
-        top, best, until = list(zip(frequencies, map(int, values))), (weight, int(leader)), None
-        for batch in rows:
-            until = batch["until_ms"].max()
-            for value, added, now in zip(batch["value"].tolist(), batch["n"].tolist(), batch["all_now"].tolist()):
+        held, out = {v[0]: v for v in self.held.rows()}, []
+        for question, of in _polled(rows, ["until_ms", "value", "n", "all_now"]):
+            _, until, votes, frequencies, values, weight, leader = held.get(question, (question, 0, 0, [], [], -1, "0"))
+            top, best = list(zip(frequencies, map(int, values))), (weight, int(leader))
+            for until, value, added, now in of:
                 votes += added
-                if value is None or pd.isna(value):
+                if value is None:
                     continue
                 value = int(value)
                 top = _raised(top, value, _frequency(value, now))
                 best = max(best, (_weight(value, now), value))
-        self.vote.update((votes, [f for f, _ in top], [str(v) for _, v in top], best[0], str(best[1])))
-        if self.closes:
-            self.handle.registerTimer(int(until))
-        highest, second, third = ([f for f, _ in top] + [0, 0, 0])[:3]
-        yield pd.DataFrame({"question": [key[0]], "votes": [votes], "highest": [highest], "second": [second], "third": [third], "leader": [str(best[1])]})
+            held[question] = (question, until, votes, [f for f, _ in top], [str(v) for _, v in top], best[0], str(best[1]))
+            out.append((question, votes, *([f for f, _ in top] + [0, 0, 0])[:3], str(best[1])))
+        self._keep(held)
+        yield pd.DataFrame(out, columns=["question", "votes", "highest", "second", "third", "leader"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.vote.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep({v[0]: v for v in self.held.rows() if v[1] > now})
         yield from ()
 
     def close(self) -> None:
@@ -230,67 +233,72 @@ class _Stopping(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "votes bigint, math_votes bigint, decided boolean, last bigint")
-        self.best = handle.getValueState("best", "weight bigint, leader string")
-        self.top = {s: handle.getValueState(f"top_{s}", "frequency array<bigint>, value array<string>") for s in ("all", "math")}
+        scopes = ", ".join(f"frequency_{s} array<bigint>, value_{s} array<string>" for s in ("all", "math"))
+        self.held = HeldTable(
+            handle, "questions", f"question string, until_ms bigint, votes bigint, math_votes bigint, decided boolean, last bigint, weight bigint, leader string, {scopes}"
+        )
 
-    def _row(self, key: tuple, tick: int, reason: str, best: tuple[int, int]) -> pd.DataFrame:
-        answer = best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER
-        return pd.DataFrame({"question": [key[0]], "tick": [tick], "reason": [reason], "answer": [answer]})
+    def _row(self, question: str, tick: int, reason: str, best: tuple[int, int]) -> tuple:
+        return question, tick, reason, best[1] % MODULUS if best[0] >= 0 else DEFAULT_ANSWER
 
-    def _leader(self) -> tuple[int, int]:
-        weight, leader = self.best.get() if self.best.exists() else (-1, "0")
-        return weight, int(leader)
+    def _keep(self, questions: dict[str, tuple]) -> None:
+        self.held.put_rows(questions.values())
+        if questions:
+            self.handle.registerTimer(min(q[1] for q in questions.values()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        polls = pd.concat([*rows])
-        votes, math_votes, decided, last = self.totals.get() if self.totals.exists() else (0, 0, False, int(polls["last"].iloc[0]))
-        if decided:
-            return
-        top = {s: list(zip(*(held[0], map(int, held[1])))) if (held := state.get() if state.exists() else None) else [] for s, state in self.top.items()}
-        best, found = self._leader(), None
-        for tick, part in polls.groupby("tick", sort=True):
-            votes, math_votes = votes + int(part["n"].sum()), math_votes + int(part["n_math"].sum())
-            valid = part[part["value"].notna()]
-            for value, all_now, math_now in zip(map(int, valid["value"]), valid["all_now"].tolist(), valid["math_now"].tolist()):
-                top["all"] = _raised(top["all"], value, _frequency(value, all_now))
-                top["math"] = _raised(top["math"], value, _frequency(value, math_now)) if math_now else top["math"]
-                best = max(best, (_weight(value, all_now), value))
-            agree = {s: agreement(*([f for f, _ in t] + [0, 0, 0])[:3]) for s, t in top.items()}
-            reason = (
-                "math_agrees" if agree["math"] else "all_agree" if agree["all"] else "all_in" if votes == self.full_count
-                else "enough_math" if math_votes >= self.enough_math else "deadline" if tick >= last else None
-            )
-            if reason:
-                found = (int(tick), reason)
-                break
-        self.totals.update((votes, math_votes, bool(found), last))
-        self.best.update((best[0], str(best[1])))
-        for scope, state in self.top.items():
-            state.update(([f for f, _ in top[scope]], [str(v) for _, v in top[scope]]))
-        self.handle.registerTimer(int(polls["until_ms"].iloc[0]))
-        if found:
-            yield self._row(key, *found, best)
+        held, out = {q[0]: q for q in self.held.rows()}, []
+        for question, polls in _polled(rows, ["tick", "last", "until_ms", "value", "n", "n_math", "all_now", "math_now"]):
+            known, found = held.get(question), None
+            if known and known[4]:
+                continue
+            _, until, votes, math_votes, _, last, weight, leader, *tops = known or (question, None, 0, 0, False, None, -1, "0", [], [], [], [])
+            top = {"all": list(zip(tops[0], map(int, tops[1]))), "math": list(zip(tops[2], map(int, tops[3])))}
+            best = (weight, int(leader))
+            for tick, part in groupby(polls, itemgetter(0)):
+                for _, latest, until, value, n, n_math, all_now, math_now in part:
+                    last = latest if last is None else last
+                    votes, math_votes = votes + n, math_votes + n_math
+                    if value is None:
+                        continue
+                    value = int(value)
+                    top["all"] = _raised(top["all"], value, _frequency(value, all_now))
+                    top["math"] = _raised(top["math"], value, _frequency(value, math_now)) if math_now else top["math"]
+                    best = max(best, (_weight(value, all_now), value))
+                agree = {s: agreement(*([f for f, _ in t] + [0, 0, 0])[:3]) for s, t in top.items()}
+                reason = (
+                    "math_agrees" if agree["math"] else "all_agree" if agree["all"] else "all_in" if votes == self.full_count
+                    else "enough_math" if math_votes >= self.enough_math else "deadline" if tick >= last else None
+                )
+                if reason:
+                    found = True
+                    out.append(self._row(question, tick, reason, best))
+                    break
+            listed = [x for t in top.values() for x in ([f for f, _ in t], [str(v) for _, v in t])]
+            held[question] = (question, until, votes, math_votes, bool(found), last, best[0], str(best[1]), *listed)
+        self._keep(held)
+        if out:
+            yield pd.DataFrame(out, columns=["question", "tick", "reason", "answer"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.totals.exists():
-            _, _, decided, last = self.totals.get()
-            if not decided:
-                yield self._row(key, last, "deadline", self._leader())
-        for state in (self.totals, self.best, *self.top.values()):
-            state.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = self.held.rows()
+        out = [self._row(q[0], q[5], "deadline", (q[6], int(q[7]))) for q in held if q[1] <= now and not q[4]]
+        self._keep({q[0]: q for q in held if q[1] > now})
+        if out:
+            yield pd.DataFrame(out, columns=["question", "tick", "reason", "answer"])
 
     def close(self) -> None:
         pass
 
 
 def _chained(rows: DataFrame, first: StatefulProcessor, last: StatefulProcessor, timed: bool) -> DataFrame:
-    """The three operators of a flow behind one another, in one query."""
+    """The two operators of a flow behind one another, in one query."""
     mode = "EventTime" if timed else "None"
     time = {"eventTimeColumnName": "ts"} if timed else {}
-    counts = rows.groupBy("question", "value").transformWithStateInPandas(first, _COUNTS, "Append", mode, **time)
-    thin = counts.groupBy("question", "part").transformWithStateInPandas(_Thinning(), _COUNTS, "Append", mode, **time)
-    found = thin.groupBy("question").transformWithStateInPandas(last, last.OUT, "Append", mode)
+    dealt = rows.withColumn("bucket", bucket_of("question", F.pmod(F.xxhash64("value"), F.lit(PARTS))))
+    counts = dealt.groupBy("bucket").transformWithStateInPandas(first, _COUNTS, "Append", mode, **time)
+    found = counts.withColumn("bucket", bucket_of("question")).groupBy("bucket").transformWithStateInPandas(last, last.OUT, "Append", mode)
     return found.select(key_of("question", "bigint").alias("question_id"), *[c for c in found.columns if c != "question"])
 
 
@@ -320,7 +328,7 @@ def live_votes(answers: DataFrame, ts: str = "ts", until: str | None = None, del
     closes = (F.col(until) if until else F.lit(None)).cast("timestamp")
     valid = answers.select(
         never_missing("question_id").alias("question"), never_missing(answer_value("answer")).alias("value"), F.lit(0).cast("bigint").alias("tick"), F.lit(0).cast("bigint").alias("last"),
-        (F.unix_millis(closes) + 2).alias("until_ms"), F.lit(1).cast("bigint").alias("n"),
+        F.coalesce(F.unix_millis(closes) + 2, F.lit(NEVER)).alias("until_ms"), F.lit(1).cast("bigint").alias("n"),
         F.coalesce(F.col("method") == "math", F.lit(False)).cast("bigint").alias("n_math"), F.col(ts).alias("ts"), (F.unix_millis(ts) + 1).alias("ts_ms"),
         *([closes.alias("closes")] if until else []),
     ).where("value <> ''")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
 from tallywork.session import run_folder
@@ -45,6 +47,54 @@ def key_of(text: Column | str, kind: str) -> Column:
     return F.when(text != "", F.substring(text, 2, 1 << 30).cast(kind))
 
 
+#: Keys of the stateful operators in Python: each holds many keys of the data, as a call per key takes its time.
+#: A stream keeps this number for good.
+BUCKETS = 64
+
+
+def bucket_of(*keys: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+class HeldTable:
+    """A table that a bucket keeps in its state, with the columns of ``schema``."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        self.state = handle.getValueState(name, "rows binary")
+        fields = [f.split(" ", 1) for f in schema.split(", ")]
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+        kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+        self.schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
+        self.columns = self.schema.names
+
+    def _table(self) -> pa.Table:
+        if not self.state.exists():
+            return self.schema.empty_table()
+        return pa.ipc.open_stream(bytes(self.state.get()[0])).read_all()
+
+    def _keep(self, table: pa.Table) -> None:
+        if not len(table):
+            self.state.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as writer:
+            writer.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(),))
+
+    def get(self) -> pd.DataFrame:
+        return self._table().to_pandas()
+
+    def put(self, rows: pd.DataFrame) -> None:
+        self._keep(pa.Table.from_pandas(rows[self.columns], self.schema, preserve_index=False))
+
+    def rows(self) -> list[tuple]:
+        return list(zip(*(c.to_pylist() for c in self._table().columns)))
+
+    def put_rows(self, rows: Iterable[tuple]) -> None:
+        columns = list(zip(*rows)) or [()] * len(self.columns)
+        self._keep(pa.table([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
+
+
 # Typed states and timers need this store of the two that come with Spark.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

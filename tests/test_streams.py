@@ -12,7 +12,7 @@ from tallywork.plans.inputs import read_input
 from tallywork.plans.log_queries import cut_pieces
 from tallywork.session import run_folder
 from tallywork.streaming import generations, live_votes
-from tallywork.streaming.runs import run_available, split_late, stream_files
+from tallywork.streaming.runs import BUCKETS, run_available, split_late, state_settings, stream_files
 
 SF = "/root/testdata/sf0.001"
 EPOCH = 1_700_000_000
@@ -239,3 +239,22 @@ def test_first_filled_block_ends_a_request(spark):
         row = done.first()
         end = text.index("x = 1") + 9
         assert (row.reason, row.chunks, row.text) == ("code_block", -(-end // size), text[: -(-end // size) * size])
+
+
+def test_python_is_called_per_bucket_and_not_per_key(spark):
+    """States are as many as buckets, however many questions and values there are."""
+    rows = spark.range(900).selectExpr("id AS question_id", "'math' AS method", "string(id % 700) AS answer", "id % 50 AS arrival")
+    timed = rows.withColumns({"started": F.timestamp_seconds(F.lit(EPOCH)), "ts": F.timestamp_seconds(F.col("arrival") + EPOCH)})
+    folder = run_folder(spark, "buckets")
+    timed.coalesce(1).write.parquet(folder)
+    questions = rows.select("question_id", F.lit(100).alias("deadline"))
+    flows = {
+        "votes": lambda stream: live_votes.live_votes(stream), "stops": lambda stream: live_votes.early_stop(stream, questions, "1 second"),
+        "throttle": lambda stream: generations.throttle(stream, "question_id", "arrival", "1 second"),
+    }
+    for name, flow in flows.items():
+        with state_settings(spark, 2):
+            query = flow(stream_files(spark, folder)).writeStream.format("noop").option("checkpointLocation", run_folder(spark, name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        operators = query.recentProgress[0]["stateOperators"]
+        assert 0 < max(o["numRowsUpdated"] for o in operators) <= 2 * BUCKETS, name
