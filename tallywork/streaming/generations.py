@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywork.functions.text import CODE_BLOCK_SO_FAR, FILLED_BOX, PYTHON_FENCE, answer_outside_sections, last_boxed
-from tallywork.streaming.runs import expire_after, key_of, milliseconds, never_missing
+from tallywork.streaming.runs import HeldTable, bucket_of, expire_after, key_of, milliseconds, never_missing
 
 REQUEST = ["generation_id", "request_counter", "method"]
 _STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean, scan bigint"
@@ -99,14 +99,14 @@ def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts
     return finished.withColumn("answer", answer)
 
 
-KEY = "__key"
+KEY = "key__"
 
 
 class _InOrder(StatefulProcessor):
-    """A key's checks wait until the watermark has passed them and are judged in their order.
+    """Checks wait until the watermark has passed them and are judged in their order, each key for itself.
 
-    What waits is a list; a timer for its first time releases all that are due by then, and one
-    behind the last kept check ends the key's state once it is idle.
+    A bucket of keys holds a table of what waits and one of each key's last kept check, and a timer for
+    the first time at which something is due: a check, or the end of a key that has been idle.
     """
 
     def __init__(self, time: str, kind: str, gap: float, idle_ms: int):
@@ -114,40 +114,39 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ms bigint, time {self.kind}")
-        self.kept = handle.getValueState("kept", f"ms bigint, time {self.kind}")
+        self.waiting = HeldTable(handle, "waiting", f"{KEY} string, ms bigint, time {self.kind}")
+        self.kept = HeldTable(handle, "kept", f"{KEY} string, ms bigint, time {self.kind}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = sorted({pair for batch in rows for pair in zip(batch["ms"].tolist(), batch[self.time].tolist())})
-        self.waiting.appendList(fresh)
-        self.handle.registerTimer(fresh[0][0])
+        fresh = pd.concat([*rows], ignore_index=True).rename(columns={self.time: "time"})[self.waiting.columns]
+        held = self.waiting.get()
+        self.waiting.put((pd.concat([held, fresh], ignore_index=True) if len(held) else fresh).drop_duplicates())
+        self.handle.registerTimer(int(fresh["ms"].min()))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(pair) for pair in self.waiting.get()] if self.waiting.exists() else []
-        due, later = sorted({t for ms, t in held if ms <= now}), sorted({pair for pair in held if pair[0] > now})
-        newest = max((ms for ms, _ in held if ms <= now), default=None)
-        _, last = self.kept.get() if self.kept.exists() else (None, None)
-        released = []
-        for t in due:
+        held = self.waiting.get()
+        passed = held["ms"] <= now
+        due, later = held[passed].sort_values([KEY, "time"]), held[~passed]
+        kept, released = {k: (ms, last) for k, ms, last in self.kept.rows()}, []
+        for owner, ms, t in zip(due[KEY].tolist(), due["ms"].tolist(), due["time"].tolist()):
+            newest, last = kept.get(owner, (ms, None))
             if last is None or t >= last + self.gap:
-                released.append(t)
+                released.append((owner, t))
                 last = t
-        if due:
-            self.kept.update((newest, last))
-        if later:
+            kept[owner] = (max(newest, ms), last)
+        busy = set(later[KEY])
+        kept = {k: v for k, v in kept.items() if k in busy or v[0] + self.idle_ms > now}
+        if passed.any():
             self.waiting.put(later)
-            self.handle.registerTimer(later[0][0])
-        else:
-            self.waiting.clear()
-            idle_from = self.kept.get()[0] + self.idle_ms if self.kept.exists() else None
-            if idle_from is not None and idle_from <= now:
-                self.kept.clear()
-            elif idle_from is not None:
-                self.handle.registerTimer(idle_from)
+        self.kept.put_rows([(k, *v) for k, v in kept.items()])
+        ends = [int(later["ms"].min())] if len(later) else []
+        ends += [ms + self.idle_ms for k, (ms, _) in kept.items() if k not in busy]
+        if ends:
+            self.handle.registerTimer(min(ends))
         if released:
-            yield pd.DataFrame({KEY: [key[0]] * len(released), self.time: released})
+            yield pd.DataFrame(released, columns=[KEY, self.time])
 
     def close(self) -> None:
         pass
@@ -177,5 +176,6 @@ def throttle(
     # The condition names the event time, as another would be tested before the watermark sees the row.
     marked = merged.withWatermark(ts, f"{milliseconds(delay) + 2} milliseconds").where(F.col(time).isNotNull() | F.col(ts).isNull())
     judge = _InOrder(time, names[time], gap, milliseconds(idle))
-    kept = marked.groupBy(KEY).transformWithStateInPandas(judge, f"{KEY} string, {time} {names[time]}", "Append", "EventTime")
+    dealt = marked.withColumn("bucket", bucket_of(KEY))
+    kept = dealt.groupBy("bucket").transformWithStateInPandas(judge, f"{KEY} string, {time} {names[time]}", "Append", "EventTime")
     return kept.select(key_of(KEY, names[key]).alias(key), time)
