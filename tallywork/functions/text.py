@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: markers, patterns and labels of the text format -------------------
-PYTHON_FENCE = "```python"
+FENCE, PYTHON_FENCE = "```", "```python"
 OPEN_CODE = "```python\n"
 END_OF_THOUGHT = "</think>"
 # (?d): only \n ends a line, so the dot also matches \r and U+2028.
@@ -20,8 +20,7 @@ OUTPUT_SECTION = r"(?s)```output(.*?)```"
 THOUGHTS_SECTION = r"(?s)<thoughts>(.*?)</thoughts>"
 ANY_SECTION = r"(?s)(```python.*?```|```output.*?```)"
 CODE_BLOCK = r"(?sU)```python[\s\x1C-\x1F]*(.*?)[\s\x1C-\x1F]*```"
-# The same as Python spells it, and a box that is filled, for texts that are still growing.
-CODE_BLOCK_SO_FAR = r"```python\s*(.*?)\s*```"
+# A box that is filled, for texts that are still growing.
 FILLED_BOX = r"oxed\{([^}\n]+)\}"
 CODE_LABEL = "[CODE REDACTED]"
 OUTPUT_LABEL = "[OUTPUT REDACTED]"

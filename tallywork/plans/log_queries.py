@@ -30,12 +30,14 @@ CHUNKS = f"""chunks AS (SELECT generation_id, request_counter, method, chunk_idx
 
 
 def cut_pieces(turns):
-    """Texts as a stream of chunks, the last one marked; an empty text is one empty chunk."""
-    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / PIECE)
-    start = (F.col("chunk_idx") * PIECE + 1).cast("int")
-    return turns.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_idx")).select(
-        "generation_id", "request_counter", "method", "chunk_idx",
-        F.substr("text", start, F.lit(PIECE)).alias("chunk"), (F.col("chunk_idx") == last).alias("is_last"),
+    """Texts as a stream of chunks, the last one marked; an empty text is one empty chunk.
+
+    A text is cut in one go, as a substring is counted out from the text's first character.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = turns.select("generation_id", "request_counter", "method", F.when(F.length("text") > 0, pieces).otherwise(F.array("text")).alias("pieces"))
+    return cut.select("generation_id", "request_counter", "method", F.size("pieces").alias("n"), F.posexplode("pieces").alias("at", "chunk")).select(
+        "generation_id", "request_counter", "method", F.col("at").cast("bigint").alias("chunk_idx"), "chunk", (F.col("at") + 1 == F.col("n")).alias("is_last"),
     )
 
 

@@ -6,23 +6,156 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallywork.functions.text import CODE_BLOCK_SO_FAR, FILLED_BOX, PYTHON_FENCE, answer_outside_sections, last_boxed
-from tallywork.streaming.runs import HeldTable, bucket_of, expire_after, key_of, milliseconds, never_missing
+from tallywork.functions.text import FENCE, FILLED_BOX, PYTHON_FENCE, answer_outside_sections, last_boxed
+from tallywork.streaming.runs import HeldTable, bucket_of, key_of, milliseconds, never_missing
 
-REQUEST = ["generation_id", "request_counter", "method"]
-_STATE = "buffer string, next_idx bigint, idx array<bigint>, chunk array<string>, is_last array<boolean>, done boolean, scan bigint"
-_OUT = "generation_id bigint, request_counter bigint, method string, text string, chunks bigint, reason string, missing bigint"
-_BLOCK = re.compile(CODE_BLOCK_SO_FAR, re.DOTALL)
+KEY = "key__"
+REQUEST = {"generation_id": "bigint", "request_counter": "bigint", "method": "string"}
 _BOX = re.compile(FILLED_BOX)
+#: Buckets of requests; more than of the other streams, as open texts are kept in them.
+TEXT_BUCKETS = 256
+#: Chunks that are put together at a time.
+CHUNKS_AT_ONCE = 1 << 18
+
+
+def ended(math: bool, text: str, known: int, scan: int) -> tuple[int, int]:
+    """Where the first filled box or block ends, or -1, and where a next search begins.
+
+    Nothing ends within the first ``known`` characters. An end is the same in any longer text.
+    """
+    if math:
+        # A box does not span lines: look from the start of the line that the new text began in.
+        box = _BOX.search(text, text.rfind("\n", 0, known) + 1) if "}" in text[known:] else None
+        return (box.end() if box else -1), scan
+    while (opened := text.find(PYTHON_FENCE, scan)) >= 0:
+        # An open block is searched from its fence again.
+        scan, inside = opened, opened + len(PYTHON_FENCE)
+        if (closed := text.find(FENCE, inside)) < 0:
+            return -1, scan
+        scan = closed + len(FENCE)
+        if text[inside:closed].strip():
+            return scan, scan
+    # A fence may be coming in.
+    return -1, max(scan, len(text) - len(PYTHON_FENCE))
+
+
+class _Assembling(StatefulProcessor):
+    """Requests put together as their chunks come.
+
+    A bucket of requests holds a table of these, with the text so far, and one of the chunks behind a
+    gap, and a timer for the first time at which a request has been idle. A request that is written
+    stays as a mark without a text.
+    """
+
+    OUT = f"{KEY} string, text string, chunks bigint, reason string, missing bigint"
+    #: No chunk follows in a request that is written.
+    NONE = 1 << 62
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = HeldTable(handle, "requests", f"{KEY} string, text string, following bigint, scan bigint, done boolean, until_ms bigint")
+        self.behind = HeldTable(handle, "behind", f"{KEY} string, chunk_idx bigint, chunk string, is_last boolean")
+
+    def _keep(self, requests: dict[str, tuple]) -> None:
+        self.requests.put_rows((key, *known) for key, known in requests.items())
+        if requests:
+            self.handle.registerTimer(min(known[-1] for known in requests.values()))
+
+    def _written(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[KEY, "text", "chunks", "reason", "missing"]).astype({"missing": "Int64"})
 
+    def _advanced(self, requests: dict[str, tuple], behind: pd.DataFrame, fresh: pd.DataFrame, now: int) -> tuple[pd.DataFrame, list[tuple]]:
+        """Add ``fresh`` chunks to ``requests``; those still behind a gap, and the finished requests."""
+        every = pd.concat([part[self.behind.columns] for part in (behind, fresh) if len(part)], ignore_index=True)
+        codes, keys = pd.factorize(every[KEY])
+        latest = pd.Series(fresh["ms"].to_numpy()).groupby(codes[len(behind) :]).max()
+        for key, ms in zip(keys[latest.index], latest.tolist()):
+            text, following, scan, done, until = requests.get(key, ("", 0, 0, False, 0))
+            requests[key] = (text, following, scan, done, max(until, ms + self.idle_ms, now + self.idle_ms))
+        nexts = np.array([self.NONE if requests[key][3] else requests[key][1] for key in keys], np.int64)
 
-def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts") -> DataFrame:
+        places = every["chunk_idx"].to_numpy()
+        order = np.lexsort((places, codes))
+        codes, places = codes[order], places[order]
+        # Of chunks that came twice the last one counts, unless the first is in the text.
+        newest = np.append((codes[1:] != codes[:-1]) | (places[1:] != places[:-1]), True)
+        wanted = newest & (places >= nexts[codes])
+        order, codes, places = order[wanted], codes[wanted], places[wanted]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        stops = np.append(starts[1:], len(codes))
+        joins = places - nexts[codes] == np.arange(len(codes)) - np.repeat(starts, stops - starts)
+        counts = np.add.reduceat(joins.astype(np.int64), starts) if len(starts) else starts
+        chunks, lasts = every["chunk"].to_numpy()[order].tolist(), every["is_last"].to_numpy(bool)[order]
+        stays, finished = ~joins, []
+        for key, start, stop, count in zip(keys[codes[starts]], starts.tolist(), stops.tolist(), counts.tolist()):
+            if not count:
+                continue
+            ends = np.flatnonzero(lasts[start : start + count])
+            is_last, count = len(ends) > 0, int(ends[0]) + 1 if len(ends) else count
+            text, following, scan, _, until = requests[key]
+            pieces, known = chunks[start : start + count], len(text)
+            text, math = text + "".join(pieces), key.split("\n", 2)[2] == "=math"
+            end, scan = ended(math, text, known, scan)
+            if end < 0 and not is_last:
+                requests[key] = (text, following + count, scan, False, until)
+                continue
+            reason = "stop_token" if end < 0 else "boxed" if math else "code_block"
+            if end >= 0:
+                lengths = known + np.cumsum([len(p) for p in pieces])
+                count = int(np.searchsorted(lengths, end)) + 1
+                text = text[: lengths[count - 1]]
+            finished.append((key, text, following + count, reason, None))
+            requests[key] = ("", following + count, 0, True, until)
+            stays[start:stop] = False
+        return every.iloc[order[stays]], finished
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        requests, behind = {key: known for key, *known in self.requests.rows()}, self.behind.get()
+        now, held, size = timerValues.getCurrentWatermarkInMs(), [], 0
+        for batch in (*rows, None):
+            if batch is not None:
+                held.append(batch)
+                size += len(batch)
+            if held and (batch is None or size >= CHUNKS_AT_ONCE):
+                behind, finished = self._advanced(requests, behind, pd.concat(held, ignore_index=True), now)
+                held, size = [], 0
+                if finished:
+                    yield self._written(finished)
+        self._keep(requests)
+        self.behind.put(behind)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, behind = timerValues.getCurrentWatermarkInMs(), self.behind.get()
+        requests = {key: known for key, *known in self.requests.rows()}
+        ended = {key for key, known in requests.items() if known[-1] <= now}
+        gone = behind[KEY].isin(ended)
+        rest = {key: of["chunk"].tolist() for key, of in behind[gone].sort_values([KEY, "chunk_idx"]).groupby(KEY, sort=False)}
+        written = []
+        for key in ended:
+            text, following, _, done, _ = requests.pop(key)
+            if not done:
+                more = rest.get(key, [])
+                written.append((key, text + "".join(more), following + len(more), "expired", following if more else None))
+                requests[key] = ("", following, 0, True, now + self.idle_ms)
+        self._keep(requests)
+        self.behind.put(behind[~gone])
+        if written:
+            yield self._written(written)
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts", buckets: int = TEXT_BUCKETS) -> DataFrame:
     """One row per finished request, written as soon as it is finished.
 
     ``chunks``: generation_id, request_counter, method, chunk_idx, chunk, is_last and an
@@ -31,77 +164,25 @@ def assemble_generations(chunks: DataFrame, delay: str, idle: str, ts: str = "ts
     request that stays idle is written with the reason 'expired': all chunks there are, in
     order, and the first ``missing`` one if chunks behind a gap are among them. Once a request
     is written its text is dropped; a mark stays until it is idle, to ignore later chunks.
-    Chunks later than the ``delay`` belong to ``split_late``.
+    Chunks later than the ``delay`` belong to ``split_late``. A missing text is empty; a chunk without
+    a number has no place. A stream keeps its number of ``buckets`` for good; a task holds
+    the open texts of one.
     """
-    idle_ms = milliseconds(idle)
-
-    def ended(method: str, buffer: str, chunk: str, scan: int) -> tuple[str | None, int]:
-        """The reason if the request has ended, and where a next search begins."""
-        if method == "math":
-            # A box does not span lines: look from the start of the line the chunk began in.
-            line = buffer.rfind("\n", 0, len(buffer) - len(chunk)) + 1
-            return ("boxed" if "}" in chunk and _BOX.search(buffer, line) else None), scan
-        while "`" in chunk and (block := _BLOCK.search(buffer, scan)):
-            if block[1]:
-                return "code_block", scan
-            scan = block.end()
-        opened = buffer.find(PYTHON_FENCE, scan)
-        # A block that is open is searched from its fence; else a fence may be coming in.
-        return None, opened if opened >= 0 else max(scan, len(buffer) - len(PYTHON_FENCE))
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        generation, request, method = key
-
-        def row(text: str, count: int, reason: str, missing: int | None = None) -> pd.DataFrame:
-            return pd.DataFrame(
-                {
-                    "generation_id": [generation], "request_counter": [request], "method": [method],
-                    "text": [text], "chunks": [count], "reason": [reason], "missing": pd.array([missing], dtype="Int64"),
-                }
-            )
-
-        buffer, following, idx, chunk, last, done, scan = state.get if state.exists else ("", 0, [], [], [], False, 0)
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            behind = [c for _, c in sorted(zip(idx, chunk))]
-            yield row(buffer + "".join(behind), following + len(behind), "expired", following if behind else None)
-            state.update(("", following, [], [], [], True, 0))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-            return
-        waiting, latest = dict(zip(idx, zip(chunk, last))), None
-        for batch in batches:
-            latest = max(batch[ts].max(), latest or batch[ts].max())
-            if not done:
-                waiting.update(zip(batch["chunk_idx"].tolist(), zip(batch["chunk"], batch["is_last"].tolist())))
-        while not done and following in waiting:
-            piece, is_last = waiting.pop(following)
-            buffer, following = buffer + piece, following + 1
-            reason, scan = ended(method, buffer, piece, scan)
-            reason = reason or ("stop_token" if is_last else None)
-            if reason:
-                yield row(buffer, following, reason)
-                buffer, waiting, done = "", {}, True
-        state.update(
-            (
-                buffer, following, list(waiting), [c for c, _ in waiting.values()], [bool(e) for _, e in waiting.values()], done, scan
-            )
-        )
-        expire_after(state, latest, idle_ms)
-
-    finished = (
-        chunks.withWatermark(ts, delay)
-        .groupBy(*REQUEST)
-        .applyInPandasWithState(advance, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    # A millisecond more, as rows of the watermark's own time count as late.
+    timed = chunks.withWatermark(ts, f"{milliseconds(delay) + 1} milliseconds").select(
+        F.concat_ws("\n", *(never_missing(c) for c in REQUEST)).alias(KEY), F.col("chunk_idx").cast("bigint").alias("chunk_idx"),
+        F.coalesce("chunk", F.lit("")).alias("chunk"), F.coalesce("is_last", F.lit(False)).alias("is_last"),
+        F.coalesce(F.unix_millis(ts), F.lit(0)).alias("ms"), ts,
+    ).where(F.col("chunk_idx").isNotNull())
+    dealt = timed.withColumn("bucket", bucket_of(KEY, buckets=buckets))
+    written = dealt.groupBy("bucket").transformWithStateInPandas(_Assembling(milliseconds(idle)), _Assembling.OUT, "Append", "EventTime")
+    parts = F.split(KEY, "\n", len(REQUEST))
+    request = [key_of(parts[i], kind).alias(c) for i, (c, kind) in enumerate(REQUEST.items())]
+    finished = written.select(*request, "text", "chunks", "reason", "missing")
     answer = F.when(F.col("method") == "math", last_boxed("text")).otherwise(answer_outside_sections("text"))
     return finished.withColumn("answer", answer)
 
 
-KEY = "key__"
-
-
 class _InOrder(StatefulProcessor):
     """Checks wait until the watermark has passed them and are judged in their order, each key for itself.
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState
 
 from tallywork.session import run_folder
 
@@ -20,12 +19,6 @@ def milliseconds(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def expire_after(state: GroupState, latest: pd.Timestamp | None, idle_ms: int) -> None:
-    """Let a state time out ``idle_ms`` after its latest event or the watermark, the later one."""
-    event_ms = latest.value // 1_000_000 if latest is not None else 0
-    state.setTimeoutTimestamp(max(event_ms, state.getCurrentWatermarkMs()) + idle_ms)
-
-
 def stream_files(spark: SparkSession, path: str, files_per_batch: int | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Parquet files as a stream, with the schema they have if none is given."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
@@ -52,8 +45,8 @@ def key_of(text: Column | str, kind: str) -> Column:
 BUCKETS = 64
 
 
-def bucket_of(*keys: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def bucket_of(*keys: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 class HeldTable:

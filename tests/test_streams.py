@@ -1,6 +1,7 @@
 """Streams in several micro-batches equal the batch operators."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -258,3 +259,63 @@ def test_python_is_called_per_bucket_and_not_per_key(spark):
         query.awaitTermination()
         operators = query.recentProgress[0]["stateOperators"]
         assert 0 < max(o["numRowsUpdated"] for o in operators) <= 2 * BUCKETS, name
+
+
+CHUNKS = "generation_id bigint, request_counter bigint, method string, chunk_idx bigint, chunk string, is_last boolean, ts timestamp"
+
+
+def test_requests_are_assembled_per_bucket_and_not_per_key(spark):
+    rows = spark.range(1800).selectExpr("id % 900 AS generation_id", "1L AS request_counter", "'math' AS method", "id div 900 AS chunk_idx", "'a' AS chunk", "id >= 900 AS is_last")
+    folder = run_folder(spark, "requests")
+    rows.withColumn("ts", F.timestamp_seconds(F.col("chunk_idx") + EPOCH)).coalesce(1).write.parquet(folder)
+    done = generations.assemble_generations(stream_files(spark, folder), "1 day", "1 day", buckets=16)
+    with state_settings(spark, 2):
+        query = done.writeStream.format("noop").option("checkpointLocation", run_folder(spark, "assembled")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(o["numRowsUpdated"] for o in query.recentProgress[0]["stateOperators"]) <= 2 * 16
+
+
+def test_odd_chunks_are_put_together_over_restarts(spark):
+    """Chunks that come twice, at the watermark's own time, of missing keys, without a text, behind an end, or after it."""
+    def assemble(stream, home):
+        return run_available(generations.assemble_generations(stream, "10 seconds", "60 seconds"), "odd", "append", 2, f"{home}/odd")
+
+    rows = [
+        [(1, 1, "math", 0, "a", False, at(95)), (1, 1, "math", 2, "c", False, at(95)), (2, 1, "x=math", 0, "oxed{1}", False, at(100)), (2, 1, "x=math", 1, None, True, at(100)),
+         (None, 1, "math", 0, "oxed{", False, at(95)), (1, None, "math", 0, "p", False, at(95)), (3, 1, None, 0, "q", True, at(95)), (3, 1, None, 1, "r", True, at(95))],
+        [(1, 1, "math", 0, "a", False, at(95)), (1, 1, "math", 2, "C", False, at(95)), (None, 1, "math", 1, "5}6", False, at(90)), (1, None, "math", 1, "", True, at(90)), (3, 1, None, 0, "q", True, at(95)),
+         (4, 1, "code", 0, "```python" + " " * 4000 + "`", False, at(95)), (4, 1, "code", 1, "``", True, at(95))],
+        [(9, 1, "math", 0, "", True, at(500))], [(9, 2, "math", 0, "", True, at(900))], [(9, 3, "math", 0, "", True, at(5000))],
+    ]
+    done = waves(spark, "odd", rows, CHUNKS, assemble).where("coalesce(generation_id, 0) < 9")
+    assert rows_of(done, "generation_id", "request_counter", "method", "text", "chunks", "reason", "missing", "answer") == sorted([
+        (1, 1, "math", "aC", 2, "expired", 1, ""), (2, 1, "x=math", "oxed{1}", 2, "stop_token", None, "1"), (None, 1, "math", "oxed{5}6", 2, "boxed", None, "5"),
+        (1, None, "math", "p", 2, "stop_token", None, ""), (3, 1, None, "q", 1, "stop_token", None, ""), (4, 1, "code", "```python" + " " * 4000 + "```", 2, "stop_token", None, ""),
+    ], key=repr)
+
+
+def test_an_end_is_found_in_the_chunk_that_completes_it():
+    """Whatever the chunks, the first filled block or box is the one found in the whole text."""
+    chance = random.Random(3)
+    whole = {False: re.compile(r"```python\s*(.*?)\s*```", re.DOTALL), True: re.compile(r"oxed\{([^}\n]+)\}")}
+    for i in range(3000):
+        math = i % 2 == 0
+        text = "".join(chance.choices(["oxed{", "oxed", "{", "}", "7", "\n"] if math else ["```python", "```", "`", "python", " ", "\n", "x"], k=chance.randint(1, 14)))
+        want = next((m.end() for m in whole[math].finditer(text) if m[1]), -1)
+        got, known, scan = -1, 0, 0
+        while known < len(text) and got < 0:
+            upto = known + chance.randint(1, 6)
+            got, scan = generations.ended(math, text[:upto], known, scan)
+            known = upto
+        assert got == want, text
+
+
+def test_pieces_are_the_text_in_order(spark):
+    texts = ["", None, "a" * 16, "b" * 17, "\U0001f600" * 20 + "\r\n x", "\n" * 33]
+    turns = spark.createDataFrame([(i, 0, "math", t) for i, t in enumerate(texts)], "generation_id bigint, request_counter bigint, method string, text string")
+    got = {}
+    for r in cut_pieces(turns).orderBy("generation_id", "chunk_idx").collect():
+        got.setdefault(r.generation_id, []).append((r.chunk_idx, r.chunk, r.is_last))
+    for i, t in enumerate(texts):
+        pieces = [t[at : at + 16] for at in range(0, len(t), 16)] if t else [t]
+        assert got[i] == [(n, p, n + 1 == len(pieces)) for n, p in enumerate(pieces)]
